@@ -15,9 +15,9 @@ Around this, all of it exact:
   link with none and needs no signatures (a content-selected quarter of the
   shingle domain is counted for this);
 * in a bucket of more than two classes, the most central class (fewest
-  shingles of its own) is compared with the others; of the rest only pairs that
-  are not yet in one component, and that their own shingles do not rule out,
-  are compared. Links within a component add nothing to it.
+  shingles of its own) is compared with the others, and then, in blocks, those
+  that are not yet in one component with each other. Links within a component
+  add nothing to it, and no table of a bucket's pairs is made.
 
 Every candidate pair is checked on the shingles of its whole texts. A shingle
 is a 64-bit hash of its words.
@@ -41,6 +41,8 @@ from tidemark.llm.storage import materialise
 _U = np.uint64
 #: One in so many shingle values, chosen by the value, is counted in the first bound.
 SAMPLED = 4
+#: Classes of a bucket that are held against as many others at a time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -214,6 +216,68 @@ def _own_counts(shingle_rows: DataFrame) -> DataFrame:
     return alone.groupBy("cls").agg(F.count("*").alias("u"))
 
 
+def _compare(rule: Threshold):
+    """Links between the differently labelled classes of two blocks of one
+    bucket; of links that close a circle, none is needed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, labels, side = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "b"))
+        if table["i"][0].as_py() == table["j"][0].as_py():
+            one = two = np.arange(len(names))
+        else:
+            one, two = np.flatnonzero(side == table["i"][0].as_py()), np.flatnonzero(side == table["j"][0].as_py())
+        values, document, sizes, base = [], [], [], 0
+        for block in T.blocks(table["text"]):
+            v, d, n = shingles(block, rule.k)
+            values.append(v)
+            document.append(d + base)
+            sizes.append(n)
+            base += len(block)
+        values, document, sizes = np.concatenate(values), np.concatenate(document), np.concatenate(sizes)
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = count > 1
+        place = (np.cumsum(shared) - 1)[column]
+        document, place = document[shared[column]], place[shared[column]]
+        order = np.argsort(place, kind="stable")
+        document, place = document[order], place[order]
+        both = np.zeros((len(one), len(two)), dtype=np.float32)
+        for low in range(0, int(shared.sum()), 2048):
+            part = slice(*np.searchsorted(place, [low, low + 2048]))
+            has = np.zeros((len(names), 2048), dtype=np.float32)
+            has[document[part], place[part] - low] = 1
+            both += has[one] @ has[two].T
+        linked = rule.den * both >= rule.num * (sizes[one][:, None] + sizes[two][None, :] - both)
+        linked &= (both > 0) & (labels[one][:, None] != labels[two][None, :])
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        edges = []
+        for x, y in zip(*np.nonzero(linked)):
+            p, q = find(labels[one[x]]), find(labels[two[y]])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                edges.append((names[one[x]], names[two[y]]))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
+def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
+    """Links (a, b) between classes of one bucket that have different labels.
+
+    A bucket is cut into blocks of about ``BLOCK`` classes; two blocks at a time
+    are compared in a task, so no task holds a large bucket and no table holds
+    its pairs."""
+    blocks = rest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = rest.join(blocks, "sig").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.select("sig", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls", "label")
+    return dealt.join(texts, "cls").groupBy("sig", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -248,9 +312,7 @@ def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame
     labels = connected_components(first)
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sig")
-    rest = materialise(named.join(mixed, "sig"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & F.expr("x.cls < y.cls AND x.label <> y.label") & F.expr(_possible("x", "y", rule)))
-    second = _linked(_ordered(across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))), texts, rule)
+    second = materialise(_across_labels(named.join(mixed, "sig"), texts, rule))
     final = connected_components(first.unionByName(second))
 
     labelled = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

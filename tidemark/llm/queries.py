@@ -6,17 +6,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm.storage import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words."""
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Winnowing(window=10, k=5))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity of 0.85 or more."""
     return near_duplicates(read(spark, sf_dir, "documents"), Threshold(k=4, num=85, den=100))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op6_benchmark_decontamination"] = rf"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT id AS item_id, least(len(ws), 10) AS n, array_to_string(ws[p : p + least(len(ws), 10) - 1], ' ') AS win
+  FROM w, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS t(p) WHERE kind = 'b' AND len(ws) > 0),
+doc_windows AS (
+  SELECT id AS doc_id, p, n, array_to_string(ws[p : p + n - 1], ' ') AS win
+  FROM w, (SELECT DISTINCT n FROM item_windows) AS lengths, unnest(range(1, len(ws) - n + 2)) AS t(p) WHERE kind = 'd' AND len(ws) >= n),
+hits AS (SELECT doc_id, p, d.n, item_id FROM doc_windows d JOIN item_windows USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hits), unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON words.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id WHERE kind = 'd'
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm.storage import read
+from tidemark.llm.suffix_tree_lm import score_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +30,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), Threshold(k=4, num=85, den=100))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_ngram_jaccard_join)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix tree of up to five symbols beside add-one unigrams."""
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_ngram_jaccard_join, op9_lm_scoring)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

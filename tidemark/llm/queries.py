@@ -10,12 +10,26 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
+from tidemark.llm.mixing import sampling_plan
+from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
 from tidemark.llm.suffix_tree_lm import score_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 1, 2, 3 in turn, at most three copies."""
+    plan = sampling_plan(read(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of nearly equal bytes."""
+    rows = shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return rows.select("doc_id", "size", F.crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten words."""
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Winnowing(window=10, k=5))
@@ -35,7 +49,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_benchmark_decontamination, op7_ngram_jaccard_join, op9_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op9_lm_scoring)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

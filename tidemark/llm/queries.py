@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm.mixing import sampling_plan
+from tidemark.llm.quality import Rules, judge
 from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
 from tidemark.llm.suffix_tree_lm import score_texts
@@ -44,12 +45,17 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), Threshold(k=4, num=85, den=100))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then a calibrated probability of at least one half."""
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Rules())
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix tree of up to five symbols beside add-one unigrams."""
     return score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op9_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

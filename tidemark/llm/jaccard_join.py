@@ -15,9 +15,10 @@ Around this, all of it exact:
   link with none and needs no signatures (a content-selected quarter of the
   shingle domain is counted for this);
 * in a bucket of more than two classes, the most central class (fewest
-  shingles of its own) is compared with the others, and then, in blocks, those
-  that are not yet in one component with each other. Links within a component
-  add nothing to it, and no table of a bucket's pairs is made.
+  shingles of its own) is compared with the others, and then the classes of
+  all buckets with one such centre, in blocks, where they are not yet in one
+  component. Links within a component add nothing to it, and no table of a
+  group's pairs is made.
 
 Every candidate pair is checked on the shingles of its whole texts. A shingle
 is a 64-bit hash of its words.
@@ -41,7 +42,7 @@ from tidemark.llm.storage import materialise
 _U = np.uint64
 #: One in so many shingle values, chosen by the value, is counted in the first bound.
 SAMPLED = 4
-#: Classes of a bucket that are held against as many others at a time.
+#: Classes of a centre that are held against as many others at a time.
 BLOCK = 512
 
 
@@ -218,7 +219,7 @@ def _own_counts(shingle_rows: DataFrame) -> DataFrame:
 
 def _compare(rule: Threshold):
     """Links between the differently labelled classes of two blocks of one
-    bucket; of links that close a circle, none is needed."""
+    centre; of links that close a circle, none is needed."""
 
     def run(table: pa.Table) -> pa.Table:
         names, labels, side = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "b"))
@@ -267,15 +268,15 @@ def _compare(rule: Threshold):
 
 
 def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
-    """Links (a, b) between classes of one bucket that have different labels.
+    """Links (a, b) between classes of one centre that have different labels.
 
-    A bucket is cut into blocks of about ``BLOCK`` classes; two blocks at a time
-    are compared in a task, so no task holds a large bucket and no table holds
-    its pairs."""
-    blocks = rest.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = rest.join(blocks, "sig").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("sig", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls", "label")
-    return dealt.join(texts, "cls").groupBy("sig", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
+    The classes of a centre are cut into blocks of about ``BLOCK``; two blocks
+    at a time are compared in a task, so no task holds a large group and no
+    table holds its pairs."""
+    blocks = rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = rest.join(blocks, "centre").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
+    dealt = dealt.select("centre", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls", "label")
+    return dealt.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame:
@@ -310,9 +311,11 @@ def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame
     first = materialise(_linked(_ordered(pairs.unionByName(stars)), texts, rule))
 
     labels = connected_components(first)
-    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sig")
-    second = materialise(_across_labels(named.join(mixed, "sig"), texts, rule))
+    # Buckets with one centre are taken together: two classes that share a bucket share its centre.
+    around = members.join(centres.select("sig", F.col("cls").alias("centre")), "sig").select("centre", "cls").distinct()
+    named = materialise(around.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    mixed = named.groupBy("centre").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("centre")
+    second = materialise(_across_labels(named.join(mixed, "centre"), texts, rule))
     final = connected_components(first.unionByName(second))
 
     labelled = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

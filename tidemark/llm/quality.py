@@ -7,7 +7,8 @@ bounded sample of labelled rows (``sample`` of them at most, chosen by the
 hash of their doc_id); a part of the sample is held out, and the scores are
 calibrated to probabilities on it by a logistic curve. Every text is then
 scored in Arrow batches. A text is kept if the base rules pass and its
-probability of good quality reaches ``threshold``.
+probability of good quality reaches ``threshold``, which is below one half to
+favour keeping.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Rules:
 
     least_words: int = 50
     most_repeated: int = 50
-    threshold: float = 0.5
+    threshold: float = 0.25
     sample: int = 4000
     held_out: float = 0.25
     penalty: float = 1e-4

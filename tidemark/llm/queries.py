@@ -46,7 +46,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base rules, then a calibrated probability of at least one half."""
+    """Base rules, then the calibrated probability of a good text."""
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Rules())
 
 

@@ -15,17 +15,29 @@ from tidemark.llm.mixing import sampling_plan
 from tidemark.llm.quality import Rules, judge
 from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
+from tidemark.llm.substring_dedup import repeated_units
+from tidemark.llm.suffix_dedup import shared_passages
 from tidemark.llm.suffix_tree_lm import score_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of eight words or more that stand earlier in the corpus."""
+    return repeated_units(read(spark, sf_dir, "documents"), unit="sentence", least_words=8)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document, by sentence rules."""
     found = license_scan.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"), "n_unknown")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that stand earlier in the corpus."""
+    return shared_passages(read(spark, sf_dir, "documents"), least_words=50, k=20)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3 in turn, at most three copies."""
     plan = sampling_plan(read(spark, sf_dir, "documents"))
@@ -71,7 +83,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -32,7 +32,7 @@ class Preprocessor:
             self.modes[c] = top[c] if top else ""
         stages = [StringIndexer(inputCol=f"_f_{c}", outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in self.categorical]
         # The slot for unseen levels is the last one, and dropped: such a row is all zero.
-        stages += [OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_o_{c}", dropLast=True, handleInvalid="keep") for c in self.categorical]
+        stages += [OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_o_{c}", dropLast=True) for c in self.categorical]
         stages.append(VectorAssembler(inputCols=[*[f"_f_{c}" for c in self.numeric], *[f"_o_{c}" for c in self.categorical]], outputCol="features"))
         self.model: PipelineModel = Pipeline(stages=stages).fit(self._filled(train))
         return self

@@ -496,3 +496,68 @@ def _model(spark, sf_dir, name):
     fit = {"ridge": lambda t: M.ridge(t, "price"), "tree": lambda t: M.boosted_trees(t, "price", maxIter=10, maxDepth=4)}[name]
     out = fit(prepared.transform(train)).transform(prepared.transform(rows.filter("split = 'test'")))
     return out.select("sale_id", F.col("price").alias("y_true"), F.round("prediction", 4).alias("y_pred"), F.lit(name).alias("model_name"))
+
+
+# ---- residuals, feature names, joins to attributes ----------------------------------------------------------
+
+
+@query("P13_residuals", f"WITH {_BASELINES} SELECT fold_id, split, sale_id, model_name, round(y_pred - y_true, 4) AS error, round(abs(y_pred - y_true), 4) AS abs_error, round(abs((y_pred - y_true) / y_true) * 100, 4) AS ape FROM pred")
+def residuals(spark, sf_dir):
+    rows = E.with_errors(predictions(spark, sf_dir))
+    return rows.select("fold_id", "split", "sale_id", "model_name", *[F.round(c, 4).alias(c) for c in ("error", "abs_error", "ape")])
+
+
+@query("P15_feature_groups", """SELECT p_partkey, name, CASE WHEN contains(name, 'comp_') THEN 'comparable_sales' WHEN name LIKE 'district^_median^_%' ESCAPE '^' THEN 'time_aware_market' WHEN name LIKE 'district%' OR name LIKE 'trade^_%' ESCAPE '^' THEN 'location_time' WHEN contains(name, 'renovation_flag') THEN 'note_flags' WHEN contains(name, 'floor') OR contains(name, 'parking') THEN 'basic_housing' ELSE 'other' END AS feature_group,
+ CASE WHEN name LIKE '%^_count' ESCAPE '^' THEN 'count' WHEN contains(name, 'median_price') THEN 'median_price' ELSE 'other' END AS kind
+ FROM (SELECT p_partkey, ['comp_180d_median_price', 'comp_365d_count', 'district_median_180d', 'district', 'trade_year', 'renovation_flag', 'floor_ratio', 'has_parking', 'emb_count'][p_partkey % 9 + 1] AS name FROM part)""")
+def feature_groups(spark, sf_dir):
+    from tidemark.functions import features as N
+
+    names = F.array(*[F.lit(n) for n in ("comp_180d_median_price", "comp_365d_count", "district_median_180d", "district", "trade_year", "renovation_flag", "floor_ratio", "has_parking", "emb_count")])
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")).alias("name"))
+    return rows.withColumns({"feature_group": N.feature_group(F.col("name")), "kind": N.comparable_kind(F.col("name"))})
+
+
+@query("A09_flag_ratio", f"WITH {SALES_SQL} SELECT district, sum(has_parking)::BIGINT AS flagged, round(avg(has_parking), 6) AS ratio FROM sales GROUP BY 1")
+def flag_ratio(spark, sf_dir):
+    return sales(spark, sf_dir).groupBy("district").agg(F.sum("has_parking").alias("flagged"), F.round(F.avg("has_parking"), 6).alias("ratio"))
+
+
+@query("A23_mean_abs", " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(abs({c})), 6) AS mean_abs FROM lineitem" for c in _NUMBERS))
+def mean_abs(spark, sf_dir):
+    one = read(spark, sf_dir, "lineitem").agg(*[F.round(F.avg(F.abs(c)), 6).alias(c) for c in _NUMBERS])
+    return one.unpivot([], list(_NUMBERS), "feature", "mean_abs")
+
+
+@query("X15_text_hash", "SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(1) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+def text_hash(spark, sf_dir):
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(turns, lambda x: x["t"]), "\x01"), 256).alias("digest"))
+
+
+@query("J10_error_attributes", f"""WITH {_BASELINES}, p AS (SELECT sale_id, y_pred - y_true AS error FROM pred WHERE split = 'test' AND model_name = 'combo' AND fold_id = 1 ORDER BY error, sale_id LIMIT 50)
+ SELECT p.sale_id, round(error, 4) AS error, area, age FROM p LEFT JOIN sales USING (sale_id)""")
+def error_attributes(spark, sf_dir):
+    rows = predictions(spark, sf_dir).filter("split = 'test' AND model_name = 'combo' AND fold_id = 1")
+    worst = E.top_errors(rows, 50, "sale_id").filter("side = 'under'").select("sale_id", F.round("error", 4).alias("error"))
+    # Attributes of the named sales only, one row each, then the left join.
+    own = C.keep_last(sales(spark, sf_dir).join(worst, "sale_id", "left_semi"), F.col("sale_id"), [F.col("trade_date")])
+    return worst.join(own.select("sale_id", "area", "age"), "sale_id", "left")
+
+
+@query("J12_ranked_models", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL), m AS (SELECT model_name, split, avg(mae) AS mae FROM f GROUP BY 1, 2), r AS (SELECT model_name, CAST(row_number() OVER (ORDER BY mae, model_name) AS INTEGER) AS rank FROM m WHERE split = 'valid') SELECT model_name, split, round(mae, 4) AS mae, rank FROM m LEFT JOIN r USING (model_name)")
+def ranked_models(spark, sf_dir):
+    from pyspark.sql import Window
+
+    by_fold = E.regression_metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id")
+    means = by_fold.groupBy("model_name", "split").agg(F.avg("mae").alias("mae"))
+    ranks = means.filter("split = 'valid'").withColumn("rank", F.row_number().over(Window.orderBy("mae", "model_name"))).select("model_name", "rank")
+    return means.join(ranks, "model_name", "left").withColumn("mae", F.round("mae", 4))
+
+
+@query("F10_finite_pairs", "SELECT event_id FROM events WHERE value IS NOT NULL AND event_id % 4 <> 0 AND event_id % 4 <> 1")
+def finite_pairs(spark, sf_dir):
+    from tidemark.schema import nan_to_null
+
+    v = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).when(F.col("event_id") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("value"))
+    return nan_to_null(read(spark, sf_dir, "events").withColumn("v", v), "v").filter("v IS NOT NULL").select("event_id")

@@ -74,7 +74,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", least_words: int = 8
     found = materialise(rows.mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long"))
     rank = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("start").alias("s"))
     # Counted and ranked before the shuffle: a digest that is in many documents sends one row from each task.
-    groups = found.groupBy("d1", "d2").agg(F.count("*").alias("n_occurrences"), F.min(rank).alias("kept"), F.min_by("doc_id", rank).alias("kept_doc_id")).filter("n_occurrences > 1")
+    # Written, so that the join deals both sides out anew and can split the rows of such a digest.
+    groups = materialise(found.groupBy("d1", "d2").agg(F.count("*").alias("n_occurrences"), F.min(rank).alias("kept"), F.min_by("doc_id", rank).alias("kept_doc_id")).filter("n_occurrences > 1"))
     removed = found.join(groups, ["d1", "d2"]).filter("coalesce(doc_id, 9223372036854775807) <> kept.d OR start <> kept.s")
     return removed.select("doc_id", "start", "end", "kept_doc_id", F.col("kept.s").alias("kept_start"), "n_occurrences").distinct()
 

@@ -273,7 +273,8 @@ def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFr
     The classes of a centre are cut into blocks of about ``BLOCK``; two blocks
     at a time are compared in a task, so no task holds a large group and no
     table holds its pairs."""
-    blocks = rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    # Written, so that the join deals both sides out anew and can split a large group.
+    blocks = materialise(rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
     dealt = rest.join(blocks, "centre").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
     dealt = dealt.select("centre", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls", "label")
     return dealt.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()

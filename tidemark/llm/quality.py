@@ -110,21 +110,29 @@ def _sparse(batches):
             yield pa.RecordBatch.from_arrays([labels.slice(block.first, len(block)), pack(numbers), pack(values)], ["label", "numbers", "vals"])
 
 
-def _fit(numbers, rows, values, labels, penalty: float, rounds: int = 250):
-    """Weights and bias by full-batch gradient steps scaled per feature."""
+def _fit(numbers: list, values: list, labels, penalty: float, rounds: int = 250, piece: int = 200):
+    """Weights and bias by full-batch gradient steps scaled per feature;
+    ``piece`` documents at a time, so that little stands beside the sample."""
     n = len(labels)
+    pieces = []
+    for i in range(0, n, piece):
+        rows = np.repeat(np.arange(len(numbers[i : i + piece]), dtype=np.int32), [len(x) for x in numbers[i : i + piece]])
+        pieces.append((slice(i, min(n, i + piece)), rows, np.concatenate(numbers[i : i + piece]), np.concatenate(values[i : i + piece])))
     weights, bias = np.zeros(_WIDTH), 0.0
     share = labels.mean()
     balance = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     squares, bias_square = np.full(_WIDTH, 1e-12), 1e-12
     for _ in range(rounds):
-        score = np.bincount(rows, weights=values * weights[numbers], minlength=n) + bias
-        error = balance * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) / n
-        gradient = np.bincount(numbers, weights=values * error[rows], minlength=_WIDTH) + penalty * weights / n
+        gradient, shift = penalty * weights / n, 0.0
+        for part, rows, number, value in pieces:
+            score = np.bincount(rows, weights=value * weights[number], minlength=part.stop - part.start) + bias
+            error = balance[part] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / n
+            gradient += np.bincount(number, weights=value * error[rows], minlength=_WIDTH)
+            shift += error.sum()
         squares += gradient**2
-        bias_square += error.sum() ** 2
+        bias_square += shift**2
         weights -= 2.0 * gradient / np.sqrt(squares)
-        bias -= 0.5 * error.sum() / np.sqrt(bias_square)
+        bias -= 0.5 * shift / np.sqrt(bias_square)
     return weights, bias
 
 
@@ -161,8 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> tuple[n
     if len(set(y[out].tolist())) < 2 or len(set(y[~out].tolist())) < 2:
         out = np.zeros(len(y), dtype=bool)
     learn = np.flatnonzero(~out)
-    rows = np.repeat(np.arange(len(learn)), [len(numbers[i]) for i in learn])
-    weights, bias = _fit(np.concatenate([numbers[i] for i in learn]), rows, np.concatenate([values[i] for i in learn]).astype(float), y[learn], rules.penalty)
+    weights, bias = _fit([numbers[i] for i in learn], [values[i] for i in learn], y[learn], rules.penalty)
     held = np.flatnonzero(out) if out.any() else learn
     score = np.array([float(values[i] @ weights[numbers[i]]) + bias for i in held])
     slope, shift = _calibrate(score, y[held])

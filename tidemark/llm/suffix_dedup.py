@@ -157,7 +157,8 @@ def shared_passages(docs: DataFrame, least_words: int = 50, k: int = 20) -> Data
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     suffixes = rows.mapInArrow(_suffixes(k, least_words - k + 1), _SUFFIX)
-    often = suffixes.groupBy("g1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("f")).filter("n > 1").select("g1", F.col("f.doc").alias("doc_1"), F.col("f.th").alias("th_1"), F.col("f.pos").alias("pos_1"))
+    # Written, so that the join deals both sides out anew and can split a passage that is everywhere.
+    often = materialise(suffixes.groupBy("g1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("f")).filter("n > 1")).select("g1", F.col("f.doc").alias("doc_1"), F.col("f.th").alias("th_1"), F.col("f.pos").alias("pos_1"))
     repeated = materialise(suffixes.join(often, "g1"))
     ordered = repeated.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
     pairs = ordered.mapInArrow(_neighbours, _PAIR)

@@ -12,9 +12,12 @@ the whole texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
@@ -73,17 +76,32 @@ def _suffixes(k: int, run: int):
 def _neighbours(batches):
     """Pairs (earlier, later) of suffixes with the same first words. In the
     sorted order the longest match of a suffix with an earlier occurrence is
-    with the nearest earlier one before it or the nearest one after it; both
-    are given. What has neither in its partition is paired with the earliest
-    occurrence of its first words anywhere."""
+    with the nearest earlier one before it or the nearest one after it: with
+    the one that agrees further, with both where neither does in full. What has
+    neither in its partition is paired with the earliest occurrence of its
+    first words anywhere."""
     stack: list[tuple] = []
     group, earliest = None, None
     pairs: list[tuple] = []
 
+    def agrees(x, y):
+        return (x[1] == y[1]) + (x[1:] == y[1:])
+
+    def settle(row, after):
+        before = stack[-1] if stack else None
+        if before is None or after is None:
+            near = [after or before]
+        else:
+            one, two = agrees(row, before), agrees(row, after)
+            near = [before] if one > two else [after] if two > one else [min(before, after)] if one == 2 else [before, after]
+        pairs.extend((x[0], row[0]) for x in near if x is not None)
+
     def close():
-        if stack and stack[0] != earliest:
-            pairs.append((earliest, stack[0]))
-        stack.clear()
+        while stack:
+            row = stack.pop()
+            settle(row, None)
+            if not stack and row[0] != earliest:
+                pairs.append((earliest, row[0]))
 
     def flush():
         columns = list(zip(*[(*x, *y) for x, y in pairs])) if pairs else [[]] * 6
@@ -91,49 +109,74 @@ def _neighbours(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_a", "th_a", "a", "doc_b", "th_b", "b"])
 
     for batch in batches:
-        named = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("g1", "doc", "th", "pos", "doc_1", "th_1", "pos_1")}
-        for g, row, first in zip(named["g1"], zip(named["doc"], named["th"], named["pos"]), zip(named["doc_1"], named["th_1"], named["pos_1"])):
+        named = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("g1", "g2", "g3", "doc", "th", "pos", "doc_1", "th_1", "pos_1")}
+        ids, firsts = zip(named["doc"], named["th"], named["pos"]), zip(named["doc_1"], named["th_1"], named["pos_1"])
+        for g, row, first in zip(named["g1"], zip(ids, named["g2"], named["g3"]), firsts):
             if g != group:
                 close()
                 group, earliest = g, first
-            while stack and stack[-1] > row:
-                pairs.append((row, stack.pop()))
-            if stack and stack[-1] == row:
-                continue
-            if stack:
-                pairs.append((stack[-1], row))
-            stack.append(row)
+            while stack and stack[-1][0] > row[0]:
+                settle(stack.pop(), row)
+            if not stack or stack[-1][0] != row[0]:
+                stack.append(row)
         yield flush()
     close()
     yield flush()
 
 
+@dataclass(frozen=True)
+class _Text:
+    """Words of one text, with their places in code points."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def _texts(column) -> Iterator[_Text]:
+    for block in T.blocks(column):
+        words = T.tokens(block, T.WORDS_FOLDED)
+        points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+        for i in range(len(block)):
+            own = slice(words.bounds[i], words.bounds[i + 1])
+            base = points[block.offsets[i]]
+            yield _Text(words.hashes[own], points[words.starts[own]] - base, points[words.ends[own]] - base)
+
+
+def _run(x: np.ndarray, y: np.ndarray) -> int:
+    """How many leading elements agree; looks further only as far as needed."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, step * 4
+    return n
+
+
 def _extend(least_words: int):
     def run(batches):
+        name, x = None, None
         for batch in batches:
-            rows = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_a", "doc_b", "text_a", "text_b")}
-            hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
+            part = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_a", "th_a", "doc_b", "th_b", "text_a", "text_b")}
+            hits = batch.column(batch.schema.get_field_index("hits"))
+            names = list(zip(part["doc_a"].to_pylist(), part["th_a"].to_pylist()))
+            docs = list(zip(part["doc_b"].to_pylist(), part["th_b"].to_pylist()))
             out = []
-            for i in range(len(batch)):
-                one, two = (next(T.blocks(rows[c].slice(i, 1))) for c in ("text_a", "text_b"))
-                x, y = T.tokens(one, T.WORDS_FOLDED), T.tokens(two, T.WORDS_FOLDED)
-                done = {}
-                for h in sorted(hits[i], key=lambda h: h["a"]):
-                    a, b = h["a"], h["b"]
+            for i, y in enumerate(_texts(part["text_b"])):
+                if names[i] != name:
+                    name, x = names[i], next(_texts(part["text_a"].slice(i, 1)))
+                done: dict[int, int] = {}
+                for a, b in sorted((h["a"], h["b"]) for h in hits[i].as_py()):
                     if a < done.get(a - b, 0):
                         continue
-                    left = min(a, b)
-                    differ = np.flatnonzero(x.hashes[a - left : a][::-1] != y.hashes[b - left : b][::-1])
-                    left = int(differ[0]) if len(differ) else left
-                    right = min(len(x.hashes) - a, len(y.hashes) - b)
-                    differ = np.flatnonzero(x.hashes[a : a + right] != y.hashes[b : b + right])
-                    right = int(differ[0]) if len(differ) else right
+                    left = _run(x.hashes[:a][::-1], y.hashes[:b][::-1])
+                    right = _run(x.hashes[a:], y.hashes[b:])
                     done[a - b] = a + right
                     if left + right >= least_words:
-                        at = lambda block, w, s, e: (T.code_points_before(block.data.tobytes(), int(w.starts[s])), T.code_points_before(block.data.tobytes(), int(w.ends[e - 1])))
-                        out.append((rows["doc_a"][i].as_py(), *at(one, x, a - left, a + right), rows["doc_b"][i].as_py(), *at(two, y, b - left, b + right), left + right))
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_a", "start_a", "end_a", "doc_b", "start_b", "end_b", "n_words"])
+                        out.append((name[0], x.starts[a - left], x.ends[a + right - 1], *docs[i], y.starts[b - left], y.ends[b + right - 1], left + right))
+            columns = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(int, c)), pa.int64()) for c in columns], ["doc_a", "start_a", "end_a", "doc_b", "th_b", "start_b", "end_b", "n_words"])
 
     return run
 
@@ -167,8 +210,11 @@ def shared_passages(docs: DataFrame, least_words: int = 50, k: int = 20) -> Data
     texts = materialise(rows.join(wanted, ["doc", "th"]).select("doc", "th", "text"))
     one = texts.select(F.col("doc").alias("doc_b"), F.col("th").alias("th_b"), F.col("text").alias("text_b"))
     two = texts.select(F.col("doc").alias("doc_a"), F.col("th").alias("th_a"), F.col("text").alias("text_a"))
-    both = by_pair.join(one, ["doc_b", "th_b"]).join(two, ["doc_a", "th_a"]).select("doc_a", "doc_b", "hits", "text_a", "text_b")
-    found = both.mapInArrow(_extend(least_words), "doc_a long, start_a long, end_a long, doc_b long, start_b long, end_b long, n_words long").distinct()
+    both = by_pair.join(one, ["doc_b", "th_b"]).join(two, ["doc_a", "th_a"]).select("doc_a", "th_a", "doc_b", "th_b", "hits", "text_a", "text_b")
+    found = both.mapInArrow(_extend(least_words), "doc_a long, start_a long, end_a long, doc_b long, th_b long, start_b long, end_b long, n_words long")
+    # Of the matches of a document, those that lie within another say nothing more. Its matches are no more than its words.
+    wide = Window.partitionBy("doc_b", "th_b").orderBy("start_b", F.desc("end_b"), "doc_a", "start_a").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_far", F.max("end_b").over(wide)).filter("_far IS NULL OR end_b > _far")
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     return found.select(null("doc_b").alias("doc_id"), F.col("start_b").alias("start"), F.col("end_b").alias("end"), null("doc_a").alias("other_doc_id"), F.col("start_a").alias("other_start"), F.col("end_a").alias("other_end"), "n_words")
 

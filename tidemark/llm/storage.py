@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,13 +20,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+    """Write ``df`` once, as Parquet in the shared checkpoint folder, and read
+    it from there.
 
     What follows does not depend on shuffle files or on executors that may be
-    lost, and a frame used several times is computed once.
+    lost, and a frame used several times is computed once. Unlike a checkpoint
+    the files are compressed and their size is known to the planner. They stay
+    until the folder is cleared, as after any job that checkpoints.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def columns_free(df: DataFrame, *names: str) -> list[str]:

@@ -341,15 +341,15 @@ for _model in ("global", "district", "combo"):
 def _metrics_sql(keys: str, source: str = "pred") -> str:
     k = f"{keys}, " if keys else ""
     by = f"GROUP BY {keys}" if keys else ""
-    return f"""SELECT {k}count(*) AS n, round(avg(abs(y_pred - y_true)), 4) AS mae, round(sqrt(avg((y_pred - y_true) ^ 2)), 4) AS rmse, round(avg(abs((y_pred - y_true) / y_true) * 100), 4) AS mape, round(median(abs(y_pred - y_true)), 4) AS median_ae,
- round(1 - sum((y_pred - y_true) ^ 2) / (var_pop(y_true) * count(*)), 6) AS r2, round(avg(y_pred - y_true), 4) AS bias FROM {source} {by}"""
+    return f"""SELECT {k}count(*) AS n, round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) ^ 2)), 6) AS rmse, round(avg(abs((y_pred - y_true) / y_true) * 100), 6) AS mape, round(median(abs(y_pred - y_true)), 6) AS median_ae,
+ round(1 - sum((y_pred - y_true) ^ 2) / (var_pop(y_true) * count(*)), 6) AS r2, round(avg(y_pred - y_true), 6) AS bias FROM {source} {by}"""
 
 
 _METRICS = ("mae", "rmse", "mape", "median_ae", "bias")
 
 
 def _metrics(df, *keys):
-    return rounded(rounded(E.regression_metrics(df, *keys), *_METRICS, places=4), "r2")
+    return rounded(rounded(E.regression_metrics(df, *keys), *_METRICS, places=6), "r2")
 
 
 @query("A10_metrics", f"WITH {_BASELINES} {_metrics_sql('model_name, split, fold_id')}")
@@ -357,15 +357,15 @@ def metrics(spark, sf_dir):
     return _metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id")
 
 
-@query("A11_rollup", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL) SELECT model_name, split, count(DISTINCT fold_id) AS folds, round(avg(mae), 4) AS mae_mean, round(stddev_samp(mae), 4) AS mae_std FROM f GROUP BY 1, 2")
+@query("A11_rollup", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL) SELECT model_name, split, count(DISTINCT fold_id) AS folds, round(avg(mae), 6) AS mae_mean, round(stddev_samp(mae), 6) AS mae_std FROM f GROUP BY 1, 2")
 def rollup(spark, sf_dir):
-    return rounded(E.rollup(E.regression_metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id"), ["model_name", "split"], ["mae"]), "mae_mean", "mae_std", places=4)
+    return rounded(E.rollup(E.regression_metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id"), ["model_name", "split"], ["mae"]), "mae_mean", "mae_std", places=6)
 
 
-@query("A13_weighted", f"WITH {_BASELINES}, f AS (SELECT model_name, fold_id, avg(abs(y_pred - y_true)) AS mae, count(*) AS n FROM pred GROUP BY ALL) SELECT model_name, round(sum(mae * n) / sum(n), 4) AS mae FROM f GROUP BY 1")
+@query("A13_weighted", f"WITH {_BASELINES}, f AS (SELECT model_name, fold_id, avg(abs(y_pred - y_true)) AS mae, count(*) AS n FROM pred GROUP BY ALL) SELECT model_name, round(sum(mae * n) / sum(n), 6) AS mae FROM f GROUP BY 1")
 def weighted(spark, sf_dir):
     by_fold = E.regression_metrics(predictions(spark, sf_dir), "model_name", "fold_id")
-    return by_fold.groupBy("model_name").agg(F.round(E.weighted_mean("mae", "n"), 4).alias("mae"))
+    return by_fold.groupBy("model_name").agg(F.round(E.weighted_mean("mae", "n"), 6).alias("mae"))
 
 
 _SEGMENT = "CASE WHEN y_true / 2000 < 0 THEN 'missing' WHEN y_true / 2000 < 50 THEN '0-50' WHEN y_true / 2000 < 80 THEN '50-80' WHEN y_true / 2000 < 120 THEN '80-120' ELSE '120+' END"
@@ -374,7 +374,7 @@ _SEGMENT = "CASE WHEN y_true / 2000 < 0 THEN 'missing' WHEN y_true / 2000 < 50 T
 @query("A14_segments", f"WITH {_BASELINES}, s AS (SELECT *, {_SEGMENT} AS segment FROM pred), m AS ({_metrics_sql('segment', 's')}) SELECT CAST(o AS INTEGER) AS segment_order, segment, coalesce(n, 0) AS n, mae, rmse, mape, median_ae, r2, bias FROM (SELECT unnest(['0-50', '50-80', '80-120', '120+']) AS segment, unnest([0, 1, 2, 3]) AS o) LEFT JOIN m USING (segment)")
 def segments(spark, sf_dir):
     rows = predictions(spark, sf_dir).withColumn("v", F.col("y_true") / 2000)
-    return rounded(rounded(E.segment_metrics(rows, "v"), *_METRICS, places=4), "r2")
+    return rounded(rounded(E.segment_metrics(rows, "v"), *_METRICS, places=6), "r2")
 
 
 @query("A15_by_group", f"WITH {_BASELINES} {_metrics_sql('district, model_name')}")
@@ -399,24 +399,24 @@ def share(spark, sf_dir):
     return rounded(rounded(E.shares(joined, "n_name", "c_acctbal"), "share"), "total", places=2)
 
 
-@query("A19_pivot", f"WITH {_BASELINES} SELECT district, round(avg(abs(y_pred - y_true)) FILTER (model_name = 'global'), 4) AS \"global\", round(avg(abs(y_pred - y_true)) FILTER (model_name = 'district'), 4) AS district_model, round(avg(abs(y_pred - y_true)) FILTER (model_name = 'combo'), 4) AS combo FROM pred GROUP BY 1")
+@query("A19_pivot", f"WITH {_BASELINES} SELECT district, round(avg(abs(y_pred - y_true)) FILTER (model_name = 'global'), 6) AS \"global\", round(avg(abs(y_pred - y_true)) FILTER (model_name = 'district'), 6) AS district_model, round(avg(abs(y_pred - y_true)) FILTER (model_name = 'combo'), 6) AS combo FROM pred GROUP BY 1")
 def pivot(spark, sf_dir):
     rows = E.with_errors(predictions(spark, sf_dir)).withColumn("m", F.when(F.col("model_name") == "district", "district_model").otherwise(F.col("model_name")))
-    return rounded(rows.groupBy("district").pivot("m", ["global", "district_model", "combo"]).agg(F.avg("abs_error")), "global", "district_model", "combo", places=4)
+    return rounded(rows.groupBy("district").pivot("m", ["global", "district_model", "combo"]).agg(F.avg("abs_error")), "global", "district_model", "combo", places=6)
 
 
-@query("J08_compare", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL), a AS (SELECT split, fold_id, mae FROM f WHERE model_name = 'global'), b AS (SELECT split, fold_id, mae FROM f WHERE model_name = 'combo' AND fold_id > 2) SELECT split, fold_id, round(a.mae, 4) AS mae_1, round(b.mae, 4) AS mae_2, round(b.mae - a.mae, 4) AS mae_delta FROM a FULL JOIN b USING (split, fold_id)")
+@query("J08_compare", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL), a AS (SELECT split, fold_id, mae FROM f WHERE model_name = 'global'), b AS (SELECT split, fold_id, mae FROM f WHERE model_name = 'combo' AND fold_id > 2) SELECT split, fold_id, round(a.mae, 6) AS mae_1, round(b.mae, 6) AS mae_2, round(b.mae - a.mae, 6) AS mae_delta FROM a FULL JOIN b USING (split, fold_id)")
 def compare(spark, sf_dir):
     m = E.regression_metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id")
     out = E.compare(m.filter("model_name = 'global'"), m.filter("model_name = 'combo' AND fold_id > 2"), ["split", "fold_id"], ["mae"])
-    return rounded(out, "mae_1", "mae_2", "mae_delta", places=4)
+    return rounded(out, "mae_1", "mae_2", "mae_delta", places=6)
 
 
 @query("T03_top_errors", f"""WITH {_BASELINES}, p AS (SELECT *, y_pred - y_true AS error FROM pred WHERE split = 'test' AND model_name = 'global' AND fold_id = 1)
- SELECT side, sale_id, round(error, 4) AS error FROM ((SELECT 'under' AS side, sale_id, error FROM p ORDER BY error, sale_id LIMIT 50) UNION ALL (SELECT 'over', sale_id, error FROM p ORDER BY error DESC, sale_id LIMIT 50))""")
+ SELECT side, sale_id, round(error, 6) AS error FROM ((SELECT 'under' AS side, sale_id, error FROM p ORDER BY error, sale_id LIMIT 50) UNION ALL (SELECT 'over', sale_id, error FROM p ORDER BY error DESC, sale_id LIMIT 50))""")
 def top_errors(spark, sf_dir):
     rows = predictions(spark, sf_dir).filter("split = 'test' AND model_name = 'global' AND fold_id = 1")
-    return E.top_errors(rows, 50, "sale_id").select("side", "sale_id", F.round("error", 4).alias("error"))
+    return E.top_errors(rows, 50, "sale_id").select("side", "sale_id", F.round("error", 6).alias("error"))
 
 
 # ---- profiles -----------------------------------------------------------------------------------------------
@@ -545,14 +545,14 @@ def error_attributes(spark, sf_dir):
     return worst.join(own.select("sale_id", "area", "age"), "sale_id", "left")
 
 
-@query("J12_ranked_models", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL), m AS (SELECT model_name, split, avg(mae) AS mae FROM f GROUP BY 1, 2), r AS (SELECT model_name, CAST(row_number() OVER (ORDER BY mae, model_name) AS INTEGER) AS rank FROM m WHERE split = 'valid') SELECT model_name, split, round(mae, 4) AS mae, rank FROM m LEFT JOIN r USING (model_name)")
+@query("J12_ranked_models", f"WITH {_BASELINES}, f AS (SELECT model_name, split, fold_id, avg(abs(y_pred - y_true)) AS mae FROM pred GROUP BY ALL), m AS (SELECT model_name, split, avg(mae) AS mae FROM f GROUP BY 1, 2), r AS (SELECT model_name, CAST(row_number() OVER (ORDER BY mae, model_name) AS INTEGER) AS rank FROM m WHERE split = 'valid') SELECT model_name, split, round(mae, 6) AS mae, rank FROM m LEFT JOIN r USING (model_name)")
 def ranked_models(spark, sf_dir):
     from pyspark.sql import Window
 
     by_fold = E.regression_metrics(predictions(spark, sf_dir), "model_name", "split", "fold_id")
     means = by_fold.groupBy("model_name", "split").agg(F.avg("mae").alias("mae"))
     ranks = means.filter("split = 'valid'").withColumn("rank", F.row_number().over(Window.orderBy("mae", "model_name"))).select("model_name", "rank")
-    return means.join(ranks, "model_name", "left").withColumn("mae", F.round("mae", 4))
+    return means.join(ranks, "model_name", "left").withColumn("mae", F.round("mae", 6))
 
 
 @query("F10_finite_pairs", "SELECT event_id FROM events WHERE value IS NOT NULL AND event_id % 4 <> 0 AND event_id % 4 <> 1")

@@ -112,19 +112,20 @@ def _sparse(batches):
 
 def _fit(numbers: list, values: list, labels, penalty: float, rounds: int = 250, piece: int = 200):
     """Weights and bias by full-batch gradient steps scaled per feature;
-    ``piece`` documents at a time, so that little stands beside the sample."""
+    ``piece`` documents at a time are put together and let go again, so that
+    little stands beside the sample."""
     n = len(labels)
-    pieces = []
-    for i in range(0, n, piece):
-        rows = np.repeat(np.arange(len(numbers[i : i + piece]), dtype=np.int32), [len(x) for x in numbers[i : i + piece]])
-        pieces.append((slice(i, min(n, i + piece)), rows, np.concatenate(numbers[i : i + piece]), np.concatenate(values[i : i + piece])))
+    sizes = np.array([len(x) for x in numbers])
+    parts = [slice(i, min(n, i + piece)) for i in range(0, n, piece)]
     weights, bias = np.zeros(_WIDTH), 0.0
     share = labels.mean()
     balance = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
     squares, bias_square = np.full(_WIDTH, 1e-12), 1e-12
     for _ in range(rounds):
         gradient, shift = penalty * weights / n, 0.0
-        for part, rows, number, value in pieces:
+        for part in parts:
+            rows = np.repeat(np.arange(part.stop - part.start, dtype=np.int32), sizes[part])
+            number, value = np.concatenate(numbers[part]), np.concatenate(values[part])
             score = np.bincount(rows, weights=value * weights[number], minlength=part.stop - part.start) + bias
             error = balance[part] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / n
             gradient += np.bincount(number, weights=value * error[rows], minlength=_WIDTH)
@@ -163,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> tuple[n
     y = np.asarray(table["label"].combine_chunks()) if table.num_rows else np.empty(0)
     if len(set(y.tolist())) < 2:
         return None
-    numbers = [np.frombuffer(x.as_py(), np.int32) for x in table["numbers"]]
-    values = [np.frombuffer(x.as_py(), np.float32) for x in table["vals"]]
+    # Views of what Arrow holds, not copies: the driver has the sample once.
+    numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in table["numbers"]]
+    values = [np.frombuffer(x.as_buffer(), np.float32) for x in table["vals"]]
     out = np.arange(len(y)) % max(2, round(1 / rules.held_out)) == 0
     if len(set(y[out].tolist())) < 2 or len(set(y[~out].tolist())) < 2:
         out = np.zeros(len(y), dtype=bool)

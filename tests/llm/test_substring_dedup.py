@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tidemark.llm.substring_dedup import deduplicate, repeated_units
+from tidemark.llm.substring_dedup import deduplicate, repeated_passages, repeated_units
 
 
 def plain(rows, unit, least):
@@ -42,3 +42,25 @@ def test_texts_without_repeats(spark, odd, none, documents):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in deduplicate(made).collect()} == {1: rows[0][1], 2: rows[1][1], 3: None}
     assert {r.doc_id: r.text for r in deduplicate(spark.createDataFrame([rows[0], (2, "x ü. ALPHA beta gämma  delta one two three four. Keep b"), rows[2]], "doc_id long, text string")).collect()}[2] == "x ü.  Keep b"
+
+
+def test_lines_of_any_length(spark):
+    """Short lines, lines of short sentences and whole paragraphs are passages
+    too, beside the sentences inside lines, and none is counted twice."""
+    line, long_one = "The and, anea. Eriner thanea.", "one two three four five six seven eight."
+    rows = [(1, f"a\n{line}\n\nb {long_one[4:]}"), (2, f"c\n{line}\nd. {long_one}"), (3, f"{line}\n\n{long_one}\ne"), (4, f"e\n\n{long_one} e"), (5, "x y\nz"), (6, "w\n\nx  Y\nz\n")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.kept_doc_id, r.kept_start, r.n_occurrences) for r in repeated_passages(made).collect())
+    assert got == [
+        (2, line, 1, 2, 3), (3, line, 1, 2, 3), (3, long_one, 2, 35, 3), (4, "e", 3, 72, 2), (4, long_one, 2, 35, 3), (4, f"{long_one} e", 3, 31, 2),
+        (6, "x  Y", 5, 0, 2), (6, "x  Y\nz", 5, 0, 2), (6, "z", 5, 4, 2),
+    ]
+
+
+def test_the_query_removes_lines(spark, tmp_path):
+    from tidemark.llm.queries import op1_substring_dedup
+
+    rows = [(1, "Short line\nothers"), (2, "none\nshort  line"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in op1_substring_dedup(spark, str(tmp_path)).collect()] == [(2, 5, 16, 1, 0, 2)]

@@ -15,7 +15,7 @@ from tidemark.llm.mixing import sampling_plan
 from tidemark.llm.quality import Rules, judge
 from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
-from tidemark.llm.substring_dedup import repeated_units
+from tidemark.llm.substring_dedup import repeated_passages
 from tidemark.llm.suffix_dedup import shared_passages
 from tidemark.llm.suffix_tree_lm import score_texts
 
@@ -23,8 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of eight words or more that stand earlier in the corpus."""
-    return repeated_units(read(spark, sf_dir, "documents"), unit="sentence", least_words=8)
+    """Lines and paragraphs of any length, and sentences of eight words or
+    more, that stand earlier in the corpus."""
+    return repeated_passages(read(spark, sf_dir, "documents"), {"line": 1, "paragraph": 1, "sentence": 8})
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

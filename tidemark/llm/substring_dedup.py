@@ -19,14 +19,17 @@ from tidemark.llm.storage import columns_free, materialise
 
 _U = np.uint64
 UNITS = ("sentence", "line", "paragraph")
+#: Lines and paragraphs of any length, and sentences from eight words on.
+FLOORS = {"line": 1, "paragraph": 1, "sentence": 8}
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _LAST = 2**63 - 1
 
 
-def units(block: T.Block, unit: str, least_words: int):
-    """(document, start, end in code points, digest halves) of units with at
-    least ``least_words`` words."""
+def units(block: T.Block, floors: dict[str, int]):
+    """(document, start, end in code points, digest halves) of the units of
+    each given kind with at least so many words; a span that is a unit of
+    several kinds comes once."""
     words = T.tokens(block, T.WORDS_FOLDED)
     n = len(words.hashes)
     document = words.document
@@ -34,18 +37,26 @@ def units(block: T.Block, unit: str, least_words: int):
         empty = np.empty(0, np.int64)
         return empty, empty, empty, np.empty(0, _U), np.empty(0, _U)
     breaks = np.concatenate([[0], np.cumsum(block.data == 10)])
-    last = np.ones(n, dtype=bool)
     gap = breaks[words.starts[1:]] - breaks[words.ends[:-1]]
-    last[:-1] = (document[1:] != document[:-1]) | (gap >= (2 if unit == "paragraph" else 1))
-    if unit == "sentence":
-        last |= _STOP[block.data[words.ends - 1]]
-    first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    size = np.diff(np.append(first, n))
-    place = (np.arange(n) - np.repeat(first, size)).astype(_U)
-    one = np.add.reduceat(T.mix(words.hashes + place * _U(0x9E3779B97F4A7C15)), first)
-    two = np.add.reduceat(T.mix(words.hashes ^ T.mix(place + _U(0x1234567))), first) + size.astype(_U)
-    keep = size >= least_words
-    first, size, one, two = first[keep], size[keep], one[keep], two[keep]
+    firsts, sizes = [], []
+    for unit, least_words in floors.items():
+        last = np.ones(n, dtype=bool)
+        last[:-1] = (document[1:] != document[:-1]) | (gap >= (2 if unit == "paragraph" else 1))
+        if unit == "sentence":
+            last |= _STOP[block.data[words.ends - 1]]
+        first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+        size = np.diff(np.append(first, n))
+        firsts.append(first[size >= least_words])
+        sizes.append(size[size >= least_words])
+    first, size = np.unique(np.stack([np.concatenate(firsts), np.concatenate(sizes)]), axis=1) if len(floors) > 1 else (firsts[0], sizes[0])
+    if len(first) == 0:
+        return first, first, first, np.empty(0, _U), np.empty(0, _U)
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    hashes = words.hashes[np.repeat(first, size) + place]
+    place = place.astype(_U)
+    one = np.add.reduceat(T.mix(hashes + place * _U(0x9E3779B97F4A7C15)), at[:-1])
+    two = np.add.reduceat(T.mix(hashes ^ T.mix(place + _U(0x1234567))), at[:-1]) + size.astype(_U)
     points = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
     owner = document[first]
     base = points[block.offsets[owner]]
@@ -53,21 +64,29 @@ def units(block: T.Block, unit: str, least_words: int):
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence", least_words: int = 8) -> DataFrame:
+    """``repeated_passages`` of one kind of unit."""
+    return repeated_passages(docs, {unit: least_words})
+
+
+def repeated_passages(docs: DataFrame, floors: dict[str, int] = FLOORS) -> DataFrame:
     """One row per removed occurrence: doc_id, start, end (code points, end
     exclusive), kept_doc_id, kept_start, n_occurrences.
 
-    ``docs`` needs doc_id and text. A null doc_id ranks last. Rows that agree
-    in doc_id and text are one occurrence and get one row. Null, empty and
-    short texts have no units of ``least_words`` words and no rows.
+    ``floors``: the kinds of units, each with the fewest words that a unit of
+    it has. Units of the same words are one passage, of whatever kind they are;
+    spans of different kinds may lie inside each other. ``docs`` needs doc_id
+    and text. A null doc_id ranks last. Rows that agree in doc_id and text are
+    one occurrence and get one row. Null, empty and wordless texts have no
+    units and no rows.
     """
-    if unit not in UNITS:
-        raise ValueError(f"unit must be one of {UNITS}")
+    if not floors or any(unit not in UNITS for unit in floors):
+        raise ValueError(f"units must be among {UNITS}")
 
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for block in T.blocks(batch.column(batch.schema.get_field_index("text"))):
-                owner, start, end, one, two = units(block, unit, least_words)
+                owner, start, end, one, two = units(block, floors)
                 yield pa.RecordBatch.from_arrays([ids.slice(block.first, len(block)).take(pa.array(owner)), pa.array(start), pa.array(end), T.as_long(one), T.as_long(two)], ["doc_id", "start", "end", "d1", "d2"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

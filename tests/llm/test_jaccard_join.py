@@ -58,6 +58,27 @@ def test_keep_one(odd, none):
     assert near_duplicates(none).count() == 0 and keep_one_per_group(none).count() == 0
 
 
+def test_keep_one_counts_rows(spark):
+    """One row of each group, whatever its doc_ids; other texts stay."""
+    say = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    a, b, c, d, e = map(say, "abcde")
+    rows = [
+        (1, a, "x"), (1, a, "y"), (1, a + " tail", "z"), (2, a, "x"), (None, a, "x"),  # the least doc_id repeats
+        (2, b, "x"), (3, b, "x"),  # doc_id 2 is a copy of 1 as well
+        (2, c, "x"), (2, None, "x"), (2, None, "x"),  # like nothing else, beside a copy
+        (None, d, "x"), (None, d, "x"), (None, d + " tail", "x"),  # a group without any doc_id
+        (None, e, "x"), (None, "", "x"), (4, None, "x"),
+    ]
+    made = spark.createDataFrame(rows, "doc_id int, text string, fate string").repartition(3)
+    kept = keep_one_per_group(made)
+    assert kept.schema == made.schema
+    kept = [tuple(r) for r in kept.collect()]
+    of = lambda w: [r for r in kept if r[1] and r[1].startswith(f"{w}0")]
+    assert [len(of(w)) for w in "abcde"] == [1, 1, 1, 1, 1]
+    assert of("a")[0][0] == 1 and of("b") == [(2, b, "x")] and of("c") == [(2, c, "x")] and of("d")[0][0] is None
+    assert sorted(map(str, (r for r in kept if not r[1]))) == sorted(map(str, [(2, None, "x"), (2, None, "x"), (None, "", "x"), (4, None, "x")]))
+
+
 def test_bands_share_one():
     rule = Threshold(4, 85, 100)
     for n in range(1, 700):

@@ -34,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import text as T
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import materialise
+from tidemark.llm.storage import columns_free, materialise
 
 _U = np.uint64
 #: One in so many shingle values, chosen by the value, is counted in the first bound.
@@ -280,16 +281,9 @@ def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFr
     return dealt.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    ``docs`` needs doc_id (long) and text; other columns are not read.
-    component_id is the smallest doc_id that links reach, itself included.
-    A null or wordless text has an empty set and links with nothing. Repeated
-    rows each get a row; a null doc_id is never the smallest, and a component
-    without any other has a null component_id. Texts are compared whole, of
-    any length.
-    """
+def _labelled(docs: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) of each row, and (cls, label, least_id) of each class:
+    classes of one component have one label."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(rows.mapInArrow(_describe(rule.k), "doc_id long, n long, cls long"))
     classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key"), F.first("n").alias("n"))
@@ -320,16 +314,65 @@ def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame
     final = connected_components(first.unionByName(second))
 
     labelled = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return described, labelled
+
+
+def near_duplicates(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    ``docs`` needs doc_id (long) and text; other columns are not read.
+    component_id is the smallest doc_id that links reach, itself included.
+    A null or wordless text has an empty set and links with nothing. Repeated
+    rows each get a row; a null doc_id is never the smallest, and a component
+    without any other has a null component_id. Texts are compared whole, of
+    any length.
+    """
+    described, labelled = _labelled(docs, rule)
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(least, "label").select("cls", "component_id")
     return described.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _named(k: int, column: str):
+    """Rows with the name of their text's set as one more column."""
+
+    def run(batches):
+        for batch, block in _each(batches, "text"):
+            values, document, sizes = shingles(block, k)
+            part = batch.slice(block.first, len(block))
+            yield pa.RecordBatch.from_arrays([*part.columns, T.as_long(_classes(values, document, sizes))], [*part.schema.names, column])
+
+    return run
+
+
 def keep_one_per_group(docs: DataFrame, rule: Threshold = Threshold()) -> DataFrame:
-    """``docs`` less the near copies: of each component the row with the
-    smallest doc_id stays, and of rows that repeat that doc_id, one. Rows with
-    an empty set or a null doc_id stay."""
-    groups = near_duplicates(docs, rule)
-    gone = groups.filter("n_shingles > 0 AND doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left
+    """``docs`` less the near copies: of each component exactly one row stays,
+    one with the smallest doc_id (null last) and then the smallest name of its
+    set and text. Rows with an empty set stay, and so do other texts that share
+    the doc_id of a removed one."""
+    described, labelled = _labelled(docs, rule)
+    # Written, so that each join deals both sides out anew and can split a large class or component.
+    sized = described.groupBy("doc_id", "cls").agg(F.count("*").alias("m"))
+    keyed = materialise(sized.join(materialise(labelled.select("cls", "label")), "cls", "left"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("cls").alias("c"))
+    groups = materialise(keyed.filter("label IS NOT NULL").groupBy("label").agg(F.min(rank).alias("top"), F.sum("m").alias("total")).filter("total > 1"))
+    is_top = "((doc_id IS NULL) = top.none AND coalesce(doc_id, 0) = top.d AND cls = top.c)"
+    fate = f"CASE WHEN top IS NULL OR {is_top} AND m = 1 THEN 'stays' WHEN {is_top} THEN 'one' ELSE 'goes' END"
+    fates = materialise(keyed.join(groups, "label", "left").selectExpr("doc_id AS id", "cls AS c", f"{fate} AS fate"))
+    # Where all rows of a doc_id have one fate, the doc_id decides; elsewhere the class is needed too.
+    by_id = materialise(fates.groupBy("id").agg(F.min("fate").alias("low"), F.max("fate").alias("high")).filter("high <> 'stays' OR low <> 'stays'"))
+    key, sole = columns_free(docs, "key", "sole")
+    keyed_docs = docs.withColumn(key, F.col("doc_id").cast("long"))
+    clear = keyed_docs.join(by_id, keyed_docs[key].eqNullSafe(by_id["id"]), "left_anti").select(docs.columns)
+    mixed = by_id.filter("NOT (low = 'goes' AND high = 'goes')").select("id")
+    some = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed["id"]), "left_semi")
+    class_, whose, what = columns_free(some, "cls", "id", "fate")
+    schema = StructType([*docs.schema.fields, StructField(class_, LongType())])
+    named = some.mapInArrow(_named(rule.k, class_), schema)
+    decided = fates.filter("fate <> 'stays'").select(F.col("id").alias(whose), F.col("c").alias(key), F.col("fate").alias(what))
+    match = named["doc_id"].cast("long").eqNullSafe(decided[whose]) & (named[class_] == decided[key])
+    judged = materialise(named.join(decided, match, "left").filter(F.coalesce(F.col(what), F.lit("stays")) != "goes"))
+    stay = judged.filter(F.col(what).isNull()).select(docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = judged.filter(F.col(what).isNotNull()).groupBy(F.col(whose), F.col(class_)).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias(sole)).select(f"{sole}.*")
+    return clear.unionByName(stay).unionByName(one)

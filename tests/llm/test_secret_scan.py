@@ -38,6 +38,22 @@ def test_lexing():
     assert lexed('password = "Zx81kq77aa"') == []  # a base span has it
 
 
+def test_lexing_of_whole_classes():
+    for name in ("encryption_key", "signing_key", "ssh_key", "auth"):
+        assert lexed(f'{name} = "Zx81kq-77aB3"') == ["Zx81kq-77aB3"] and lexed(f'{name} = "first-section"') == []
+    assert lexed("DB_PWD=Zx81kq77aa\nexport PRIVATE_KEY=Qwe123rty456 # old\ncredentials: Qwe123rty456") == ["Zx81kq77aa", "Qwe123rty456", "Qwe123rty456"]
+    assert lexed("db_pwd = settings.Zx81kq77aa\nprivate_key = load(Qwe123rty456)\npwd: somebody") == []
+    assert lexed("db_pwd = ('Zx81kq-77aa')") == ["Zx81kq-77aa"]
+    assert lexed("db_pwd =\n  'Zx81kq-77aa'") == ["Zx81kq-77aa"] and lexed("db_pwd = \\\n  'Zx81kq-77aa'") == ["Zx81kq-77aa"]
+    assert lexed("db_pwd = (\n  'Zx81'\n  'kq-77aa'\n)\nx = 1") == ["Zx81", "kq-77aa"]
+    assert lexed("db_pwd = 'Zx81'\n  + 'kq-77aa';") == ["Zx81", "kq-77aa"]
+    assert lexed("credentials = ['Qwe123rty456', 'Asd789fgh012']") == ["Qwe123rty456", "Asd789fgh012"]
+    assert lexed('private_key:\n  "pwd": "Zx81kq-77aa"') == ["Zx81kq-77aa"]
+    long_one = "Zx81kq-77aa" * 500
+    assert lexed(f'x = "{long_one}"\nprivate_key = x') == [long_one]
+    assert lexed('x = "Zx81kq-77aa"\n' + "x = x + x\n" * 200 + "private_key = x") == ["Zx81kq-77aa"]
+
+
 def test_redact(spark):
     rows = [(1, 'ü token = "abcdef12345" end', 5), (2, None, 6), (3, "clean", 7)]
     got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}

@@ -4,7 +4,8 @@ Three plain patterns give the base spans. Beside them, lines that assign are
 read as source or configuration: names, operators and string literals are
 lexed into (name, literal) pairs; a literal may be put together from literals
 and names with ``+``; a name stands for the value it was last given in the
-text. A literal is scored by how sensitive the name is and by the literal's
+text. Lines of configuration may give values without quotes; a word without
+digits is a name there. A literal is scored by how sensitive the name is and by the literal's
 own look, and a pair from a score of ``threshold`` on is a ``lexed`` span, at
 the literal itself (for a name: where its literal stands). Base spans stay as
 they are; a lexed span inside one of them is not repeated.
@@ -48,9 +49,9 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def entropy(data: bytes) -> float:
-    n = len(data)
-    return -sum(c / n * math.log2(c / n) for c in Counter(data).values()) if n else 0.0
+def entropy(counts: Counter) -> float:
+    n = counts.total()
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
 
 
 def name_score(name: bytes) -> int:
@@ -60,59 +61,133 @@ def name_score(name: bytes) -> int:
     return max((w for p, w in SENSITIVE.items() if p in pieces), default=0)
 
 
-def literal_score(value: bytes) -> int:
-    if len(value) < 6 or value.lower() in HARMLESS or b" " in value or len(set(value)) < 4:
+class Literal:
+    """A value as the counts of its bytes and a tree of the byte spans of its
+    literals: joining two costs the same however long they are."""
+
+    __slots__ = ("counts", "short", "parts")
+
+    def __init__(self, counts: Counter, short: bytes | None, parts: tuple):
+        self.counts, self.short, self.parts = counts, short, parts
+
+    @classmethod
+    def at(cls, data: bytes, start: int, end: int) -> Literal:
+        value = data[start:end]
+        return cls(Counter(value), value if len(value) <= _SHORT else None, (start, end))
+
+    def __add__(self, other: Literal) -> Literal:
+        short = None if self.short is None or other.short is None else self.short + other.short
+        return Literal(self.counts + other.counts, short if short is None or len(short) <= _SHORT else None, (self, other))
+
+
+_SHORT = max(map(len, HARMLESS))
+
+
+def literal_score(value: Literal) -> int:
+    """0 to 3, and 4 for a strong one: letters and digits in high disorder."""
+    counts = value.counts
+    n = counts.total()
+    if n < 6 or (value.short is not None and value.short.lower() in HARMLESS) or 32 in counts or len(counts) < 4:
         return 0
-    classes = sum(bool(re.search(c, value)) for c in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
-    return 1 + (entropy(value) >= 3.0) + (classes >= 2)
+    kinds = {0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 for c in counts}
+    disorder = entropy(counts)
+    # A short literal cannot reach 3.0 with all its bytes different but a few.
+    high = disorder >= 3.0 or (len(kinds) >= 3 and disorder >= 0.85 * math.log2(n))
+    strong = 2 in kinds and bool({0, 1} & kinds) and disorder >= (3.0 if len(kinds) >= 3 else 3.5)
+    return 1 + high + (len(kinds) >= 2) + strong
+
+
+# Values without quotes in lines of configuration: NAME=value, export NAME=value, - name: value.
+_BARE = re.compile(rb"""^[ \t]*+(?:-[ \t]++)?(?:(?:export|set|env)[ \t]++)?([A-Za-z_$][A-Za-z0-9_$.-]*+)[ \t]*+(?::=|=>|=|:)[ \t]*+([^\s"'`(){}\[\]<>,;#$=:][^\s"'`(){}\[\]<>,;#$]*+)[ \t]*+[,;]?[ \t]*+(?:(?:\#|//)[^\n]*+)?\r?$""", re.M | re.I)
+# What stands for another name and not for a value: words without digits, and attributes.
+_REFERENCE = re.compile(rb"[A-Za-z_]+|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")
+_NAME = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.-]*")
+_SIGNS = (b"=", b":", b":=", b"=>")
 
 
 def assignments(data: bytes):
-    """(name, value, pieces): pieces are the byte spans of the literals that
-    make up the value. Reads the tokens of a text from left to right, once."""
-    known: dict[bytes, tuple[bytes, tuple]] = {}
+    """(name, value) of each literal that is assigned. Reads the tokens of a
+    text from left to right, once. A value may go on in the next line after a
+    sign, a plus or a backslash, before a plus, and inside brackets, where
+    literals next to each other are one and commas part them."""
+    known: dict[bytes, Literal] = {}
+    bare = {m.start(1): m.span(2) for m in _BARE.finditer(data) if not _REFERENCE.fullmatch(m[2])}
     tokens = [(m.lastgroup, m[0], m.start(), m.end()) for line in _assigning(data) for m in _TOKEN.finditer(data, *line)]
     i, n = 0, len(tokens)
     while i < n:
-        kind, text, *_ = tokens[i]
+        kind, text, at, _ = tokens[i]
         name = text if kind == "name" else text[1:-1] if kind in ("double", "single") else None
-        if name is None or i + 1 >= n or tokens[i + 1][1] not in (b"=", b":", b":=", b"=>") or not re.fullmatch(rb"[A-Za-z_$][A-Za-z0-9_$.-]*", name):
+        if name is None or i + 1 >= n or tokens[i + 1][1] not in _SIGNS or not _NAME.fullmatch(name):
             i += 1
             continue
         i += 2
-        value, pieces, wanted = b"", [], True
+        value, wanted, depth, line = None, True, 0, True
         while i < n:
             kind, text, start, end = tokens[i]
-            if wanted and kind in ("double", "single"):
-                value, pieces, wanted = value + text[1:-1], [*pieces, (start + 1, end - 1)], False
-            elif wanted and kind == "name" and text in known:
-                value, pieces, wanted = value + known[text][0], [*pieces, *known[text][1]], False
-            elif not wanted and text == b"+":
+            literal = None
+            if kind in ("double", "single") and (wanted or depth):
+                if not (line and depth == 0) and i + 1 < n and tokens[i + 1][1] in _SIGNS:
+                    break  # the name of another pair
+                literal = Literal.at(data, start + 1, end - 1)
+            elif kind == "name" and wanted and text in known:
+                literal = known[text]
+            if literal is not None:
+                value, wanted = literal if value is None else value + literal, False
+            elif text == b"+" and not wanted:
                 wanted = True
-            else:
+            elif text in (b"(", b"[") and wanted:
+                depth += 1
+            elif text in (b")", b"]") and depth:
+                depth -= 1
+            elif text == b"," and depth and value is not None:
+                yield name, value
+                found, value, wanted = True, None, True
+            elif kind == "end" and (depth or wanted or (i + 1 < n and tokens[i + 1][1] == b"+")):
+                line = False
+            elif not (text == b"\\" and i + 1 < n and tokens[i + 1][0] == "end"):
                 break
+            else:
+                i += 1  # a backslash and the line's end
+                line = False
             i += 1
-        if pieces:
-            if len(value) <= 4096:
-                known[name] = (value, tuple(pieces))
-            yield name, value, tuple(pieces)
+        if value is None and at in bare:
+            value = Literal.at(data, *bare[at])
+        if value is not None:
+            known[name] = value
+            yield name, value
 
 
 def _assigning(data: bytes):
-    """Byte ranges of the lines with an assignment sign."""
-    start = 0
+    """Byte ranges of the lines with an assignment sign, and of the lines that
+    go on from them."""
+    start, open_ = 0, False
     for line in data.split(b"\n"):
-        if b"=" in line or b":" in line:
+        bare = line.strip()
+        if b"=" in line or b":" in line or (open_ and (not bare or last in b"=:+([\\," or bare[:1] in b"+'\")]")):
             yield start, min(len(data), start + len(line) + 1)
+            open_, last = True, bare[-1:] or (last if open_ else b"=")
+        else:
+            open_ = False
         start += len(line) + 1
 
 
 def lexed_spans(data: bytes, threshold: int) -> set[tuple[int, int]]:
-    out = set()
-    for name, value, pieces in assignments(data):
+    out, seen = set(), set()
+    held = []  # keeps the trees, so that an id stays one tree's
+    for name, value in assignments(data):
         sensitive = name_score(name)
         if sensitive and (own := literal_score(value)) and sensitive + own >= threshold:
-            out.update(p for p in pieces if p[1] > p[0])
+            held.append(value)
+            todo = [value]
+            while todo:
+                one = todo.pop()
+                if id(one) in seen:
+                    continue
+                seen.add(id(one))
+                if isinstance(one.parts[0], Literal):
+                    todo.extend(one.parts)
+                elif one.parts[1] > one.parts[0]:
+                    out.add(one.parts)
     return out
 
 
@@ -120,7 +195,7 @@ def spans(data: bytes, threshold: int = 5) -> list[tuple[int, int, int]]:
     """Base and lexed spans in code points, by start and then kind."""
     base = base_spans(data)
     extra = []
-    if (b"=" in data or b":" in data) and (b'"' in data or b"'" in data):
+    if b"=" in data or b":" in data:
         extra = [(s, e, 3) for s, e in lexed_spans(data, threshold) if not any(b <= s and e <= f for b, f, _ in base)]
     found = sorted([*base, *extra], key=lambda x: (x[0], x[2], x[1]))
     if not found or data.isascii():
@@ -140,7 +215,7 @@ def scan(docs: DataFrame, threshold: int = 5) -> DataFrame:
     end) by start and then kind in the order of ``KINDS``, in code points, ends
     exclusive. A null text counts as empty. Overlapping spans of different
     kinds are all given. ``threshold``: sensitivity of the name (1 to 3) and
-    look of the literal (1 to 3) must add up to it.
+    look of the literal (1 to 4) must add up to it.
     """
 
     def run(batches):

@@ -52,3 +52,27 @@ def test_rules(spark, odd, documents, none, same):
         same([(r.doc_id, r.sentence_ids, r.licenses, r.n_unknown) for r in scan(docs).collect()], [(r.doc_id, *plain(r.text)) for r in docs.collect()])
     assert scan(none).count() == 0
     assert sum(bool(r.licenses) for r in scan(documents).collect()) > 0
+
+
+GPL = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{1} either version {2} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0
+# (the "License"); you may not use this file except in compliance with the License.
+"""
+
+
+def test_notices_as_they_are_published(spark):
+    texts = ["# Licensed under the MIT License\nimport os\n", "// Licensed under the Apache License, Version 2.0\r\nCopyright 2020 X", GPL.format(":", ",", 3), GPL.format(";", ";", 2), APACHE, "x released under the MIT License\nimport os"]
+    got = {r.doc_id: (r.licenses, r.n_unknown) for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (["MIT"], 0), 1: (["Apache-2.0"], 0), 2: (["GPL-3.0-or-later"], 0), 3: (["GPL-2.0-or-later"], 0), 4: (["Apache-2.0"], 1), 5: ([], 0)}

@@ -37,7 +37,16 @@ SENTENCES = {
     "this work is licensed under the gnu general public license version 2": "GplNotice2",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GplGrant3Plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GplGrant2Plus",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplNoWarranty",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplNoWarrantyWhole",
+    # The same as the colons and semicolons of the published notices cut them.
+    "this program is free software": "GplFree",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GplTerms3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GplTerms2Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
+    "either version 3 of the license or at your option any later version": "GplLater3",
+    "either version 2 of the license or at your option any later version": "GplLater2",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GplNoWarranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GplNoImplied",
     "see the gnu general public license for more details": "GplSee",
     "you should have received a copy of the gnu general public license*": "GplReceived",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met*": "BsdGrant",
@@ -58,10 +67,18 @@ RULES = (
     ("Apache-2.0", ("ApacheHeader2", "ApacheComply", "ApacheCopy", "ApacheAsIs")),
     ("Apache-2.0", ("ApacheHeader2",)),
     ("Apache-2.0", ("ApacheNotice2",)),
-    ("GPL-3.0-or-later", ("GplGrant3Plus", "GplNoWarranty", "GplSee", "GplReceived")),
+    ("GPL-3.0-or-later", ("GplGrant3Plus", "GplNoWarrantyWhole", "GplSee", "GplReceived")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms3Plus", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "GplLater3", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
     ("GPL-3.0-or-later", ("GplGrant3Plus",)),
-    ("GPL-2.0-or-later", ("GplGrant2Plus", "GplNoWarranty", "GplSee", "GplReceived")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms3Plus")),
+    ("GPL-3.0-or-later", ("GplFree", "GplTerms", "GplLater3")),
+    ("GPL-2.0-or-later", ("GplGrant2Plus", "GplNoWarrantyWhole", "GplSee", "GplReceived")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms2Plus", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "GplLater2", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
     ("GPL-2.0-or-later", ("GplGrant2Plus",)),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms2Plus")),
+    ("GPL-2.0-or-later", ("GplFree", "GplTerms", "GplLater2")),
     ("GPL-3.0-only", ("GplNotice3",)),
     ("GPL-2.0-only", ("GplNotice2",)),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse", "BsdAsIs")),
@@ -85,17 +102,33 @@ def _identifier(sentence, sentences: dict[str, str]):
     return found
 
 
+def _whole_at_line_end(sentences: dict[str, str]) -> str:
+    """A pattern of the known whole sentences that stand before a line break,
+    where no longer known sentence goes on behind it."""
+    gap = r"[^\p{L}\p{N}.+]+"
+    words = lambda s: gap.join(re.escape(w) for w in s.split())
+    exact = sorted((s for s in sentences if not s.endswith("*")), key=len, reverse=True)
+    each = []
+    for s in exact:
+        on = [words(t.rstrip("*")[len(s) + 1 :]) for t in sentences if t.startswith(s + " ")]
+        each.append(words(s) + (f"(?!{gap}(?:{'|'.join(on)}))" if on else ""))
+    return rf"(?<![\p{{L}}\p{{N}}])((?:{'|'.join(each)})[^\p{{L}}\p{{N}}.+\n]*)\n"
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id, sentence_ids (identifiers in order),
     licenses (in order of the rules, each once) and n_unknown.
 
     ``docs`` needs doc_id and text. A null or empty text has no sentences. A
     licence that occurs several times is named once. A sentence may run over
-    line breaks; an empty line ends it.
+    line breaks; an empty line ends it, and so does the line break behind a known
+    sentence.
     """
     opening = "|".join(sorted({" ".join(s.rstrip("*").split()[:2]) for s in sentences}))
     ends = rf"[.!?:;](?=\s|\z)|\n[ \t\r]*\n|\n(?=[ \t#*/-]*(?:{opening}))"
     lowered = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
+    # An empty line behind each known sentence that ends with its line.
+    lowered = F.regexp_replace(lowered, _whole_at_line_end(sentences), "$1\n\n")
     # Only sentences that have the longest word of a licence sentence need be normalised.
     hints = sorted({max(re.findall("[a-z]+", s), key=len) for s in sentences})
     likely = F.filter(F.split(lowered, ends), lambda s: reduce(or_, [s.contains(h) for h in hints]))

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+import xxhash
 
 from tidemark.llm.substring_dedup import deduplicate, repeated_passages, repeated_units
 
@@ -17,13 +18,19 @@ def plain(rows, unit, least):
             if gap >= (2 if unit == "paragraph" else 1) or (unit == "sentence" and text[e - 1] in ".!?"):
                 if len(pieces) >= least:
                     name = " ".join("".join(c.lower() if c.isascii() else c for c in text[a:b]) for a, b in pieces)
-                    found.append((d is None, d, pieces[0][0], pieces[-1][1], name))
+                    found.append((d is None, d, pieces[0][0], pieces[-1][1], name, text_hash(text)))
                 pieces = []
-    for none, d, s, e, name in sorted(found, key=lambda x: (x[0], x[1] or 0, x[2])):
-        if name in seen and seen[name][:2] != (d, s):
-            out.add((d, s, e, *seen[name][:2]))
-        seen.setdefault(name, (d, s))
-    return list(out)
+    for none, d, s, e, name, th in sorted(found, key=lambda x: (x[0], x[1] or 0, x[2], x[5])):
+        if name in seen and seen[name] != (d, s, th):
+            out.add((d, th, s, e, *seen[name][:2]))
+        seen.setdefault(name, (d, s, th))
+    return [(d, s, e, *kept) for d, _, s, e, *kept in out]
+
+
+def text_hash(text):
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
 
 
 @pytest.mark.parametrize("unit,least", [("sentence", 8), ("line", 3), ("paragraph", 1)])
@@ -64,3 +71,19 @@ def test_the_query_removes_lines(spark, tmp_path):
     rows = [(1, "Short line\nothers"), (2, "none\nshort  line"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in op1_substring_dedup(spark, str(tmp_path)).collect()] == [(2, 5, 16, 1, 0, 2)]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    """Cuts hold for one text of a doc_id, null doc_ids too; of repeated rows one stays."""
+    unit = "one two three four five six seven nine."
+    rows = [
+        (1, f"{unit} First."), (2, f"{unit} Tail of the second text."), (2, "Completely other text that nobody else in the table has, kept in full."),
+        (2, f"{unit} Tail of the second text."), (None, f"x. {unit} y"), (None, "other, without an id"), (5, "short"), (5, "short"), (6, None), (6, None), (7, "  "), (7, "  "),
+    ]
+    made = spark.createDataFrame([(d, t, i, "th") for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int, _th string")
+    out = deduplicate(made)
+    assert out.columns == made.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None) for r in out.collect())
+    want = [(1, rows[0][1]), (2, " Tail of the second text."), (2, rows[2][1]), (2, ""), (None, "x.  y"), (None, rows[5][1]), (5, "short"), (5, ""), (6, None), (6, None), (7, "  "), (7, "  ")]
+    assert got == sorted((d is None, d or 0, t or "", t is None) for d, t in want)
+    assert sorted(r.row for r in out.collect()) == list(range(len(rows)))

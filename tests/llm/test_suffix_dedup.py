@@ -53,3 +53,12 @@ def test_one_copy_stays(spark):
     out = {r.doc_id: r.text for r in deduplicate(docs).collect()}
     assert out[0] == rows[0][1] and sum(t.count("p0 p1 p2") for t in out.values()) == 1
     assert out[9].split() == ["mid"]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, f"a {passage} b"), (2, f"c {passage} d"), (2, "another text " + " ".join(f"q{i}" for i in range(90))), (None, f"e {passage} f"), (3, passage), (3, passage), (4, "few words"), (4, "few words")]
+    out = deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect())
+    want = [rows[0], (2, "c  d"), rows[2], (None, "e  f"), (3, ""), (3, ""), rows[6], rows[7]]
+    assert got == sorted((d is None, d or 0, t) for d, t in want)

@@ -195,6 +195,11 @@ def shared_passages(docs: DataFrame, least_words: int = 50, k: int = 20) -> Data
     once. Texts of fewer than ``least_words`` words, and null texts, have no
     matches. A passage may repeat within one text.
     """
+    return _shared(docs, least_words, k).drop("th")
+
+
+def _shared(docs: DataFrame, least_words: int, k: int) -> DataFrame:
+    """``shared_passages`` with th, the hash of the text, for ``remove_spans``."""
     if not 0 < k <= least_words:
         raise ValueError("need 0 < k <= least_words")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -216,9 +221,9 @@ def shared_passages(docs: DataFrame, least_words: int = 50, k: int = 20) -> Data
     wide = Window.partitionBy("doc_b", "th_b").orderBy("start_b", F.desc("end_b"), "doc_a", "start_a").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("_far", F.max("end_b").over(wide)).filter("_far IS NULL OR end_b > _far")
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return found.select(null("doc_b").alias("doc_id"), F.col("start_b").alias("start"), F.col("end_b").alias("end"), null("doc_a").alias("other_doc_id"), F.col("start_a").alias("other_start"), F.col("end_a").alias("other_end"), "n_words")
+    return found.select(null("doc_b").alias("doc_id"), F.col("th_b").alias("th"), F.col("start_b").alias("start"), F.col("end_b").alias("end"), null("doc_a").alias("other_doc_id"), F.col("start_a").alias("other_start"), F.col("end_a").alias("other_end"), "n_words")
 
 
 def deduplicate(docs: DataFrame, least_words: int = 50, k: int = 20) -> DataFrame:
     """``docs`` with every copy but the first of a shared passage cut out."""
-    return remove_spans(docs, shared_passages(docs, least_words, k).select("doc_id", "start", "end"))
+    return remove_spans(docs, _shared(docs, least_words, k).select("doc_id", "th", "start", "end"), least_words)

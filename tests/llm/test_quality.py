@@ -1,8 +1,10 @@
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.quality import Rules, judge, keep_good
+from tidemark.llm.quality import Rules, _calibrate, _fit, _sample, judge, keep_good
 
 
 def counts(text):
@@ -36,8 +38,6 @@ def test_counts_and_accuracy(spark, documents, odd, labels, same):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rules = Rules(sample=200)
-    from pyspark.sql import functions as F
-
     seen = {r.doc_id for r in marks.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(200).collect()}
     good = {r.doc_id: r.quality for r in marks.collect() if r.doc_id not in seen}
     rows = [r for r in judge(docs, marks, rules).collect() if r.doc_id in good and not r.base_failed]
@@ -55,3 +55,37 @@ def test_filter_and_missing_labels(odd, none, labels, same):
     assert kept.columns == odd.columns
     same([(r.doc_id,) for r in kept.collect()], [(r.doc_id,) for r in got if r.kept])
     assert judge(none, labels).count() == 0 and keep_good(none, labels).count() == 0
+
+
+def test_the_fit_is_the_least_of_its_loss(documents, labels):
+    """At the weights that Spark found the slope of the balanced, penalised
+    loss, put down here in plain numpy, is flat."""
+    rules = Rules(penalty=0.05, rounds=500)
+    sample = _sample(documents, labels, rules)
+    weights, bias = _fit(sample, rules)
+    rows = sample.collect()
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([r.label for r in rows])
+    assert len(rows) > 20 and 0 < y.sum() < len(y)
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    balance /= balance.sum()
+    mean = balance @ x
+    # Weighted deviations, unbiased as frequency weights are in Spark's summaries.
+    raw = np.where(y > 0, 0.5 / (y.mean()), 0.5 / (1 - y.mean()))
+    deviation = np.sqrt(np.maximum((raw @ (x - mean) ** 2) / (raw.sum() - (raw @ raw) / raw.sum()), 0))
+    error = balance * (1 / (1 + np.exp(-(x @ weights + bias))) - y)
+    used = deviation > 0
+    slope = (error @ x)[used] / deviation[used] + rules.penalty * (weights * deviation)[used]
+    start = np.abs((balance * (0.5 - y)) @ x)[used] / deviation[used]
+    assert np.abs(slope).max() < 0.01 * start.max() and abs(error.sum()) < 1e-3
+
+
+def test_calibration_by_search():
+    r = np.random.default_rng(3)
+    score = r.normal(0, 4, 300)
+    y = (r.random(300) < 1 / (1 + np.exp(-(0.7 * score - 0.4)))).astype(float)
+    slope, shift = _calibrate(score, y)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    loss = lambda a, b: -(target * np.log(1 / (1 + np.exp(-(a * score + b)))) + (1 - target) * np.log(1 - 1 / (1 + np.exp(-(a * score + b))))).sum()
+    least = loss(slope, shift)
+    assert all(least <= loss(slope + da, shift + db) + 1e-9 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))

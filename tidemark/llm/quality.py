@@ -17,8 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tidemark.llm import text as T
 
@@ -26,6 +29,7 @@ _U = np.uint64
 BITS = 16
 FAMILIES = 4  # words, word pairs, character 3-grams, character 5-grams
 _WIDTH = FAMILIES << BITS
+PIECES = 4
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE_SET = np.zeros(256, dtype=bool)
@@ -42,7 +46,8 @@ class Rules:
     threshold: float = 0.25
     sample: int = 4000
     held_out: float = 0.25
-    penalty: float = 1e-4
+    penalty: float = 0.01
+    rounds: int = 60
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,10 +94,14 @@ def features(block: T.Block):
         yield (values >> _U(64 - BITS)).astype(np.int64) + (family << BITS), document[first]
 
 
-def _sparse(batches):
-    """Labels and distinct features with their values, as packed arrays."""
+_VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+_EXAMPLE = StructType([StructField("label", DoubleType()), StructField("held", BooleanType()), StructField("features", VectorUDT())])
+
+
+def _examples(batches):
+    """The sparse feature vector of each labelled text."""
     for batch in batches:
-        labels = batch.column(batch.schema.get_field_index("label"))
+        kept = {c: batch.column(batch.schema.get_field_index(c)) for c in ("label", "held")}
         for block in T.blocks(batch.column(batch.schema.get_field_index("text"))):
             numbers, documents, values = [], [], []
             for feature, document in features(block):
@@ -103,38 +112,23 @@ def _sparse(batches):
                 documents.append(d)
                 values.append(count / size[d])
             numbers, documents, values = (np.concatenate(x) for x in (numbers, documents, values))
-            order = np.argsort(documents, kind="stable")
-            at = np.searchsorted(documents[order], np.arange(len(block) + 1))
-            numbers, values = numbers[order].astype(np.int32), values[order].astype(np.float32)
-            pack = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(len(block))], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([labels.slice(block.first, len(block)), pack(numbers), pack(values)], ["label", "numbers", "vals"])
-
-
-def _fit(numbers: list, values: list, labels, penalty: float, rounds: int = 250, piece: int = 200):
-    """Weights and bias by full-batch gradient steps scaled per feature;
-    ``piece`` documents at a time are put together and let go again, so that
-    little stands beside the sample."""
-    n = len(labels)
-    sizes = np.array([len(x) for x in numbers])
-    parts = [slice(i, min(n, i + piece)) for i in range(0, n, piece)]
-    weights, bias = np.zeros(_WIDTH), 0.0
-    share = labels.mean()
-    balance = np.where(labels > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    squares, bias_square = np.full(_WIDTH, 1e-12), 1e-12
-    for _ in range(rounds):
-        gradient, shift = penalty * weights / n, 0.0
-        for part in parts:
-            rows = np.repeat(np.arange(part.stop - part.start, dtype=np.int32), sizes[part])
-            number, value = np.concatenate(numbers[part]), np.concatenate(values[part])
-            score = np.bincount(rows, weights=value * weights[number], minlength=part.stop - part.start) + bias
-            error = balance[part] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[part]) / n
-            gradient += np.bincount(number, weights=value * error[rows], minlength=_WIDTH)
-            shift += error.sum()
-        squares += gradient**2
-        bias_square += shift**2
-        weights -= 2.0 * gradient / np.sqrt(squares)
-        bias -= 0.5 * shift / np.sqrt(bias_square)
-    return weights, bias
+            order = np.lexsort((numbers, documents))
+            at = pa.array(np.searchsorted(documents[order], np.arange(len(block) + 1)).astype(np.int32))
+            vectors = pa.StructArray.from_arrays([
+                pa.array(np.zeros(len(block), np.int8)), pa.array(np.full(len(block), _WIDTH, np.int32)),
+                pa.ListArray.from_arrays(at, pa.array(numbers[order].astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values[order])),
+            ], fields=list(_VECTOR))
+            yield pa.RecordBatch.from_arrays([*(c.slice(block.first, len(block)) for c in kept.values()), vectors], ["label", "held", "features"])
+
+
+def _fit(examples: DataFrame, rules: Rules) -> tuple[np.ndarray, float]:
+    """Weights and bias of the regression on (label, features). Spark sums the
+    gradients of the partitions; the driver holds the weights and no texts."""
+    sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
+    n = sum(sizes.values())
+    balanced = examples.withColumn("balance", F.when(F.col("label") > 0, F.lit(0.5 * n / sizes[1.0])).otherwise(F.lit(0.5 * n / sizes[0.0])))
+    model = LogisticRegression(weightCol="balance", regParam=rules.penalty, maxIter=rules.rounds).fit(balanced.select("label", "balance", "features"))
+    return model.coefficients.toArray(), float(model.intercept)
 
 
 def _calibrate(score: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -152,29 +146,42 @@ def _calibrate(score: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(theta[0] / scale), float(theta[1])
 
 
+def _sample(docs: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
+    """(label, held, features) of at most ``sample`` labelled texts; ``held``
+    marks the part for calibration."""
+    named = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(2, round(1 / rules.held_out)))) == 0
+    # The sample is bounded, and so are its pieces: each sends one gradient a round.
+    return texts.select("label", held.alias("held"), "text").coalesce(PIECES).mapInArrow(_examples, _EXAMPLE)
+
+
 def train(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> tuple[np.ndarray, float] | None:
     """(weights, bias) whose logistic curve is the calibrated probability, or
     None if the labels do not name both a good and a bad text."""
-    named = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
-    order = F.xxhash64("doc_id")
-    chosen = named.orderBy(order, "doc_id").limit(rules.sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
-    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(order, "doc_id")
-    table = texts.select("label", "text").mapInArrow(_sparse, "label double, numbers binary, vals binary").toArrow()
-    y = np.asarray(table["label"].combine_chunks()) if table.num_rows else np.empty(0)
-    if len(set(y.tolist())) < 2:
-        return None
-    # Views of what Arrow holds, not copies: the driver has the sample once.
-    numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in table["numbers"]]
-    values = [np.frombuffer(x.as_buffer(), np.float32) for x in table["vals"]]
-    out = np.arange(len(y)) % max(2, round(1 / rules.held_out)) == 0
-    if len(set(y[out].tolist())) < 2 or len(set(y[~out].tolist())) < 2:
-        out = np.zeros(len(y), dtype=bool)
-    learn = np.flatnonzero(~out)
-    weights, bias = _fit([numbers[i] for i in learn], [values[i] for i in learn], y[learn], rules.penalty)
-    held = np.flatnonzero(out) if out.any() else learn
-    score = np.array([float(values[i] @ weights[numbers[i]]) + bias for i in held])
-    slope, shift = _calibrate(score, y[held])
+    sample = _sample(docs, labels, rules).persist()
+    try:
+        sizes = {(r["label"], r["held"]): r["count"] for r in sample.groupBy("label", "held").count().collect()}
+        if len({label for label, _ in sizes}) < 2:
+            return None
+        apart = len(sizes) == 4  # both kinds on both sides
+        weights, bias = _fit(sample.filter("NOT held") if apart else sample, rules)
+        sent = sample.sparkSession.sparkContext.broadcast(weights)
+
+        def scores(batches):
+            for batch in batches:
+                vectors = batch.column(batch.schema.get_field_index("features"))
+                at, flat = vectors.field("indices").offsets.to_numpy(), vectors.field("values").flatten().to_numpy()
+                numbers = vectors.field("indices").flatten().to_numpy()
+                total = np.concatenate([[0.0], np.cumsum(flat * sent.value[numbers])])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(total[at[1:] - at[0]] - total[at[:-1] - at[0]])], ["label", "score"])
+
+        held = (sample.filter("held") if apart else sample).select("label", "features").mapInArrow(scores, "label double, score double").toArrow()  # two numbers for each of ``sample`` rows
+    finally:
+        sample.unpersist()
+    slope, shift = _calibrate(np.asarray(held["score"]) + bias, np.asarray(held["label"]))
     return weights * slope, bias * slope + shift
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import housing  # noqa: F401  registers its queries
+from tidemark.plans import housing, layers  # noqa: F401  register their queries
 from tidemark.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

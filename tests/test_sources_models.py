@@ -44,6 +44,8 @@ def test_embedding_cache(spark, tmp_path):
     assert spark.read.parquet(calls).count() == 2
     more = V.embed_cached(df.union(spark.createDataFrame([(4, "four")], "id int, t string")), "t", lambda: V.HashingBackend(8), calls)
     assert more.count() == 4 and spark.read.parquet(calls).count() == 3
+    other = V.embed_cached(df, "t", lambda: V.HashingBackend(16), calls, "another model")
+    assert {len(r.embedding) for r in other.collect()} == {16} and spark.read.parquet(calls).count() == 5
 
 
 def test_preprocessing(spark):
@@ -86,3 +88,54 @@ def test_latest_by_key_stream(spark, tmp_path):
     q = latest_by_key(stream, "k", "o").writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("latest").collect()} == {("a", 2, "new"), ("b", 1, "only")}
+
+
+def test_quoted_line_breaks_and_unknown_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('x,y\n1,"two\nlines, ""q"""\n2,z\n'.encode())
+    (tmp_path / "b.csv").write_bytes(b"y,z\n5,6\n")
+    got = S.read_text_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted(tuple(r)[:3] for r in got.select("x", "y", "z").fillna("-").collect()) == [("-", "5", "6"), ("1", 'two\nlines, "q"', "-"), ("2", "z", "-")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+    (tmp_path / "c.csv").write_bytes(b"x\n\xff\xff\n")
+    with pytest.raises(Exception, match="is in none of"):
+        S.read_text_csv(spark, [str(tmp_path / "c.csv")]).collect()
+
+
+def test_ridge_of_all_folds_against_numpy(spark):
+    r = np.random.default_rng(4)
+    rows = [(f, s, float(a) if r.random() > 0.1 else None, float(b), float(3 * a - b + r.normal())) for f in (1, 2) for s, n in (("train", 40), ("valid", 10), ("test", 10)) for a, b in r.normal(size=(n, 2))]
+    made = spark.createDataFrame(rows, "fold_id int, split string, a double, b double, y double")
+    got = M.ridge_by_fold(made, ["a", "b"], "y", [0.5, 20.0]).collect()
+    assert len(got) == 80
+    for fold in (1, 2):
+        own = [x for x in rows if x[0] == fold]
+        train = [x for x in own if x[1] == "train"]
+        m = np.median([x[2] for x in train if x[2] is not None])
+        fill = lambda xs: np.array([[m if x[2] is None else x[2], x[3]] for x in xs])
+        mean, std, y = fill(train).mean(0), fill(train).std(0), np.array([x[4] for x in train])
+        z = (fill(train) - mean) / std
+        for alpha in (0.5, 20.0):
+            w = np.linalg.solve(z.T @ z + alpha * np.eye(2), z.T @ (y - y.mean()))
+            rest = [x for x in own if x[1] != "train"]
+            want = sorted(y.mean() + ((fill(rest) - mean) / std) @ w)
+            assert sorted(g.prediction for g in got if g.fold_id == fold and g.alpha == alpha) == pytest.approx(want)
+
+
+def test_sinks_gates_and_scores(spark, tmp_path):
+    from tidemark.operators import evaluation as E
+    from tidemark.operators import folds as L
+
+    df = spark.createDataFrame([(1, "a")], "id int, x string")
+    status = S.write_both(df, str(tmp_path / "t"), compression="none-such").collect()
+    assert [(r.format, r.status, bool(r.error)) for r in status] == [("parquet", "failed", True), ("csv", "ok", False)]
+    with pytest.raises(FileNotFoundError):
+        S.load_json(spark, str(tmp_path / "no"))
+    with pytest.raises(ValueError, match="no row for id 2"):
+        L.attach(spark.createDataFrame([(1,), (2,)], "id int"), df, "id")
+    rows = spark.createDataFrame([("m", "test", 0.0, 1.0), ("m", "test", 0.0, 0.0), ("m", "test", 2.0, 1.0)], "model_name string, split string, y_true double, y_pred double")
+    with pytest.raises(ValueError, match="no predictions"):
+        E.select_predictions(rows, "m", "valid")
+    got = [r.ape for r in E.prediction_table(E.select_predictions(rows, "m", "test")).collect()]
+    assert got[0] == math.inf and math.isnan(got[1]) and got[2] == 50.0
+    pairs = spark.createDataFrame([("a b", "B c"), (None, "x")], "p string, q string")
+    assert [r.score for r in V.score_pairs(pairs, "p", "q", V.OverlapReranker).collect()] == [pytest.approx(1 / 3), 0.0]

@@ -66,9 +66,9 @@ def test_ties_and_missing_keys(spark):
 
 
 def test_vectors_and_reranking(spark):
-    rows = [(i, day(i), "g", [1.0, i / 10.0], float(i) if i != 2 else None) for i in range(6)]
-    made = spark.createDataFrame(rows, "id int, d date, g string, e array<float>, price double")
-    pairs = R.vector_pairs(made, ["g"], "id", "d", "e", 365, 3, ["price"])
+    rows = [(i, day(i), "g", [1.0, i / 10.0], float(i) if i != 2 else None, 10.0 + i, None) for i in range(6)]
+    made = spark.createDataFrame(rows, "id int, d date, g string, e array<float>, price double, area double, age double")
+    pairs = R.vector_pairs(made, ["g"], "id", "d", "e", 365, 3, ["price", "area", "age"])
     assert [r.c_id for r in pairs.filter("id = 5").orderBy("rank").collect()] == [4, 3, 2]
     best = R.rerank(pairs, "id", F.when(F.col("c_id") == 3, 0.9).otherwise(0.5), 2)
     assert [r.c_id for r in best.filter("id = 5").orderBy("score_rank").collect()] == [3, 4]
@@ -89,3 +89,10 @@ def test_top_k_needs_no_second_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+
+
+def test_rows_without_a_date(spark):
+    rows = [(1, day(1), "a", 1.0), (2, day(3), "a", 2.0), (3, None, "a", 3.0), (4, None, None, None)]
+    made = spark.createDataFrame(rows, "id int, d date, g string, v double")
+    got = {r.id: tuple(r)[1:] for r in R.trailing_stats(made, ["g"], "id", "d", "v", [30], "p").collect()}
+    assert got == {1: (None, 0), 2: (1.0, 1), 3: (None, 0), 4: (None, 0)}

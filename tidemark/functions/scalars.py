@@ -142,3 +142,29 @@ def labelled_text(fields: dict[str, Column], missing: str = "缺失") -> Column:
 
 def two_places(x: Column) -> Column:
     return F.format_string("%.2f", x)
+
+
+def present(x: Column) -> Column:
+    """有 or 無 of a number; null stays."""
+    return F.when(x > 0, "有").when(x.isNotNull(), "無")
+
+
+def sale_text(address: bool = False, note: bool = False, missing: str = "缺失") -> Column:
+    """A sale as sixteen labelled lines, and with address and note if asked.
+    Fixed values: the labels, units and places of the lines."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(missing))
+    number = lambda name, places: F.when(F.col(name).isNotNull(), F.format_string(f"%.{places}f", F.col(name).cast("double"))).otherwise(missing)
+    two, whole = (lambda name: number(name, 2)), (lambda name: number(name, 0))
+    there = lambda name: F.coalesce(present(F.col(name)), F.lit(missing))
+    s = F.lit
+    lines = [
+        ("行政區", text("district")), ("建物型態", text("building_type")), ("主要建材", text("material")), ("屋齡", F.concat(two("building_age"), s(" 年"))),
+        ("建物坪數", F.concat(two("building_area_ping"), s(" 坪"))), ("主建物坪數", F.concat(two("main_building_area_ping"), s(" 坪"))),
+        ("樓層", F.concat(whole("floor"), s(" / "), whole("total_floor"))), ("樓層比例", two("floor_ratio")),
+        ("格局", F.concat(whole("rooms"), s(" 房 "), whole("living_rooms"), s(" 廳 "), whole("bathrooms"), s(" 衛"))),
+        ("車位", there("has_parking")), ("車位面積", two("parking_area_m2")), ("管理組織", there("has_management")), ("電梯", there("has_elevator")),
+        ("房屋狀態備註標記", whole("physical_condition_flag")), ("裝潢標記", whole("renovation_flag")), ("廣泛備註標記", whole("broad_note_flag")),
+    ]
+    lines += [("地址", text("address_raw"))] if address else []
+    lines += [("備註", text("note_raw"))] if note else []
+    return F.concat_ws("\n", *[F.concat(s(f"{label}："), value) for label, value in lines])

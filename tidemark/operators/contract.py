@@ -5,9 +5,18 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.sources.files import load_json, save_json
+
 # Columns that give the target away, or name a row.
 FORBIDDEN = ("total_price", "total_price_wan", "unit_price_m2", "unit_price_ping", "parking_price", "id", "transfer_id", "address_raw", "note_raw", "trade_date")
 
+# Quality flags that go where they are zero throughout, and flags that inform.
+REMOVABLE_FLAGS = ("abnormal_transaction_flag", "special_note_flag", "presale_note_flag", "separate_registration_flag", "layout_outlier_flag", "area_outlier_flag")
+INFORMATIVE_FLAGS = ("physical_condition_flag", "renovation_flag", "broad_note_flag", "building_age_missing", "main_use_missing", "has_parking", "has_management", "has_elevator", "is_basement", "multi_floor")
+
 
 @dataclass(frozen=True)
 class Contract:
@@ -48,3 +57,25 @@ class Contract:
     @classmethod
     def from_json(cls, text: str) -> Contract:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+
+    def derive(self, df: DataFrame, zero_variance: list[str], removable: list[str] = REMOVABLE_FLAGS, informative: list[str] = INFORMATIVE_FLAGS) -> Contract:
+        """The first contract for a table: without features that do not vary,
+        quality flags that are zero throughout, leakage and dropped columns;
+        informative flags that the table has are kept or added."""
+        there = [c for c in removable if c in df.columns]
+        sums = df.agg(*[F.max(F.abs(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))).alias(c) for c in there]).first() if there else {}
+        forbidden = {*zero_variance, *self.leakage_cols, *self.drop_cols, *FORBIDDEN, self.target_col, *(c for c in there if not sums[c])}
+        good = lambda names: tuple(c for c in names if c in df.columns and c not in forbidden)
+        numeric = good(self.numeric_features)
+        numeric += tuple(c for c in good(informative) if c not in numeric)
+        return replace(self, numeric_features=numeric, categorical_features=good(self.categorical_features)).check()
+
+
+def write_contract(spark: SparkSession, contract: Contract, *paths: str) -> None:
+    save_json(spark, asdict(contract), *paths)
+
+
+def load_contract(spark: SparkSession, *paths: str) -> tuple[Contract, str]:
+    """The contract at the first of the paths that is there, and that path."""
+    value, path = load_json(spark, *paths)
+    return Contract.from_json(json.dumps(value)), path

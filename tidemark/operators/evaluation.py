@@ -93,12 +93,18 @@ def shares(df: DataFrame, group: str, value: str) -> DataFrame:
     return totals.withColumns({"share": F.col("total") / F.sum("total").over(every), "rank": F.rank().over(every.orderBy(F.col("total").desc()))})
 
 
-def top_errors(predictions: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The n worst predictions below and above the truth."""
+def top_errors(predictions: DataFrame, n: int, id_col: str, *groups: str) -> DataFrame:
+    """The n worst predictions below and above the truth, of each group."""
     rows = with_errors(predictions)
-    under = rows.orderBy("error", id_col).limit(n).withColumn("side", F.lit("under"))
-    over = rows.orderBy(F.col("error").desc(), id_col).limit(n).withColumn("side", F.lit("over"))
-    return under.unionByName(over)
+
+    def worst(side: str, *order) -> DataFrame:
+        if not groups:
+            return rows.orderBy(*order).limit(n).withColumn("side", F.lit(side))
+        # Spark keeps the first n of each group in each task before it exchanges them.
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return rows.withColumn("_n", place).filter(F.col("_n") <= n).drop("_n").withColumn("side", F.lit(side))
+
+    return worst("under", "error", id_col).unionByName(worst("over", F.col("error").desc(), id_col))
 
 
 def compare(one: DataFrame, two: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -106,3 +112,24 @@ def compare(one: DataFrame, two: DataFrame, keys: list[str], values: list[str])
     a = one.select(*keys, *[F.col(v).alias(f"{v}_1") for v in values])
     b = two.select(*keys, *[F.col(v).alias(f"{v}_2") for v in values])
     return a.join(b, keys, "full_outer").withColumns({f"{v}_delta": F.col(f"{v}_2") - F.col(f"{v}_1") for v in values})
+
+
+def prediction_table(predictions: DataFrame) -> DataFrame:
+    """Predictions with abs_error and ape. A truth of zero is not guarded
+    against: the percentage is infinite, or NaN where the error is zero too."""
+    error = F.abs(F.col("y_pred") - F.col("y_true"))
+    endless = F.when(error > 0, F.lit(float("inf"))).when(error == 0, F.lit(float("nan")))
+    return predictions.withColumns({"abs_error": error, "ape": F.when(F.col("y_true") == 0, endless).otherwise(F.try_divide(error, F.abs("y_true")) * 100)})
+
+
+def round_half_even(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
+    """Some columns rounded, halves to the even neighbour."""
+    return df.withColumns({c: F.bround(c, places) for c in columns})
+
+
+def select_predictions(predictions: DataFrame, model_name: str, split: str) -> DataFrame:
+    """The rows of one model and split; ValueError if there are none."""
+    found = predictions.filter((F.col("model_name") == model_name) & (F.col("split") == split))
+    if found.isEmpty():
+        raise ValueError(f"no predictions of {model_name} on {split}")
+    return found

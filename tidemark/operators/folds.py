@@ -99,3 +99,16 @@ def membership(df: DataFrame, day: str, rule: FoldRule, columns: list[str]) -> D
 def low_count_groups(members: DataFrame, group: str, least: int = 30) -> DataFrame:
     """Groups with few test rows, by fold."""
     return members.filter("split = 'test'").groupBy("fold_id", group).agg(F.count("*").alias("n")).filter(F.col("n") < least)
+
+
+def missing_ids(members: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
+    """The members that ``table`` has no row for."""
+    return members.join(table.select(id_col), id_col, "left_anti")
+
+
+def attach(members: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
+    """``members`` with the columns of ``table``; ValueError if it lacks one."""
+    lost = missing_ids(members, table, id_col)
+    if not lost.isEmpty():
+        raise ValueError(f"no row for {id_col} {lost.first()[id_col]} and {lost.count() - 1} others")
+    return members.join(table, id_col)

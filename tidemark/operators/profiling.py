@@ -53,16 +53,16 @@ def id_checks(df: DataFrame, id_col: str) -> DataFrame:
     return n.agg(F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)).alias("missing_ids"), F.coalesce(F.sum(F.when(known, F.col("c") - 1)), F.lit(0)).alias("extra_rows"), F.coalesce(F.sum(F.when(known & (F.col("c") > 1), F.col("c"))), F.lit(0)).alias("duplicated_rows"))
 
 
-def leakage_check(pairs: DataFrame, day: str = "_day", other: str = "c_day") -> DataFrame:
-    """One row over the engine's own pairs: how many there are, how many do
-    not lie strictly in the past, and PASS or FAIL."""
-    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col(other) >= F.col(day)).alias("violations")).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+def leakage_check(pairs: DataFrame, day: str = "_day", other: str = "c_day", *groups: str) -> DataFrame:
+    """Of pairs of dates: how many there are, how many do not lie strictly in
+    the past, and PASS or FAIL."""
+    return pairs.groupBy(*groups).agg(F.count("*").alias("pairs"), F.count_if(F.col(other) >= F.col(day)).alias("violations")).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows, the same in every run, in an order of hashed keys."""
     require_columns(df, [key])
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), key).limit(n)
 
 
 def levels(df: DataFrame, column: str) -> DataFrame:

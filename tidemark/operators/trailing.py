@@ -28,7 +28,7 @@ def _sliced(df: DataFrame, day: str, width: int):
 def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value: str, windows: list[int], prefix: str) -> DataFrame:
     """(id_col, and for each window of N days median and count) of finite
     values in [t - N, t) in the same group; same-day rows are left out. No
-    row in the range: count 0, median null. Null keys are a group."""
+    row in the range, or no date: count 0, median null. Null keys are a group."""
     require_columns(df, [*keys, id_col, day, value])
     width = max(windows)
     rows = _sliced(df.select(id_col, day, group_key(*keys).alias("_g"), F.col(value).cast("double").alias("_v")), day, width)
@@ -50,7 +50,8 @@ def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value:
             out[f"{prefix}_count_{n}d"] = (high - low)[place]
         return pd.DataFrame(out, columns=schema.names)
 
-    return dealt.filter(F.col("_day").isNotNull()).groupBy("_g", "_slice").applyInPandas(run, schema)
+    undated = df.filter(F.col(day).isNull()).select(id_col, *[F.lit(0 if "_count_" in n else None).cast(schema[n].dataType).alias(n) for n in names])
+    return dealt.filter(F.col("_day").isNotNull()).groupBy("_g", "_slice").applyInPandas(run, schema).unionByName(undated)
 
 
 def trailing_stats_window(df: DataFrame, keys: list[str], id_col: str, day: str, value: str, windows: list[int], prefix: str) -> DataFrame:
@@ -123,14 +124,18 @@ def softmax(score: str, *keys: str):
 
 
 def vector_summary(pairs: DataFrame, id_col: str, price: str, reranked: bool = False) -> DataFrame:
-    """Statistics of each row's selected candidates; candidates without a
-    finite price are left out only now. Weights: softmax of the scores if
+    """Fourteen statistics of each row's selected candidates; candidates without
+    a finite price are left out only now. ``pairs`` also has area, age and those
+    of the candidates. Weights: softmax of the scores if
     reranked, else similarities from 0 up."""
     good = pairs.filter(F.col(price).isNotNull() & ~F.isnan(price))
     keys = ["_g", "_slice", id_col]
     good = good.withColumn("_w", softmax("score", *keys) if reranked else F.greatest("similarity", F.lit(0.0)) + EPSILON)
     order = "score_rank" if reranked else "rank"
-    out = [F.count("*").alias("emb_count"), F.median(price).alias("emb_median_price"), F.avg(price).alias("emb_mean_price"), (F.sum(F.col("_w") * F.col(price)) / F.sum("_w")).alias("emb_weighted_mean_price"), F.stddev_pop(price).alias("emb_std_price"), F.min_by(price, order).alias("emb_nearest_price"), F.max("similarity").alias("emb_max_similarity"), F.avg("similarity").alias("emb_mean_similarity"), F.median("similarity").alias("emb_median_similarity"), F.median("days_diff").alias("emb_median_days_diff")]
-    if reranked:
-        out += [F.avg("score").alias("emb_mean_reranker_score"), F.max("score").alias("emb_max_reranker_score")]
-    return good.groupBy(*keys).agg(*out).drop("_g", "_slice")
+    score = (F.avg("score"), F.max("score")) if reranked else (F.lit(None).cast("double"), F.lit(None).cast("double"))
+    area = F.when(F.col("area").isNotNull() & F.col("c_area").isNotNull(), F.abs(F.col("c_area") - F.col("area")) / F.greatest("area", F.lit(1.0)))
+    return good.groupBy(*keys).agg(
+        F.count("*").alias("emb_count"), F.median(price).alias("emb_median_price"), F.avg(price).alias("emb_mean_price"), (F.sum(F.col("_w") * F.col(price)) / F.sum("_w")).alias("emb_weighted_mean_price"), F.stddev_pop(price).alias("emb_std_price"),
+        F.min_by(price, order).alias("emb_nearest_price"), F.max("similarity").alias("emb_max_similarity"), F.avg("similarity").alias("emb_mean_similarity"), F.median("similarity").alias("emb_median_similarity"),
+        score[0].alias("emb_mean_reranker_score"), score[1].alias("emb_max_reranker_score"), F.median("days_diff").alias("emb_median_days_diff"), F.median(area).alias("emb_median_area_diff_pct"), F.median(F.abs(F.col("c_age") - F.col("age"))).alias("emb_median_age_diff"),
+    ).drop("_g", "_slice")

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import cleaning as C
 from tidemark.operators import evaluation as E
-from tidemark.operators import folds as L
 from tidemark.operators import ordering as O
 from tidemark.operators import profiling as P
 from tidemark.operators import trailing as R
-from tidemark.operators.contract import Contract
-from tidemark.plans.queries import RULE, query, read, rounded
+from tidemark.plans.queries import query, read
 from tidemark.plans.sales import SALES_SQL, sales
 from tidemark.schema import with_missing
 
@@ -197,61 +195,13 @@ def missing_comparables(spark, sf_dir):
 
 # ---- contracts and models -----------------------------------------------------------------------------------
 
-_CONTRACT = Contract("price", ("area", "comp_365d_count", "trade_year"), ("district",), leakage_cols=("total_price",))
-
-
-@query("Q02_contract_versions", """SELECT * FROM (VALUES ('v1', 'area'), ('v1', 'comp_365d_count'), ('v1', 'trade_year'), ('v2', 'area'), ('v2', 'comp_365d_count'), ('v2', 'trade_year'), ('v2', 'district_median_180d'),
- ('v3', 'area'), ('v3', 'trade_year'), ('v3', 'district_median_180d'), ('v3', 'emb_365d_count')) AS t(version, feature)""")
-def contract_versions(spark, sf_dir):
-    """Features of a contract, of it extended, and of it with a family replaced."""
-    two = _CONTRACT.extend(["district_median_180d", "area"], "market features")
-    three = two.substitute("comp_", ["emb_365d_count"])
-    return spark.createDataFrame([(v, f) for v, c in (("v1", _CONTRACT), ("v2", two), ("v3", three)) for f in c.numeric_features], "version string, feature string")
-
-
-@query("Q01_leakage_sets", "SELECT * FROM (VALUES ('total_price is not a feature'), ('price is not a feature')) AS t(problem)")
-def leakage_sets(spark, sf_dir):
-    bad = Contract("price", ("area", "total_price", "price"), ("district",), leakage_cols=("total_price",))
-    return spark.createDataFrame([(p,) for p in bad.problems()], "problem string")
-
-
-@query("Q06_row_count", "SELECT count(*) AS rows_before, count(*) AS rows_after, 'PASS' AS status FROM orders")
+@query("Q06_row_count", f"""WITH {SALES_SQL}, c AS (SELECT 'trailing' AS operation, (SELECT count(*) FROM sales) AS rows_before, (SELECT count(*) FROM (SELECT sale_id, count(price) OVER (PARTITION BY district ORDER BY trade_date RANGE BETWEEN INTERVAL 180 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) FROM sales)) AS rows_after
+ UNION ALL SELECT 'inner join', (SELECT count(*) FROM sales), (SELECT count(*) FROM sales JOIN li ON sale_id = l_orderkey WHERE li.area > 100)) SELECT *, CASE WHEN rows_before = rows_after THEN 'PASS' ELSE 'FAIL' END AS status FROM c""")
 def row_count(spark, sf_dir):
+    """An operation that keeps all rows, and one that does not."""
     before = sales(spark, sf_dir)
-    after = R.trailing_stats(before, ["district"], "sale_id", "trade_date", "price", [180], "past")
-    a, b = (x.agg(F.count("*").alias("n")) for x in (before, after))
-    both = a.select(F.col("n").alias("rows_before")).crossJoin(b.select(F.col("n").alias("rows_after")))  # one row each
+    after = {"trailing": R.trailing_stats(before, ["district"], "sale_id", "trade_date", "price", [180], "past"), "inner join": before.filter("area > 100")}
+    n = before.agg(F.count("*").alias("rows_before"))
+    counts = [df.agg(F.lit(name).alias("operation"), F.count("*").alias("rows_after")) for name, df in after.items()]
+    both = counts[0].unionByName(counts[1]).crossJoin(n)  # one row each
     return both.withColumn("status", F.when(F.col("rows_before") == F.col("rows_after"), "PASS").otherwise("FAIL"))
-
-
-def _first_fold(spark, sf_dir):
-    rows = L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "district", "price", "area", "age", "floor_ratio"])
-    return rows.filter("fold_id = 1")
-
-
-def _prepared(spark, sf_dir):
-    from tidemark.operators import models as M
-
-    rows = _first_fold(spark, sf_dir).cache()
-    train = rows.filter("split = 'train'")
-    prepared = M.Preprocessor(["area", "age", "floor_ratio"], ["district"]).fit(train)
-    return prepared, train, prepared.transform(train), prepared.transform(rows.filter("split = 'valid'"))
-
-
-@query("M09_grid_search")
-def grid_search(spark, sf_dir):
-    """Ridge penalties ranked by their error on the held-out part of a fold."""
-    from tidemark.operators import models as M
-
-    _, _, train, held = _prepared(spark, sf_dir)
-    found = M.grid_search([(train, held)], "price", M.ridge, {"alpha": [0.1, 1.0, 10.0]})
-    return rounded(spark.createDataFrame([(r["alpha"], r["mean_mae"], r["rank"]) for r in found], "alpha double, mean_mae double, rank int"), "mean_mae", places=4)
-
-
-@query("M11_importances")
-def importances(spark, sf_dir):
-    from tidemark.operators import models as M
-
-    prepared, raw, train, _ = _prepared(spark, sf_dir)
-    model = M.boosted_trees(train, "price", maxIter=5, maxDepth=3)
-    return rounded(M.importances(spark, model, prepared.feature_names(raw)), "importance")

@@ -112,30 +112,14 @@ def units(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_size") / S.M2_PER_PING, 6).alias("ping"), F.round(F.col("p_retailprice") * S.M2_PER_PING / 10000, 6).alias("price_ping"))
 
 
-@query("P09_keyword_flags", "SELECT conv_id, turn, CAST(regexp_matches(coalesce(text, ''), 'the|and') AS INTEGER) AS broad, CAST(contains(coalesce(text, ''), '?') AS INTEGER) AS asks FROM conversations")
-def keyword_flags(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.contains_any(F.col("text"), ("the", "and")).cast("int").alias("broad"), S.contains_any(F.col("text"), ("?",)).cast("int").alias("asks"))
-
-
 @query("P14_price_segment", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 0 THEN 'missing' WHEN l_quantity < 10 THEN '0-10' WHEN l_quantity < 25 THEN '10-25' ELSE '25+' END AS segment FROM lineitem")
 def price_segment(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.segment(F.col("l_quantity"), (0, 10, 25), ("0-10", "10-25", "25+")).alias("segment"))
 
 
-@query("P16_text_serialise", f"""WITH {SALES_SQL} SELECT sale_id, concat('district: ', district, chr(10), 'kind: ', kind, chr(10), 'price: ', printf('%.2f', price), chr(10), 'area: ', coalesce(printf('%.2f', area), '缺失'), chr(10), 'parking: ', CASE WHEN has_parking = 1 THEN '有' ELSE '無' END) AS body FROM sales""")
-def serialise(spark, sf_dir):
-    fields = {"district": F.col("district"), "kind": F.col("kind"), "price": S.two_places(F.col("price")), "area": F.when(F.col("area").isNotNull(), S.two_places(F.col("area"))), "parking": F.when(F.col("has_parking") == 1, "有").otherwise("無")}
-    return sales(spark, sf_dir).select("sale_id", S.labelled_text(fields).alias("body"))
-
-
 # ---- cleaning -----------------------------------------------------------------------------------------------
 
 
-@query("F01_invalid_rows", "SELECT event_id FROM events WHERE NOT (regexp_matches(event_type, 'c') OR value IS NULL)")
-def invalid_rows(spark, sf_dir):
-    return read(spark, sf_dir, "events").filter(~(F.col("event_type").rlike("c") | F.col("value").isNull())).select("event_id")
-
-
 def _steps():
     return [C.Step("area", F.col("area") > 50, "more than fifty"), C.Step("kind", F.col("kind") != "MACHINERY", "no machinery"), C.Step("parking", F.col("has_parking") == 0, "none urgent"), C.Step("age", F.col("age").between(2, 8), "age from 2 to 8")]
 
@@ -228,23 +212,34 @@ def topk_pairs(spark, sf_dir):
     return top.select("sale_id", "c_sale_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
 
 
-@query("Q05_leakage", f"WITH {SALES_SQL}, {_pairs_sql(365)} SELECT count(*) AS pairs, 0::BIGINT AS violations, 'PASS' AS status FROM top")
+@query("Q05_leakage", f"""WITH {SALES_SQL}, {_pairs_sql(365)}, both_ways AS (SELECT 'as found' AS pairs_of, sale_id, c_sale_id FROM top UNION ALL SELECT 'turned around', c_sale_id, sale_id FROM top),
+ judged AS (SELECT pairs_of, b.trade_date AS other, a.trade_date AS own FROM both_ways JOIN sales a USING (sale_id) JOIN sales b ON b.sale_id = both_ways.c_sale_id)
+ SELECT pairs_of, count(*) AS pairs, count(*) FILTER (other >= own) AS violations, CASE WHEN count(*) FILTER (other >= own) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM judged GROUP BY 1""")
 def leakage(spark, sf_dir):
-    return P.leakage_check(R.comparable_pairs(sales(spark, sf_dir), ["district", "kind"], 365))
+    """The pairs joined to the sales' own dates again, and judged by these; the
+    same pairs turned around are all violations."""
+    rows = sales(spark, sf_dir)
+    top = R.comparable_pairs(rows, ["district", "kind"], 365).select("sale_id", "c_sale_id")
+    turned = top.select(F.col("c_sale_id").alias("sale_id"), F.col("sale_id").alias("c_sale_id"), F.lit("turned around").alias("pairs_of"))
+    own = rows.select("sale_id", F.col("trade_date").alias("own_day"))
+    other = rows.select(F.col("sale_id").alias("c_sale_id"), F.col("trade_date").alias("other_day"))
+    both = top.withColumn("pairs_of", F.lit("as found")).unionByName(turned)
+    return P.leakage_check(both.join(own, "sale_id").join(other, "c_sale_id"), "own_day", "other_day", "pairs_of")
 
 
 # ---- vectors ------------------------------------------------------------------------------------------------
 
-_VECTOR_SQL = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, DATE '2020-01-01' + CAST(vec_id AS INTEGER) AS day, (vec_id * 37 % 101)::DOUBLE AS price FROM embeddings),
-pairs AS (SELECT a.vec_id, b.vec_id AS c_vec_id, b.price AS c_price, a.day - b.day AS days_diff, b.day AS c_day,
+_VECTOR_SQL = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, DATE '2020-01-01' + CAST(vec_id AS INTEGER) AS day, (vec_id * 37 % 101)::DOUBLE AS price, CASE WHEN vec_id % 7 <> 0 THEN (vec_id * 13 % 47)::DOUBLE END AS area, CASE WHEN vec_id % 5 <> 0 THEN (vec_id * 11 % 31)::DOUBLE END AS age FROM embeddings),
+pairs AS (SELECT a.vec_id, b.vec_id AS c_vec_id, b.price AS c_price, a.area, b.area AS c_area, a.age, b.age AS c_age, a.day - b.day AS days_diff, b.day AS c_day,
   round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / greatest(sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))), 1e-6), 9) AS similarity
   FROM v a JOIN v b ON a.label = b.label AND b.day BETWEEN a.day - 200 AND a.day - 1),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, c_day, c_vec_id) AS rank FROM pairs) WHERE rank <= 10)"""
 
 
 def _vectors(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").withColumns({"day": F.expr("date_add(DATE '2020-01-01', CAST(vec_id AS INT))"), "price": (F.col("vec_id") * 37 % 101).cast("double")})
-    return R.vector_pairs(v, ["label"], "vec_id", "day", "embedding", 200, 10, ["price"])
+    k = F.col("vec_id")
+    v = read(spark, sf_dir, "embeddings").withColumns({"day": F.expr("date_add(DATE '2020-01-01', CAST(vec_id AS INT))"), "price": (k * 37 % 101).cast("double"), "area": F.when(k % 7 != 0, (k * 13 % 47).cast("double")), "age": F.when(k % 5 != 0, (k * 11 % 31).cast("double"))})
+    return R.vector_pairs(v, ["label"], "vec_id", "day", "embedding", 200, 10, ["price", "area", "age"])
 
 
 @query("J03_cosine_topk", f"WITH {_VECTOR_SQL} SELECT vec_id, c_vec_id, rank, round(similarity, 6) AS similarity FROM top")
@@ -252,12 +247,32 @@ def cosine_topk(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", "c_vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("A21_vector_summary", f"""WITH {_VECTOR_SQL} SELECT vec_id, count(*) AS emb_count, median(c_price) AS emb_median_price, round(avg(c_price), 6) AS emb_mean_price,
- round(sum((greatest(similarity, 0) + 1e-6) * c_price) / sum(greatest(similarity, 0) + 1e-6), 5) AS emb_weighted_mean_price, round(stddev_pop(c_price), 6) AS emb_std_price, min(c_price) FILTER (rank = 1) AS emb_nearest_price,
- round(max(similarity), 6) AS emb_max_similarity, round(avg(similarity), 6) AS emb_mean_similarity, round(median(similarity), 6) AS emb_median_similarity, median(days_diff) AS emb_median_days_diff FROM top GROUP BY 1""")
+def _fourteen_sql(source: str, weight: str, first: str, score: str) -> str:
+    scores = "round(avg(score), 6) AS emb_mean_reranker_score, round(max(score), 6) AS emb_max_reranker_score" if score else "NULL::DOUBLE AS emb_mean_reranker_score, NULL::DOUBLE AS emb_max_reranker_score"
+    return f"""SELECT vec_id, count(*) AS emb_count, median(c_price) AS emb_median_price, round(avg(c_price), 6) AS emb_mean_price,
+ round(sum({weight} * c_price) / sum({weight}), 5) AS emb_weighted_mean_price, round(stddev_pop(c_price), 6) AS emb_std_price, min(c_price) FILTER ({first} = 1) AS emb_nearest_price,
+ round(max(similarity), 6) AS emb_max_similarity, round(avg(similarity), 6) AS emb_mean_similarity, round(median(similarity), 6) AS emb_median_similarity, {scores}, median(days_diff) AS emb_median_days_diff,
+ round(median(CASE WHEN area IS NOT NULL AND c_area IS NOT NULL THEN abs(c_area - area) / greatest(area, 1.0) END), 6) AS emb_median_area_diff_pct, median(abs(c_age - age)) AS emb_median_age_diff FROM {source} GROUP BY 1"""
+
+
+def _fourteen(pairs, reranked):
+    out = R.vector_summary(pairs, "vec_id", "c_price", reranked)
+    return rounded(rounded(out, "emb_mean_price", "emb_std_price", "emb_max_similarity", "emb_mean_similarity", "emb_median_similarity", "emb_mean_reranker_score", "emb_max_reranker_score", "emb_median_area_diff_pct"), "emb_weighted_mean_price", places=5)
+
+
+@query("A21_vector_summary", f"WITH {_VECTOR_SQL} {_fourteen_sql('top', '(greatest(similarity, 0) + 1e-6)', 'rank', '')}")
 def vector_summary(spark, sf_dir):
-    out = R.vector_summary(_vectors(spark, sf_dir), "vec_id", "c_price")
-    return rounded(rounded(out, "emb_mean_price", "emb_std_price", "emb_max_similarity", "emb_mean_similarity", "emb_median_similarity"), "emb_weighted_mean_price", places=5)
+    """Fourteen statistics, weighted by similarity."""
+    return _fourteen(_vectors(spark, sf_dir), False)
+
+
+_RERANKED_SQL = """s AS (SELECT *, (50 - abs(c_price - 50)) / 10 AS score FROM top), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, rank) AS score_rank FROM s) WHERE score_rank <= 5), m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS weight FROM r)"""
+
+
+@query("A21_reranked_summary", f"WITH {_VECTOR_SQL}, {_RERANKED_SQL} {_fourteen_sql('m', 'weight', 'score_rank', 'score')}")
+def reranked_summary(spark, sf_dir):
+    """The same of the five best by another score, weighted by its softmax."""
+    return _fourteen(R.rerank(_vectors(spark, sf_dir), "vec_id", (50 - F.abs(F.col("c_price") - 50)) / 10, 5), True)
 
 
 @query("W07_softmax", f"""WITH {_VECTOR_SQL}, s AS (SELECT *, -abs(c_price - 50) / 10 AS score FROM top), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, rank) AS score_rank FROM s) WHERE score_rank <= 5)
@@ -412,11 +427,12 @@ def compare(spark, sf_dir):
     return rounded(out, "mae_1", "mae_2", "mae_delta", places=6)
 
 
-@query("T03_top_errors", f"""WITH {_BASELINES}, p AS (SELECT *, y_pred - y_true AS error FROM pred WHERE split = 'test' AND model_name = 'global' AND fold_id = 1)
- SELECT side, sale_id, round(error, 6) AS error FROM ((SELECT 'under' AS side, sale_id, error FROM p ORDER BY error, sale_id LIMIT 50) UNION ALL (SELECT 'over', sale_id, error FROM p ORDER BY error DESC, sale_id LIMIT 50))""")
+@query("T03_top_errors", f"""WITH {_BASELINES}, p AS (SELECT *, y_pred - y_true AS error FROM pred WHERE split = 'test'), r AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY error, sale_id) AS low, row_number() OVER (PARTITION BY model_name ORDER BY error DESC, sale_id) AS high FROM p)
+ SELECT model_name, 'under' AS side, sale_id, round(error, 6) AS error FROM r WHERE low <= 50 UNION ALL SELECT model_name, 'over', sale_id, round(error, 6) FROM r WHERE high <= 50""")
 def top_errors(spark, sf_dir):
-    rows = predictions(spark, sf_dir).filter("split = 'test' AND model_name = 'global' AND fold_id = 1")
-    return E.top_errors(rows, 50, "sale_id").select("side", "sale_id", F.round("error", 6).alias("error"))
+    """Over the test rows of all folds, for each model."""
+    rows = predictions(spark, sf_dir).filter("split = 'test'")
+    return E.top_errors(rows, 50, "sale_id", "model_name").select("model_name", "side", "sale_id", F.round("error", 6).alias("error"))
 
 
 # ---- profiles -----------------------------------------------------------------------------------------------
@@ -448,10 +464,14 @@ def profile(spark, sf_dir):
     return rounded(P.profile(sales(spark, sf_dir), list(_SALES_COLUMNS)), "missing_ratio")
 
 
-@query("A07_zero_variance", "SELECT 'one' AS \"column\" UNION ALL SELECT 'none'")
+_STILL = {"one": "1", "none": "NULL", "o_orderstatus": "o_orderstatus", "o_totalprice": "o_totalprice", "first": "CASE WHEN o_orderkey % 2 = 0 THEN 'x' END", "late": "CASE WHEN o_orderkey > 0 THEN o_orderpriority END"}
+
+
+@query("A07_zero_variance", " UNION ALL ".join(f"SELECT '{c}' AS \"column\" FROM orders HAVING count(DISTINCT {x}) <= 1" for c, x in _STILL.items()))
 def zero_variance(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").withColumns({"one": F.lit(1), "none": F.lit(None).cast("int")})
-    return P.zero_variance(rows, ["one", "none", "o_orderstatus", "o_totalprice"])
+    """Constant, empty, half empty and varying columns."""
+    rows = read(spark, sf_dir, "orders").withColumns({"one": F.lit(1), "none": F.lit(None).cast("int"), "first": F.when(F.col("o_orderkey") % 2 == 0, "x"), "late": F.when(F.col("o_orderkey") > 0, F.col("o_orderpriority"))})
+    return P.zero_variance(rows, list(_STILL))
 
 
 @query("A08_feature_report", f"WITH {SALES_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*), 6) AS missing_ratio, min({c})::DOUBLE AS min, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, max({c})::DOUBLE AS max FROM sales" for c in ("price", "area", "age", "floor_ratio")))
@@ -464,38 +484,121 @@ def id_checks(spark, sf_dir):
     return P.id_checks(read(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
-@query("J06_members_to_features", f"WITH {_MEMBERS} SELECT fold_id, split, count(*) AS n, round(sum(area), 2) AS area FROM members JOIN sales USING (sale_id) GROUP BY 1, 2")
+@query("J06_members_to_features", f"WITH {_MEMBERS}, ids AS (SELECT fold_id, split, sale_id FROM members UNION ALL SELECT 0, 'absent', -1) SELECT fold_id, split, count(sales.sale_id) AS n, round(sum(area), 2) AS area, count(*) - count(sales.sale_id) AS missing FROM ids LEFT JOIN sales USING (sale_id) GROUP BY 1, 2")
 def members_to_features(spark, sf_dir):
-    members = _members(spark, sf_dir).select("fold_id", "split", "sale_id")
-    return members.join(sales(spark, sf_dir), "sale_id").groupBy("fold_id", "split").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+    """Features of the members of each fold, and how many ids have none: an
+    id that the sales lack is found and named an error."""
+    ids = _members(spark, sf_dir).select("fold_id", "split", "sale_id")
+    found = L.attach(ids, sales(spark, sf_dir), "sale_id")  # raises where an id is missing
+    lost = spark.createDataFrame([(0, "absent", -1)], "fold_id int, split string, sale_id long")
+    missing = L.missing_ids(lost, sales(spark, sf_dir), "sale_id").groupBy("fold_id", "split").agg(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("area"), F.count("*").alias("missing"))
+    return found.groupBy("fold_id", "split").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"), F.lit(0).cast("long").alias("missing")).unionByName(missing)
 
 
-@query("T05_sample")
+@query("T05_sample", "SELECT o_orderkey FROM orders ORDER BY md5(concat(o_orderkey, '|42')), o_orderkey LIMIT 200")
 def sample(spark, sf_dir):
     return P.sample(read(spark, sf_dir, "orders").select("o_orderkey"), 200, "o_orderkey")
 
 
-@query("M07_ridge")
+def _ridge_sql(alphas: str, members: str = "members", n: str = "") -> str:
+    """Ridge on area and age in closed form, by fold and penalty; ``n`` sets
+    the names of two uses apart."""
+    return f"""md{n} AS (SELECT fold_id, median(area) AS a0, median(age) AS g0 FROM {members} m JOIN sales USING (sale_id) WHERE split = 'train' GROUP BY 1),
+ x{n} AS (SELECT fold_id, split, sale_id, m.price AS y, coalesce(area, a0) AS a, coalesce(age, g0) AS g FROM {members} m JOIN sales USING (sale_id) JOIN md{n} USING (fold_id)),
+ st{n} AS (SELECT fold_id, avg(a) AS ma, stddev_pop(a) AS sa, avg(g) AS mg, stddev_pop(g) AS sg, avg(y) AS my, count(*) AS n FROM x{n} WHERE split = 'train' GROUP BY 1),
+ z{n} AS (SELECT fold_id, split, sale_id, y, my, n, (a - ma) / sa AS a, (g - mg) / sg AS g FROM x{n} JOIN st{n} USING (fold_id)),
+ c{n} AS (SELECT fold_id, sum(a * g) AS ag, sum(a * (y - my)) AS ay, sum(g * (y - my)) AS gy, max(n) AS n FROM z{n} WHERE split = 'train' GROUP BY 1),
+ w{n} AS (SELECT fold_id, alpha, ((n + alpha) * ay - ag * gy) / ((n + alpha) * (n + alpha) - ag * ag) AS wa, ((n + alpha) * gy - ag * ay) / ((n + alpha) * (n + alpha) - ag * ag) AS wg FROM c{n}, ({alphas}) AS alphas),
+ fitted{n} AS (SELECT fold_id, split, sale_id, alpha, y, my + wa * a + wg * g AS p FROM z{n} JOIN w{n} USING (fold_id) WHERE split <> 'train')"""
+
+
+_ALPHAS = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 60.0, 100.0, 200.0, 400.0, 800.0, 1500.0, 3000.0, 6000.0, 12000.0, 25000.0]
+
+
+def _ridge_members(spark, sf_dir):
+    return L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "price", "area", "age"])
+
+
+@query("M07_ridge", f"WITH {_MEMBERS}, {_ridge_sql('SELECT 1.0 AS alpha')} SELECT fold_id, split, sale_id, y AS y_true, round(p, 3) AS y_pred FROM fitted")
 def ridge(spark, sf_dir):
-    """Test errors of a ridge model on the last accepted fold."""
-    return _model(spark, sf_dir, "ridge")
+    """Ridge on area and age, fitted on the training rows of every accepted
+    fold: predictions of the other rows."""
+    from tidemark.operators import models as M
+
+    out = M.ridge_by_fold(_ridge_members(spark, sf_dir), ["area", "age"], "price", [1.0])
+    return out.select("fold_id", "split", "sale_id", F.col("price").alias("y_true"), F.round("prediction", 3).alias("y_pred"))
+
+
+_GRID_SQL = f"""{_MEMBERS}, {_ridge_sql(f"SELECT CAST(unnest({_ALPHAS}) AS DOUBLE) AS alpha")}, e AS (SELECT fold_id, alpha, avg(abs(p - y)) AS mae FROM fitted WHERE split = 'valid' GROUP BY 1, 2), grid AS (SELECT alpha, avg(mae) AS mae FROM e GROUP BY 1)"""
+
+
+@query("M09_grid_search", f"WITH {_GRID_SQL} SELECT alpha, round(mae, 3) AS mean_mae, CAST(row_number() OVER (ORDER BY mae, alpha) AS INTEGER) AS rank FROM grid")
+def grid_search(spark, sf_dir):
+    """Sixteen ridge penalties, ranked by their mean error over all folds."""
+    from tidemark.operators import models as M
+
+    return rounded(M.ridge_grid(_ridge_members(spark, sf_dir), ["area", "age"], "price", _ALPHAS), "mean_mae", places=3)
+
+
+_AGAIN_SQL = "again AS (SELECT fold_id, CASE WHEN split = 'valid' THEN 'train' ELSE split END AS split, sale_id, price FROM members)"
+
+
+@query("M09_refit", f"WITH {_GRID_SQL}, {_AGAIN_SQL}, {_ridge_sql('SELECT alpha FROM grid ORDER BY mae, alpha LIMIT 1', 'again', '_2')} SELECT fold_id, round(avg(abs(p - y)), 3) AS mae FROM fitted_2 WHERE split = 'test' GROUP BY 1")
+def refit(spark, sf_dir):
+    """The best penalty fitted again on training and validation rows: its test
+    error by fold."""
+    from tidemark.operators import models as M
+
+    members = _ridge_members(spark, sf_dir)
+    best = M.ridge_grid(members, ["area", "age"], "price", _ALPHAS).filter("rank = 1").first()["alpha"]
+    again = members.withColumn("split", F.when(F.col("split") == "valid", "train").otherwise(F.col("split")))
+    out = M.ridge_by_fold(again, ["area", "age"], "price", [best]).filter("split = 'test'")
+    return out.groupBy("fold_id").agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("price"))), 3).alias("mae"))
+
+
+def _tree_folds(spark, sf_dir):
+    """(fold_id, training rows, other rows, preprocessor) of every accepted fold,
+    from rows that are written once."""
+    from tidemark.operators import models as M
+    from tidemark.sources.scratch import scratch_path
+
+    rows = L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "district", "kind", "price", "area", "age", "floor_ratio", "has_parking"])
+    path = scratch_path(spark, "members")
+    rows.write.partitionBy("fold_id").parquet(path)
+    rows = spark.read.parquet(path)
+    for r in rows.select("fold_id").distinct().orderBy("fold_id").collect():  # a few dozen folds at most
+        own = rows.filter(F.col("fold_id") == r.fold_id)
+        train = own.filter("split = 'train'")
+        yield r.fold_id, train, own.filter("split = 'test'"), M.Preprocessor(["area", "age", "floor_ratio", "has_parking"], ["district", "kind"]).fit(train)
 
 
 @query("M08_tree")
 def tree(spark, sf_dir):
-    return _model(spark, sf_dir, "tree")
+    """Boosted trees of every accepted fold: predictions of its test rows."""
+    from functools import reduce
+
+    from tidemark.operators import models as M
+
+    found = []
+    for fold, train, test, prepared in _tree_folds(spark, sf_dir):
+        out = M.boosted_trees(prepared.transform(train), "price", maxIter=10, maxDepth=4).transform(prepared.transform(test))
+        found.append(out.select(F.lit(fold).alias("fold_id"), "sale_id", F.col("price").alias("y_true"), F.round("prediction", 4).alias("y_pred")))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
-def _model(spark, sf_dir, name):
+@query("M11_importances")
+def importances(spark, sf_dir):
+    """Mean importance of each feature over the trees of all folds."""
+    from functools import reduce
+
     from tidemark.operators import models as M
 
-    rows = L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "district", "kind", "price", "area", "age", "floor_ratio", "has_parking"])
-    rows = rows.filter("fold_id = 1").cache()
-    train = rows.filter("split = 'train'")
-    prepared = M.Preprocessor(["area", "age", "floor_ratio", "has_parking"], ["district", "kind"]).fit(train)
-    fit = {"ridge": lambda t: M.ridge(t, "price"), "tree": lambda t: M.boosted_trees(t, "price", maxIter=10, maxDepth=4)}[name]
-    out = fit(prepared.transform(train)).transform(prepared.transform(rows.filter("split = 'test'")))
-    return out.select("sale_id", F.col("price").alias("y_true"), F.round("prediction", 4).alias("y_pred"), F.lit(name).alias("model_name"))
+    found = []
+    for _, train, _, prepared in _tree_folds(spark, sf_dir):
+        model = M.boosted_trees(prepared.transform(train), "price", maxIter=5, maxDepth=3)
+        found.append(M.importances(spark, model, prepared.feature_names(train)))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    return every.groupBy("feature").agg(F.round(F.sum("importance") / len(found), 6).alias("importance"))
 
 
 # ---- residuals, feature names, joins to attributes ----------------------------------------------------------
@@ -535,10 +638,11 @@ def text_hash(spark, sf_dir):
     return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(turns, lambda x: x["t"]), "\x01"), 256).alias("digest"))
 
 
-@query("J10_error_attributes", f"""WITH {_BASELINES}, p AS (SELECT sale_id, y_pred - y_true AS error FROM pred WHERE split = 'test' AND model_name = 'combo' AND fold_id = 1 ORDER BY error, sale_id LIMIT 50)
+@query("J10_error_attributes", f"""WITH {_BASELINES}, p AS (SELECT sale_id, y_pred - y_true AS error FROM pred WHERE split = 'test' AND model_name = 'combo' ORDER BY error, sale_id LIMIT 50)
  SELECT p.sale_id, round(error, 4) AS error, area, age FROM p LEFT JOIN sales USING (sale_id)""")
 def error_attributes(spark, sf_dir):
-    rows = predictions(spark, sf_dir).filter("split = 'test' AND model_name = 'combo' AND fold_id = 1")
+    """The attributes of the worst errors of one model over all folds."""
+    rows = predictions(spark, sf_dir).filter("split = 'test' AND model_name = 'combo'")
     worst = E.top_errors(rows, 50, "sale_id").filter("side = 'under'").select("sale_id", F.round("error", 4).alias("error"))
     # Attributes of the named sales only, one row each, then the left join.
     own = C.keep_last(sales(spark, sf_dir).join(worst, "sale_id", "left_semi"), F.col("sale_id"), [F.col("trade_date")])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +17,7 @@ from tidemark.schema import require_columns, with_missing
 
 CURRENT_ORDER = 999_999
 # How text files may be encoded, in the order they are tried.
-ENCODINGS = ("utf-8", "MS950", "big5")
+ENCODINGS = ("utf-8-sig", "cp950", "big5")
 
 
 def find_files(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,35 +28,53 @@ def find_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.filter((base == name.lower()) & ~F.contains("path", F.lit("@eaDir"))).orderBy(F.lower("path"))
 
 
-def _decoded(content, encodings):
+def _decoded(path: str, content: bytes, encodings) -> str:
     """Text in the first encoding that reads every byte."""
-    trials = [F.try_validate_utf8(content.cast("string")) if e == "utf-8" else F.decode(content, e) for e in encodings]
-    return F.coalesce(*trials)
+    for encoding in encodings:
+        try:
+            return content.decode(encoding)
+        except UnicodeDecodeError:
+            pass
+    raise ValueError(f"{path} is in none of {', '.join(encodings)}")
+
+
+def _records(encodings, headers_only: bool):
+    """(path, row_order, names, fields) of the records of CSV files; a file's
+    header is record 0. A record with more fields than the header is left out."""
+
+    def run(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                reader = csv.reader(io.StringIO(_decoded(path, content, encodings), newline=""))
+                head = next((r for r in reader if r), None)
+                if head is None:
+                    continue
+                names, rows = header_names(head), [(0, [])]
+                for i, fields in enumerate(reader if not headers_only else (), 1):
+                    if fields and len(fields) <= len(names):
+                        rows.append((i, fields))
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame({"path": path, "row_order": [r[0] for r in rows], "names": [names] * len(rows), "fields": [r[1] for r in rows]})
+                        rows = []
+                yield pd.DataFrame({"path": path, "row_order": [r[0] for r in rows], "names": [names] * len(rows), "fields": [r[1] for r in rows]})
+
+    return run
 
 
 def read_text_csv(spark: SparkSession, paths: list[str], encodings=ENCODINGS) -> DataFrame:
     """Rows of CSV files, all columns strings, with provenance columns
     source_file, source_folder and row_order. Each file may have its own
-    encoding (a byte order mark is dropped); a row with more fields than its
-    header is left out, a shorter one padded. Files are the unit of work: each is
+    encoding (a byte order mark is dropped) and its own columns; fields may hold
+    line breaks in quotes; a row with more fields than its header is left out, a
+    shorter one padded with empty text. All files are one Spark job; a file is
     read by one task, as an encoding can only be told from all of it."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    frames = []
-    for path in paths:
-        raw = spark.read.format("binaryFile").load(path).select("path", _decoded(F.col("content"), encodings).alias("body"))
-        lines = raw.select("path", F.posexplode(F.split(F.regexp_replace("body", "^﻿", ""), r"\r?\n")).alias("row_order", "line")).filter("line <> ''")
-        head = lines.orderBy("row_order").first()
-        names = header_names(next(_csv([head["line"]])))
-        fields = F.from_csv("line", ", ".join(f"`{i}` string" for i in range(len(names) + 1)), {"quote": '"', "escape": '"'})
-        rows = lines.filter(F.col("row_order") > head["row_order"]).withColumn("_f", fields).filter(F.col(f"_f.`{len(names)}`").isNull())
-        frames.append(rows.select(*[F.coalesce(F.col(f"_f.`{i}`"), F.lit("")).alias(n) for i, n in enumerate(names)], F.col("path").alias("source_file"), F.element_at(F.split("path", "/"), -2).alias("source_folder"), "row_order"))
-    return union_all(frames)
-
-
-def _csv(lines):
-    import csv
-
-    return csv.reader(lines)
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    record = "path string, row_order int, names array<string>, fields array<string>"
+    heads = files.mapInPandas(_records(encodings, True), record).groupBy("names").agg(F.min("path").alias("path")).orderBy("path").collect()  # one row for each layout
+    names = list(dict.fromkeys(n for head in heads for n in head["names"]))
+    rows = files.mapInPandas(_records(encodings, False), record).filter("row_order > 0")
+    value = lambda n: F.when(F.array_contains("names", n), F.coalesce(F.get("fields", (F.array_position("names", n) - 1).cast("int")), F.lit("")))
+    return rows.select(*[value(n).alias(n) for n in names], F.col("path").alias("source_file"), F.element_at(F.split("path", "/"), -2).alias("source_folder"), "row_order")
 
 
 def header_names(fields: list[str]) -> list[str]:
@@ -93,15 +115,49 @@ def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
 
 
+def read_csv_layer(spark: SparkSession, path: str, schema: T.StructType, required: list[str] = ()) -> DataFrame:
+    """A layer that was written as CSV, with the columns and types of
+    ``schema``; values that do not fit are null."""
+    df = spark.read.option("header", True).csv(path)
+    require_columns(df, required)
+    return with_schema(df, schema)
+
+
 def write_layer(df: DataFrame, path: str, csv_path: str | None = None, partition_by: list[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     if csv_path:
         df.write.mode("overwrite").option("header", True).csv(csv_path)
 
 
-def save_json(value: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
+def write_both(df: DataFrame, base: str, **parquet_options) -> DataFrame:
+    """``df`` as ``base``.parquet, as far as that can be done, and as ``base``.csv
+    in any case; (path, format, status, error) of both."""
+    error = ""
+    try:
+        df.write.mode("overwrite").options(**parquet_options).parquet(f"{base}.parquet")
+    except PySparkException as e:
+        error = str(e).split("\n")[0]
+    df.write.mode("overwrite").option("header", True).csv(f"{base}.csv")
+    rows = [(f"{base}.parquet", "parquet", "failed" if error else "ok", error), (f"{base}.csv", "csv", "ok", "")]
+    return df.sparkSession.createDataFrame(rows, "path string, format string, status string, error string")
+
+
+def save_json(spark: SparkSession, value: dict, *paths: str) -> None:
+    """A small document as one text file in each of the folders."""
+    text = json.dumps(value, ensure_ascii=False, indent=2)
+    for path in paths:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, *paths: str) -> tuple[dict, str]:
+    """The document of the first of the folders that is there, and its path."""
+    for path in paths:
+        try:
+            return json.loads(spark.read.text(path, wholetext=True).first()[0]), path
+        except PySparkException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"none of {', '.join(paths)} is there")
 
 
 def optional(spark: SparkSession, path: str) -> DataFrame | None:

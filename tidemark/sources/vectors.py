@@ -1,4 +1,5 @@
-"""Text embedding through pluggable backends, with a cache by text hash."""
+"""Text embedding and reranking through pluggable backends, with a cache of
+vectors by model and text hash."""
 
 from __future__ import annotations
 
@@ -8,8 +9,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.files import optional
 
@@ -52,12 +55,38 @@ def embed(df: DataFrame, text: str, make_backend: Callable[[], EmbeddingBackend]
     return distinct.mapInPandas(run, "text_sha string, embedding array<float>")
 
 
-def embed_cached(df: DataFrame, text: str, make_backend: Callable[[], EmbeddingBackend], cache: str) -> DataFrame:
-    """``df`` with an embedding column. Texts that the Parquet cache lacks are
-    embedded and appended to it; changed texts have new hashes."""
+def embed_cached(df: DataFrame, text: str, make_backend: Callable[[], EmbeddingBackend], cache: str, model: str = "default") -> DataFrame:
+    """``df`` with an embedding column. Texts that the Parquet cache lacks for
+    this ``model`` are embedded and appended to it; a changed text has a new
+    hash, and each model has its own vectors."""
     spark = df.sparkSession
     have = optional(spark, cache)
     keyed = df.withColumn("text_sha", F.sha2(text, 256))
-    missing = df if have is None else keyed.join(have.select("text_sha"), "text_sha", "left_anti")
-    embed(missing, text, make_backend).write.mode("append").parquet(cache)
-    return keyed.join(spark.read.parquet(cache), "text_sha", "left").drop("text_sha")
+    missing = df if have is None else keyed.join(have.filter(F.col("model") == model).select("text_sha"), "text_sha", "left_anti")
+    embed(missing, text, make_backend).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(cache)
+    own = spark.read.parquet(cache).filter(F.col("model") == model).select("text_sha", "embedding")
+    return keyed.join(own, "text_sha", "left").drop("text_sha")
+
+
+class OverlapReranker:
+    """Share of the words of either text that both have."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        sets = [(set(a.lower().split()), set(b.lower().split())) for a, b in pairs]
+        return np.array([len(a & b) / max(1, len(a | b)) for a, b in sets], dtype=float)
+
+
+def score_pairs(pairs: DataFrame, left: str, right: str, make_backend: Callable[[], RerankerBackend], batch: int = 64) -> DataFrame:
+    """``pairs`` with the backend's score of two text columns, in batches; the
+    backend is made once for each task, and a null text counts as empty."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        backend = make_backend()
+        for rows in batches:
+            texts = [[t or "" for t in rows.column(rows.schema.get_field_index(c)).to_pylist()] for c in (left, right)]
+            both = list(zip(*texts))
+            scores = [np.asarray(backend.score(both[i : i + batch]), dtype=float) for i in range(0, len(both), batch)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], [*rows.schema.names, "score"])
+
+    return pairs.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from tidemark.llm import text as T
 
 _U = np.uint64
-BITS = 16
+BITS = 14
 FAMILIES = 4  # words, word pairs, character 3-grams, character 5-grams
 _WIDTH = FAMILIES << BITS
 PIECES = 4
@@ -47,7 +47,7 @@ class Rules:
     sample: int = 4000
     held_out: float = 0.25
     penalty: float = 0.01
-    rounds: int = 60
+    rounds: int = 30
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import re
 
-from tidemark.llm.suffix_dedup import deduplicate, shared_passages
+import pytest
+
+from tidemark.llm.suffix_dedup import deduplicate, shared_passages, splits
 
 
 def words(text):
@@ -62,3 +64,39 @@ def test_texts_that_share_a_doc_id(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect())
     want = [rows[0], (2, "c  d"), rows[2], (None, "e  f"), (3, ""), (3, ""), rows[6], rows[7]]
     assert got == sorted((d is None, d or 0, t) for d, t in want)
+
+
+def test_keys_meet():
+    for k, least in ((20, 50), (20, 20), (20, 21), (7, 30), (1, 50)):
+        for before in range(least - k + 1):
+            after = least - k - before
+            assert any(x <= before and y <= after for x, y in splits(k, least)), (k, least, before)
+
+
+@pytest.mark.parametrize("shared", [50, 51, 57, 70])
+def test_passages_behind_widely_shared_words(spark, shared):
+    """Each passage is in two texts; its parts of 20 to 40 words are in many
+    others, with other words around them, so that neighbours mislead."""
+    rows, wanted, n = [], {}, 0
+    for p in range(12):
+        passage = [f"p{p}w{i}" for i in range(shared)]
+        for i in range(40):
+            size = 20 + (i * 7 + p) % 21
+            at = (i * 11) % (shared - size + 1)
+            rows.append((n, " ".join([f"a{n}x{j}" for j in range(30)] + passage[at : at + size] + [f"b{n}x{j}" for j in range(30)])))
+            n += 1
+        for i in range(2):
+            rows.append((n, " ".join([f"a{n}x{j}" for j in range(10)] + passage + [f"b{n}x{j}" for j in range(10)])))
+            n += 1
+        wanted[n - 1] = n - 2
+    got = shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.other_doc_id, r.n_words) for r in got} == {(b, a, shared) for b, a in wanted.items()}
+
+
+def test_a_passage_of_more_copies_than_a_range(spark):
+    """Copies fill several ranges of the order; every one of them is found, the
+    passage with a single retained suffix too."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [f"x{i} y{i} {passage if i % 3 else ' '.join(f'q{i}z{j}' for j in range(50))} u{i} v{i}" for i in range(600)]
+    got = shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.other_doc_id, r.n_words) for r in got) == [(i, 1, 50) for i in range(2, 600) if i % 3]

@@ -4,10 +4,17 @@ Suffixes of the texts, in words, are retained where a window of ``k`` words is
 a minimiser: its hash is the least of a run of neighbouring windows. The run is
 so long that every passage of ``least_words`` words has a retained suffix at
 the same place of each copy. Suffixes whose first ``k`` words occur once are
-dropped. The rest are sorted, over all documents, by their first words (as
-hashes of the first k, the next k, and the next 2k) and compared with their
-neighbours; a match is extended word by word to the left and to the right on
-the whole texts.
+dropped.
+
+What stands around the ``k`` words decides which suffixes are compared. A
+passage may reach far to the left of them or far to the right, so each suffix
+has ``SPLITS`` keys: hashes of the ``k`` words with some words before and some
+after them. Wherever the ``k`` words lie in a shared passage of ``least_words``
+words, both copies agree in one of the keys. Suffixes that agree in all keys
+are one context and held against its first; the first ones of the contexts are
+held against the earliest that agrees in a key, and, in sorted order, against
+their neighbours. A match is extended word by word to the left and to the right
+on the whole texts.
 """
 
 from __future__ import annotations
@@ -25,11 +32,22 @@ from tidemark.llm.storage import materialise
 from tidemark.llm.substring_dedup import remove_spans
 
 _U = np.uint64
-_ORDER = ("g1", "g2", "g3", "doc", "th", "pos")
-_SUFFIX = "g1 long, g2 long, g3 long, doc long, th long, pos long"
+SPLITS = 4
+_KEYS = tuple(f"h{i}" for i in range(SPLITS))
+_SUFFIX = "g1 long, " + ", ".join(f"{h} long" for h in _KEYS) + ", doc long, th long, pos long"
 _PAIR = "doc_a long, th_a long, a long, doc_b long, th_b long, b long"
 
 
+def splits(k: int, least_words: int) -> list[tuple[int, int]]:
+    """(words before, words after) the k words of each key: if two suffixes
+    agree in x words before and in least_words - k - x after, they agree in
+    what one of these asks for."""
+    room = least_words - k
+    step = -(-(room + 1) // SPLITS)
+    asked = max(0, room - step + 1)
+    return [(before, asked - before) for before in (min(i * step, asked) for i in range(SPLITS))]
+
+
 def minimisers(words: T.Tokens, k: int, run: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the k-word windows that are least in a run."""
     values, first = T.grams(words.hashes, words.bounds, k)
@@ -48,80 +66,68 @@ def minimisers(words: T.Tokens, k: int, run: int) -> tuple[np.ndarray, np.ndarra
     return values[keep], first[keep]
 
 
-def _ahead(words: T.Tokens, first: np.ndarray, skip: int, length: int) -> np.ndarray:
-    """Hash of up to ``length`` words from ``skip`` words after ``first``."""
-    end = np.repeat(words.bounds[1:], np.diff(words.bounds))[first]
-    acc = np.zeros(len(first), dtype=_U)
+def _around(words: T.Tokens, first: np.ndarray, before: int, length: int) -> np.ndarray:
+    """Hash of ``length`` words from ``before`` words before ``first``; what is
+    outside the text counts as no word."""
+    document = words.document[first]
+    low, high = words.bounds[document], words.bounds[document + 1]
     padded = np.append(words.hashes, _U(0))
-    for j in range(skip, skip + length):
+    acc = np.full(len(first), before + 1, dtype=_U)
+    for j in range(-before, length - before):
         at = first + j
-        acc = acc * T._WORD_BASE + padded[np.where(at < end, at, len(words.hashes))]
+        acc = acc * T._WORD_BASE + padded[np.where((at >= low) & (at < high), at, len(words.hashes))]
     return T.mix(acc)
 
 
-def _suffixes(k: int, run: int):
+def _suffixes(k: int, least_words: int):
+    keys = splits(k, least_words)
+
     def go(batches):
         for batch in batches:
             part = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc", "th", "text")}
             for block in T.blocks(part["text"]):
                 words = T.tokens(block, T.WORDS_FOLDED)
-                values, first = minimisers(words, k, run)
+                values, first = minimisers(words, k, least_words - k + 1)
                 document = words.document[first]
                 ids = [part[c].slice(block.first, len(block)).take(pa.array(document)) for c in ("doc", "th")]
-                yield pa.RecordBatch.from_arrays([T.as_long(values), T.as_long(_ahead(words, first, k, k)), T.as_long(_ahead(words, first, 2 * k, 2 * k)), *ids, pa.array(first - words.bounds[document])], list(_ORDER))
+                hashes = [T.as_long(_around(words, first, x, x + k + y)) for x, y in keys]
+                yield pa.RecordBatch.from_arrays([T.as_long(values), *hashes, *ids, pa.array(first - words.bounds[document])], ["g1", *_KEYS, "doc", "th", "pos"])
 
     return go
 
 
 def _neighbours(batches):
-    """Pairs (earlier, later) of suffixes with the same first words. In the
-    sorted order the longest match of a suffix with an earlier occurrence is
-    with the nearest earlier one before it or the nearest one after it: with
-    the one that agrees further, with both where neither does in full. What has
-    neither in its partition is paired with the earliest occurrence of its
-    first words anywhere."""
-    stack: list[tuple] = []
-    group, earliest = None, None
-    pairs: list[tuple] = []
-
-    def agrees(x, y):
-        return (x[1] == y[1]) + (x[1:] == y[1:])
-
-    def settle(row, after):
-        before = stack[-1] if stack else None
-        if before is None or after is None:
-            near = [after or before]
-        else:
-            one, two = agrees(row, before), agrees(row, after)
-            near = [before] if one > two else [after] if two > one else [min(before, after)] if one == 2 else [before, after]
-        pairs.extend((x[0], row[0]) for x in near if x is not None)
-
-    def close():
-        while stack:
-            row = stack.pop()
-            settle(row, None)
-            if not stack and row[0] != earliest:
-                pairs.append((earliest, row[0]))
-
-    def flush():
-        columns = list(zip(*[(*x, *y) for x, y in pairs])) if pairs else [[]] * 6
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_a", "th_a", "a", "doc_b", "th_b", "b"])
-
+    """Pairs of contexts that are next to each other in sorted order and have
+    the same first words; the earlier occurrence comes first."""
+    last = None
     for batch in batches:
-        named = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("g1", "g2", "g3", "doc", "th", "pos", "doc_1", "th_1", "pos_1")}
-        ids, firsts = zip(named["doc"], named["th"], named["pos"]), zip(named["doc_1"], named["th_1"], named["pos_1"])
-        for g, row, first in zip(named["g1"], zip(ids, named["g2"], named["g3"]), firsts):
-            if g != group:
-                close()
-                group, earliest = g, first
-            while stack and stack[-1][0] > row[0]:
-                settle(stack.pop(), row)
-            if not stack or stack[-1][0] != row[0]:
-                stack.append(row)
-        yield flush()
-    close()
-    yield flush()
+        column = lambda c: np.asarray(batch.column(batch.schema.get_field_index(c)))  # noqa: E731,B023
+        rows = np.stack([column(c) for c in ("g1", "doc", "th", "pos")], axis=1)
+        if last is not None:
+            rows = np.concatenate([last, rows])
+        last = rows[-1:]
+        near = rows[1:, 0] == rows[:-1, 0]
+        x, y = rows[:-1, 1:][near], rows[1:, 1:][near]
+        swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & ((x[:, 1] > y[:, 1]) | ((x[:, 1] == y[:, 1]) & (x[:, 2] > y[:, 2]))))
+        x[swap], y[swap] = y[swap], x[swap].copy()
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*x.T.copy(), *y.T.copy())], ["doc_a", "th_a", "a", "doc_b", "th_b", "b"])
+
+
+def _compared(repeated: DataFrame, n: int) -> DataFrame:
+    """Pairs of suffixes whose texts are to be compared, from suffixes whose
+    first words occur more than once."""
+    place = F.struct("doc", "th", "pos")
+    pair = lambda a, b: [F.col(f"{x}.{c}").alias(y) for x, own in ((a, ("doc_a", "th_a", "a")), (b, ("doc_b", "th_b", "b"))) for c, y in zip(("doc", "th", "pos"), own)]
+    named = repeated.withColumn("ctx", F.xxhash64("g1", *_KEYS)).withColumn("own", place)
+    # Written, so that each join deals both sides out anew and can split a passage that is everywhere.
+    contexts = materialise(named.groupBy("ctx").agg(F.min("own").alias("f"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("g1", *_KEYS)]))
+    same = named.select("ctx", "own").join(contexts.filter("n > 1").select("ctx", "f"), "ctx").filter("own <> f").select(*pair("f", "own"))
+    by_key = contexts.select(F.explode(F.array(*_KEYS)).alias("h"), F.col("f").alias("own")).distinct()
+    earliest = materialise(by_key.groupBy("h").agg(F.min("own").alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    alike = by_key.join(earliest, "h").filter("own <> f").select(*pair("f", "own"))
+    order = ["g1", *_KEYS, "doc", "th", "pos"]
+    ranged = contexts.select("g1", *_KEYS, "f.*").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return same.unionByName(alike).unionByName(ranged.mapInArrow(_neighbours, _PAIR))
 
 
 @dataclass(frozen=True)
@@ -204,12 +210,10 @@ def _shared(docs: DataFrame, least_words: int, k: int) -> DataFrame:
         raise ValueError("need 0 < k <= least_words")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("th"), "text")
-    suffixes = rows.mapInArrow(_suffixes(k, least_words - k + 1), _SUFFIX)
+    suffixes = rows.mapInArrow(_suffixes(k, least_words), _SUFFIX)
     # Written, so that the join deals both sides out anew and can split a passage that is everywhere.
-    often = materialise(suffixes.groupBy("g1").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "pos")).alias("f")).filter("n > 1")).select("g1", F.col("f.doc").alias("doc_1"), F.col("f.th").alias("th_1"), F.col("f.pos").alias("pos_1"))
-    repeated = materialise(suffixes.join(often, "g1"))
-    ordered = repeated.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER)
-    pairs = ordered.mapInArrow(_neighbours, _PAIR)
+    often = materialise(suffixes.groupBy("g1").agg(F.count("*").alias("n")).filter("n > 1").select("g1"))
+    pairs = _compared(materialise(suffixes.join(often, "g1")), n)
     by_pair = materialise(pairs.groupBy("doc_a", "th_a", "doc_b", "th_b").agg(F.collect_set(F.struct("a", "b")).alias("hits")))
     wanted = by_pair.select(F.col("doc_a").alias("doc"), F.col("th_a").alias("th")).union(by_pair.select("doc_b", "th_b")).distinct()
     texts = materialise(rows.join(wanted, ["doc", "th"]).select("doc", "th", "text"))

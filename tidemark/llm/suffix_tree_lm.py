@@ -1,290 +1,333 @@
-"""Scoring texts with a probabilistic suffix tree, beside a unigram baseline.
-
-Tokens of a text are its words (A-Z lowered), then one end. The model spells
-them: each word's bytes and a space, then an end symbol. Symbols are the
-``SYMBOLS`` most frequent bytes of the training texts; any other byte is one
-further symbol, with equal shares of its probability. Contexts are up to
-``DEPTH`` symbols. A context is a state of the tree if its next-symbol
-distribution diverges from that of its longest proper suffix (the log
-likelihood gain over the training texts reaches ``min_gain``), or if it is a
-suffix of such a context; it must hold a share ``least_share`` of all training
-symbols, so that each depth has at most ``1 / least_share`` states whatever the
-corpus. State distributions are smoothed toward their suffix's. A symbol is
-scored by the longest state that ends its history.
-
-All training symbols are counted. Word counts are not bounded: each part of the
-corpus sends its distinct words to the part of the vocabulary that counts
-them and gets back their counts, as packed arrays.
+"""Scoring texts with a probabilistic suffix tree of words.
+
+Tokens of a text are its words (A-Z lowered), then one end. A context is the
+words before a token, up to ``depth`` of them. Its next-token distribution is
+smoothed toward that of its suffix, the context without its first word:
+
+    P(w | s) = (n(s, w) + pseudo * P(w | suffix of s)) / (n(s) + pseudo)
+
+and without any context it is the add-one distribution, which is the baseline
+as well. A context is a state of the tree if its suffix is one, if it was seen
+``least`` times, and if its distribution diverges from that of its suffix: the
+log likelihood gained over its training tokens, each left out of the counts
+that predict it, reaches ``min_gain``. A token is scored by the longest state
+that its history ends with.
+
+All training tokens are counted, no count is bounded, and no table is sent to
+every task. Texts are packed in chunks. Each chunk asks for the counts of its
+distinct n-grams, by ranges of their hashes, and gets them back: words, then
+pairs behind words that were seen often enough, and so on; and it sends what it
+knows of the gain of its contexts and gets back which of them are states.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
 from tidemark.llm.storage import materialise
+from tidemark.sources.scratch import scratch_path
 
 _U = np.uint64
-SYMBOLS, OTHER, END, START = 61, 61, 62, 63
-DEPTH = 5
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_INSIDE = T.WORDS_FOLDED.member
-
-
-def spell(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a block's texts as the model reads them, ends as 256, and
-    where each text begins."""
-    inside = _INSIDE[block.data]
-    starts, ends = T.runs(inside, block.offsets)
-    bounds = np.searchsorted(starts, block.offsets)
-    lengths = ends - starts
-    n_docs, n_words = len(block), len(starts)
-    word_doc = np.repeat(np.arange(n_docs), np.diff(bounds))
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    word_at = at[:-1] + np.arange(n_words) + word_doc
-    out = np.full(int(at[-1]) + n_words + n_docs, 256, dtype=np.uint16)
-    out[np.arange(at[-1]) + np.repeat(np.arange(n_words) + word_doc, lengths)] = _LOWER[block.data[inside]]
-    out[word_at + lengths] = 32
-    begins = at[bounds[:-1]] + bounds[:-1] + np.arange(n_docs)
-    return out, begins
-
-
-def histories(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    n = len(symbols)
-    age = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
-    out = np.zeros(n, dtype=np.int64)
-    for j in range(1, DEPTH + 1):
-        previous = np.full(n, START, dtype=np.int64)
-        previous[j:] = symbols[:-j]
-        previous[age < j] = START
-        out |= previous << (6 * (j - 1))
-    return out
-
-
-def _byte_counts(batches):
-    total = np.zeros(257, dtype=np.int64)
-    for batch in batches:
-        for block in T.blocks(batch.column(0)):
-            total += np.bincount(spell(block)[0], minlength=257)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["byte", "n"])
-
-
-def _summed(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code)
-    code, count = code[order], count[order]
-    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return code[starts], np.add.reduceat(count, starts)
-
-
-def _gram_counts(symbol_of: np.ndarray):
-    """Counts of (history, symbol) codes, summed within a task in passes."""
+_END = T.mix(np.array([0x656E64], dtype=_U))
+#: Bytes of text in a chunk, and for each range of hashes.
+CHUNK_BYTES = 16 << 20
+#: Kinds of questions: counts of n-grams behind d words, and from here on gains of contexts of d words.
+STATES = 1000
+#: Spark's bound on the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
+@dataclass(frozen=True)
+class Tree:
+    depth: int = 2
+    least: int = 2
+    min_gain: float = 6.0
+    pseudo: float = 8.0
+
+    def __post_init__(self):
+        if self.depth < 0 or self.least < 2 or self.min_gain <= 0 or self.pseudo <= 0:
+            raise ValueError("need depth >= 0, least >= 2, min_gain > 0 and pseudo > 0")
+
+
+# ---- chunks of texts ----------------------------------------------------------------------------------------
+
+_CHUNK = "part long, rows int, doc_ids binary, nulls binary, held binary, bounds binary, hashes binary, ids binary"
+
+
+def _pack(array: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+
 
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _chunk(part: int, rows: list) -> pa.RecordBatch:
+    """One row: the texts as numbers of their distinct words."""
+    doc_ids, held = pa.concat_arrays([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    hashes, sizes = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
+    distinct, ids = np.unique(hashes, return_inverse=True)
+    blobs = [np.asarray(doc_ids.fill_null(0)), np.asarray(doc_ids.is_null().cast(pa.int8())), held.astype(np.int8), np.append(0, np.cumsum(sizes)), distinct, ids.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(held)], pa.int32()), *(pa.array([_pack(b)], pa.binary()) for b in blobs)], [c.split()[0] for c in _CHUNK.split(", ")])
+
+
+def _chunks(size: int):
     def run(batches):
-        codes, counts, waiting = [], [], 0
+        rows, held_bytes, name = [], 0, None
         for batch in batches:
-            for block in T.blocks(batch.column(0)):
-                spelled, begins = spell(block)
-                symbols = symbol_of[spelled]
-                code, count = np.unique((histories(symbols, begins) << 6) | symbols, return_counts=True)
-                codes.append(code)
-                counts.append(count)
-                waiting += len(code)
-                if waiting > 1_500_000:
-                    code, count = _summed(codes, counts)
-                    codes, counts, waiting = [code], [count], len(code)
-                    if waiting > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
-                        codes, counts, waiting = [], [], 0
-        if codes:
-            code, count = _summed(codes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], ["code", "n"])
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
+            for block in T.blocks(column("text")):
+                words = T.tokens(block, T.WORDS_FOLDED)
+                n = len(block)
+                # An end behind the words of each text.
+                place = np.arange(len(words.hashes)) + words.document
+                hashes = np.full(len(words.hashes) + n, _END[0], dtype=_U)
+                hashes[place] = words.hashes
+                own = slice(block.first, block.first + n)
+                if name is None:
+                    name = column("row")[block.first].as_py()
+                rows.append((column("doc_id").slice(own.start, n), np.asarray(column("held").slice(own.start, n)), hashes, np.diff(words.bounds) + 1))
+                held_bytes += len(block.data)
+                if held_bytes >= size:
+                    yield _chunk(name, rows)
+                    rows, held_bytes, name = [], 0, None
+        if rows:
+            yield _chunk(name, rows)
 
     return run
 
 
-def grow(symbol_of: np.ndarray, rows: pa.Table, min_gain: float, pseudo: float) -> dict:
-    """The tree from counts: rows of depth, history, symbol, n."""
-    depth_of, history, symbol, n = (np.asarray(rows[c].combine_chunks()) for c in ("depth", "history", "symbol", "n"))
-    contexts, smooth, kept = [np.zeros(1, np.int64)], [np.full((1, 64), 1 / 64)], [np.ones(1, bool)]
-    for depth in range(DEPTH + 1):
-        own = depth_of == depth
-        names, row = np.unique(history[own], return_inverse=True)
-        count = np.zeros((len(names), 64))
-        count[row, symbol[own]] = n[own]
-        if depth == 0:
-            if len(names):
-                smooth[0] = (count + 1) / (count.sum() + 64)
-            continue
-        parent = np.searchsorted(contexts[-1], names % (1 << (6 * (depth - 1))))
-        above = smooth[-1][parent]
-        mine = (count + pseudo * above) / (count.sum(axis=1, keepdims=True) + pseudo)
-        keep = (count * np.log(mine / above)).sum(axis=1) >= min_gain
-        contexts.append(names)
-        smooth.append(mine)
-        kept.append(keep)
-        suffix = parent[keep]
-        for upper in range(depth - 1, 0, -1):  # suffixes of states are states
-            kept[upper][suffix] = True
-            suffix = np.searchsorted(contexts[upper - 1], contexts[upper][suffix] % (1 << (6 * (upper - 1))))
-    table = np.log10(np.concatenate([s[k] for s, k in zip(smooth, kept)])).astype(np.float32)
-    table[:, OTHER] -= np.float32(np.log10(max(1, 256 - int((symbol_of[:256] != OTHER).sum()))))
-    return {"symbol_of": symbol_of, "states": [c[k] for c, k in zip(contexts, kept)], "log10": table}
-
-
-def state_of(tree: dict, history: np.ndarray) -> np.ndarray:
-    """The longest state that each history ends with."""
-    states = tree["states"]
-    base = np.cumsum([0] + [len(s) for s in states])
-    if "four" not in tree:
-        four = np.zeros(1 << 24, dtype=np.int32)
-        for depth in range(1, 5):
-            four.reshape(-1, 1 << (6 * depth))[:, states[depth]] = base[depth] + np.arange(len(states[depth]))
-        fifth = np.full((len(states[4]) + 1) * 64, -1, dtype=np.int32)
-        fifth[np.searchsorted(states[4], states[5] & 0xFFFFFF) * 64 + (states[5] >> 24)] = base[5] + np.arange(len(states[5]))
-        tree["four"], tree["fifth"] = four, fifth
-    state = tree["four"][history & 0xFFFFFF]
-    deep = np.flatnonzero(state >= base[4])
-    child = tree["fifth"][(state[deep] - base[4]) * 64 + (history[deep] >> 24)]
-    state[deep] = np.where(child >= 0, child, state[deep])
-    return state
-
-
-def train(texts: DataFrame, min_gain: float = 12.0, pseudo: float = 4.0, least_share: float = 2e-6) -> dict:
-    """The tree of all the given texts (one column)."""
-    seen = {r["byte"]: r["n"] for r in texts.mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    common = sorted((b for b in seen if b < 256), key=lambda b: (-seen[b], b))[:SYMBOLS]
-    symbol_of = np.full(257, OTHER, dtype=np.int64)
-    symbol_of[common] = np.arange(len(common))
-    symbol_of[256] = END
-    grams = texts.mapInArrow(_gram_counts(symbol_of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    by_depth = grams.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)])))
-    history = F.expr("shiftright(code, 6) & (shiftleft(1L, 6 * depth) - 1)")
-    counts = by_depth.groupBy("depth", history.alias("history"), F.expr("code & 63").alias("symbol")).agg(F.sum("n").alias("n"))
-    held = F.sum("n").over(Window.partitionBy("depth", "history"))
-    large = counts.withColumn("held", held).filter((F.col("held") >= F.lit(max(2.0, least_share * sum(seen.values())))) | (F.col("depth") == 0))
-    return grow(symbol_of, large.select("depth", "history", "symbol", "n").toArrow(), min_gain, pseudo)
-
-
-def score_block(block: T.Block, tree: dict) -> np.ndarray:
-    spelled, begins = spell(block)
-    symbols = tree["symbol_of"][spelled]
-    each = tree["log10"][state_of(tree, histories(symbols, begins)), symbols]
-    return np.add.reduceat(each, begins, dtype=np.float64)
-
-
-def _vocabulary(table: pa.Table) -> tuple[list, np.ndarray]:
-    """Distinct word hashes, ascending, of a table's texts, and the texts' words."""
-    words = [T.tokens(block, T.WORDS_FOLDED) for block in T.blocks(table["text"])]
-    each = [w.hashes for w in words]
-    return words, np.unique(np.concatenate(each)) if each else np.empty(0, _U)
-
-
-def _share(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Ends of the ranges of ascending hashes that go to each of n counters."""
-    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(_U)
-    return np.append(np.searchsorted(hashes, edges), len(hashes))
-
-
-def _ask(n: int):
+# ---- asking for counts and states ---------------------------------------------------------------------------
+
+
+def _coded(keys: np.ndarray) -> bytes:
+    """Ascending keys as gaps: four low bytes and one high byte where that is
+    enough, else as they are."""
+    gaps = np.diff(keys, prepend=_U(0))
+    if len(gaps) and int(gaps.max()) >> 40:
+        return b"w" + keys.tobytes()
+    return b"g" + (gaps & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (gaps >> _U(32)).astype(np.uint8).tobytes()
+
+
+def _decoded(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"w":
+        return np.frombuffer(blob, _U, offset=1)
+    n = (len(blob) - 1) // 5
+    return np.cumsum(np.frombuffer(blob, np.uint32, n, 1).astype(_U) | (np.frombuffer(blob, np.uint8, n, 1 + 4 * n).astype(_U) << _U(32)))
+
+
+_ASKED = "kind int, counter int, part long, keys binary, vals binary"
+_ANSWERED = "part long, kind int, counter int, vals binary, seen long, total long"
+
+
+def _asks(part: int, kind: int, keys: np.ndarray, values: np.ndarray, counters: int, bits: int):
+    """Rows that carry ascending keys and a number for each to the counters."""
+    edges = np.array([-(-(c << bits) // counters) for c in range(1, counters)], dtype=_U)
+    ends = np.append(np.searchsorted(keys, edges), len(keys))
+    begins = np.append(0, ends[:-1])
+    for c in np.flatnonzero(ends > begins):
+        own = slice(begins[c], ends[c])
+        yield kind, int(c), part, _coded(keys[own]), values[own].astype(np.int64).tobytes()
+
+
+def _answer(threshold: int):
+    """What all chunks know of each key, back to each chunk that asked: the sum
+    of their numbers, or for gains whether it reaches the threshold."""
+
     def run(table: pa.Table) -> pa.Table:
-        words, distinct = _vocabulary(table)
-        learn = np.asarray(table["learn"].combine_chunks(), dtype=bool)
-        counts = np.zeros(len(distinct), dtype=np.int64)
-        row = 0
-        for w in words:
-            docs = len(w.bounds) - 1
-            own = w.hashes[learn[row : row + docs][w.document]]
-            found, c = np.unique(own, return_counts=True)
-            counts[np.searchsorted(distinct, found)] += c
-            row += docs
-        ends = _share(distinct, n)
-        begins = np.append(0, ends[:-1])
-        some = np.flatnonzero(ends > begins)
+        keys = [_decoded(x.as_py()) for x in table["keys"]]
+        values = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["vals"]])
+        at = np.cumsum([0] + [len(k) for k in keys])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        total = np.add.reduceat(values[order], np.searchsorted(inverse[order], np.arange(len(distinct)))) if len(distinct) else np.empty(0, np.int64)
+        kind = table["kind"][0].as_py()
+        result = (total >= threshold).astype(np.int8) if kind >= STATES else total
+        blobs = [_smallest(result[inverse[at[i] : at[i + 1]]]) for i in range(len(keys))]
+        n = len(keys) + 1  # and one row of sums, for no chunk
         return pa.table({
-            "part": pa.array(np.full(len(some), table["part"][0].as_py()), pa.int32()), "counter": pa.array(some, pa.int32()),
-            "hashes": pa.array([distinct[begins[i] : ends[i]].tobytes() for i in some], pa.binary()),
-            "counts": pa.array([counts[begins[i] : ends[i]].tobytes() for i in some], pa.binary()),
+            "part": pa.array([*table["part"].to_pylist(), None], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "counter": pa.array([table["counter"][0].as_py()] * n, pa.int32()),
+            "vals": pa.array([*blobs, b""], pa.binary()), "seen": pa.array([0] * (n - 1) + [int(np.count_nonzero(total > 0))], pa.int64()), "total": pa.array([0] * (n - 1) + [int(total.sum())], pa.int64()),
         })
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """What all parts counted of each word, back to each part that has it."""
-    hashes = [np.frombuffer(x.as_py(), _U) for x in table["hashes"]]
-    own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])
-    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(total, inverse, own)
-    at = np.cumsum([0] + [len(h) for h in hashes])
-    answers = [total[inverse[at[i] : at[i + 1]]].tobytes() for i in range(len(hashes))]
-    known, tokens = int(np.count_nonzero(total)), int(total.sum())
-    parts = table["part"].to_pylist()
-    return pa.table({
-        "part": pa.array([*parts, -1], pa.int32()), "counter": pa.array([table["counter"][0].as_py()] * (len(parts) + 1), pa.int32()),
-        "counts": pa.array([*answers, b""], pa.binary()), "known": pa.array([*[0] * len(parts), known], pa.int64()), "tokens": pa.array([*[0] * len(parts), tokens], pa.int64()),
-    })
-
-
-_ASKED = "part int, counter int, hashes binary, counts binary"
-_ANSWERED = "part int, counter int, counts binary, known long, tokens long"
-_SCORED = "doc_id long, held_out boolean, n_words long, known_words long, log_counts double, score double"
-
-
-def _score(sent):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if docs.num_rows == 0:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_words": pa.array([], pa.int64()), "known_words": pa.array([], pa.int64()), "log_counts": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        tree = sent.value
-        words, distinct = _vocabulary(docs)
-        order = np.argsort(np.asarray(answers["counter"].combine_chunks())) if answers.num_rows else []
-        blobs = answers["counts"].to_pylist()
-        counts = np.concatenate([np.frombuffer(blobs[i], np.int64) for i in order]) if len(order) else np.zeros(len(distinct), np.int64)
-        logs = np.log10(counts + 1.0)
-        columns = [[], [], [], []]
-        for block, w in zip(T.blocks(docs["text"]), words, strict=True):
-            place = np.searchsorted(distinct, w.hashes)
-            for out, x in ((columns[1], counts[place] > 0), (columns[2], logs[place])):
-                total = np.concatenate([[0], np.cumsum(x)])
-                out.append(total[w.bounds[1:]] - total[w.bounds[:-1]])
-            columns[0].append(np.diff(w.bounds))
-            columns[3].append(score_block(block, tree))
-        n_words, known, log_counts, score = (np.concatenate(c) for c in columns)
-        return pa.table({"doc_id": docs["doc_id"], "held_out": pa.array(~np.asarray(docs["learn"].combine_chunks(), dtype=bool)), "n_words": n_words.astype(np.int64), "known_words": known.astype(np.int64), "log_counts": log_counts.astype(np.float64), "score": score})
+def _smallest(values: np.ndarray) -> bytes:
+    """In the narrowest of one, four and eight bytes, which stands in front."""
+    top = int(values.max()) if len(values) else 0
+    kind = np.int8 if top < 128 else np.int32 if top < 1 << 31 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def _widened(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, {1: np.int8, 4: np.int32, 8: np.int64}[blob[0]], offset=1).astype(np.int64)
+
+
+# ---- what a chunk makes of the answers ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Known:
+    """Sums over all training tokens, once they are known."""
+
+    tokens: int = 0
+    distinct: int = 0
+
+
+def _grouped(answers: pa.Table) -> dict[int, np.ndarray]:
+    """The answers of each kind, in the order of the keys."""
+    found: dict[int, list] = {}
+    for kind, counter, blob in zip(answers["kind"].to_pylist(), answers["counter"].to_pylist(), answers["vals"].to_pylist()):
+        found.setdefault(kind, []).append((counter, blob))
+    return {kind: np.concatenate([_widened(b) for _, b in sorted(rows)]) for kind, rows in found.items()}
+
+
+def _walk(chunk: dict, answers: dict[int, np.ndarray], tree: Tree, known: Known, bits: int):
+    """Goes down the tree level by level, as far as the answers reach. Yields
+    (kind, ascending keys, number of each) to ask for, and at the end (None,
+    counts of the tokens, their probabilities). What is asked for depends on
+    counts alone, so that answers fit whenever they are looked at."""
+    shift = _U(64 - bits)
+    ids, words, bounds = chunk["ids"], chunk["hashes"], chunk["bounds"]
+    age = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+    learned = np.repeat(chunk["held"] == 0, np.diff(bounds))
+    if 0 not in answers:
+        yield 0, words, np.bincount(ids[learned], minlength=len(words))
+        return
+    count = answers[0][ids]  # of the n-gram that ends at a token
+    above = (count + 1.0) / (known.tokens + known.distinct + 1.0)  # the token's probability so far
+    gram, grams = ids.astype(np.int64), words  # number of the n-gram that ends at a token, or -1; hashes by number
+    in_tree = np.ones(len(ids), dtype=bool)  # whether the words before a token are a state so far
+    for d in range(1, tree.depth + 1):
+        seen, context = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
+        seen[1:], context[1:] = count[:-1], gram[:-1]  # of the d words before a token
+        at = np.flatnonzero((age >= d) & (context >= 0) & (seen >= tree.least))
+        n_next = np.zeros(len(at), dtype=np.int64)
+        open_ = np.flatnonzero(count[at] >= 1)  # n(s, w) is at most n(suffix of s, w)
+        asked = at[open_]
+        code, first, inverse = np.unique(context[asked] * len(words) + ids[asked], return_index=True, return_inverse=True)
+        hashes = T.mix(grams[context[asked][first]] * T._WORD_BASE + words[ids[asked][first]] + _U(d))
+        order = np.argsort(hashes, kind="stable")
+        if d not in answers:
+            yield d, hashes[order] >> shift, np.bincount(inverse[learned[asked]], minlength=len(code))[order]
+            return
+        own = np.zeros(len(code), dtype=np.int64)
+        own[order] = answers[d]
+        n_next[open_] = own[inverse]
+        contexts, place = np.unique(context[at], return_inverse=True)
+        by_hash = np.argsort(grams[contexts], kind="stable")
+        if STATES + d not in answers:
+            # A token that is learned from is left out of the counts that predict it; only states have extensions.
+            some = np.flatnonzero(learned[at] & in_tree[at])
+            gain = np.log(((n_next[some] - 1) / above[at[some]] + tree.pseudo) / (seen[at[some]] - 1 + tree.pseudo))
+            total = np.bincount(place[some], weights=gain, minlength=len(contexts))
+            yield STATES + d, grams[contexts][by_hash] >> shift, np.round(total[by_hash] * 1e6)
+        else:
+            state = np.zeros(len(contexts), dtype=bool)
+            state[by_hash] = answers[STATES + d] > 0
+            used = state[place] & in_tree[at]
+            in_tree = np.zeros(len(ids), dtype=bool)
+            in_tree[at] = used
+            above = above.copy()
+            above[at[used]] = (n_next[used] + tree.pseudo * above[at[used]]) / (seen[at[used]] + tree.pseudo)
+        count, gram = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
+        count[at], gram[asked], grams = n_next, inverse, hashes
+    if tree.depth == 0 or STATES + tree.depth in answers:
+        yield None, answers[0][ids], above
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
+
+
+def _opened(chunk: pa.Table) -> dict:
+    kinds = {"doc_ids": np.int64, "nulls": np.int8, "held": np.int8, "bounds": np.int64, "hashes": _U, "ids": np.int32}
+    return {name: _unpack(chunk[name][0].as_py(), kind) for name, kind in kinds.items()}
+
+
+def _step(tree: Tree, known: Known, counters: int, bits: int):
+    """What a chunk asks for next."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        if chunk.num_rows:
+            part = chunk["part"][0].as_py()
+            for kind, keys, numbers in _walk(_opened(chunk), _grouped(answers), tree, known, bits):
+                if kind is not None:
+                    rows.extend(_asks(part, kind, keys, numbers, counters, bits if kind else 64))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({c.split()[0]: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(_ASKED.split(", "), kinds))})
+
+    return run
+
+
+def _first_step(tree: Tree, counters: int, bits: int):
+    step = _step(tree, Known(), counters, bits)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from step(pa.Table.from_batches([batch.slice(i, 1)]), _NO_ANSWERS).to_batches()
+
+    return run
+
+
+_NO_ANSWERS = pa.table({"kind": pa.array([], pa.int32()), "counter": pa.array([], pa.int32()), "vals": pa.array([], pa.binary())})
+
+
+def _scores(tree: Tree, known: Known, bits: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in _SCORED.split(", ")]
+        if not chunk.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
+        own = _opened(chunk)
+        (_, counts, p), = _walk(own, _grouped(answers), tree, known, bits)
+        by_text = lambda x: np.add.reduceat(x, own["bounds"][:-1])
+        return pa.table({
+            "doc_id": pa.array(own["doc_ids"], mask=own["nulls"] > 0), "held_out": pa.array(own["held"] > 0), "n_tokens": pa.array(np.diff(own["bounds"])),
+            "n_known": pa.array(by_text((counts > 0).astype(np.int64))), "log_counts": pa.array(by_text(np.log10(counts + 1.0))), "score": pa.array(by_text(np.log10(p))),
+        })
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: str = "crc32(cast(doc_id AS string)) % 7 = 2") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str = "crc32(cast(doc_id AS string)) % 7 = 2", tree: Tree = Tree(), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score. Only doc_id and text are read.
 
     Rows for which the SQL condition ``held_out`` is true are scored and not
     learned from; where it is null (a null doc_id) the row is learned from. A
     null or wordless text is the end alone. With nothing to learn from, no
-    token is known and the tree has its root only, with equal shares.
+    token is known and both scores are 0. An empty table has no rows.
+    A word's number is a 64-bit hash; longer n-grams are numbered with so many
+    bits that at any size about one in a million shares its number.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (~F.coalesce(F.expr(held_out), F.lit(False))).alias("learn"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
-    learned = rows.filter("learn")
-    n_ends = learned.count()
-    sent = spark.sparkContext.broadcast(train(learned.select("text")))
-    asked = rows.groupBy("part").applyInArrow(_ask(parts), _ASKED)
-    answered = materialise(asked.groupBy("counter").applyInArrow(_answer, _ANSWERED))
-    sums = answered.filter("part = -1").agg(F.sum("known"), F.sum("tokens")).first()
-    n = (sums[1] or 0) + n_ends
-    v = (sums[0] or 0) + (n_ends > 0)
-    scored = rows.groupBy("part").cogroup(answered.filter("part >= 0").select("part", "counter", "counts").groupBy("part")).applyInArrow(_score(sent), _SCORED)
-    n_tokens = F.col("n_words") + 1
-    return scored.select(
-        "doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known_words") + F.lit(int(n_ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_counts") + F.lit(float(np.log10(n_ends + 1.0))) - n_tokens * F.lit(float(np.log10(n + v + 1.0)))).alias("base_score"), "score",
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held"))
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n = max(1, -(-size // chunk_bytes))
+    bits = min(64, 22 + max(1, size).bit_length())
+    # A bucketed table: what is joined to the chunks by their number moves, and the chunks do not.
+    table = f"chunks_{uuid.uuid4().hex}"
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunks(chunk_bytes), _CHUNK)
+    numbered.write.bucketBy(min(n, MOST_BUCKETS), "part").option("path", scratch_path(spark, "chunks")).saveAsTable(table)
+    chunks = spark.table(table)
+    answer = lambda asked: materialise(asked.groupBy("kind", "counter").applyInArrow(_answer(round(tree.min_gain * 1e6)), _ANSWERED))
+    answers = answer(chunks.mapInArrow(_first_step(tree, n, bits), _ASKED))
+    sums = answers.filter("part IS NULL").agg(F.sum("total"), F.sum("seen")).first()
+    known = Known(sums[0] or 0, sums[1] or 0)
+    met = lambda: chunks.groupBy("part").cogroup(answers.filter("part IS NOT NULL").select("part", "kind", "counter", "vals").groupBy("part"))
+    for _ in range(tree.depth + 1 if tree.depth else 0):
+        answers = answers.unionByName(answer(met().applyInArrow(_step(tree, known, n, bits), _ASKED)))
+    scored = materialise(met().applyInArrow(_scores(tree, known, bits), _SCORED))
+    spark.sql(f"DROP TABLE {table}")
+    base = F.col("log_counts") - F.col("n_tokens") * F.lit(float(np.log10(known.tokens + known.distinct + 1.0)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -9,8 +9,6 @@ document stays, goes or is repeated; what remains is put into sixteen shards.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import Winnowing, drop_contaminated
@@ -18,7 +16,8 @@ from tidemark.llm.jaccard_join import Threshold, keep_one_per_group
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import Rules, keep_good
 from tidemark.llm.sharding import shard
-from tidemark.llm.storage import ensure_checkpoint_dir, read
+from tidemark.llm.storage import read
+from tidemark.sources.scratch import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sharded corpus: the columns of documents, and shard, slot, size."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -86,3 +86,26 @@ def test_bands_share_one():
         for m in range(-(-85 * n // 100), n + 1):
             shared = own & {b for b, _ in rule.bands(m)}
             assert shared and all(top >= n for b, top in rule.bands(m) if b in shared)
+
+
+def test_several_components_around_a_centre(spark, same, monkeypatch):
+    """Families that share buckets with one centre and not with each other, in
+    blocks of a few classes, under one doc_id, without any, and with many."""
+    from tidemark.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for family in range(5):
+        own = list(base)
+        for j in range(5):
+            own[(family * 23 + j * 4) % 120] = f"f{family}x{j}"
+        for i in range(7):
+            text = list(own)
+            for j in range(i % 3):
+                text[(i * 31 + j * 17 + family) % 120] = f"e{family}{i}{j}"
+            texts.append(" ".join(text))
+    for ids in (list(range(len(texts))), [7] * len(texts), [None] * len(texts), [i % 3 if i % 2 else None for i in range(len(texts))]):
+        rows = list(zip(ids, texts))
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Threshold(4, 85, 100))
+        same([tuple(r) for r in got.collect()], brute(rows, 4, 85, 100))

@@ -15,10 +15,10 @@ Around this, all of it exact:
   link with none and needs no signatures (a content-selected quarter of the
   shingle domain is counted for this);
 * in a bucket of more than two classes, the most central class (fewest
-  shingles of its own) is compared with the others, and then the classes of
-  all buckets with one such centre, in blocks, where they are not yet in one
-  component. Links within a component add nothing to it, and no table of a
-  group's pairs is made.
+  shingles of its own) is compared with the others. Of the classes of all
+  buckets with one such centre, those outside its largest component are then
+  held against all, in blocks. Links within a component add nothing to it, and
+  no table of a group's pairs is made.
 
 Every candidate pair is checked on the shingles of its whole texts. A shingle
 is a 64-bit hash of its words.
@@ -44,7 +44,7 @@ _U = np.uint64
 #: One in so many shingle values, chosen by the value, is counted in the first bound.
 SAMPLED = 4
 #: Classes of a centre that are held against as many others at a time.
-BLOCK = 512
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -122,8 +122,8 @@ def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in _each(batches, "text"):
             values, document, sizes = shingles(block, k)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).slice(block.first, len(block))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), T.as_long(_classes(values, document, sizes))], ["doc_id", "n", "cls"])
+            named = [batch.column(batch.schema.get_field_index(c)).slice(block.first, len(block)) for c in ("doc_id", "th")]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(sizes.astype(np.int64)), T.as_long(_classes(values, document, sizes))], ["doc_id", "th", "n", "cls"])
 
     return run
 
@@ -219,15 +219,12 @@ def _own_counts(shingle_rows: DataFrame) -> DataFrame:
 
 
 def _compare(rule: Threshold):
-    """Links between the differently labelled classes of two blocks of one
-    centre; of links that close a circle, none is needed."""
+    """Links between differently labelled classes of a block of those apart and
+    a block of all; of links that close a circle, none is needed."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, labels, side = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "b"))
-        if table["i"][0].as_py() == table["j"][0].as_py():
-            one = two = np.arange(len(names))
-        else:
-            one, two = np.flatnonzero(side == table["i"][0].as_py()), np.flatnonzero(side == table["j"][0].as_py())
+        names, labels, apart = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "apart"))
+        one, two = np.flatnonzero(apart), np.flatnonzero(~apart.astype(bool))
         values, document, sizes, base = [], [], [], 0
         for block in T.blocks(table["text"]):
             v, d, n = shingles(block, rule.k)
@@ -271,26 +268,36 @@ def _compare(rule: Threshold):
 def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     """Links (a, b) between classes of one centre that have different labels.
 
-    The classes of a centre are cut into blocks of about ``BLOCK``; two blocks
-    at a time are compared in a task, so no task holds a large group and no
-    table holds its pairs."""
-    # Written, so that the join deals both sides out anew and can split a large group.
-    blocks = materialise(rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")))
-    dealt = rest.join(blocks, "centre").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
-    dealt = dealt.select("centre", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls", "label")
+    Those outside the label that most classes of a centre have are apart; each
+    such link has one of them. Both those apart and all are cut into blocks of
+    about ``BLOCK``; a block of either is compared in a task, so no task holds
+    a large group and no table holds its pairs."""
+    # Written, so that each join deals both sides out anew and can split a large group.
+    sizes = materialise(rest.groupBy("centre", "label").agg(F.count("*").alias("n")))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    mains = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    mains = materialise(mains.select("centre", "main", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("nm")))
+    named = rest.join(mains, "centre")
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    every = named.withColumns({"i": own("nb"), "apart": F.lit(False)}).withColumn("j", each("nm"))
+    apart = named.filter("label <> main").withColumns({"j": own("nm"), "apart": F.lit(True)}).withColumn("i", each("nb"))
+    dealt = every.unionByName(apart).select("centre", "i", "j", "apart", "cls", "label")
     return dealt.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
 
 
 def _labelled(docs: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cls) of each row, and (cls, label, least_id) of each class:
     classes of one component have one label."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialise(rows.mapInArrow(_describe(rule.k), "doc_id long, n long, cls long"))
-    classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key"), F.first("n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    described = materialise(rows.mapInArrow(_describe(rule.k), "doc_id long, th long, n long, cls long"))
+    # The doc_id and text of a class by which its text is found again: no other text has both.
+    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("th").alias("t"))
+    classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(key).alias("key"), F.first("n").alias("n"))
     alone = _own_counts(rows.mapInArrow(_explode(rule.k, SAMPLED), "h long, cls long"))
     # With u of n shingles its own, a class has at most n - u in common with a set of at least as many.
-    open_ = classes.join(alone, "cls", "left").filter(f"{rule.den} * (n - coalesce(u, 0)) >= {rule.num} * n").select("cls", "key")
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).join(open_, "key").select("cls", "text")
+    open_ = classes.join(alone, "cls", "left").filter(f"{rule.den} * (n - coalesce(u, 0)) >= {rule.num} * n").select("cls", F.col("key.id").alias("id"), F.col("key.t").alias("th"))
+    keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(open_, ["id", "th"]).select("cls", "text")
     texts = materialise(keyed.mapInArrow(_keep_named(rule.k), "cls long, text string").dropDuplicates(["cls"]))
     signed = materialise(texts.mapInArrow(_sign(rule), "sig long, cls long, n long"))
     buckets = materialise(signed.groupBy("sig").agg(F.count("*").alias("m"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.min("n").alias("low"), F.max("n").alias("high")).filter("m > 1"))
@@ -309,8 +316,9 @@ def _labelled(docs: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
     # Buckets with one centre are taken together: two classes that share a bucket share its centre.
     around = members.join(centres.select("sig", F.col("cls").alias("centre")), "sig").select("centre", "cls").distinct()
     named = materialise(around.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-    mixed = named.groupBy("centre").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("centre")
-    second = materialise(_across_labels(named.join(mixed, "centre"), texts, rule))
+    # Written, so that the join knows its size, or else deals both sides out anew and can split a large centre.
+    mixed = materialise(named.groupBy("centre").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("centre"))
+    second = materialise(_across_labels(materialise(named.join(mixed, "centre")), texts, rule))
     final = connected_components(first.unionByName(second))
 
     labelled = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))

@@ -58,19 +58,21 @@ def test_lines_of_any_length(spark):
     rows = [(1, f"a\n{line}\n\nb {long_one[4:]}"), (2, f"c\n{line}\nd. {long_one}"), (3, f"{line}\n\n{long_one}\ne"), (4, f"e\n\n{long_one} e"), (5, "x y\nz"), (6, "w\n\nx  Y\nz\n")]
     made = spark.createDataFrame(rows, "doc_id long, text string")
     text = dict(rows)
-    got = sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.kept_doc_id, r.kept_start, r.n_occurrences) for r in repeated_passages(made).collect())
+    got = sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.kept_doc_id, r.kept_start, r.n_occurrences) for r in repeated_passages(made, {"line": 1, "paragraph": 1, "sentence": 8}).collect())
     assert got == [
         (2, line, 1, 2, 3), (3, line, 1, 2, 3), (3, long_one, 2, 35, 3), (4, "e", 3, 72, 2), (4, long_one, 2, 35, 3), (4, f"{long_one} e", 3, 31, 2),
         (6, "x  Y", 5, 0, 2), (6, "x  Y\nz", 5, 0, 2), (6, "z", 5, 4, 2),
     ]
 
 
-def test_the_query_removes_lines(spark, tmp_path):
+def test_the_query_removes_lines_and_paragraphs(spark, tmp_path):
     from tidemark.llm.queries import op1_substring_dedup
 
-    rows = [(1, "Short line\nothers"), (2, "none\nshort  line"), (3, None)]
+    line = "a line. of short ones. that has. thirteen words. or more. in all of. it"
+    rows = [(1, f"Short line\nothers\n{line}\n\nshort paragraph"), (2, f"none\nshort  line\n{line.upper()}\n\nShort paragraph\n"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in op1_substring_dedup(spark, str(tmp_path)).collect()] == [(2, 5, 16, 1, 0, 2)]
+    got = sorted(tuple(r) for r in op1_substring_dedup(spark, str(tmp_path)).collect())
+    assert [(r[0], rows[1][1][r[1] : r[2]], *r[3:]) for r in got] == [(2, line.upper(), 1, 18, 2), (2, "Short paragraph", 1, 91, 2)]
 
 
 def test_texts_that_share_a_doc_id(spark):

@@ -19,8 +19,8 @@ from tidemark.llm.storage import columns_free, materialise
 
 _U = np.uint64
 UNITS = ("sentence", "line", "paragraph")
-#: Lines and paragraphs of any length, and sentences from eight words on.
-FLOORS = {"line": 1, "paragraph": 1, "sentence": 8}
+#: Paragraphs of any length; lines and sentences from thirteen words on, as short ones repeat by chance.
+FLOORS = {"line": 13, "paragraph": 1, "sentence": 13}
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 #: The same words with other values, for the second half of the digest.

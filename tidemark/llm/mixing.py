@@ -5,7 +5,8 @@ row, by size and then doc_id; each is expected ``target / source size`` times.
 The prefix sums of these expectations, plus one random offset for the source,
 cross an integer so many times in a document: that many copies are taken. As
 the row is ordered by size, the words taken stay within about one largest
-document of the target.
+document of the target; of ``OFFSETS`` random offsets the one is used with which
+they come nearest to it.
 
 The row of a source is cut by ranges into partitions: ranks within partitions
 and the counts of the partitions before give prefix sums, so that no source
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import columns_free, materialise
 
 _SPACES = " \t\n\x0b\x0c\r"
+OFFSETS = 16
 
 
 def word_count(text: str):
@@ -76,10 +78,16 @@ def sampling_plan(docs: DataFrame, seed: int = 17, **rule) -> DataFrame:
     ranked = placed.join(parts, placed["source"].eqNullSafe(parts["s"]) & (placed["part"] == parts["p"])).drop("s", "p")
     ranked = ranked.join(targets, ranked["source"].eqNullSafe(targets["s"])).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rank = F.col("before") + F.col("row") - F.col("first_row")
-    copies = F.floor(rate * (rank + 1) + offset) - F.floor(rate * rank + offset)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    ranked = ranked.withColumns({"rate": rate, "rank": F.col("before") + F.col("row") - F.col("first_row")}).select("doc_id", "source", "size", "source_size", "target", "rate", "rank")
+    # The words that each offset would take of each source, in one aggregate; the nearest to the target is used.
+    copies = lambda offset: F.floor(F.col("rate") * (F.col("rank") + 1) + offset) - F.floor(F.col("rate") * F.col("rank") + offset)
+    named = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
+    offset = lambda i: F.conv(F.substring(F.md5(F.concat(named, F.lit(f"|{seed}|{i}"))), 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
+    drawn = ranked.groupBy("source", "target").agg(*[F.sum(F.col("size") * copies(offset(i))).alias(f"t{i}") for i in range(OFFSETS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), F.lit(i), offset(i).alias("offset")) for i in range(OFFSETS)]))
+    drawn = drawn.select(F.col("source").alias("s"), best["offset"].alias("offset"))  # one row for each source
+    ranked = ranked.join(drawn, ranked["source"].eqNullSafe(drawn["s"])).drop("s")
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies(F.col("offset")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 17, **rule) -> DataFrame:
@@ -90,11 +98,11 @@ def mix(docs: DataFrame, seed: int = 17, **rule) -> DataFrame:
     order of their texts, so that what is taken of them does not depend on
     their order in the table.
     """
-    key, size, source, number, at, copies, other = columns_free(docs, "key", "size", "source", "number", "at", "copies", "other")
-    plan = sampling_plan(docs, seed, **rule).select(F.coalesce("doc_id", F.lit(-(2**63))).alias(key), F.coalesce("source", F.lit("\0")).alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
-    same = [key, source, size]
-    plan = plan.filter(f"{copies} > 0").withColumn(number, F.row_number().over(Window.partitionBy(*same).orderBy(F.col(copies).desc())))
-    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), source: F.coalesce(F.col("source").cast("string"), F.lit("\0")), size: word_count("text")})
-    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"))))
-    taken = rows.join(plan, [*same, number])
+    key, number, at, copies = columns_free(docs, "key", "number", "at", "copies")
+    same = lambda size: F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("n"))
+    plan = sampling_plan(docs, seed, **rule).filter("copies > 0").select(same(F.col("size")).alias(key), F.col("copies").alias(copies))
+    plan = plan.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.col(copies).desc())))
+    rows = docs.withColumn(key, same(word_count("text")))
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))))
+    taken = rows.join(plan, [key, number])
     return taken.withColumn(at, F.explode(F.expr(f"sequence(1L, {copies})"))).select(docs.columns)

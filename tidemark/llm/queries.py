@@ -15,7 +15,7 @@ from tidemark.llm.mixing import sampling_plan
 from tidemark.llm.quality import Rules, judge
 from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
-from tidemark.llm.substring_dedup import repeated_passages
+from tidemark.llm.substring_dedup import FLOORS, repeated_passages
 from tidemark.llm.suffix_dedup import shared_passages
 from tidemark.llm.suffix_tree_lm import score_texts
 
@@ -23,9 +23,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and paragraphs of any length, and sentences of eight words or
-    more, that stand earlier in the corpus."""
-    return repeated_passages(read(spark, sf_dir, "documents"), {"line": 1, "paragraph": 1, "sentence": 8})
+    """Paragraphs of any length, and lines and sentences of thirteen words or
+    more, that stand earlier in the corpus. Shorter lines repeat in half of all
+    documents by chance."""
+    return repeated_passages(read(spark, sf_dir, "documents"), FLOORS)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffix tree of up to five symbols beside add-one unigrams."""
+    """Suffix tree of up to two words of context over add-one unigrams."""
     return score_texts(read(spark, sf_dir, "documents"))
 
 
@@ -107,3 +108,50 @@ SELECT id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words ON words.doc_id = w.id LEFT JOIN items ON items.doc_id = w.id WHERE kind = 'd'
 """
+
+_WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+
+_SEPARATORS = "' ', chr(9), chr(10), chr(11), chr(12), chr(13)"
+
+ORACLES["op1_substring_dedup"] = f"""
+WITH chars AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS ch, unnest(range(len(string_split(coalesce(text, ''), '')))) AS pos FROM documents),
+marked AS (SELECT doc_id, pos, ch, ch NOT IN ({_SEPARATORS}) AS inside, sum(CAST(ch = chr(10) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS line FROM chars WHERE ch <> ''),
+begun AS (SELECT *, inside AND NOT coalesce(lag(inside) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM marked),
+numbered AS (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS word FROM begun),
+words AS (SELECT doc_id, word, min(pos) AS w_start, max(pos) + 1 AS w_end, max(line) AS line, translate(string_agg(ch, '' ORDER BY pos), '{_UPPER}', '{_LOWER}') AS w FROM numbered WHERE inside GROUP BY doc_id, word),
+gaps AS (SELECT *, line - lag(line) OVER (PARTITION BY doc_id ORDER BY word) AS gap, right(lag(w) OVER (PARTITION BY doc_id ORDER BY word), 1) IN ('.', '!', '?') AS stopped FROM words),
+kinds AS (SELECT *, 'line' AS kind, gap >= 1 AS cut, {FLOORS["line"]} AS least FROM gaps UNION ALL SELECT *, 'paragraph', gap >= 2, {FLOORS["paragraph"]} FROM gaps UNION ALL SELECT *, 'sentence', gap >= 1 OR stopped, {FLOORS["sentence"]} FROM gaps),
+parted AS (SELECT *, sum(CAST(coalesce(cut, false) AS INTEGER)) OVER (PARTITION BY doc_id, kind ORDER BY word ROWS UNBOUNDED PRECEDING) AS unit FROM kinds),
+units AS (SELECT DISTINCT doc_id, u_start, u_end, name FROM (SELECT doc_id, kind, unit, min(w_start) AS u_start, max(w_end) AS u_end, string_agg(w, ' ' ORDER BY word) AS name, count(*) AS n, max(least) AS least FROM parted GROUP BY doc_id, kind, unit) WHERE n >= least),
+ranked AS (SELECT *, first_value(doc_id) OVER (PARTITION BY name ORDER BY doc_id, u_start) AS kept_doc_id, first_value(u_start) OVER (PARTITION BY name ORDER BY doc_id, u_start) AS kept_start, count(*) OVER (PARTITION BY name) AS n_occurrences FROM units)
+SELECT doc_id, u_start AS start, u_end AS "end", kept_doc_id, kept_start, n_occurrences FROM ranked WHERE NOT (doc_id = kept_doc_id AND u_start = kept_start)
+"""
+
+ORACLES["op4_source_mixing"] = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS_SQL}) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM sized GROUP BY source),
+weighed AS (SELECT source, source_size, CAST((k - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS every FROM totals),
+filled AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM weighed),
+leveled AS (SELECT *, (every - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM filled),
+water AS (SELECT level AS top FROM leveled WHERE level * weight <= cap ORDER BY place LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM water) = 0 THEN cap ELSE least(cap, (SELECT top FROM water) * weight) END AS target FROM leveled),
+ranked AS (SELECT doc_id, s.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id NULLS LAST) - 1 AS rank
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+offsets AS (SELECT source, i, CAST(CAST(concat('0x', substr(md5(concat(CASE WHEN source IS NULL THEN '0' ELSE '1' END, coalesce(source, ''), '|17|', i)), 1, 7)) AS BIGINT) AS DOUBLE) / 268435456.0 AS o FROM totals, (SELECT unnest(range(16)) AS i)),
+tried AS (SELECT r.source, i, o, abs(sum(size * (floor(rate * (rank + 1) + o) - floor(rate * rank + o))) - max(target)) AS miss FROM ranked r JOIN offsets f ON r.source IS NOT DISTINCT FROM f.source GROUP BY 1, 2, 3),
+best AS (SELECT source, o FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, i) AS n FROM tried) WHERE n = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate * (rank + 1) + o) - floor(rate * rank + o)) AS BIGINT) AS taken, CAST(floor(rate * (rank + 1) + o) - floor(rate * rank + o) AS BIGINT) AS copies
+FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+"""
+
+ORACLES["op7_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS t(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reached.doc_id, y FROM reached JOIN edges ON x = other),
+least_ids AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN least_ids USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

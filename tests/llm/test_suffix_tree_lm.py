@@ -68,7 +68,7 @@ def test_against_dictionaries(odd, documents, same, tree, chunk):
         got = [tuple(r) for r in score_texts(docs, tree=tree, chunk_bytes=chunk).collect()]
         want, states = brute(pairs(docs), tree)
         same(got, want, places=5)
-        assert states > (10 if tree.depth else 0)
+        assert docs is odd or states > (30 if tree.depth else 0)
 
 
 def test_empty_and_nothing_to_learn_from(odd, none, spark):
@@ -98,6 +98,13 @@ def test_more_of_the_same_keeps_every_state(spark):
     assert all(after[i] > 0.8 * before[i] > 0 for i in range(40))
 
 
+def test_chunks_with_nothing_to_ask(spark, same):
+    """Some chunks end early in the tree, others do not."""
+    rows = [(1, "a"), (2, None), (3, "x y z " * 30), (4, "x y z " * 30), (5, "lone words here"), (6, ""), (7, "x y z")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same([tuple(r) for r in score_texts(made, chunk_bytes=1).collect()], brute(rows)[0], places=5)
+
+
 def test_keys_round_trip():
     r = np.random.default_rng(1)
     for keys in (np.empty(0), r.integers(0, 1 << 63, 500), r.integers(0, 1 << 20, 500), np.array([0, 0, 5, (1 << 40) - 1 + 5]), np.array([1 << 41])):

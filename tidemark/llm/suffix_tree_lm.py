@@ -38,9 +38,11 @@ from tidemark.sources.scratch import scratch_path
 _U = np.uint64
 _END = T.mix(np.array([0x656E64], dtype=_U))
 #: Bytes of text in a chunk, and for each range of hashes.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Kinds of questions: counts of n-grams behind d words, and from here on gains of contexts of d words.
 STATES = 1000
+#: Gains are summed as whole numbers of this part of a nat.
+GRAIN = 10_000
 #: Spark's bound on the buckets of a table.
 MOST_BUCKETS = 100_000
 
@@ -57,17 +59,32 @@ class Tree:
             raise ValueError("need depth >= 0, least >= 2, min_gain > 0 and pseudo > 0")
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending order of the values, where a new value starts in it, and the
+    number of each value."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
 # ---- chunks of texts ----------------------------------------------------------------------------------------
 
 _CHUNK = "part long, rows int, doc_ids binary, nulls binary, held binary, bounds binary, hashes binary, ids binary"
 
 
 def _pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+    """Compressed, all first bytes of the numbers before all second ones."""
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _chunk(part: int, rows: list) -> pa.RecordBatch:
@@ -135,7 +152,7 @@ def _asks(part: int, kind: int, keys: np.ndarray, values: np.ndarray, counters:
     begins = np.append(0, ends[:-1])
     for c in np.flatnonzero(ends > begins):
         own = slice(begins[c], ends[c])
-        yield kind, int(c), part, _coded(keys[own]), values[own].astype(np.int64).tobytes()
+        yield kind, int(c), part, _coded(keys[own]), _smallest(values[own])
 
 
 def _answer(threshold: int):
@@ -144,14 +161,13 @@ def _answer(threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys = [_decoded(x.as_py()) for x in table["keys"]]
-        values = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["vals"]])
+        values = np.concatenate([_widened(x.as_py()) for x in table["vals"]])
         at = np.cumsum([0] + [len(k) for k in keys])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        total = np.add.reduceat(values[order], np.searchsorted(inverse[order], np.arange(len(distinct)))) if len(distinct) else np.empty(0, np.int64)
+        order, starts, number = _numbered(np.concatenate(keys))
+        total = np.add.reduceat(values[order], starts) if len(starts) else np.empty(0, np.int64)
         kind = table["kind"][0].as_py()
         result = (total >= threshold).astype(np.int8) if kind >= STATES else total
-        blobs = [_smallest(result[inverse[at[i] : at[i + 1]]]) for i in range(len(keys))]
+        blobs = [_smallest(result[number[at[i] : at[i + 1]]]) for i in range(len(keys))]
         n = len(keys) + 1  # and one row of sums, for no chunk
         return pa.table({
             "part": pa.array([*table["part"].to_pylist(), None], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "counter": pa.array([table["counter"][0].as_py()] * n, pa.int32()),
@@ -163,8 +179,8 @@ def _answer(threshold: int):
 
 def _smallest(values: np.ndarray) -> bytes:
     """In the narrowest of one, four and eight bytes, which stands in front."""
-    top = int(values.max()) if len(values) else 0
-    kind = np.int8 if top < 128 else np.int32 if top < 1 << 31 else np.int64
+    low, top = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    kind = next(k for k in (np.int8, np.int32, np.int64) if np.iinfo(k).min <= low and top <= np.iinfo(k).max)
     return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
 
 
@@ -206,7 +222,7 @@ def _walk(chunk: dict, answers: dict[int, np.ndarray], tree: Tree, known: Known,
     count = answers[0][ids]  # of the n-gram that ends at a token
     above = (count + 1.0) / (known.tokens + known.distinct + 1.0)  # the token's probability so far
     gram, grams = ids.astype(np.int64), words  # number of the n-gram that ends at a token, or -1; hashes by number
-    in_tree = np.ones(len(ids), dtype=bool)  # whether the words before a token are a state so far
+    in_tree, waiting = np.ones(len(ids), dtype=bool), False  # whether the words before a token are a state so far
     for d in range(1, tree.depth + 1):
         seen, context = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
         seen[1:], context[1:] = count[:-1], gram[:-1]  # of the d words before a token
@@ -214,34 +230,38 @@ def _walk(chunk: dict, answers: dict[int, np.ndarray], tree: Tree, known: Known,
         n_next = np.zeros(len(at), dtype=np.int64)
         open_ = np.flatnonzero(count[at] >= 1)  # n(s, w) is at most n(suffix of s, w)
         asked = at[open_]
-        code, first, inverse = np.unique(context[asked] * len(words) + ids[asked], return_index=True, return_inverse=True)
-        hashes = T.mix(grams[context[asked][first]] * T._WORD_BASE + words[ids[asked][first]] + _U(d))
-        order = np.argsort(hashes, kind="stable")
-        if d not in answers:
-            yield d, hashes[order] >> shift, np.bincount(inverse[learned[asked]], minlength=len(code))[order]
+        order, starts, number = _numbered(context[asked] * len(words) + ids[asked])
+        one = asked[order[starts]]  # one token for each of the n-grams
+        hashes = T.mix(grams[context[one]] * T._WORD_BASE + words[ids[one]] + _U(d))
+        by_hash = np.argsort(hashes)
+        if len(one) and d not in answers:
+            yield d, hashes[by_hash] >> shift, np.bincount(number[learned[asked]], minlength=len(one))[by_hash]
             return
-        own = np.zeros(len(code), dtype=np.int64)
-        own[order] = answers[d]
-        n_next[open_] = own[inverse]
-        contexts, place = np.unique(context[at], return_inverse=True)
-        by_hash = np.argsort(grams[contexts], kind="stable")
-        if STATES + d not in answers:
+        own = np.zeros(len(one), dtype=np.int64)
+        own[by_hash] = answers.get(d, own)
+        n_next[open_] = own[number]
+        there = np.zeros(len(grams), dtype=bool)
+        there[context[at]] = True
+        contexts, place = np.flatnonzero(there), (np.cumsum(there) - 1)[context[at]]
+        by_hash = np.argsort(grams[contexts])
+        waiting = len(contexts) > 0 and STATES + d not in answers
+        if waiting:
             # A token that is learned from is left out of the counts that predict it; only states have extensions.
             some = np.flatnonzero(learned[at] & in_tree[at])
             gain = np.log(((n_next[some] - 1) / above[at[some]] + tree.pseudo) / (seen[at[some]] - 1 + tree.pseudo))
             total = np.bincount(place[some], weights=gain, minlength=len(contexts))
-            yield STATES + d, grams[contexts][by_hash] >> shift, np.round(total[by_hash] * 1e6)
+            yield STATES + d, grams[contexts][by_hash] >> shift, np.round(total[by_hash] * GRAIN).astype(np.int64)
         else:
             state = np.zeros(len(contexts), dtype=bool)
-            state[by_hash] = answers[STATES + d] > 0
+            state[by_hash] = answers.get(STATES + d, state) > 0
             used = state[place] & in_tree[at]
             in_tree = np.zeros(len(ids), dtype=bool)
             in_tree[at] = used
             above = above.copy()
             above[at[used]] = (n_next[used] + tree.pseudo * above[at[used]]) / (seen[at[used]] + tree.pseudo)
         count, gram = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -1, dtype=np.int64)
-        count[at], gram[asked], grams = n_next, inverse, hashes
-    if tree.depth == 0 or STATES + tree.depth in answers:
+        count[at], gram[asked], grams = n_next, number, hashes
+    if not waiting:
         yield None, answers[0][ids], above
 
 
@@ -320,7 +340,7 @@ def score_texts(docs: DataFrame, held_out: str = "crc32(cast(doc_id AS string))
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunks(chunk_bytes), _CHUNK)
     numbered.write.bucketBy(min(n, MOST_BUCKETS), "part").option("path", scratch_path(spark, "chunks")).saveAsTable(table)
     chunks = spark.table(table)
-    answer = lambda asked: materialise(asked.groupBy("kind", "counter").applyInArrow(_answer(round(tree.min_gain * 1e6)), _ANSWERED))
+    answer = lambda asked: materialise(asked.groupBy("kind", "counter").applyInArrow(_answer(round(tree.min_gain * GRAIN)), _ANSWERED))
     answers = answer(chunks.mapInArrow(_first_step(tree, n, bits), _ASKED))
     sums = answers.filter("part IS NULL").agg(F.sum("total"), F.sum("seen")).first()
     known = Known(sums[0] or 0, sums[1] or 0)

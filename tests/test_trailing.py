@@ -81,14 +81,25 @@ def test_vectors_and_reranking(spark):
     assert plain.emb_count == 2 and plain.emb_nearest_price == 4.0  # the null price goes after ranking
 
 
-def test_top_k_needs_no_second_exchange(spark):
-    made = spark.createDataFrame([sale(i, i) for i in range(20)], SALE)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        plan = R.comparable_pairs(made, ["district", "kind"], 365, 2)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+def test_blocks_and_ties_of_a_large_group(spark, monkeypatch):
+    """Blocks of a few rows, many equal distances, missing values: the same top
+    k as ranking all pairs."""
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "ROWS", 3)
+    rows = [sale(i, 1 + i % 9) for i in range(60)]
+    made = spark.createDataFrame(rows, SALE).withColumns({"area": F.when(F.col("sale_id") % 5 != 0, (F.col("sale_id") % 4).cast("double")), "age": F.when(F.col("sale_id") % 7 != 0, F.lit(3.0)), "price": F.when(F.col("sale_id") % 11 != 0, F.col("price"))})
+    got = {(r.sale_id, r.c_sale_id, r["rank"]) for r in R.comparable_pairs(made, ["district", "kind"], 6, 4).collect()}
+    x, y = made.alias("x"), made.alias("y")
+    c = lambda n: F.col(n)
+    days = F.datediff("x.trade_date", "y.trade_date")
+    every = x.join(y, c("x.district").eqNullSafe(c("y.district")) & c("x.kind").eqNullSafe(c("y.kind")) & days.between(1, 6)).filter("y.price IS NOT NULL")
+    from pyspark.sql import Window
+
+    from tidemark.functions.scalars import similarity_distance
+
+    distance = F.round(similarity_distance(c("x.area"), c("y.area"), c("x.age"), c("y.age"), days, 6, c("x.floor_ratio"), c("y.floor_ratio"), c("x.has_parking"), c("y.has_parking")), 9)
+    ranked = every.select(c("x.sale_id").alias("a"), c("y.sale_id").alias("b"), distance.alias("d"), c("y.trade_date").alias("day")).withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", F.desc("day"), "b")))
+    assert got == {(r.a, r.b, r.n) for r in ranked.filter("n <= 4").collect()} and len(got) > 150
 
 
 def test_rows_without_a_date(spark):

@@ -101,3 +101,23 @@ def test_contract():
     assert c.extend(["d", "a"]).numeric_features == ("a", "comp_b", "d")
     assert c.substitute("comp_", ["emb"]).numeric_features == ("a", "emb")
     assert c.without(["a"]).numeric_features == ("comp_b",)
+
+
+def test_quantiles_and_ranks_by_counting(spark):
+    """Ties, nulls, null keys, groups over many ranges: as numpy has them."""
+    import numpy as np
+
+    from tidemark.operators.ordering import counted_before, quantiles
+
+    r = np.random.default_rng(5)
+    rows = [(k, float(v) if r.random() > 0.1 else None) for k, n in (("a", 900), (None, 50), ("c", 1), ("b", 7)) for v in r.integers(0, 60, n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    held = {k: [v for kk, v in rows if kk == k and v is not None] for k in ("a", None, "b", "c")}
+    shares = [0.0, 0.013, 0.5, 0.99, 1.0]
+    for r in quantiles(df, "v", shares, "k").collect():
+        assert list(r)[1:] == pytest.approx(np.quantile(held[r.k], shares).tolist())
+    every = [v for _, v in rows if v is not None]
+    assert list(quantiles(df, "v", shares).first()) == pytest.approx(np.quantile(every, shares).tolist())
+    for r in counted_before(df.filter("v IS NOT NULL"), ["k"], "v").collect():
+        assert (r.n, r.before) == (held[r.k].count(r.v), sum(x < r.v for x in held[r.k]))
+    assert quantiles(df.filter("v > 1000"), "v", shares, "k").count() == 0

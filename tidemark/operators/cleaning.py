@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.ordering import quantiles
 
 # What the housing data calls things.
 RESIDENTIAL_TYPES = ("住宅大樓", "華廈", "公寓", "套房", "透天厝")
@@ -51,9 +52,9 @@ def filter_audit(df: DataFrame, steps: list[Step]) -> DataFrame:
 
 def quantile_trim(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows between two exact, linearly interpolated quantiles, both inclusive.
-    The bounds are one row, whatever the size."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(bounds)).filter(F.col(column).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    The bounds are found by counting, and are one row whatever the size."""
+    bounds = quantiles(df, column, [low, high])
+    return df.crossJoin(F.broadcast(bounds)).filter(F.col(column).between(F.col("q0"), F.col("q1"))).drop("q0", "q1")
 
 
 def keep_last(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.ordering import counted_before, quantiles
 
 PRICE_EDGES = (0, 50, 80, 120)
 PRICE_LABELS = ("0-50", "50-80", "80-120", "120+")
@@ -19,7 +20,7 @@ def median_baselines(members: DataFrame, levels: dict[str, list[str]], target: s
     level the training median of its keys, with the medians of ever fewer keys
     and at last of all rows where a group was not seen. No loop over folds."""
     train = members.filter("split = 'train'")
-    total = train.groupBy("fold_id").agg(F.median(target).alias("m_all"))
+    total = quantiles(train, target, [0.5], "fold_id").withColumnRenamed("q0", "m_all")
     out = members.join(F.broadcast(total), "fold_id")  # one row for each fold
     prefixes: dict[tuple, str] = {}
     for keys in levels.values():
@@ -70,9 +71,16 @@ def segment_metrics(predictions: DataFrame, value: str = "y_true") -> DataFrame:
 
 def rank_correlation(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     """n, pearson, spearman (average ranks) by group; null for n < 2."""
-    keys = list(groups) or [F.lit(1)]
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-    ranked = df.filter(_finite(x) & _finite(y)).withColumns({"_rx": rank(x), "_ry": rank(y)})
+    good = df.filter(_finite(x) & _finite(y))
+    ranked = good
+    for column, rank in ((x, "_rx"), (y, "_ry")):
+        # The mean rank of a value from counts: no task sorts a whole group.
+        values = counted_before(good, list(groups), column)
+        own = values.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(column).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(rank))
+        match = ranked[column] == own["_v"]
+        for i, g in enumerate(groups):
+            match &= ranked[g].eqNullSafe(own[f"_g{i}"])
+        ranked = ranked.join(own, match).drop("_v", *[f"_g{i}" for i in range(len(groups))])
     two = F.count("*") > 1
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.when(two, F.corr(x, y)).alias("pearson"), F.when(two, F.corr("_rx", "_ry")).alias("spearman"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import positions
 from tidemark.schema import require_columns
 
 
@@ -67,7 +68,8 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def levels(df: DataFrame, column: str) -> DataFrame:
     """(value, n, level): levels of a column numbered by frequency."""
-    return value_counts(df, column).withColumn("level", F.row_number().over(Window.orderBy(F.col("n").desc(), "value")))
+    counts = value_counts(df, column).withColumn("_less", -F.col("n"))
+    return positions(counts, ["_less", "value"]).select("value", "n", (F.col("position") + 1).cast("int").alias("level"))
 
 
 def same_row_count(before: DataFrame, after: DataFrame) -> None:

@@ -124,7 +124,7 @@ def group_median(spark, sf_dir):
 
 @query("A02_global_median", "SELECT round(median(o_totalprice), 4) AS median_price FROM orders")
 def global_median(spark, sf_dir):
-    return read(spark, sf_dir, "orders").agg(F.round(F.median("o_totalprice"), 4).alias("median_price"))
+    return O.quantiles(read(spark, sf_dir, "orders"), "o_totalprice", [0.5]).select(F.round("q0", 4).alias("median_price"))
 
 
 @query("T04_extreme_rows", """SELECT event_type, min(event_id) FILTER (up = 1) AS least_id, min(event_id) FILTER (down = 1) AS most_id FROM (SELECT event_type, event_id,

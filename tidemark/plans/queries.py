@@ -307,8 +307,9 @@ def _members(spark, sf_dir):
     return L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "district", "kind", "price", "trade_date"])
 
 
-def predictions(spark, sf_dir):
+def predictions(spark, sf_dir, only=None):
     levels = {"global": [], "district": ["district"], "combo": ["district", "kind"]}
+    levels = {only: levels[only]} if only else levels
     return E.median_baselines(_members(spark, sf_dir), levels, "price", ["sale_id", "district", "kind", "trade_date"]).filter("split <> 'train'")
 
 
@@ -340,7 +341,7 @@ def low_districts(spark, sf_dir):
 
 def _baseline(name):
     def run(spark, sf_dir):
-        rows = predictions(spark, sf_dir).filter(F.col("model_name") == name)
+        rows = predictions(spark, sf_dir, name)
         return rows.select("fold_id", "split", "sale_id", F.round("y_pred", 4).alias("y_pred"))
 
     return run

@@ -48,3 +48,24 @@ def test_stage_by_stage(spark, sf_dir, documents):
     rows = corpus_pipeline.run(spark, sf_dir)
     key = lambda r: (r.doc_id, r.text, r.shard, r.slot)
     assert sorted(map(key, rows.collect())) == sorted(map(key, docs.collect()))
+
+
+def test_odd_and_empty_tables(spark, sf_dir, tmp_path, odd, none):
+    """Nulls, empty texts, repeated rows, further columns that clash with the
+    operators' own names: every stage keeps whole rows, and none of nothing."""
+    for name, docs in (("odd", odd.withColumnsRenamed({"n": "slot", "cls": "_key"})), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0 if name == "none" else 1000).write.parquet(f"{folder}/{table}.parquet")
+        rows = corpus_pipeline.run(spark, folder)
+        assert rows.columns == [*[c for c in docs.columns if c != "slot"], "shard", "slot", "size"]
+        got = rows.collect()
+        if name == "none":
+            assert got == []
+            continue
+        own = Counter((r.doc_id, r.text, r.source, r._key) for r in docs.collect())
+        assert got and {(r.doc_id, r.text, r.source, r._key) for r in got} <= set(own)
+        assert all(len((r.text or "").split()) >= 50 for r in got)
+        texts = {(r.text or "").lower() for r in got}
+        assert len({t[:200] for t in texts}) == len(texts)

@@ -5,6 +5,11 @@ Quality rules drop what they reject; of each group of near copies (five-word
 shingles, similarity of 0.8 or more) one document stays; documents with
 benchmark windows are dropped; sources are mixed to target weights, so that a
 document stays, goes or is repeated; what remains is put into sixteen shards.
+
+A null text counts as empty and fails the quality rules, as do empty ones. Of
+rows that repeat, one stays. Null doc_ids and sources are values like others,
+texts are read whole, further columns are kept (those named shard, slot or
+size are replaced by the last stage), and empty tables give no rows.
 """
 
 from __future__ import annotations

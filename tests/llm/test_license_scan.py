@@ -76,3 +76,45 @@ def test_notices_as_they_are_published(spark):
     texts = ["# Licensed under the MIT License\nimport os\n", "// Licensed under the Apache License, Version 2.0\r\nCopyright 2020 X", GPL.format(":", ",", 3), GPL.format(";", ";", 2), APACHE, "x released under the MIT License\nimport os"]
     got = {r.doc_id: (r.licenses, r.n_unknown) for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: (["MIT"], 0), 1: (["Apache-2.0"], 0), 2: (["GPL-3.0-or-later"], 0), 3: (["GPL-2.0-or-later"], 0), 4: (["Apache-2.0"], 1), 5: ([], 0)}
+
+
+LGPL = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ *
+ * You should have received a copy of the GNU Lesser General Public
+ * License along with this library; if not, write to the
+ * Free Software Foundation.
+ */
+"""
+AGPL = GPL.replace("GNU General", "GNU Affero General").format(":", ",", 3)
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+EPL = "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://example.org/"
+
+
+def test_further_licences(spark, same):
+    texts = [LGPL, AGPL, ISC, ZLIB, EPL, "Licensed under CC0 1.0.", "# Licensed under the Mozilla Public License 2.0\nx = 1", "Licensed under the BSD 3-Clause License.", "in no event will the authors be here"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = scan(made).collect()
+    got = {r.doc_id: (r.licenses, r.n_unknown) for r in rows}
+    assert got == {0: (["LGPL-2.1-or-later"], 0), 1: (["AGPL-3.0-or-later"], 0), 2: (["ISC"], 0), 3: (["Zlib"], 0), 4: (["EPL-2.0"], 0), 5: (["CC0-1.0"], 0), 6: (["MPL-2.0"], 0), 7: (["BSD-3-Clause"], 0), 8: ([], 0)}

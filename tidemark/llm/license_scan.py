@@ -59,6 +59,31 @@ SENTENCES = {
     "licensed under cc by sa 4.0": "CcBySa4",
     "this source code form is subject to the terms of the mozilla public license v": "MplNotice2",
     "this is free and unencumbered software released into the public domain": "Unlicense",
+    "this library is free software": "LgplFree",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LgplTerms3Plus",
+    "either version 2.1 of the license or at your option any later version": "LgplLater21",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AgplTerms3Plus",
+    "see the gnu affero general public license for more details": "AgplSee",
+    "this library is distributed in the hope that it will be useful but without any warranty": "LgplNoWarranty",
+    "you should have received a copy of the gnu lesser general public license*": "LgplReceived",
+    "you should have received a copy of the gnu affero general public license*": "AgplReceived",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "the software is provided as is and the author disclaims all warranties*": "IscAsIs",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0*": "EplNotice2",
+    "licensed under cc0 1.0": "Cc0",
+    "licensed under the bsd 3 clause license": "BsdNotice3",
+    "licensed under the bsd 2 clause license": "BsdNotice2",
+    "licensed under the isc license": "IscNotice",
+    "licensed under the mozilla public license 2.0": "MplName2",
+    "licensed under the gnu lesser general public license version 3": "LgplNotice3",
+    "licensed under the gnu affero general public license version 3": "AgplNotice3",
+    "this project is licensed under the apache license version 2.0": "ApacheNotice2",
 }
 #: Licence rules, in order: the licence, and the identifiers in sequence.
 RULES = (
@@ -67,6 +92,12 @@ RULES = (
     ("Apache-2.0", ("ApacheHeader2", "ApacheComply", "ApacheCopy", "ApacheAsIs")),
     ("Apache-2.0", ("ApacheHeader2",)),
     ("Apache-2.0", ("ApacheNotice2",)),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms3Plus", "GplNoWarranty", "GplNoImplied", "AgplSee", "AgplReceived")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "LgplLater21", "LgplNoWarranty", "GplNoImplied", "LgplSee", "LgplReceived")),
+    ("AGPL-3.0-or-later", ("GplFree", "AgplTerms3Plus")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms3Plus")),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplTerms", "GplLater3")),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplTerms", "LgplLater21")),
     ("GPL-3.0-or-later", ("GplGrant3Plus", "GplNoWarrantyWhole", "GplSee", "GplReceived")),
     ("GPL-3.0-or-later", ("GplFree", "GplTerms3Plus", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
     ("GPL-3.0-or-later", ("GplFree", "GplTerms", "GplLater3", "GplNoWarranty", "GplNoImplied", "GplSee", "GplReceived")),
@@ -88,6 +119,17 @@ RULES = (
     ("CC-BY-4.0", ("CcBy4",)),
     ("MPL-2.0", ("MplNotice2",)),
     ("Unlicense", ("Unlicense",)),
+    ("ISC", ("IscGrant", "IscAsIs")),
+    ("ISC", ("IscGrant",)),
+    ("ISC", ("IscNotice",)),
+    ("Zlib", ("ZlibAsIs", "ZlibLiable", "ZlibGrant")),
+    ("EPL-2.0", ("EplNotice2",)),
+    ("CC0-1.0", ("Cc0",)),
+    ("BSD-3-Clause", ("BsdNotice3",)),
+    ("BSD-2-Clause", ("BsdNotice2",)),
+    ("MPL-2.0", ("MplName2",)),
+    ("LGPL-3.0-only", ("LgplNotice3",)),
+    ("AGPL-3.0-only", ("AgplNotice3",)),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

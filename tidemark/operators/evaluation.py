@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators.ordering import counted_before, quantiles
+from tidemark.sources.scratch import written
 
 PRICE_EDGES = (0, 50, 80, 120)
 PRICE_LABELS = ("0-50", "50-80", "80-120", "120+")
@@ -71,7 +72,8 @@ def segment_metrics(predictions: DataFrame, value: str = "y_true") -> DataFrame:
 
 def rank_correlation(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     """n, pearson, spearman (average ranks) by group; null for n < 2."""
-    good = df.filter(_finite(x) & _finite(y))
+    # Written: the pairs are read for each rank and for the join with both.
+    good = written(df.filter(_finite(x) & _finite(y)).select(*groups, x, y), "pairs")
     ranked = good
     for column, rank in ((x, "_rx"), (y, "_ry")):
         # The mean rank of a value from counts: no task sorts a whole group.

@@ -78,7 +78,8 @@ _CHUNK = "part long, rows int, doc_ids binary, nulls binary, held binary, bounds
 
 def _pack(array: np.ndarray) -> bytes:
     """Compressed, all first bytes of the numbers before all second ones."""
-    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T
+    array = np.ascontiguousarray(array)
+    planes = array.view(np.uint8).reshape(len(array), array.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -126,19 +127,12 @@ def _chunks(size: int):
 
 
 def _coded(keys: np.ndarray) -> bytes:
-    """Ascending keys as gaps: four low bytes and one high byte where that is
-    enough, else as they are."""
-    gaps = np.diff(keys, prepend=_U(0))
-    if len(gaps) and int(gaps.max()) >> 40:
-        return b"w" + keys.tobytes()
-    return b"g" + (gaps & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (gaps >> _U(32)).astype(np.uint8).tobytes()
+    """Ascending keys as their gaps."""
+    return _pack(np.diff(keys, prepend=_U(0)))
 
 
 def _decoded(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"w":
-        return np.frombuffer(blob, _U, offset=1)
-    n = (len(blob) - 1) // 5
-    return np.cumsum(np.frombuffer(blob, np.uint32, n, 1).astype(_U) | (np.frombuffer(blob, np.uint8, n, 1 + 4 * n).astype(_U) << _U(32)))
+    return np.cumsum(_unpack(blob, _U))
 
 
 _ASKED = "kind int, counter int, part long, keys binary, vals binary"
@@ -181,11 +175,11 @@ def _smallest(values: np.ndarray) -> bytes:
     """In the narrowest of one, four and eight bytes, which stands in front."""
     low, top = (int(values.min()), int(values.max())) if len(values) else (0, 0)
     kind = next(k for k in (np.int8, np.int32, np.int64) if np.iinfo(k).min <= low and top <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + _pack(values.astype(kind))
 
 
 def _widened(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, {1: np.int8, 4: np.int32, 8: np.int64}[blob[0]], offset=1).astype(np.int64)
+    return _unpack(blob[1:], {1: np.int8, 4: np.int32, 8: np.int64}[blob[0]]).astype(np.int64)
 
 
 # ---- what a chunk makes of the answers ----------------------------------------------------------------------
@@ -334,7 +328,7 @@ def score_texts(docs: DataFrame, held_out: str = "crc32(cast(doc_id AS string))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    bits = min(64, 22 + max(1, size).bit_length())
+    bits = min(64, 20 + max(1, size).bit_length())
     # A bucketed table: what is joined to the chunks by their number moves, and the chunks do not.
     table = f"chunks_{uuid.uuid4().hex}"
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_chunks(chunk_bytes), _CHUNK)

@@ -121,3 +121,30 @@ def test_quantiles_and_ranks_by_counting(spark):
     for r in counted_before(df.filter("v IS NOT NULL"), ["k"], "v").collect():
         assert (r.n, r.before) == (held[r.k].count(r.v), sum(x < r.v for x in held[r.k]))
     assert quantiles(df.filter("v > 1000"), "v", shares, "k").count() == 0
+
+
+def test_positions_with_payload(spark):
+    """Every row has a position of its own, whatever else is selected."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.ordering import counted_before, positions
+
+    n = 200_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), (F.col("id") % 3).alias("k"), F.md5(F.col("id").cast("string")).alias("payload"))
+    found = positions(df, ["v"])
+    assert found.columns == ["v", "k", "payload", "position"]
+    assert tuple(found.agg(F.count_distinct("position"), F.count_if(F.col("position") != F.col("v")), F.count_distinct("payload")).first()) == (n, 0, n)
+    grouped = positions(df.withColumn("k", F.when(F.col("k") > 0, F.col("k"))), ["v"], ("k",)).groupBy("k").agg(F.count_distinct("position").alias("d"), F.min("position"), F.max("position").alias("m"), F.count("*").alias("n"))
+    assert all(tuple(r)[1:] == (r.n, 0, r.n - 1, r.n) for r in grouped.collect()) and grouped.count() == 3
+    before = counted_before(df, ["k"], "payload")
+    assert before.groupBy("k").agg(F.count_distinct("before").alias("d"), F.count("*").alias("n")).filter("d <> n").count() == 0
+
+
+def test_source_columns_are_no_features(spark):
+    from tidemark.operators.contract import Contract
+
+    df = spark.createDataFrame([(1.0, 2.0, 3)], "area double, source_order double, y int")
+    first = Contract("y", ("area", "source_order"))
+    derived = first.derive(df, [])
+    assert derived.numeric_features == ("area",)
+    assert derived.removed_from(first) == ("source_order",)

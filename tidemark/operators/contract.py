@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.files import load_json, save_json
 
 # Columns that give the target away, or name a row.
-FORBIDDEN = ("total_price", "total_price_wan", "unit_price_m2", "unit_price_ping", "parking_price", "id", "transfer_id", "address_raw", "note_raw", "trade_date")
+FORBIDDEN = ("total_price", "total_price_wan", "unit_price_m2", "unit_price_ping", "parking_price", "id", "transfer_id", "address_raw", "note_raw", "trade_date", "source_release", "source_order", "source_file", "source_folder")
 
 # Quality flags that go where they are zero throughout, and flags that inform.
 REMOVABLE_FLAGS = ("abnormal_transaction_flag", "special_note_flag", "presale_note_flag", "separate_registration_flag", "layout_outlier_flag", "area_outlier_flag")
@@ -70,6 +70,12 @@ class Contract:
         numeric += tuple(c for c in good(informative) if c not in numeric)
         return replace(self, numeric_features=numeric, categorical_features=good(self.categorical_features)).check()
 
+    def removed_from(self, earlier: Contract) -> tuple[str, ...]:
+        """The features of the earlier contract that this one does not have,
+        in their order there."""
+        now = {*self.numeric_features, *self.categorical_features}
+        return tuple(c for c in (*earlier.numeric_features, *earlier.categorical_features) if c not in now)
+
 
 def write_contract(spark: SparkSession, contract: Contract, *paths: str) -> None:
     save_json(spark, asdict(contract), *paths)

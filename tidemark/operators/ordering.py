@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
 
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with its position, from 0, in a complete order of all rows.
 
-    Rows are dealt by ranges of the order; a row's position is its number in
-    its range and the rows of the ranges before. No task sorts more than a
-    range, and the offsets are one row for each range."""
+def by_ranges(df: DataFrame, *order) -> DataFrame:
+    """``df`` dealt by ranges of the order, sorted within them, and written
+    once with ``_row``: the range in the bits above 33, the place in the range
+    below. Range borders are sampled anew by each plan that asks for them, so
+    whatever compares ranges has to read them from one table."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A given number of ranges is kept by adaptive execution, so both uses see the same ranges.
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn("position", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+    return written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "ranges")
+
+
+def positions(df: DataFrame, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its position, from 0, in a complete order of all rows, or of
+    the rows that share the keys.
+
+    Rows are dealt by ranges of the order; a row's position is its place in
+    its range and the rows before. No task sorts more than a range, and the
+    offsets are one row for each range, or for each key and range it is in."""
+    placed = by_ranges(df, *keys, *order).withColumn("_range", F.shiftright("_row", 33))
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.sum("_n").over(earlier.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    match = placed["_range"] == offsets["_r"]
+    for i, k in enumerate(keys):
+        match &= placed[k].eqNullSafe(offsets[f"_key{i}"])
+    joined = placed.join(offsets if keys else F.broadcast(offsets), match)  # without keys as many rows as ranges
+    return joined.withColumn("position", F.col("_row") - F.col("_first") + F.col("_before")).select(*df.columns, "position")
 
 
 def average_rank(value: Column, *keys: str) -> Column:
@@ -34,9 +48,8 @@ def counted_before(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Values are counted before they are exchanged, and numbered by ranges as in
     ``positions``: no task holds a group, however large."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(n, *keys, value).withColumn("_range", F.spark_partition_id())
+    ranged = by_ranges(counts, *keys, value).withColumn("_range", F.shiftright("_row", 33))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = ranged.withColumn("before", earlier(Window.partitionBy("_range", *keys).orderBy(value)))
     # A group that goes on in further ranges: its rows in the ranges before, one row for each range and group.

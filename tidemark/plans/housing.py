@@ -146,10 +146,10 @@ def average_rank(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", O.average_rank(F.col("p_size"), "p_brand").alias("avg_rank"))
 
 
-@query("T01_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) - 1 AS position FROM orders")
+@query("T01_positions", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) - 1 AS position FROM orders")
 def positions(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    return O.positions(rows, ["o_orderpriority", "o_orderdate", "o_orderkey"]).select("o_orderkey", "position")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    return O.positions(rows, ["o_orderpriority", "o_orderdate", "o_orderkey"]).select("o_orderkey", "o_totalprice", "position")
 
 
 @query("W10_round_robin", "SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) % 4 AS shard FROM embeddings")

@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm import license_scan, secret_scan
 from tidemark.llm.mixing import sampling_plan
+from tidemark.llm.prefix_trie import prefix_trie
 from tidemark.llm.quality import Rules, judge
 from tidemark.llm.sharding import shard
 from tidemark.llm.storage import read
@@ -85,7 +86,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan)}
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each behind the opening of its block."""
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan, op11_conversation_prefix_trie)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -16,14 +16,12 @@ top nodes to the part above.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.digests import ordered_sha256
 from tidemark.llm.mixing import word_count
 from tidemark.llm.storage import materialise
 from tidemark.operators.ordering import positions
@@ -122,25 +120,6 @@ def _fold(part: pd.DataFrame) -> pd.DataFrame:
     return out.assign(parent_conv_id=pd.array(parent, "Int64"), n_convs=part.n_convs, n_children=n_children, n_leaves=leaves, saved_tokens=saved).assign(parent_conv_id=lambda d: d.parent_conv_id.mask(np.array(up, int) < 0))
 
 
-def _ends(batches):
-    """(k1, k2, ends_sha256) of rows (k1, k2, ids) that come in order: only the
-    hash of the node in hand is held, however many ids it has."""
-    now, state = None, None
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ends_sha256", pa.string())])
-    for batch in batches:
-        out = []
-        for key, ids in zip(zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), strict=True), batch["ids"].to_pylist(), strict=True):
-            if key == now:
-                state.update(b"," + ids.encode())
-                continue
-            if state is not None:
-                out.append((*now, state.hexdigest()))
-            now, state = key, hashlib.sha256(ids.encode())
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema)
-    if state is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*now, state.hexdigest()), strict=True))], schema)
-
-
 def prefix_trie(conversations: DataFrame, most_nodes: int = 20_000) -> DataFrame:
     """One row per node of the trie of the rebuilt conversations: conv_id
     (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves,
@@ -194,5 +173,5 @@ def _ended(convs: DataFrame, paths: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     ends = convs.select("conv_id").join(last, "conv_id", "left").select("conv_id", F.coalesce("last.k1", zero).alias("k1"), F.coalesce("last.k2", zero).alias("k2"))
     stretch = F.floor(F.col("conv_id") / F.lit(IDS)).cast("long")
-    joined = ends.groupBy("k1", "k2", stretch.alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("ids"))
-    return joined.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "stretch").select("k1", "k2", "ids").mapInArrow(_ends, "k1 long, k2 long, ends_sha256 string")
+    joined = ends.groupBy("k1", "k2", stretch.alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("piece"))
+    return ordered_sha256(joined, ["k1", "k2"], ["stretch"], ",").withColumnRenamed("sha256", "ends_sha256")

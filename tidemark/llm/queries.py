@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversation_repair import repair_report
 from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm import license_scan, secret_scan
@@ -91,7 +92,12 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan, op11_conversation_prefix_trie)}
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and least repairs of all conversations, damaged first."""
+    return repair_report(read(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan, op11_conversation_prefix_trie, op12_conversation_structure_repair)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -12,6 +12,7 @@ from tidemark.llm.conversation_repair import repair_report
 from tidemark.llm.decontaminate import Winnowing, contamination
 from tidemark.llm.jaccard_join import Threshold, near_duplicates
 from tidemark.llm import license_scan, secret_scan
+from tidemark.llm.metric_join import Near, near_vectors
 from tidemark.llm.mixing import sampling_plan
 from tidemark.llm.prefix_trie import prefix_trie
 from tidemark.llm.quality import Rules, judge
@@ -97,7 +98,12 @@ def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> Data
     return repair_report(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan, op11_conversation_prefix_trie, op12_conversation_structure_repair)}
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with a cosine of 0.9 or more, and their groups."""
+    return near_vectors(read(spark, sf_dir, "embeddings"), Near(at_least=0.9))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_license_scan, op3_suffix_array_dedup, op4_source_mixing, op5_histogram_sharding, op6_benchmark_decontamination, op7_ngram_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_secret_scan, op11_conversation_prefix_trie, op12_conversation_structure_repair, op13_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -167,3 +173,12 @@ reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reached.d
 least_ids AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN least_ids USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op13_embedding_near_dedup"] = """
+WITH RECURSIVE sound AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, x -> isfinite(x))) = len(embedding) AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, y FROM reached r JOIN links ON x = other),
+least_ids AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY 1),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least_ids LEFT JOIN counts ON x = vec_id
+"""

@@ -8,7 +8,7 @@ The first layer whose start holds the start state gives the cost, and the bits
 give the least audit: from a state each edit leads to one state, so the first
 edit in order of letters that still fits the cost is the right one.
 
-Conversations are cut into segments of 256 turns. Shorter ones are solved in
+Conversations are cut into segments of 64 turns. Shorter ones are solved in
 one row. Of longer ones each segment gives the costs between all states, which
 are multiplied along the conversation; with the cost of the rest known at its
 end, each segment is then traced from all states, and the pieces that meet are
@@ -28,7 +28,9 @@ from tidemark.llm.digests import ordered_sha256
 from tidemark.llm.storage import materialise
 from tidemark.operators.ordering import positions
 
-SEGMENT = 256
+#: Turns of a segment, as a power of two: layers of a segment grow with its turns.
+BITS = 6
+SEGMENT = 1 << BITS
 #: States: nothing yet, system, user, assistant.
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: Where a turn with this initial leads; None where it may not stand.
@@ -124,21 +126,24 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _CODES = bytes((b - 97) % 16 for b in range(256))
-#: States from which each state can be reached within a segment.
-_FROM = (1 << START, 1 << START | 1 << SYSTEM, 15, 15)
 _COSTS_ARROW = pa.schema([("c", pa.string()), ("seg", pa.int64()), ("costs", pa.list_(pa.int64()))])
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each segment the least cost from state to state, -1 for none."""
+    """Of each segment the least cost from state to state, -1 for none. Nothing
+    leads back to the start or to a system turn, so these two need no layers."""
     for batch in batches:
         out = []
         for c, seg, codes in zip(*[batch[x].to_pylist() for x in ("c", "seg", "codes")], strict=True):
             codes, costs = codes.encode().translate(_CODES), [-1] * 16
-            for last in range(4):
-                layers = cost_layers(codes, tuple(0 if q == last else -1 for q in range(4)), _FROM[last])
+            gone = DELETE * len(codes)
+            costs[5 * START] = costs[5 * SYSTEM] = gone
+            if system := [CUT_OFF if code & 4 else 0 for code in codes if code < 8 and LETTERS[code & 3] == "s"]:
+                costs[4 * START + SYSTEM] = gone - DELETE + min(system)
+            for last in (USER, ASSISTANT):
+                layers = cost_layers(codes, tuple(0 if q == last else -1 for q in range(4)), 15)
                 for q in range(4):
-                    costs[4 * q + last] = next((k for k, layer in enumerate(layers) if layer[0] >> q & 1), -1)
+                    costs[4 * q + last] = next(k for k, layer in enumerate(layers) if layer[0] >> q & 1)
             out.append({"c": c, "seg": seg, "costs": costs})
         yield pa.RecordBatch.from_pylist(out, _COSTS_ARROW)
 
@@ -180,6 +185,8 @@ def least_repairs(segments: DataFrame) -> DataFrame:
     """(c, seg, cost of the conversation, edits by turn) of segments (c, seg,
     codes); the last segment of a conversation has one string more, of what is
     inserted at its end."""
+    # Little data and much work: as many tasks as the session asks for, whatever their bytes.
+    segments = segments.select("c", "seg", "codes").repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c", "seg")
     whole = (F.col("seg") == 0) & (F.length("codes") < SEGMENT)
     short = segments.filter(whole).select("c", "codes").mapInArrow(_solve, _SOLVED).select("c", "seg", "cost", "edits")
     long = segments.filter(~whole).select("c", "seg", "codes")
@@ -230,7 +237,7 @@ def repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = lambda kind: F.count_if(F.col("fault") == kind).alias(kind)
     gaps = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
     stats = coded.groupBy("c").agg(F.coalesce(gaps, F.lit(0)).alias("gaps"), count("blank"), count("duplicate"), count("truncated"))
-    seg = F.shiftright("position", 8)
+    seg = F.shiftright("position", BITS)
     segments = coded.groupBy("c", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("position", "code", "digest"))).alias("turns"))
     segments = segments.withColumn("codes", F.array_join("turns.code", ""))
     segments = materialise(segments.withColumn("before", F.lag(F.right("codes", F.lit(1))).over(Window.partitionBy("c").orderBy("seg"))))
@@ -244,7 +251,7 @@ def repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     audits = solved.groupBy("c").agg(F.max("cost").alias("cost"), F.array_join(F.sort_array(F.collect_list(F.struct("seg", audit.alias("audit"))))["audit"], "").alias("audit"))
     report = stats.join(illegal, "c").join(audits, "c")
     edited = solved.join(segments.select("c", "seg", "turns.digest"), ["c", "seg"]).select("c", "seg", "digest", F.posexplode("edits").alias("i", "made"))
-    edited = edited.select("c", (F.shiftleft("seg", 8) + F.col("i")).alias("position"), "made", F.try_element_at("digest", F.col("i") + 1).alias("digest")).filter("made NOT IN ('D', '')")
+    edited = edited.select("c", (F.shiftleft("seg", BITS) + F.col("i")).alias("position"), "made", F.try_element_at("digest", F.col("i") + 1).alias("digest")).filter("made NOT IN ('D', '')")
     # A turn that stays is the first with its role and text, so these stand once on either side.
     texts = rows.select(named.alias("c"), _digest().alias("digest"), "role", "text").dropDuplicates(["c", "digest"])
     edited = edited.join(texts, ["c", "digest"], "left")

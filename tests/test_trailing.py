@@ -5,6 +5,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import nearest as N
 from tidemark.operators import trailing as R
 
 D = dt.date(2020, 1, 1)
@@ -84,8 +85,8 @@ def test_vectors_and_reranking(spark):
 def test_blocks_and_ties_of_a_large_group(spark, monkeypatch):
     """Blocks of a few rows, many equal distances, missing values: the same top
     k as ranking all pairs."""
-    monkeypatch.setattr(R, "BLOCK", 7)
-    monkeypatch.setattr(R, "ROWS", 3)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "ROWS", 3)
     rows = [sale(i, 1 + i % 9) for i in range(60)]
     made = spark.createDataFrame(rows, SALE).withColumns({"area": F.when(F.col("sale_id") % 5 != 0, (F.col("sale_id") % 4).cast("double")), "age": F.when(F.col("sale_id") % 7 != 0, F.lit(3.0)), "price": F.when(F.col("sale_id") % 11 != 0, F.col("price"))})
     got = {(r.sale_id, r.c_sale_id, r["rank"]) for r in R.comparable_pairs(made, ["district", "kind"], 6, 4).collect()}
@@ -107,3 +108,66 @@ def test_rows_without_a_date(spark):
     made = spark.createDataFrame(rows, "id int, d date, g string, v double")
     got = {r.id: tuple(r)[1:] for r in R.trailing_stats(made, ["g"], "id", "d", "v", [30], "p").collect()}
     assert got == {1: (None, 0), 2: (1.0, 1), 3: (None, 0), 4: (None, 0)}
+
+
+def test_pruned_blocks_miss_nothing(spark, monkeypatch):
+    """Many blocks of one slice, unknown values, ids that are text."""
+    monkeypatch.setattr(N, "BLOCK", 40)
+    monkeypatch.setattr(N, "FIRST", 2)
+    r = random.Random(6)
+    some = lambda x: None if r.random() < 0.05 else x
+    rows = [sale(i, r.randrange(1, 500), 10.0, some(r.uniform(10, 400)), some(float(r.randrange(60))), some(r.random()), some(r.randrange(2))) for i in range(1200)]
+    made = spark.createDataFrame(rows, SALE).withColumn("sale_id", F.format_string("s%05d", F.col("sale_id"))).repartition(4)
+    asked = []
+    deal = N._asked
+    monkeypatch.setattr(N, "_asked", lambda *a: (asked.append((out := deal(*a)).count()), out)[1])
+    got = {(x.sale_id, x["rank"]): (x.c_sale_id, x.distance) for x in R.comparable_pairs(made, ["district", "kind"], 365, 5).collect()}
+    sent = sum(asked)
+    for i, d, _, _, _, area, age, floor, parking in rows:
+        ranked = []
+        for j, e, _, _, _, area2, age2, floor2, parking2 in rows:
+            if 1 <= (n := (d - e).days) <= 365:
+                half = lambda x, y, f: 0.5 if x is None or y is None else f
+                distance = 0.35 * half(area, area2, abs((area2 or 0) - (area or 0)) / max(area or 1.0, 1.0)) + 0.25 * half(age, age2, abs((age2 or 0) - (age or 0)) / 50) + 0.2 * n / 365 + 0.1 * half(floor, floor2, abs((floor2 or 0) - (floor or 0))) + 0.1 * (0 if parking is not None and parking == parking2 else 1)
+                ranked.append((round(distance, 9), -e.toordinal(), f"s{j:05d}"))
+        for n, (distance, _, other) in enumerate(sorted(ranked)[:5], 1):
+            assert got[f"s{i:05d}", n] == (other, pytest.approx(distance, abs=2e-9))
+    blocks = 2 * 1200 / 2 / 40  # of two slices, about
+    assert sent < 0.8 * 1200 * blocks
+
+
+def test_equal_rows_send_k_each(spark, monkeypatch):
+    """A hot group of equal rows leaves k pairs for each row and block, not all pairs."""
+    monkeypatch.setattr(N, "BLOCK", 100)
+    rows = [sale(i, 1 + i % 50) for i in range(1000)]
+    pairs = N.nearest(spark.createDataFrame(rows, SALE), ["district"], "sale_id", "trade_date", 365, ["sale_id", "price", "area", "age", "floor_ratio", "has_parking"], 4, F.lit(True), N.weighted_distance(365))
+    assert pairs.count() <= 1000 * 4 * 12
+    top = R.comparable_pairs(spark.createDataFrame(rows, SALE), ["district", "kind"], 365, 4)
+    assert {x.c_sale_id for x in top.filter("sale_id = 49").collect()} == {48, 98, 148, 198}
+
+
+@pytest.mark.parametrize("block", [4096, 30])
+def test_vectors_in_cells(spark, monkeypatch, block):
+    """Null, zero, short and unknown vectors, equal ones, cells of many blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(5, 8))
+    vectors = [[float(x) for x in centres[i % 5] + 0.1 * r.normal(size=8)] for i in range(300)]
+    for i in range(0, 300, 17):
+        vectors[i] = [None, [0.0] * 8, [1.0, 2.0], [float("nan")] * 8, [1.0] * 7 + [None], vectors[1]][i // 17 % 6]
+    rows = [(i, day(i % 150), "g", v) for i, v in enumerate(vectors)]
+    made = spark.createDataFrame(rows, "id int, d date, g string, e array<double>").repartition(3)
+    got = {}
+    for x in R.vector_pairs(made, ["g"], "id", "d", "e", 200, 4).collect():
+        got.setdefault(x.id, {})[x["rank"]] = (x.c_id, x.similarity)
+
+    def similarity(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or np.isnan([*a, *b]).any():
+            return None
+        return round(float(np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-6)), 9)
+
+    for i, d, _, v in rows:
+        ranked = sorted(((s is None, -(s or 0.0), e, j) for j, e, _, w in rows if 1 <= (d - e).days <= 200 for s in [similarity(v, w)]))[:4]
+        assert [got[i][n + 1][0] for n in range(len(ranked))] == [x[3] for x in ranked], i

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators.ordering import counted_before, quantiles
+from tidemark.operators.gram import correlations
+from tidemark.operators.ordering import counted_before, joined_by, quantiles
 from tidemark.sources.scratch import written
 
 PRICE_EDGES = (0, 50, 80, 120)
@@ -21,17 +19,19 @@ def median_baselines(members: DataFrame, levels: dict[str, list[str]], target: s
     level the training median of its keys, with the medians of ever fewer keys
     and at last of all rows where a group was not seen. No loop over folds."""
     train = members.filter("split = 'train'")
-    total = quantiles(train, target, [0.5], "fold_id").withColumnRenamed("q0", "m_all")
-    out = members.join(F.broadcast(total), "fold_id")  # one row for each fold
-    prefixes: dict[tuple, str] = {}
+    prefixes: dict[tuple, str] = {(): "m_all"}
     for keys in levels.values():
         for n in range(1, len(keys) + 1):
-            own = tuple(keys[:n])
-            if own not in prefixes:
-                prefixes[own] = "m_" + "_".join(own)
-                medians = train.groupBy("fold_id", *own).agg(F.median(target).alias(prefixes[own]))
-                match = reduce(Column.__and__, [out[k].eqNullSafe(F.col(f"r.{k}")) for k in ("fold_id", *own)])
-                out = out.join(medians.alias("r"), match, "left").drop(*[F.col(f"r.{k}") for k in ("fold_id", *own)])
+            prefixes.setdefault(tuple(keys[:n]), "m_" + "_".join(keys[:n]))
+    # All levels are groups of one pass: a row stands in each with the keys of that level.
+    every = list(dict.fromkeys(k for own in prefixes for k in own))
+    grouped = [F.struct(F.lit(name).alias("_level"), *[(F.col(k) if k in own else F.lit(None).cast(members.schema[k].dataType)).alias(k) for k in every]) for own, name in prefixes.items()]
+    found = quantiles(train.select("fold_id", target, F.inline(F.array(*grouped))), target, [0.5], "fold_id", "_level", *every)
+    found = written(found, "medians")
+    out = members
+    for own, name in prefixes.items():
+        level = found.filter(F.col("_level") == name).select("fold_id", *own, F.col("q0").alias(name))
+        out = joined_by(out, level, ["fold_id", *own], "left" if own else "inner")
     models = [F.struct(F.lit(name).alias("model_name"), F.coalesce(*[F.col(prefixes[tuple(keys[:n])]) for n in range(len(keys), 0, -1)], "m_all").alias("y_pred")) for name, keys in levels.items()]
     return out.select("fold_id", "split", *keep, F.col(target).alias("y_true"), F.inline(F.array(*models)))
 
@@ -48,10 +48,13 @@ def _finite(name: str) -> Column:
 def regression_metrics(predictions: DataFrame, *groups: str) -> DataFrame:
     """n, mae, rmse, mape, median_ae, r2, bias by group over finite pairs; mape
     leaves out zeros, r2 is null where the truth does not vary."""
-    good = with_errors(predictions.filter(_finite("y_true") & _finite("y_pred")))
+    # Written: the rows are read for the sums and for the medians.
+    good = written(with_errors(predictions.filter(_finite("y_true") & _finite("y_pred"))).select(*groups, "y_true", "error", "abs_error", "ape"), "errors")
     square = F.sum(F.pow("error", F.lit(2)))
     spread = F.var_pop("y_true") * F.count("*")
-    return good.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.pow("error", F.lit(2)))).alias("rmse"), F.avg("ape").alias("mape"), F.median("abs_error").alias("median_ae"), F.when(spread > 0, 1 - square / spread).alias("r2"), F.avg("error").alias("bias"))
+    sums = good.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.pow("error", F.lit(2)))).alias("rmse"), F.avg("ape").alias("mape"), F.when(spread > 0, 1 - square / spread).alias("r2"), F.avg("error").alias("bias"))
+    out = joined_by(sums, quantiles(good, "abs_error", [0.5], *groups).withColumnRenamed("q0", "median_ae"), list(groups))
+    return out.select(*groups, "n", "mae", "rmse", "mape", "median_ae", "r2", "bias")
 
 
 def rollup(metrics: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -89,11 +92,8 @@ def rank_correlation(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
     """(left, right, corr) of column pairs over rows where both are known, from
-    one aggregate; pairs with a smaller absolute value are left out."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows)).filter(F.abs("corr") >= least)
+    one pass of matrix products; pairs with a smaller absolute value are left out."""
+    return correlations(df, columns).filter(F.abs("corr") >= least)
 
 
 def shares(df: DataFrame, group: str, value: str) -> DataFrame:

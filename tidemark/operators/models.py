@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.gram import ridge_by_fold
+from tidemark.operators.ordering import quantiles_of
+
 
 class Preprocessor:
     """Median imputation and standardisation (population deviation) of numeric
@@ -22,8 +24,8 @@ class Preprocessor:
         self.numeric, self.categorical = list(numeric), list(categorical)
 
     def fit(self, train: DataFrame) -> Preprocessor:
-        one = train.agg(*[F.median(c).alias(f"m_{c}") for c in self.numeric]).first() if self.numeric else None
-        self.medians = {c: one[f"m_{c}"] if one[f"m_{c}"] is not None else 0.0 for c in self.numeric}
+        found = {r["column"]: r["q0"] for r in quantiles_of(train, self.numeric, [0.5]).collect()} if self.numeric else {}  # one row a column
+        self.medians = {c: found.get(c, 0.0) for c in self.numeric}
         filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c]))).alias(c) for c in self.numeric])
         stats = filled.agg(*[f(c).alias(f"{n}_{c}") for c in self.numeric for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first() if self.numeric else None
         self.scale = {c: (stats[f"mean_{c}"], stats[f"std_{c}"] or 1.0) for c in self.numeric}
@@ -58,33 +60,6 @@ def ridge(train: DataFrame, label: str, alpha: float = 1.0):
     return LinearRegression(labelCol=label, solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha * (spread or 0.0) / max(n, 1)).fit(train)
 
 
-def ridge_by_fold(members: DataFrame, features: list[str], label: str, alphas: list[float]) -> DataFrame:
-    """Ridge models of all folds and penalties at once: the rows of ``members``
-    that are not for training, with fold_id, alpha and prediction.
-
-    Numeric ``features`` are imputed by the training median and standardised.
-    The sums of products that the normal equations need are one aggregate by
-    fold; only these, a few numbers a fold, come to the driver to be solved.
-    """
-    k = len(features)
-    train = members.filter("split = 'train'")
-    medians = train.groupBy("fold_id").agg(*[F.median(c).alias(f"_m{i}") for i, c in enumerate(features)])
-    filled = members.join(F.broadcast(medians), "fold_id").withColumns({f"_f{i}": F.coalesce(F.col(c).cast("double"), F.col(f"_m{i}"), F.lit(0.0)) for i, c in enumerate(features)})  # one row for each fold
-    scale = filled.filter("split = 'train'").groupBy("fold_id").agg(F.avg(label).alias("_y"), *[f(f"_f{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("_a", F.avg), ("_s", F.stddev_pop))])
-    scaled = filled.join(F.broadcast(scale), "fold_id").withColumns({f"_z{i}": F.when(F.col(f"_s{i}") > 0, (F.col(f"_f{i}") - F.col(f"_a{i}")) / F.col(f"_s{i}")).otherwise(0.0) for i in range(k)})
-    products = [F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums = scaled.filter("split = 'train'").groupBy("fold_id").agg(*products, *[F.sum(F.col(f"_z{i}") * (F.col(label) - F.col("_y"))).alias(f"_{i}_y") for i in range(k)])
-    weights = []
-    for r in sums.collect():  # one row for each fold
-        gram = np.array([[r[f"_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-        right = np.array([r[f"_{i}_y"] for i in range(k)], dtype=float)
-        weights += [(r["fold_id"], float(a), np.linalg.lstsq(gram + a * np.eye(k), right, rcond=None)[0].tolist()) for a in alphas]
-    table = members.sparkSession.createDataFrame(weights, "fold_id int, alpha double, _w array<double>")
-    rest = scaled.filter("split <> 'train'").join(F.broadcast(table), "fold_id")  # folds times penalties
-    prediction = sum((F.col("_w")[i] * F.col(f"_z{i}") for i in range(k)), F.col("_y"))
-    return rest.withColumn("prediction", prediction).select(*members.columns, "alpha", "prediction")
-
-
 def ridge_grid(members: DataFrame, features: list[str], label: str, alphas: list[float]) -> DataFrame:
     """(alpha, mean_mae, rank): penalties by their validation error, averaged
     over folds, best first."""

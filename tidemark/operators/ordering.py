@@ -78,3 +78,28 @@ def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str) -> Dat
     found = joined.groupBy(*keys, "_total").agg(*[f.alias(f"{side}{i}") for i, q in enumerate(shares) for side, f in (("_low", at(F.floor(position(q)))), ("_high", at(F.ceil(position(q)))))])
     part = lambda q: position(q) - F.floor(position(q))
     return found.select(*keys, *[(F.col(f"_low{i}") + part(q) * (F.col(f"_high{i}") - F.col(f"_low{i}"))).alias(f"q{i}") for i, q in enumerate(shares)])
+
+
+def quantiles_of(df: DataFrame, columns: list[str], shares: list[float], *keys: str) -> DataFrame:
+    """(keys..., column, q0, q1, ...): exact quantiles of the known values of
+    many columns and groups together, in the passes that one column takes.
+    Groups and columns without known values give no row."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_value")) for c in columns])
+    long = df.select(*keys, F.explode(cells).alias("_cell")).select(*keys, "_cell.*")
+    return quantiles(long, "_value", shares, *keys, "column")
+
+
+def joined_by(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``df`` with the further columns of ``other``, a row for each value of
+    the keys, in which null is a value like any other."""
+    named = other.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match &= df[k].eqNullSafe(named[f"_key{i}"])
+    return df.join(named, match, how).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def medians(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys..., median): exact, of the known values of each group, null for
+    groups without any. No group's values stand in one buffer."""
+    return joined_by(df.select(*keys).distinct(), quantiles(df, value, [0.5], *keys).withColumnRenamed("q0", "median"), list(keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import positions
+from tidemark.operators.ordering import joined_by, positions, quantiles_of
 from tidemark.schema import require_columns
 
 
@@ -33,17 +33,26 @@ def zero_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     return profile(df, columns).filter("distinct <= 1").select("column")
 
 
+def _with_quantiles(stats: DataFrame, df: DataFrame, columns: list[str], names: dict[str, float]) -> DataFrame:
+    """``stats`` by column with exact quantiles, of all columns in the same
+    passes: no column's values stand in one buffer."""
+    found = quantiles_of(df, columns, list(names.values()))
+    return joined_by(stats, found.withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)}), ["column"])
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std (sample), min, exact quartiles, max by column."""
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
     as_double = lambda f: lambda c: f(F.col(c).cast("double"))
-    return _unpivoted(df, columns, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": as_double(F.min), "p25": q(0.25), "p50": q(0.5), "p75": q(0.75), "max": as_double(F.max)})
+    stats = _unpivoted(df, columns, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": as_double(F.min), "max": as_double(F.max)})
+    quarters = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return _with_quantiles(stats, df, columns, quarters).select("column", "count", "mean", "std", "min", *quarters, "max")
 
 
 def feature_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """missing, missing_ratio, min, mean, median, max by column."""
     as_double = lambda f: lambda c: f(F.col(c).cast("double"))
-    return _unpivoted(df, columns, {"missing": lambda c: F.count_if(F.col(c).isNull()), "missing_ratio": lambda c: F.avg(F.col(c).isNull().cast("double")), "min": as_double(F.min), "mean": F.avg, "median": F.median, "max": as_double(F.max)})
+    stats = _unpivoted(df, columns, {"missing": lambda c: F.count_if(F.col(c).isNull()), "missing_ratio": lambda c: F.avg(F.col(c).isNull().cast("double")), "min": as_double(F.min), "mean": F.avg, "max": as_double(F.max)})
+    return _with_quantiles(stats, df, columns, {"median": 0.5}).select("column", "missing", "missing_ratio", "min", "mean", "median", "max")
 
 
 def id_checks(df: DataFrame, id_col: str) -> DataFrame:

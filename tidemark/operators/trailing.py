@@ -3,32 +3,23 @@
 Rows are dealt by group and by slices of time as wide as the longest window: a
 row looks back into its own slice and the one before, so each row is sent to
 its own slice and to the next. A large group is thus many tasks, and no task
-holds more than two slices of one group. In searches the rows that ask are cut
-into blocks as well.
+holds more than two slices of one group. Searches are pairs of blocks of rows
+(``nearest``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
+from tidemark.operators.nearest import cosine, nearest, sliced, weighted_distance
 from tidemark.schema import group_key, require_columns
 
 EPSILON = 1e-6
-#: Rows that ask together in a task, and of them at a time; scores that close to the k-th are ranked by Spark.
-BLOCK, ROWS, MARGIN = 4096, 256, 1e-7
-
-
-def _sliced(df: DataFrame, day: str, width: int):
-    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    return df.withColumn("_day", number).withColumn("_own", F.floor(number / width).cast("int"))
 
 
 def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value: str, windows: list[int], prefix: str) -> DataFrame:
@@ -37,7 +28,7 @@ def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value:
     row in the range, or no date: count 0, median null. Null keys are a group."""
     require_columns(df, [*keys, id_col, day, value])
     width = max(windows)
-    rows = _sliced(df.select(id_col, day, group_key(*keys).alias("_g"), F.col(value).cast("double").alias("_v")), day, width)
+    rows = sliced(df.select(id_col, day, group_key(*keys).alias("_g"), F.col(value).cast("double").alias("_v")), day, width)
     dealt = rows.withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
     names = [f"{prefix}_{what}_{n}d" for n in windows for what in ("median", "count")]
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, T.DoubleType() if "_median_" in n else T.LongType()) for n in names]])
@@ -70,104 +61,13 @@ def trailing_stats_window(df: DataFrame, keys: list[str], id_col: str, day: str,
     return rows.select(*out)
 
 
-def _nearest(df: DataFrame, keys: list[str], id_col: str, day: str, window: int, columns: list[str], k: int, score: Callable, usable: Column) -> DataFrame:
-    """Pairs of each row (columns as they are, and _g, _slice, _day) with rows
-    of its group in the window before it (columns with ``c_``, and days_diff):
-    the ``k`` of least ``score`` and those within ``MARGIN`` of them.
-
-    The rows of a group and slice ask in blocks of about ``BLOCK``, each a task
-    with the usable candidates of that group and two slices. Scores are
-    computed as matrices, some rows at a time: no table holds all pairs.
-    ``score(asking, candidates)`` gets dicts of columns as numpy arrays, null as
-    NaN with a mask in ``<name>?``, and returns asking x candidates."""
-    rows = _sliced(df.withColumn("_g", group_key(*keys)), day, window).filter("_day IS NOT NULL")
-    # Counted before the exchange: one row for each group and slice.
-    sizes = rows.groupBy("_g", F.col("_own").alias("_slice")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    now = rows.select("_g", F.col("_own").alias("_slice"), "_day", *columns).join(sizes, ["_g", "_slice"]).withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int")).drop("_n")
-    past = rows.filter(usable).withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1))).select("_g", "_slice", F.col("_day").alias("c_day"), *[F.col(c).alias(f"c_{c}") for c in columns])
-    past = past.join(sizes, ["_g", "_slice"]).withColumn("_block", F.explode(F.expr("sequence(0, _n - 1)"))).drop("_n")
-    past = past.toDF(*[c if c.startswith("c_") else f"p{c}" for c in past.columns])
-    kept, other = [c for c in now.columns if c != "_block"], [c for c in past.columns if c.startswith("c_")]
-    schema = T.StructType([*[now.schema[c] for c in kept], *[past.schema[c] for c in other]])
-
-    def run(asking: pa.Table, candidates: pa.Table) -> pa.Table:
-        candidates = candidates.sort_by("c_day")
-        days, past_days = np.asarray(asking["_day"]), np.asarray(candidates["c_day"])
-        order = np.argsort(days, kind="stable")
-        ours, theirs = _arrays(asking, columns, ""), _arrays(candidates, columns, "c_")
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(order), ROWS):
-            own = order[at : at + ROWS]
-            low, high = np.searchsorted(past_days, days[own[0]] - window), np.searchsorted(past_days, days[own[-1]])
-            if high <= low:
-                continue
-            values = score({c: v[own] for c, v in ours.items()} | {"day": days[own]}, {c: v[low:high] for c, v in theirs.items()} | {"day": past_days[low:high]})
-            diff = days[own][:, None] - past_days[None, low:high]
-            inside = (diff >= 1) & (diff <= window)
-            values = np.where(inside, values, np.inf)
-            if high - low > k:
-                worst = np.partition(values, k - 1, axis=1)[:, k - 1 : k]
-                inside &= ~(values > worst + MARGIN)  # not a number counts as worst and stays in doubt
-            i, j = np.nonzero(inside)
-            left.append(own[i])
-            right.append(j + low)
-        one, two = asking.select(kept).take(pa.array(np.concatenate(left))), candidates.select(other).take(pa.array(np.concatenate(right)))
-        return pa.table({c: t[c] for t in (one, two) for c in t.column_names})
-
-    return now.groupBy("_g", "_slice", "_block").cogroup(past.groupBy("p_g", "p_slice", "p_block")).applyInArrow(run, schema).withColumn("days_diff", F.col("_day") - F.col("c_day"))
-
-
-def _arrays(table: pa.Table, columns: list[str], prefix: str) -> dict[str, np.ndarray]:
-    """Numbers and vectors as numpy arrays, and where they are known."""
-    out = {}
-    for c in columns:
-        column = table[prefix + c].combine_chunks()
-        if pa.types.is_list(column.type):
-            known = np.asarray(column.is_valid())
-            out[c] = np.stack([np.asarray(v.values, dtype=float) for v in column]) if len(column) and known.all() else np.empty((len(column), 0))
-        elif pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
-            out[c] = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        else:
-            continue
-        out[c + "?"] = np.asarray(column.is_valid())
-    return out
-
-
-def _distances(window: int):
-    """The weighted distance of ``scalars.similarity_distance`` as a matrix."""
-
-    def score(x: dict, y: dict) -> np.ndarray:
-        apart = lambda c: np.abs(y[c][None, :] - x[c][:, None])
-        both = lambda c: x[c + "?"][:, None] & y[c + "?"][None, :]
-        area = np.where(both("area"), apart("area") / np.maximum(np.nan_to_num(x["area"], nan=1.0), 1.0)[:, None], 0.5)
-        age = np.where(both("age"), apart("age") / 50.0, 0.5)
-        floor = np.where(both("floor_ratio"), apart("floor_ratio"), 0.5)
-        parking = np.where(both("has_parking") & (apart("has_parking") == 0), 0.0, 1.0)
-        days = (x["day"][:, None] - y["day"][None, :]) / float(window)
-        return 0.35 * area + 0.25 * age + 0.20 * days + 0.10 * floor + 0.10 * parking
-
-    return score
-
-
-def _unlikeness(vector: str):
-    """Cosines as a matrix product, largest first."""
-
-    def score(x: dict, y: dict) -> np.ndarray:
-        a, b = x[vector], y[vector]
-        if not a.shape[1] or a.shape[1] != b.shape[1]:
-            return np.zeros((len(a), len(b)))  # undecided here: all are ranked afterwards
-        return -(a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :], 1e-6)
-
-    return score
-
-
 def comparable_pairs(sales: DataFrame, keys: list[str], window: int, k: int = 10) -> DataFrame:
     """The k nearest earlier sales of each sale within ``window`` days, by
     weighted distance, then latest date, then smallest id. Candidates without
     a finite price are left out before ranking."""
     columns = ["sale_id", "price", "area", "age", "floor_ratio", "has_parking"]
     require_columns(sales, [*keys, "trade_date", *columns])
-    pairs = _nearest(sales, keys, "sale_id", "trade_date", window, columns, k, _distances(window), F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double")))
+    pairs = nearest(sales, keys, "sale_id", "trade_date", window, columns, k, F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double")), weighted_distance(window))
     c = F.col
     distance = S.similarity_distance(c("area"), c("c_area"), c("age"), c("c_age"), c("days_diff"), window, c("floor_ratio"), c("c_floor_ratio"), c("has_parking"), c("c_has_parking"))
     pairs = pairs.withColumn("distance", F.round(distance, 9))
@@ -191,9 +91,11 @@ def comparable_summary(sales: DataFrame, keys: list[str], window: int, k: int =
 
 
 def vector_pairs(df: DataFrame, keys: list[str], id_col: str, day: str, vector: str, window: int, k: int, extra: list[str] = ()) -> DataFrame:
-    """The k most similar earlier rows by cosine, then earliest, then smallest id."""
-    pairs = _nearest(df, keys, id_col, day, window, [id_col, vector, *extra], k, _unlikeness(vector), F.lit(True))
-    pairs = pairs.withColumn("similarity", F.round(S.cosine(F.col(vector), F.col(f"c_{vector}")), 9)).drop(vector, f"c_{vector}")
+    """The k most similar earlier rows by cosine, then earliest, then smallest
+    id. Pairs without a cosine (no vector, other lengths, unknown parts) come last."""
+    pairs = nearest(df, keys, id_col, day, window, [id_col, vector, *extra], k, F.lit(True), cosine(vector))
+    similarity = S.cosine(F.col(vector), F.col(f"c_{vector}"))
+    pairs = pairs.withColumn("similarity", F.round(F.when(~F.isnan(similarity), similarity), 9)).drop(vector, f"c_{vector}")
     w = Window.partitionBy("_g", "_slice", id_col).orderBy(F.col("similarity").desc(), "c_day", f"c_{id_col}")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

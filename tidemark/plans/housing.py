@@ -119,7 +119,7 @@ def in_list(spark, sf_dir):
 @query("A01_group_median", "SELECT nullif(event_type, 'click') AS event_type, round(median(value), 6) AS median_value FROM events GROUP BY 1")
 def group_median(spark, sf_dir):
     kind = F.when(F.col("event_type") != "click", F.col("event_type")).alias("event_type")
-    return read(spark, sf_dir, "events").groupBy(kind).agg(F.round(F.median("value"), 6).alias("median_value"))
+    return O.medians(read(spark, sf_dir, "events").select(kind, "value"), "value", "event_type").select("event_type", F.round("median", 6).alias("median_value"))
 
 
 @query("A02_global_median", "SELECT round(median(o_totalprice), 4) AS median_price FROM orders")

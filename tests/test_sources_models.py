@@ -139,3 +139,60 @@ def test_sinks_gates_and_scores(spark, tmp_path):
     assert got[0] == math.inf and math.isnan(got[1]) and got[2] == 50.0
     pairs = spark.createDataFrame([("a b", "B c"), (None, "x")], "p string, q string")
     assert [r.score for r in V.score_pairs(pairs, "p", "q", V.OverlapReranker).collect()] == [pytest.approx(1 / 3), 0.0]
+
+
+def test_ridge_with_categories_and_many_columns(spark):
+    """One-hot levels, unknown ones, missing values and a column that does not vary, against numpy."""
+    r = np.random.default_rng(11)
+    names = [f"n{i}" for i in range(40)]
+    rows = []
+    for fold in (1, 2):
+        for i in range(160):
+            x = [None if r.random() < 0.05 else float(v) for v in r.normal(size=40)]
+            x[7] = 3.0
+            level = None if r.random() < 0.1 else "abc"[r.integers(0, 3)] if i < 120 else "abcz"[r.integers(0, 4)]
+            rows.append((fold, "train" if i < 120 else "test", i, *x, level, float((x[0] or 0) * 2 + {"a": 5, "b": -4}.get(level, 0) + r.normal())))
+    made = spark.createDataFrame(rows, "fold_id int, split string, id int, " + ", ".join(f"{n} double" for n in names) + ", c string, y double").repartition(4)
+    got = {(g.fold_id, g.alpha, g.id): g.prediction for g in M.ridge_by_fold(made, names, "y", [0.5, 30.0], ["c"]).collect()}
+    assert len(got) == 160
+    for fold in (1, 2):
+        own = [x for x in rows if x[0] == fold]
+        train = np.array([x[1] == "train" for x in own])
+        raw = np.array([x[3:43] for x in own], float)
+        fill = np.where(np.isnan(raw), np.nanmedian(raw[train], axis=0), raw)
+        spread = fill[train].std(0)
+        z = np.where(spread > 0, (fill - fill[train].mean(0)) / np.where(spread > 0, spread, 1), 0)
+        seen = [x[43] for x, t in zip(own, train, strict=True) if t and x[43]]
+        mode = min(set(seen), key=lambda c: (-seen.count(c), c))
+        hot = np.array([[(x[43] or mode) == c for c in "abc"] for x in own], float)
+        design, y = np.column_stack([z, hot]), np.array([x[44] for x in own])
+        mean = design[train].mean(0)
+        for alpha in (0.5, 30.0):
+            d = design[train] - mean
+            w = np.linalg.solve(d.T @ d + alpha * np.eye(43), d.T @ (y[train] - y[train].mean()))
+            for x, p in zip(own, y[train].mean() + (design - mean) @ w, strict=True):
+                if x[1] != "train":
+                    assert got[fold, alpha, x[2]] == pytest.approx(p, abs=1e-7)
+
+
+def test_correlations_of_many_columns(spark):
+    """Pairwise complete, with columns that do not vary or are unknown."""
+    from tidemark.operators.gram import correlations
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(500, 30)) + 1e6
+    x[:, 1] = x[:, 0] * 2 + r.normal(size=500)
+    x[:, 5], x[:, 6] = 4.25, np.nan
+    x[r.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(30)]
+    made = spark.createDataFrame([[None if np.isnan(v) and i % 2 else float(v) for v in row] for i, row in enumerate(x)], ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(q.left, q.right): q.corr for q in correlations(made, names).collect()}
+    assert len(got) == 30 * 29 // 2
+    for (a, b), c in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if {i, j} & {5, 6}:
+            assert c is None
+        else:
+            assert c == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7)
+    assert correlations(made.limit(0), names[:3]).filter("corr IS NOT NULL").count() == 0

@@ -21,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -423,6 +423,16 @@ def fit(members: DataFrame, numeric: list[str], categorical: list[str], label: s
     return Fitted(rows, lay, points, starts, trees, keep, passes)
 
 
+def grid(fitted: Fitted, split: str = "valid") -> DataFrame:
+    """point, its parameters, mean_mae and rank: points of the grid by their
+    error in the split, averaged over folds, best first, the earlier of ties."""
+    spark = fitted.rows.sparkSession
+    by_fold = fitted.predictions().filter(F.col("split") == split).groupBy("point", "fold_id").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"))
+    means = by_fold.groupBy("point").agg(F.avg("mae").alias("mean_mae"))
+    points = spark.createDataFrame([(i, p.trees, p.leaves, float(p.rate), p.least_rows, float(p.columns)) for i, p in enumerate(fitted.points)], "point int, trees int, leaves int, rate double, least_rows int, columns double")
+    return points.join(means, "point").withColumn("rank", F.row_number().over(Window.orderBy("mean_mae", "point")))  # one row for each point
+
+
 # ---- attributions -------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.gram import ridge_by_fold
-from tidemark.operators.ordering import quantiles_of
+from tidemark.operators.ordering import joined_by, quantiles_of
+from tidemark.sources.scratch import written
 
 
 class Preprocessor:
@@ -53,6 +54,35 @@ class Preprocessor:
         return [a["name"].removeprefix("_f_").removeprefix("_o_") for a in sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])]
 
 
+def prepared_by_fold(members: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """``members`` with z_<name> of numbers and code_<name> of categories, as
+    each fold's training rows have it: numbers with the training median where
+    missing, less their mean and by their deviation (of all, 0 where they do
+    not vary); of categories, with the most frequent level where missing (the
+    smallest of ties), the place of the level in order, null for a level that
+    training lacks. All folds and columns in the same passes."""
+    train = members.filter("split = 'train'")
+    out = members
+    if numeric:
+        found = quantiles_of(train, numeric, [0.5], "fold_id")
+        medians = found.groupBy("fold_id").agg(*[F.max(F.when(F.col("column") == c, F.col("q0"))).alias(f"_m_{c}") for c in numeric])
+        out = joined_by(out, medians, ["fold_id"])
+        out = out.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in numeric}).drop(*[f"_m_{c}" for c in numeric])
+        scales = out.filter("split = 'train'").groupBy("fold_id").agg(*[f(f"_f_{c}").alias(f"{n}_{c}") for c in numeric for n, f in (("_a", F.avg), ("_s", F.stddev_pop))])
+        out = joined_by(out, scales, ["fold_id"])
+        out = out.withColumns({f"z_{c}": F.when(F.col(f"_s_{c}") > 0, (F.col(f"_f_{c}") - F.col(f"_a_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in numeric}).drop(*[f"{n}_{c}" for n in ("_f", "_a", "_s") for c in numeric])
+    if categorical:
+        long = train.select("fold_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in categorical])).alias("f")).select("fold_id", "f.*").filter("level IS NOT NULL")
+        levels = written(long.groupBy("fold_id", "column", "level").agg(F.count("*").alias("n")), "levels")
+        levels = levels.withColumn("code", F.row_number().over(Window.partitionBy("fold_id", "column").orderBy("level")) - 1)
+        modes = levels.groupBy("fold_id").agg(*[F.min(F.when(F.col("column") == c, F.struct(-F.col("n"), "level")))["level"].alias(f"_m_{c}") for c in categorical])
+        out = joined_by(out, modes, ["fold_id"])
+        for c in categorical:
+            own = levels.filter(F.col("column") == c).select("fold_id", F.col("level").alias(f"_f_{c}"), F.col("code").alias(f"code_{c}"))
+            out = joined_by(out.withColumn(f"_f_{c}", F.coalesce(F.col(c).cast("string"), F.col(f"_m_{c}"))), own, ["fold_id", f"_f_{c}"]).drop(f"_f_{c}", f"_m_{c}")
+    return out
+
+
 def ridge(train: DataFrame, label: str, alpha: float = 1.0):
     """Least squares with ``alpha * |w|^2`` and a free intercept. Spark's
     penalty is a mean over rows and relative to the label's deviation."""

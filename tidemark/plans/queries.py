@@ -557,49 +557,99 @@ def refit(spark, sf_dir):
     return out.groupBy("fold_id").agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("price"))), 3).alias("mae"))
 
 
-def _tree_folds(spark, sf_dir):
-    """(fold_id, training rows, other rows, preprocessor) of every accepted fold,
-    from rows that are written once."""
-    from tidemark.operators import models as M
-    from tidemark.sources.scratch import scratch_path
+# ---- trees of all folds -------------------------------------------------------------------------------------
+
+_NUMERIC, _CATEGORIES = ["area", "age", "floor_ratio", "has_parking"], ["district", "kind"]
+
+
+def _tree_members(spark, sf_dir):
+    return L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "price", *_NUMERIC, *_CATEGORIES])
+
+
+def _boosted(spark, sf_dir):
+    from tidemark.operators import boosting as B
 
-    rows = L.membership(sales(spark, sf_dir), "trade_date", RULE, ["sale_id", "district", "kind", "price", "area", "age", "floor_ratio", "has_parking"])
-    path = scratch_path(spark, "members")
-    rows.write.partitionBy("fold_id").parquet(path)
-    rows = spark.read.parquet(path)
-    for r in rows.select("fold_id").distinct().orderBy("fold_id").collect():  # a few dozen folds at most
-        own = rows.filter(F.col("fold_id") == r.fold_id)
-        train = own.filter("split = 'train'")
-        yield r.fold_id, train, own.filter("split = 'test'"), M.Preprocessor(["area", "age", "floor_ratio", "has_parking"], ["district", "kind"]).fit(train)
+    return B.fit(_tree_members(spark, sf_dir), _NUMERIC, _CATEGORIES, "price", [B.Boosting(trees=4, leaves=15, rate=0.3, columns=0.8)], ["sale_id"])
 
 
 @query("M08_tree")
 def tree(spark, sf_dir):
-    """Boosted trees of every accepted fold: predictions of its test rows."""
-    from functools import reduce
+    """Leaf-wise boosted trees of every accepted fold: predictions of its test rows."""
+    out = _boosted(spark, sf_dir).predictions().filter("split = 'test'")
+    return out.select("fold_id", "sale_id", "y_true", F.round("y_pred", 4).alias("y_pred"))
 
-    from tidemark.operators import models as M
 
-    found = []
-    for fold, train, test, prepared in _tree_folds(spark, sf_dir):
-        out = M.boosted_trees(prepared.transform(train), "price", maxIter=10, maxDepth=4).transform(prepared.transform(test))
-        found.append(out.select(F.lit(fold).alias("fold_id"), "sale_id", F.col("price").alias("y_true"), F.round("prediction", 4).alias("y_pred")))
-    return reduce(lambda a, b: a.unionByName(b), found)
+def _grid_points():
+    from itertools import product
+
+    from tidemark.operators.boosting import Boosting
+
+    return [Boosting(trees=3, leaves=leaves, least_rows=least, rate=rate, columns=columns) for leaves, least, rate, columns in product((7, 15), (10, 40), (0.1, 0.4), (0.8, 1.0))]
+
+
+@query("M09_tree_grid")
+def tree_grid(spark, sf_dir):
+    """Sixteen settings of trees, fitted in every fold together and ranked by
+    their mean validation error."""
+    from tidemark.operators import boosting as B
+
+    fitted = B.fit(_tree_members(spark, sf_dir), _NUMERIC, _CATEGORIES, "price", _grid_points(), ["sale_id"])
+    return rounded(B.grid(fitted), "mean_mae", places=3)
+
+
+@query("M09_tree_refit")
+def tree_refit(spark, sf_dir):
+    """The best of the settings fitted again on training and validation rows:
+    its test error by fold."""
+    from tidemark.operators import boosting as B
+
+    members, points = _tree_members(spark, sf_dir), _grid_points()
+    best = B.grid(B.fit(members, _NUMERIC, _CATEGORIES, "price", points, ["sale_id"])).filter("rank = 1").first()["point"]
+    again = members.withColumn("split", F.when(F.col("split") == "valid", "train").otherwise(F.col("split")))
+    out = B.fit(again, _NUMERIC, _CATEGORIES, "price", [points[best]], ["sale_id"]).predictions().filter("split = 'test'")
+    return out.groupBy("fold_id").agg(F.round(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))), 3).alias("mae"))
 
 
 @query("M11_importances")
 def importances(spark, sf_dir):
-    """Mean importance of each feature over the trees of all folds."""
-    from functools import reduce
+    """Mean gain and splits of each feature over the trees of all folds."""
+    return _boosted(spark, sf_dir).importances().groupBy("feature").agg(F.round(F.avg("gain"), 3).alias("gain"), F.round(F.avg("splits"), 6).alias("splits"))
+
+
+@query("M11_attributions")
+def attributions(spark, sf_dir):
+    """What each feature adds to each prediction of the test rows; features
+    that add nothing to a row are left out."""
+    fitted = _boosted(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in fitted.lay.features()])
+    long = fitted.attributions("test").select("fold_id", "sale_id", F.round("base", 4).alias("base"), F.posexplode("shap").alias("i", "v")).filter("v <> 0")
+    return long.select("fold_id", "sale_id", "base", names[F.col("i")].alias("feature"), F.round("v", 4).alias("shap"))
+
+
+@query("A23_mean_abs_attribution")
+def mean_attribution(spark, sf_dir):
+    """Mean absolute attribution of each feature over the test rows of all folds."""
+    return rounded(_boosted(spark, sf_dir).mean_attributions("test"), "mean_abs_shap", places=4)
+
+
+_LEVELS_SQL = " UNION ALL ".join(f"SELECT fold_id, '{c}' AS col, {c} AS level, count(*) AS n FROM members WHERE split = 'train' AND {c} IS NOT NULL GROUP BY 1, 3" for c in ("district", "odd"))
+
 
+@query("M06_prepared", f"""WITH {_MEMBERS.replace('sale_id, district, kind, price', "sale_id, district, CASE WHEN sale_id % 7 <> 0 THEN CASE WHEN split <> 'train' AND sale_id % 5 = 0 THEN 'new' ELSE kind END END AS odd, area, age, has_parking")},
+ md AS (SELECT fold_id, median(area) AS m0, median(age) AS m1, median(has_parking) AS m2 FROM members WHERE split = 'train' GROUP BY 1),
+ x AS (SELECT m.*, coalesce(area, m0)::DOUBLE AS f0, coalesce(age, m1)::DOUBLE AS f1, coalesce(has_parking, m2)::DOUBLE AS f2 FROM members m JOIN md USING (fold_id)),
+ sc AS (SELECT fold_id, avg(f0) AS a0, stddev_pop(f0) AS s0, avg(f1) AS a1, stddev_pop(f1) AS s1, avg(f2) AS a2, stddev_pop(f2) AS s2 FROM x WHERE split = 'train' GROUP BY 1),
+ lv AS ({_LEVELS_SQL}), codes AS (SELECT *, row_number() OVER (PARTITION BY fold_id, col ORDER BY level) - 1 AS code, row_number() OVER (PARTITION BY fold_id, col ORDER BY n DESC, level) AS top FROM lv)
+ SELECT x.fold_id, split, sale_id, round((f0 - a0) / s0, 6) AS z_area, round((f1 - a1) / s1, 6) AS z_age, round((f2 - a2) / s2, 6) AS z_has_parking, CAST(d.code AS INTEGER) AS code_district, CAST(k.code AS INTEGER) AS code_odd
+ FROM x JOIN sc USING (fold_id) JOIN codes t ON t.fold_id = x.fold_id AND t.col = 'odd' AND t.top = 1 LEFT JOIN codes d ON d.fold_id = x.fold_id AND d.col = 'district' AND d.level = x.district LEFT JOIN codes k ON k.fold_id = x.fold_id AND k.col = 'odd' AND k.level = coalesce(x.odd, t.level)""")
+def prepared(spark, sf_dir):
+    """Training medians, scales, most frequent levels and codes of all folds,
+    applied to all members; a category with nulls and levels that training lacks."""
     from tidemark.operators import models as M
 
-    found = []
-    for _, train, _, prepared in _tree_folds(spark, sf_dir):
-        model = M.boosted_trees(prepared.transform(train), "price", maxIter=5, maxDepth=3)
-        found.append(M.importances(spark, model, prepared.feature_names(train)))
-    every = reduce(lambda a, b: a.unionByName(b), found)
-    return every.groupBy("feature").agg(F.round(F.sum("importance") / len(found), 6).alias("importance"))
+    rows = _tree_members(spark, sf_dir).withColumn("odd", F.when(F.col("sale_id") % 7 != 0, F.when((F.col("split") != "train") & (F.col("sale_id") % 5 == 0), "new").otherwise(F.col("kind"))))
+    out = M.prepared_by_fold(rows, ["area", "age", "has_parking"], ["district", "odd"])
+    return rounded(out.select("fold_id", "split", "sale_id", "z_area", "z_age", "z_has_parking", "code_district", "code_odd"), "z_area", "z_age", "z_has_parking")
 
 
 # ---- residuals, feature names, joins to attributes ----------------------------------------------------------

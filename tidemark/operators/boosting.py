@@ -130,8 +130,7 @@ def layout(members: DataFrame, numeric: list[str], categorical: list[str], bins:
             medians.setdefault(r["fold_id"], {})[r["column"]] = r["q0"]
         long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("f")).select("f.*").filter("v IS NOT NULL AND NOT isnan(v)")
         values = counted_before(long, ["column"], "v")
-        totals = values.groupBy("column").agg(F.sum("n").alias("total"))
-        cut = values.join(F.broadcast(totals), "column").groupBy("column", F.floor(F.col("before") * bins / F.col("total")).alias("bin")).agg(F.max("v").alias("border"))  # one row for each column
+        cut = values.groupBy("column", F.floor(F.col("before") * bins / F.col("total")).alias("bin")).agg(F.max("v").alias("border"))
         for r in cut.orderBy("column", "bin").collect():  # columns times bins
             i = numeric.index(r["column"])
             borders[i] = np.append(borders[i], r["border"])
@@ -382,7 +381,9 @@ def fit(members: DataFrame, numeric: list[str], categorical: list[str], label: s
         if p.leaves < 1 or p.trees < 0 or not 0 < p.columns <= 1:
             raise ValueError(f"not a setting: {p}")
     members = members.withColumns({"fold_id": F.col("fold_id").cast("int"), label: F.col(label).cast("double")}).filter(F.col(label).isNotNull() & ~F.isnan(label))
-    members = members.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric})
+    numbers = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
+    # Written: medians, levels, borders and codes are each read from it.
+    members = written(members.withColumns(numbers).select("fold_id", "split", *dict.fromkeys([*keep, *numeric, *categorical, label])), "members")
     lay, _ = layout(members, numeric, categorical, bins)
     starts = {r["fold_id"]: r["y"] for r in members.filter("split = 'train'").groupBy("fold_id").agg(F.avg(label).alias("y")).collect()}  # folds
     folds = sorted(starts)
@@ -390,7 +391,8 @@ def fit(members: DataFrame, numeric: list[str], categorical: list[str], label: s
     named = Layout([f"_n_{c}" for c in numeric], [f"_c_{c}" for c in categorical], lay.borders, lay.levels, {})
     schema = StructType([StructField("fold_id", IntegerType()), StructField("split", StringType()), *[slim.schema[c] for c in keep], StructField("_y", DoubleType()), StructField("_x", BinaryType()), StructField("_p", ArrayType(DoubleType()))])
     arrow = to_arrow_schema(schema)
-    rows = written(slim.mapInArrow(partial(_prepared, lay=named, keep=keep, label="_y", starts=starts, points=len(points), schema=arrow), schema), "boosting")
+    # Sorted, so that a batch has few folds.
+    rows = written(slim.sortWithinPartitions("fold_id", "split").mapInArrow(partial(_prepared, lay=named, keep=keep, label="_y", starts=starts, points=len(points), schema=arrow), schema), "boosting")
     trees: Models = {(f, j): [] for f in folds for j in range(len(points))}
     pending: Models = {}
     passes = 0

@@ -18,7 +18,6 @@ def median_baselines(members: DataFrame, levels: dict[str, list[str]], target: s
     """(fold_id, split, keep..., y_true, y_pred, model_name): for each named
     level the training median of its keys, with the medians of ever fewer keys
     and at last of all rows where a group was not seen. No loop over folds."""
-    train = members.filter("split = 'train'")
     prefixes: dict[tuple, str] = {(): "m_all"}
     for keys in levels.values():
         for n in range(1, len(keys) + 1):
@@ -26,7 +25,8 @@ def median_baselines(members: DataFrame, levels: dict[str, list[str]], target: s
     # All levels are groups of one pass: a row stands in each with the keys of that level.
     every = list(dict.fromkeys(k for own in prefixes for k in own))
     grouped = [F.struct(F.lit(name).alias("_level"), *[(F.col(k) if k in own else F.lit(None).cast(members.schema[k].dataType)).alias(k) for k in every]) for own, name in prefixes.items()]
-    found = quantiles(train.select("fold_id", target, F.inline(F.array(*grouped))), target, [0.5], "fold_id", "_level", *every)
+    train = members.filter("split = 'train'").groupBy("fold_id", *every, target).agg(F.count("*").alias("_n"))
+    found = quantiles(train.select("fold_id", target, F.inline(F.array(*grouped)), "_n"), target, [0.5], "fold_id", "_level", *every, weight="_n")
     found = written(found, "medians")
     out = members
     for own, name in prefixes.items():

@@ -104,12 +104,15 @@ def _asked(asking: DataFrame, pairs: DataFrame, columns: list[str], id_col: str,
 
 
 def _visit(asking: DataFrame, candidates: DataFrame, pairs: DataFrame, columns: list[str], id_col: str, window: int, k: int, metric: Metric, bound: DataFrame | None) -> DataFrame:
-    """The rows near each other of each pair of blocks (_g, a_own, a_block, c_own, c_block)."""
+    """The rows near each other of pairs of blocks (_g, a_own, a_block, c_own,
+    c_block): at first the few blocks that a block asks in one task, then each
+    pair in its own."""
     name = ["_g", "a_own", "a_block", "c_own", "c_block"]
-    here = _asked(asking, pairs, columns, id_col, bound)
+    here = _asked(asking, pairs if bound is not None else pairs.groupBy(*name[:3]).agg(F.min("_least").alias("_least")), columns, id_col, bound)
     there = candidates.select(F.col("_g"), F.col("_own").alias("c_own"), F.col("_block").alias("c_block"), F.col("_day").alias("c_day"), *[F.col(c).alias(f"c_{c}") for c in columns])
     there = there.join(here.select(*name).distinct() if bound is not None else pairs.select(*name), ["_g", "c_own", "c_block"])
     there = there.withColumnsRenamed({c: f"_{c}" for c in name})
+    name = name if bound is not None else name[:3]
     schema = T.StructType([here.schema["_g"], T.StructField("_slice", T.IntegerType()), here.schema["_day"], *[here.schema[c] for c in columns], there.schema["c_day"], *[there.schema[f"c_{c}"] for c in columns], T.StructField("_score", T.DoubleType())])
 
     score, latest_first = metric.score, metric.latest_first  # a metric's columns stay on the driver
@@ -147,9 +150,9 @@ def nearest(df: DataFrame, keys: list[str], id_col: str, day: str, window: int,
     all that may be among the k of least score, and little more. Rows without
     a day ask for nothing and are no candidates."""
     rows = sliced(df.withColumn("_g", group_key(*keys)), day, window).filter("_day IS NOT NULL").select("_g", "_own", "_day", *columns, usable.alias("_usable"))
-    rows = written(metric.tiles(written(rows, "nearest"), id_col), "nearest")
+    rows = metric.tiles(written(rows, "nearest"), id_col)
     known = {"n": F.count("*"), "usable": F.count_if("_usable"), "first": F.min("_day"), "last": F.max("_day")} | metric.summary
-    blocks = written(rows.groupBy("_g", "_own", "_block").agg(*[c.alias(n) for n, c in known.items()]), "blocks")
+    blocks = rows.groupBy("_g", "_own", "_block").agg(*[c.alias(n) for n, c in known.items()])
     a = blocks.select("_g", F.col("_own").alias("a_own"), F.col("_block").alias("a_block"), F.struct(*known).alias("a"), F.col("_own").alias("_slice"))
     c = blocks.filter("usable > 0").select("_g", F.col("_own").alias("c_own"), F.col("_block").alias("c_block"), F.struct(*known).alias("c"), F.explode(F.array("_own", F.col("_own") + 1)).alias("_slice"))
     pairs = a.join(c, ["_g", "_slice"]).filter((F.col("c.first") < F.col("a.last")) & (F.col("c.last") >= F.col("a.first") - window))
@@ -193,7 +196,7 @@ def area_age_tiles(rows: DataFrame, id_col: str) -> DataFrame:
     placed = positions(placed, ["age", "area", id_col], ("_g", "_own", "_strip"))
     high = F.floor(F.col("position") / BLOCK).cast("int")
     # A strip has rows / strips of the slice, and as many blocks as they fill.
-    return small.unionByName(placed.withColumn("_block", F.col("_strip").cast("long") * (F.ceil(F.col("_rows") / strips / BLOCK) + 1) + high).select(*small.columns))
+    return written(small.unionByName(placed.withColumn("_block", F.col("_strip").cast("long") * (F.ceil(F.col("_rows") / strips / BLOCK) + 1) + high).select(*small.columns)), "nearest")
 
 
 def _between(a: Callable, c: Callable, name: str) -> Column:
@@ -284,7 +287,7 @@ def cosine(vector: str) -> Metric:
         placed = placed.join(full, ["_g", "_own", "_cell"])
         # Blocks of a cell that is too large are told apart by bits of a hash.
         number = F.pmod(F.xxhash64(F.lit(5), id_col), F.col("_blocks")).cast("int")
-        return small.unionByName(placed.withColumn("_block", F.shiftleft(F.col("_cell").cast("long"), 32) + number).select(*small.columns))
+        return written(small.unionByName(placed.withColumn("_block", F.shiftleft(F.col("_cell").cast("long"), 32) + number).select(*small.columns)), "nearest")
 
     summary = {"pivot": F.first("_pivot", ignorenulls=True), "turn": F.max("_turn"), "lacks": F.count_if(F.col("_turn").isNull()) > 0}
 

@@ -42,40 +42,36 @@ def average_rank(value: Column, *keys: str) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (tied - 1) / 2
 
 
-def counted_before(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys..., value, n, before) of the distinct values of each group: how
-    many rows have one, and how many rows of the group have a smaller one.
+def counted_before(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys..., value, n, before, total) of the distinct values of each group:
+    how many rows have one, how many rows of the group have a smaller one, and
+    how many there are. A row counts as many times as its ``weight``.
 
     Values are counted before they are exchanged, and numbered by ranges as in
     ``positions``: no task holds a group, however large."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     ranged = by_ranges(counts, *keys, value).withColumn("_range", F.shiftright("_row", 33))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = ranged.withColumn("before", earlier(Window.partitionBy("_range", *keys).orderBy(value)))
     # A group that goes on in further ranges: its rows in the ranges before, one row for each range and group.
     held = ranged.groupBy("_range", *keys).agg(F.sum("n").alias("n"))
-    held = held.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), earlier(Window.partitionBy(*keys).orderBy("_range")).alias("_ahead"))
+    every = F.sum("n").over(Window.partitionBy(*keys))
+    held = held.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), earlier(Window.partitionBy(*keys).orderBy("_range")).alias("_ahead"), every.alias("total"))
     match = own["_range"] == held["_r"]
     for i, k in enumerate(keys):
         match &= own[k].eqNullSafe(held[f"_{i}"])
-    return own.join(held, match).select(*keys, value, "n", (F.col("before") + F.col("_ahead")).alias("before"))
+    return own.join(held, match).select(*keys, value, "n", (F.col("before") + F.col("_ahead")).alias("before"), "total")
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: list[float], *keys: str, weight: str | None = None) -> DataFrame:
     """(keys..., q0, q1, ...): exact, linearly interpolated quantiles of the
     known values of each group, by counting and not by buffering them."""
     keys = list(keys)
-    values = counted_before(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v")
+    values = counted_before(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), *([weight] if weight else [])), keys, "_v", weight)
     # Position p of a group is in the value with before <= p < before + n.
-    total = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
-    total = total.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_total")
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match &= values[k].eqNullSafe(total[f"_{i}"])
-    joined = values.join(F.broadcast(total), match) if not keys else values.join(total, match)  # one row without keys
     at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("_v")))
-    position = lambda q: (F.col("_total") - 1) * F.lit(float(q))
-    found = joined.groupBy(*keys, "_total").agg(*[f.alias(f"{side}{i}") for i, q in enumerate(shares) for side, f in (("_low", at(F.floor(position(q)))), ("_high", at(F.ceil(position(q)))))])
+    position = lambda q: (F.col("total") - 1) * F.lit(float(q))
+    found = values.groupBy(*keys, "total").agg(*[f.alias(f"{side}{i}") for i, q in enumerate(shares) for side, f in (("_low", at(F.floor(position(q)))), ("_high", at(F.ceil(position(q)))))])
     part = lambda q: position(q) - F.floor(position(q))
     return found.select(*keys, *[(F.col(f"_low{i}") + part(q) * (F.col(f"_high{i}") - F.col(f"_low{i}"))).alias(f"q{i}") for i, q in enumerate(shares)])
 

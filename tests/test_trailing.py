@@ -171,3 +171,24 @@ def test_vectors_in_cells(spark, monkeypatch, block):
     for i, d, _, v in rows:
         ranked = sorted(((s is None, -(s or 0.0), e, j) for j, e, _, w in rows if 1 <= (d - e).days <= 200 for s in [similarity(v, w)]))[:4]
         assert [got[i][n + 1][0] for n in range(len(ranked))] == [x[3] for x in ranked], i
+
+
+def test_large_groups_by_counting(spark, monkeypatch):
+    """Buckets of a few rows, ties, one value in half of all rows, unknown
+    values, days without any: the same as the plain definition."""
+    from tidemark.operators import range_medians as M
+
+    monkeypatch.setattr(R, "LARGE", 60)
+    monkeypatch.setattr(M, "BUCKET", 9)
+    r = random.Random(12)
+    value = lambda: r.choice([4.0, 4.0, 4.0, None, float("nan"), float("inf"), float(r.randrange(20)), r.uniform(-9, 9)])
+    rows = [(i, day(r.randrange(700)), r.choice("aaaab"), value()) for i in range(900)]
+    rows += [(1000 + i, day(3), None, value()) for i in range(90)] + [(2000 + i, day(90), None, 1.0) for i in range(3)] + [(3000, None, "a", 1.0)]
+    got = stats(spark, rows, [30, 200])
+    assert got[3000] == (None, 0, None, 0) and len(got) == len(rows)
+    for i, d, g, _ in rows:
+        want = ()
+        for n in (30, 200) if d else ():
+            past = [v for _, e, h, v in rows if e and h == g and 0 < (d - e).days <= n and v is not None and abs(v) < float("inf")]
+            want += (median(past) if past else None, len(past))
+        assert got[i] == pytest.approx(want) or not d

@@ -2,8 +2,8 @@
 
 Rows are dealt by group and by slices of time as wide as the longest window: a
 row looks back into its own slice and the one before, so each row is sent to
-its own slice and to the next. A large group is thus many tasks, and no task
-holds more than two slices of one group. Searches are pairs of blocks of rows
+its own slice and to the next. A large group is thus many tasks, and what is too
+much for one is counted first (``range_medians``). Searches are pairs of blocks of rows
 (``nearest``).
 """
 
@@ -17,18 +17,34 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
 from tidemark.operators.nearest import cosine, nearest, sliced, weighted_distance
+from tidemark.operators.ordering import joined_by
+from tidemark.operators.range_medians import range_medians
 from tidemark.schema import group_key, require_columns
+from tidemark.sources.scratch import written
 
 EPSILON = 1e-6
+#: Rows of a slice that a task takes as they are.
+LARGE = 65_536
 
 
 def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value: str, windows: list[int], prefix: str) -> DataFrame:
     """(id_col, and for each window of N days median and count) of finite
     values in [t - N, t) in the same group; same-day rows are left out. No
-    row in the range, or no date: count 0, median null. Null keys are a group."""
+    row in the range, or no date: count 0, median null. Null keys are a group.
+    Groups with a slice of more than ``LARGE`` rows are counted by day and
+    bucket of values instead (``range_medians``), and looked up by day."""
     require_columns(df, [*keys, id_col, day, value])
     width = max(windows)
     rows = sliced(df.select(id_col, day, group_key(*keys).alias("_g"), F.col(value).cast("double").alias("_v")), day, width)
+    sizes = rows.filter("_day IS NOT NULL").groupBy("_g", "_own").agg(F.count("*").alias("_rows"))
+    large = written(sizes.filter(F.col("_rows") > LARGE).select("_g").distinct(), "large")
+    counted = None
+    if not large.isEmpty():
+        own = rows.filter("_day IS NOT NULL").join(large, "_g", "left_semi")
+        medians = range_medians(own.select("_g", "_day", "_v"), windows, width).groupBy("_g", "_day")
+        medians = medians.agg(*[F.max(F.when(F.col("days") == n, F.col(what))).alias(f"{prefix}_{what}_{n}d") for n in windows for what in ("median", "count")])
+        counted = joined_by(own.select(id_col, "_g", "_day"), medians, ["_g", "_day"]).select(id_col, *[(F.coalesce(f"{prefix}_count_{n}d", F.lit(0).cast("long")) if what == "count" else F.col(f"{prefix}_median_{n}d")).alias(f"{prefix}_{what}_{n}d") for n in windows for what in ("median", "count")])
+        rows = rows.join(large, "_g", "left_anti")
     dealt = rows.withColumn("_slice", F.explode(F.array("_own", F.col("_own") + 1)))
     names = [f"{prefix}_{what}_{n}d" for n in windows for what in ("median", "count")]
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, T.DoubleType() if "_median_" in n else T.LongType()) for n in names]])
@@ -48,7 +64,8 @@ def trailing_stats(df: DataFrame, keys: list[str], id_col: str, day: str, value:
         return pd.DataFrame(out, columns=schema.names)
 
     undated = df.filter(F.col(day).isNull()).select(id_col, *[F.lit(0 if "_count_" in n else None).cast(schema[n].dataType).alias(n) for n in names])
-    return dealt.filter(F.col("_day").isNotNull()).groupBy("_g", "_slice").applyInPandas(run, schema).unionByName(undated)
+    out = dealt.filter(F.col("_day").isNotNull()).groupBy("_g", "_slice").applyInPandas(run, schema).unionByName(undated)
+    return out if counted is None else out.unionByName(counted)
 
 
 def trailing_stats_window(df: DataFrame, keys: list[str], id_col: str, day: str, value: str, windows: list[int], prefix: str) -> DataFrame:

@@ -196,3 +196,42 @@ def test_correlations_of_many_columns(spark):
         else:
             assert c == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7)
     assert correlations(made.limit(0), names[:3]).filter("corr IS NOT NULL").count() == 0
+
+
+def test_csv_by_ranges(spark, tmp_path):
+    """Ranges of a few bytes: quotes, escaped quotes and letters of several
+    bytes over borders, quotes that open nothing, empty lines, a range that is
+    all inside of quotes; as one reader of the whole file has it."""
+    import csv
+    import io
+    import random
+
+    r = random.Random(9)
+    cell = lambda: r.choice(["", "x", "大安區", '甲"乙', "a,b", "line\nbreak", "two\r\nlines", 'say ""', "長" * 40, "0 1", "\n" * 90])
+    texts = {}
+    for name, code in (("a", "utf-8-sig"), ("b", "cp950"), ("c", "utf-8")):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\r\n" if name == "b" else "\n")
+        writer.writerow(["k", "v", "名"])
+        for i in range(120):
+            writer.writerow([i, cell(), cell()][: 3 if i % 13 else 2])
+            if i % 17 == 0:
+                out.write("\n")
+            if i % 19 == 0:
+                out.write('5" pipe,6" pipe,z\nq,w,e,too many\n')
+        texts[name] = ("\n" if name == "c" else "") + out.getvalue()
+        (tmp_path / f"{name}.csv").write_bytes(texts[name].encode(code))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("64", "700", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = S.read_text_csv(spark, [str(tmp_path / f"{n}.csv") for n in texts]).collect()
+            for name, text in texts.items():
+                reader = csv.reader(io.StringIO(text, newline=""))
+                head = next(x for x in reader if x)
+                want = [(i, *(x + [""] * (3 - len(x)))) for i, x in enumerate(reader, 1) if x and len(x) <= len(head)]
+                assert sorted((g.row_order, g.k, g.v, g["名"]) for g in got if g.source_file.endswith(f"/{name}.csv")) == want, (name, size)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schema import require_columns, with_missing
+from tidemark.sources.scratch import written
+from tidemark.sources.text_csv import csv_records
 
 CURRENT_ORDER = 999_999
 # How text files may be encoded, in the order they are tried.
@@ -28,51 +27,21 @@ def find_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.filter((base == name.lower()) & ~F.contains("path", F.lit("@eaDir"))).orderBy(F.lower("path"))
 
 
-def _decoded(path: str, content: bytes, encodings) -> str:
-    """Text in the first encoding that reads every byte."""
-    for encoding in encodings:
-        try:
-            return content.decode(encoding)
-        except UnicodeDecodeError:
-            pass
-    raise ValueError(f"{path} is in none of {', '.join(encodings)}")
-
-
-def _records(encodings, headers_only: bool):
-    """(path, row_order, names, fields) of the records of CSV files; a file's
-    header is record 0. A record with more fields than the header is left out."""
-
-    def run(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                reader = csv.reader(io.StringIO(_decoded(path, content, encodings), newline=""))
-                head = next((r for r in reader if r), None)
-                if head is None:
-                    continue
-                names, rows = header_names(head), [(0, [])]
-                for i, fields in enumerate(reader if not headers_only else (), 1):
-                    if fields and len(fields) <= len(names):
-                        rows.append((i, fields))
-                    if len(rows) >= 10_000:
-                        yield pd.DataFrame({"path": path, "row_order": [r[0] for r in rows], "names": [names] * len(rows), "fields": [r[1] for r in rows]})
-                        rows = []
-                yield pd.DataFrame({"path": path, "row_order": [r[0] for r in rows], "names": [names] * len(rows), "fields": [r[1] for r in rows]})
-
-    return run
-
-
 def read_text_csv(spark: SparkSession, paths: list[str], encodings=ENCODINGS) -> DataFrame:
     """Rows of CSV files, all columns strings, with provenance columns
     source_file, source_folder and row_order. Each file may have its own
     encoding (a byte order mark is dropped) and its own columns; fields may hold
     line breaks in quotes; a row with more fields than its header is left out, a
-    shorter one padded with empty text. All files are one Spark job; a file is
-    read by one task, as an encoding can only be told from all of it."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    record = "path string, row_order int, names array<string>, fields array<string>"
-    heads = files.mapInPandas(_records(encodings, True), record).groupBy("names").agg(F.min("path").alias("path")).orderBy("path").collect()  # one row for each layout
-    names = list(dict.fromkeys(n for head in heads for n in head["names"]))
-    rows = files.mapInPandas(_records(encodings, False), record).filter("row_order > 0")
+    shorter one padded with empty text. Files of any size are read by ranges,
+    all in the same jobs. Lines end with a line feed; records that only a
+    carriage return parts share a row_order."""
+    records, heads = csv_records(spark, paths, encodings)
+    heads = written(heads.filter("head_at >= 0"), "heads")
+    layouts = [header_names(r["names"]) for r in heads.groupBy("names").agg(F.min("path").alias("path")).orderBy("path").collect()]  # one row for each layout
+    names = list(dict.fromkeys(n for layout in layouts for n in layout))
+    trimmed = F.udf(lambda names: header_names(names), "array<string>")  # once for each file
+    heads = heads.select("path", "head_at", trimmed("names").alias("names"))
+    rows = records.join(heads, "path").withColumn("row_order", (F.col("record") - F.col("head_at")).cast("int")).filter("row_order > 0 AND size(fields) > 0 AND size(fields) <= size(names)")
     value = lambda n: F.when(F.array_contains("names", n), F.coalesce(F.get("fields", (F.array_position("names", n) - 1).cast("int")), F.lit("")))
     return rows.select(*[value(n).alias(n) for n in names], F.col("path").alias("source_file"), F.element_at(F.split("path", "/"), -2).alias("source_folder"), "row_order")
 

@@ -48,6 +48,21 @@ def test_embedding_cache(spark, tmp_path):
     assert {len(r.embedding) for r in other.collect()} == {16} and spark.read.parquet(calls).count() == 5
 
 
+def test_vectors_of_tables(spark, tmp_path):
+    """Only the same rows in the same order with the same model are found again."""
+    df = spark.createDataFrame([(1, "a b", 1), (2, "c", 2), (3, None, 3)], "id int, t string, o int").repartition(3)
+    name = lambda d, order=("o",), model="m": V.table_identity(d, "id", "t", list(order), model)
+    same = name(df)
+    assert same == name(df.repartition(2))
+    others = [name(df, ("id", "o"), "n"), name(df.withColumn("o", -F.col("o"))), name(df.filter("id < 3")), name(df.withColumn("t", F.coalesce("t", F.lit("")))), name(df.withColumn("id", F.col("id") + 1))]
+    assert len({same, *others}) == 6
+    first = V.embed_table(df, "id", "t", ["o"], lambda: V.HashingBackend(8), str(tmp_path / "c"))
+    again = V.embed_table(df, "id", "t", ["o"], lambda: V.HashingBackend(4), str(tmp_path / "c"))
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    forced = V.embed_table(df, "id", "t", ["o"], lambda: V.HashingBackend(4), str(tmp_path / "c"), force=True)
+    assert {r.id: r.embedding and len(r.embedding) for r in forced.collect()} == {1: 4, 2: 4, 3: None}
+
+
 def test_preprocessing(spark):
     train = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, "a")], "x double, c string")
     p = M.Preprocessor(["x"], ["c"]).fit(train)

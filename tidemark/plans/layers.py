@@ -141,14 +141,36 @@ def dual_sink(spark, sf_dir):
     return spark.createDataFrame(counts, "layer string, format string, status string, n long")
 
 
-@query("S12_vector_cache", "SELECT c_custkey, 8 AS first, 16 AS second, CAST(n AS BIGINT) AS cached FROM customer, (SELECT 2 * count(DISTINCT c_mktsegment) AS n FROM customer)")
+class Letters:
+    """Vectors of how often each of some letters is in a text."""
+
+    def __init__(self, letters: str):
+        self.letters = letters
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(x)) for x in self.letters] for t in texts]
+
+
+_LETTERS_SQL = lambda text, letters: "concat_ws(',', " + ", ".join(f"length({text}) - length(replace({text}, '{x}', ''))" for x in letters) + ")"
+
+
+@query("S12_vector_cache", f"""SELECT c_custkey, {_LETTERS_SQL('c_mktsegment', 'AEIOU')} AS first, {_LETTERS_SQL('c_mktsegment', 'ST')} AS second, {_LETTERS_SQL('c_mktsegment', 'AEIOU')} AS own, CAST(n AS BIGINT) AS cached, 2::BIGINT AS tables
+ FROM customer, (SELECT 2 * count(DISTINCT c_mktsegment) AS n FROM customer)""")
 def vector_cache(spark, sf_dir):
-    """Two models in one cache: each has vectors of its own, for each text once."""
+    """Two models in one cache, each with vectors of its own, for each text
+    once; and vectors of whole tables, which hold for the same rows in the same
+    order only: the second call finds those of the first, the third does not."""
     cache, rows = scratch_path(spark, "vectors"), read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    V.embed_cached(rows.limit(5), "c_mktsegment", lambda: V.HashingBackend(8), cache, "small").count()
-    one = V.embed_cached(rows, "c_mktsegment", lambda: V.HashingBackend(8), cache, "small").select("c_custkey", F.size("embedding").alias("first"))
-    two = V.embed_cached(rows, "c_mktsegment", lambda: V.HashingBackend(16), cache, "large").select("c_custkey", F.size("embedding").alias("second"))
-    return one.join(two, "c_custkey").withColumn("cached", F.lit(spark.read.parquet(cache).count()))
+    vector = lambda name: F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias(name)
+    V.embed_cached(rows.limit(5), "c_mktsegment", lambda: Letters("AEIOU"), cache, "vowels").count()
+    one = V.embed_cached(rows, "c_mktsegment", lambda: Letters("AEIOU"), cache, "vowels").select("c_custkey", vector("first"))
+    two = V.embed_cached(rows, "c_mktsegment", lambda: Letters("ST"), cache, "others").select("c_custkey", vector("second"))
+    tables = scratch_path(spark, "tables")
+    turned = rows.withColumn("place", -F.col("c_custkey"))
+    found = [V.embed_table(df, "c_custkey", "c_mktsegment", [order], lambda: Letters("AEIOU"), tables) for df, order in ((rows, "c_custkey"), (rows, "c_custkey"), (turned, "place"))]
+    paths = len({df.inputFiles()[0].rsplit("/", 2)[1] for df in found})
+    out = one.join(two, "c_custkey").join(found[1].select("c_custkey", vector("own")), "c_custkey")
+    return out.withColumns({"cached": F.lit(spark.read.parquet(cache).count()), "tables": F.lit(paths).cast("long")})
 
 
 @query("S13_json_sink", "SELECT n_name AS district, CAST(count(*) AS BIGINT) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

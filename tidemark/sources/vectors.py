@@ -4,6 +4,7 @@ vectors by model and text hash."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.files import optional
+from tidemark.operators.ordering import positions
+from tidemark.sources.files import load_json, optional, save_json
 
 
 class EmbeddingBackend(Protocol):
@@ -64,10 +66,41 @@ def embed_cached(df: DataFrame, text: str, make_backend: Callable[[], EmbeddingB
     keyed = df.withColumn("text_sha", F.sha2(text, 256))
     missing = df if have is None else keyed.join(have.filter(F.col("model") == model).select("text_sha"), "text_sha", "left_anti")
     embed(missing, text, make_backend).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(cache)
-    own = spark.read.parquet(cache).filter(F.col("model") == model).select("text_sha", "embedding")
+    # Two runs at once may both have embedded a text; one of its vectors counts.
+    own = spark.read.parquet(cache).filter(F.col("model") == model).select("text_sha", "embedding").dropDuplicates(["text_sha"])
     return keyed.join(own, "text_sha", "left").drop("text_sha")
 
 
+def table_identity(df: DataFrame, id_col: str, text: str, order: list[str], model: str) -> str:
+    """A name for the vectors of a table: another model, text, id, number of
+    rows or order of ids has another one. Rows are placed and hashed where they
+    are; only sums come together."""
+    placed = positions(df.select(*dict.fromkeys([*order, id_col]), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_sha"), F.col(text).isNull().alias("_none")), order)
+    mark = lambda seed: F.xxhash64(F.lit(seed), "position", F.col(id_col).cast("string"), "_sha", "_none")
+    n, *sums = placed.agg(F.count("*"), *[F.sum(mark(i).cast("decimal(38,0)")) for i in (1, 2)]).first()
+    return hashlib.sha256("|".join(map(str, (model, n, *sums))).encode()).hexdigest()
+
+
+def embed_table(df: DataFrame, id_col: str, text: str, order: list[str], make_backend: Callable[[], EmbeddingBackend], cache: str, model: str = "default", force: bool = False) -> DataFrame:
+    """(id_col, embedding) of every row, from the cache if it holds the vectors
+    of this very table (``table_identity``), else embedded and kept there.
+    ``order`` has to place all rows. Vectors count once a note of where they
+    are is written, after them: runs that fail or meet leave nothing half done.
+    A null text has no vector."""
+    spark = df.sparkSession
+    note = f"{cache}/{table_identity(df, id_col, text, order, model)}"
+    if not force:
+        try:
+            return spark.read.parquet(load_json(spark, note)[0]["path"])
+        except FileNotFoundError:
+            pass
+    path = f"{cache}/vectors-{uuid.uuid4().hex}"
+    keyed = df.select(id_col, F.sha2(text, 256).alias("text_sha"))
+    keyed.join(embed(df, text, make_backend), "text_sha", "left").select(id_col, "embedding").write.parquet(path)
+    save_json(spark, {"path": path, "model": model}, note)
+    return spark.read.parquet(path)
+
+
 class OverlapReranker:
     """Share of the words of either text that both have."""
 

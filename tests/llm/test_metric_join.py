@@ -72,3 +72,17 @@ def test_whole_table_and_empty(spark, sf_dir, same):
     same([tuple(r) for r in near_vectors(table).collect()], brute_force(rows, 0.9))
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r.vec_id for r in keep_one_per_group(table).collect()} == {r[0] for r in brute_force(rows, 0.9) if r[3]}
+
+
+def test_sql(spark, same):
+    """The SQL beside the query, on clusters, odd vectors and copies."""
+    import duckdb
+    import pyarrow as pa
+
+    from tidemark.llm.queries import ORACLES
+
+    rows = [r[:2] for r in sample_rows() if r[0] is not None and not (r[1] and r[1][0] in (1e300, 1e-300))][:-3]
+    db = duckdb.connect()
+    db.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    same([tuple(r) for r in found.collect()], db.sql(ORACLES["op13_embedding_near_dedup"]).select("vec_id, n_links, component_id, kept").fetchall())

@@ -175,7 +175,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOI
 """
 
 ORACLES["op13_embedding_near_dedup"] = """
-WITH RECURSIVE sound AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, x -> isfinite(x))) = len(embedding) AND len(list_filter(embedding, x -> x <> 0)) > 0),
+WITH RECURSIVE sound AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
 reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, y FROM reached r JOIN links ON x = other),
 least_ids AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY 1),

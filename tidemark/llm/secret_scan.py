@@ -4,18 +4,25 @@ Three plain patterns give the base spans. Beside them, lines that assign are
 read as source or configuration: names, operators and string literals are
 lexed into (name, literal) pairs; a literal may be put together from literals
 and names with ``+``; a name stands for the value it was last given in the
-text. Lines of configuration may give values without quotes; a word without
-digits is a name there. A literal is scored by how sensitive the name is and by the literal's
-own look, and a pair from a score of ``threshold`` on is a ``lexed`` span, at
-the literal itself (for a name: where its literal stands). Base spans stay as
-they are; a lexed span inside one of them is not repeated.
+text. Strings may have prefixes, backticks or triple quotes; the name may be a
+subscript (``env["NAME"] = ...``), have a type (``name: str = ...``), be an XML
+tag or attribute, or stand in a pair beside it (``name: NAME``, ``value: ...``).
+Lines of configuration may give values without quotes; a word without digits is
+a name there; an indented block behind ``|`` or ``>`` is the value of its key.
+Of values over several lines each line is a span, armour (``-----``) aside.
+A literal is scored by how sensitive the name is and by the literal's own look,
+and a pair from a score of ``threshold`` on is a ``lexed`` span, at the literal
+itself (for a name: where its literal stands). Base spans stay as they are; a
+lexed span inside one of them is not repeated.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +41,10 @@ SENSITIVE = {
 }
 # Literals that stand for no secret.
 HARMLESS = {b"changeme", b"example", b"password", b"none", b"null", b"true", b"false", b"undefined", b"your_password", b"xxxxxx", b"redacted"}
-_TOKEN = re.compile(rb"""(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<double>"(?:[^"\\\n]|\\.)*")|(?P<single>'(?:[^'\\\n]|\\.)*')|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<end>\n)|(?P<other>[^\s])""")
+_TOKEN = re.compile(
+    rb"""(?P<string>(?:[bBrRfFuUL]{1,2}|[@$])?(?:\"{3}(?s:(?:[^\\]|\\.)*?)\"{3}|'{3}(?s:(?:[^\\]|\\.)*?)'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`))"""
+    rb"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){}\[\]])|(?P<end>\n)|(?P<other>[^\s])"""
+)
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
@@ -75,12 +85,25 @@ class Literal:
         value = data[start:end]
         return cls(Counter(value), value if len(value) <= _SHORT else None, (start, end))
 
+    @classmethod
+    def lines(cls, data: bytes, start: int, end: int) -> Literal | None:
+        """The lines of a value as one literal, without their indentation and
+        without armour; None if nothing is left."""
+        value = None
+        for m in _LINE.finditer(data, start, end):
+            if not m[0].startswith(b"-----"):
+                one = cls.at(data, m.start(), m.end())
+                value = one if value is None else value + one
+        return value
+
     def __add__(self, other: Literal) -> Literal:
         short = None if self.short is None or other.short is None else self.short + other.short
         return Literal(self.counts + other.counts, short if short is None or len(short) <= _SHORT else None, (self, other))
 
 
 _SHORT = max(map(len, HARMLESS))
+_TRIPLE = re.compile(rb"\"{3}|'{3}")
+_LINE = re.compile(rb"[^\s](?:[^\n]*[^\s])?")
 
 
 def literal_score(value: Literal) -> int:
@@ -103,6 +126,38 @@ _BARE = re.compile(rb"""^[ \t]*+(?:-[ \t]++)?(?:(?:export|set|env)[ \t]++)?([A-Z
 _REFERENCE = re.compile(rb"[A-Za-z_]+|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")
 _NAME = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$.-]*")
 _SIGNS = (b"=", b":", b":=", b"=>")
+# The first line of an indented block: name: |
+_BLOCK = re.compile(rb"^([ \t]*+)(?:-[ \t]++)?[\"']?([A-Za-z_$][A-Za-z0-9_$.-]*+)[\"']?[ \t]*+:[ \t]*+[|>][0-9+-]*+[ \t]*+(?:\#[^\n]*+)?\r?\n", re.M)
+_ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:[ \t][^<>\n]*+)?>\s*+([^<>\s]++)\s*+</([A-Za-z0-9_.-]++)>")
+# Names of the two halves of a pair: name: NAME, value: VALUE.
+_LABELS, _VALUES = (b"name", b"key", b"id"), (b"value",)
+
+
+def _inside(text: bytes, start: int) -> tuple[int, int]:
+    """Where the content of a string token lies that starts at ``start``."""
+    quote = min(i for i in (text.find(q) for q in (b'"', b"'", b"`")) if i >= 0)
+    width = 3 if text[quote : quote + 3] in (b'"""', b"'''") and len(text) >= quote + 6 else 1
+    return start + quote + width, start + len(text) - width
+
+
+def _placed(data: bytes):
+    """(name, value) of indented blocks and of XML elements."""
+    end = 0
+    while (b"|" in data or b">" in data) and (m := _BLOCK.search(data, end)):
+        end = at = m.end()
+        while at < len(data):
+            stop = data.find(b"\n", at) + 1 or len(data)
+            line = data[at:stop]
+            if line.strip():
+                if len(line) - len(line.lstrip(b" \t")) <= len(m[1]):
+                    break
+                end = stop
+            at = stop
+        if (value := Literal.lines(data, m.end(), end)) is not None:
+            yield m[2], value
+    for m in _ELEMENT.finditer(data) if b"</" in data else ():
+        if m[1] == m[3]:
+            yield m[1], Literal.at(data, *m.span(2))
 
 
 def assignments(data: bytes):
@@ -113,22 +168,31 @@ def assignments(data: bytes):
     known: dict[bytes, Literal] = {}
     bare = {m.start(1): m.span(2) for m in _BARE.finditer(data) if not _REFERENCE.fullmatch(m[2])}
     tokens = [(m.lastgroup, m[0], m.start(), m.end()) for line in _assigning(data) for m in _TOKEN.finditer(data, *line)]
-    i, n = 0, len(tokens)
+    i, n, label = 0, len(tokens), None
     while i < n:
         kind, text, at, _ = tokens[i]
-        name = text if kind == "name" else text[1:-1] if kind in ("double", "single") else None
-        if name is None or i + 1 >= n or tokens[i + 1][1] not in _SIGNS or not _NAME.fullmatch(name):
+        name = text if kind == "name" else data[slice(*_inside(text, at))] if kind == "string" else None
+        # A subscript's name stands between brackets, and its sign behind them.
+        sign = i + 1 + (kind == "string" and i > 0 and tokens[i - 1][1] == b"[" and i + 1 < n and tokens[i + 1][1] == b"]")
+        if name is None or sign >= n or tokens[sign][1] not in _SIGNS or not _NAME.fullmatch(name):
             i += 1
             continue
-        i += 2
+        i = sign + 1
+        if tokens[sign][1] == b":" and i + 1 < n and tokens[i][0] == "name" and tokens[i + 1][1] == b"=":
+            i += 2  # a type
+        if name.lower() in _LABELS and i < n and tokens[i][0] in ("name", "string"):
+            label = tokens[i][1] if tokens[i][0] == "name" else data[slice(*_inside(tokens[i][1], tokens[i][2]))]
+        elif name.lower() in _VALUES and label is not None:
+            name, label = label, None
         value, wanted, depth, line = None, True, 0, True
         while i < n:
             kind, text, start, end = tokens[i]
             literal = None
-            if kind in ("double", "single") and (wanted or depth):
+            if kind == "string" and (wanted or depth):
                 if not (line and depth == 0) and i + 1 < n and tokens[i + 1][1] in _SIGNS:
                     break  # the name of another pair
-                literal = Literal.at(data, start + 1, end - 1)
+                inner = _inside(text, start)
+                literal = (Literal.lines(data, *inner) if b"\n" in text else None) or Literal.at(data, *inner)
             elif kind == "name" and wanted and text in known:
                 literal = known[text]
             if literal is not None:
@@ -159,22 +223,40 @@ def assignments(data: bytes):
 
 def _assigning(data: bytes):
     """Byte ranges of the lines with an assignment sign, and of the lines that
-    go on from them."""
-    start, open_ = 0, False
+    go on from them. A string in triple quotes goes on to its end."""
+    start, open_, covered = 0, False, 0
     for line in data.split(b"\n"):
         bare = line.strip()
+        if start < covered:  # inside a string of the range before
+            start += len(line) + 1
+            continue
         if b"=" in line or b":" in line or (open_ and (not bare or last in b"=:+([\\," or bare[:1] in b"+'\")]")):
-            yield start, min(len(data), start + len(line) + 1)
+            covered = max(_closed(data, line, start), start + len(line) + 1)
+            yield start, min(len(data), covered)
             open_, last = True, bare[-1:] or (last if open_ else b"=")
         else:
             open_ = False
         start += len(line) + 1
 
 
+def _closed(data: bytes, line: bytes, start: int) -> int:
+    """The end of the line in which triple quotes opened in ``line`` are
+    closed, or 0. Looks as far as an empty line, so that quotes that nothing
+    closes cost no more than their paragraph."""
+    opened, at = None, 0
+    for m in _TRIPLE.finditer(line):
+        opened, at = (m[0], m.end()) if opened is None else (None, 0) if m[0] == opened else (opened, at)
+    if opened is None:
+        return 0
+    paragraph = data.find(b"\n\n", start + at)
+    close = data.find(opened, start + at, len(data) if paragraph < 0 else paragraph)
+    return 0 if close < 0 else (data.find(b"\n", close) + 1 or len(data))
+
+
 def lexed_spans(data: bytes, threshold: int) -> set[tuple[int, int]]:
     out, seen = set(), set()
     held = []  # keeps the trees, so that an id stays one tree's
-    for name, value in assignments(data):
+    for name, value in chain(assignments(data), _placed(data)):
         sensitive = name_score(name)
         if sensitive and (own := literal_score(value)) and sensitive + own >= threshold:
             held.append(value)
@@ -195,8 +277,9 @@ def spans(data: bytes, threshold: int = 5) -> list[tuple[int, int, int]]:
     """Base and lexed spans in code points, by start and then kind."""
     base = base_spans(data)
     extra = []
-    if b"=" in data or b":" in data:
-        extra = [(s, e, 3) for s, e in lexed_spans(data, threshold) if not any(b <= s and e <= f for b, f, _ in base)]
+    if b"=" in data or b":" in data or b"</" in data:
+        starts, reach = [b for b, _, _ in base], [0, *accumulate((f for _, f, _ in base), max)]
+        extra = [(s, e, 3) for s, e in lexed_spans(data, threshold) if reach[bisect_right(starts, s)] < e]
     found = sorted([*base, *extra], key=lambda x: (x[0], x[2], x[1]))
     if not found or data.isascii():
         return found

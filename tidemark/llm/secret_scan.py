@@ -241,16 +241,16 @@ def _assigning(data: bytes):
 
 def _closed(data: bytes, line: bytes, start: int) -> int:
     """The end of the line in which triple quotes opened in ``line`` are
-    closed, or 0. Looks as far as an empty line, so that quotes that nothing
-    closes cost no more than their paragraph."""
+    closed, or 0 if an empty line comes first."""
     opened, at = None, 0
     for m in _TRIPLE.finditer(line):
         opened, at = (m[0], m.end()) if opened is None else (None, 0) if m[0] == opened else (opened, at)
     if opened is None:
         return 0
-    paragraph = data.find(b"\n\n", start + at)
-    close = data.find(opened, start + at, len(data) if paragraph < 0 else paragraph)
-    return 0 if close < 0 else (data.find(b"\n", close) + 1 or len(data))
+    close = data.find(opened, start + at)
+    if close < 0 or data.find(b"\n\n", start + at, close) >= 0:
+        return 0
+    return data.find(b"\n", close) + 1 or len(data)
 
 
 def lexed_spans(data: bytes, threshold: int) -> set[tuple[int, int]]:

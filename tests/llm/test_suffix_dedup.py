@@ -93,6 +93,39 @@ def test_passages_behind_widely_shared_words(spark, shared):
     assert {(r.doc_id, r.other_doc_id, r.n_words) for r in got} == {(b, a, shared) for b, a in wanted.items()}
 
 
+@pytest.mark.parametrize("before", range(5))
+def test_pairs_around_boilerplate(spark, before):
+    """Passages of 51 words whose middle 47 words many earlier texts have."""
+    rows, wanted = [], []
+    for p in range(10):
+        middle = [f"p{p}w{i}" for i in range(47)]
+        rows += [(len(rows) + i, " ".join([f"a{p}x{i}y{j}" for j in range(9)] + middle + [f"b{p}x{i}y{j}" for j in range(9)])) for i in range(60)]
+    for p in range(100):
+        passage = [f"l{p}w{j}" for j in range(before)] + [f"p{p % 10}w{i}" for i in range(47)] + [f"r{p}w{j}" for j in range(4 - before)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join([f"c{len(rows)}x{j}" for j in range(40)] + passage + [f"d{len(rows)}x{j}" for j in range(40)])))
+        wanted.append((len(rows) - 1, len(rows) - 2, 51))
+    got = shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.other_doc_id, r.n_words) for r in got) == wanted
+
+
+def test_contexts_reach_as_far_as_passages(spark):
+    """Texts that agree in 29 words on each side of the k words and no more."""
+    rows = []
+    for i in range(30):
+        base = [f"w{j}" for j in range(120)]
+        base[(i * 7) % 40], base[80 + (i * 3) % 40] = f"x{i // 2}", f"y{i // 3}"
+        rows.append((i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split, hit = repeated_places(rows, 50)[1:]
+    covered = {}
+    for r in shared_passages(docs).collect():
+        for d, s, e in ((r.doc_id, r.start, r.end), (r.other_doc_id, r.other_start, r.other_end)):
+            i = [x[0] for x in sorted(rows, key=str)].index(d)
+            covered.setdefault(i, set()).update(j for j, x in enumerate(split[i]) if s <= x[1] and x[2] <= e)
+    assert covered == hit
+
+
 def test_a_passage_of_more_copies_than_a_range(spark):
     """Copies fill several ranges of the order; every one of them is found, the
     passage with a single retained suffix too."""

@@ -10,11 +10,14 @@ What stands around the ``k`` words decides which suffixes are compared. A
 passage may reach far to the left of them or far to the right, so each suffix
 has ``SPLITS`` keys: hashes of the ``k`` words with some words before and some
 after them. Wherever the ``k`` words lie in a shared passage of ``least_words``
-words, both copies agree in one of the keys. Suffixes that agree in all keys
-are one context and held against its first; the first ones of the contexts are
-held against the earliest that agrees in a key, and, in sorted order, against
-their neighbours. A match is extended word by word to the left and to the right
-on the whole texts.
+words, both copies agree in one of the keys. Suffixes that agree in all words
+that such a passage can have are one context and held against its first; the
+first ones of the contexts are held, in sorted order, against their neighbours,
+and, where two agree in a key, against each other. Where more than two do, what
+they share may end before ``least_words`` words, so that they are keyed again by
+each whole window of so many words and held against the earliest of the same
+window. A match is extended word by word to the left and to the right on the
+whole texts.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from tidemark.llm.substring_dedup import remove_spans
 _U = np.uint64
 SPLITS = 4
 _KEYS = tuple(f"h{i}" for i in range(SPLITS))
-_SUFFIX = "g1 long, " + ", ".join(f"{h} long" for h in _KEYS) + ", doc long, th long, pos long"
+_SUFFIX = "g1 long, ctx long, " + ", ".join(f"{h} long" for h in _KEYS) + ", doc long, th long, pos long"
 _PAIR = "doc_a long, th_a long, a long, doc_b long, th_b long, b long"
 
 
@@ -42,10 +45,13 @@ def splits(k: int, least_words: int) -> list[tuple[int, int]]:
     """(words before, words after) the k words of each key: if two suffixes
     agree in x words before and in least_words - k - x after, they agree in
     what one of these asks for."""
-    room = least_words - k
-    step = -(-(room + 1) // SPLITS)
-    asked = max(0, room - step + 1)
-    return [(before, asked - before) for before in (min(i * step, asked) for i in range(SPLITS))]
+    asked = max(0, least_words - k - _step(k, least_words) + 1)
+    return [(before, asked - before) for before in (min(i * _step(k, least_words), asked) for i in range(SPLITS))]
+
+
+def _step(k: int, least_words: int) -> int:
+    """How many windows of ``least_words`` words each key stands for."""
+    return -(-(least_words - k + 1) // SPLITS)
 
 
 def minimisers(words: T.Tokens, k: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +72,27 @@ def minimisers(words: T.Tokens, k: int, run: int) -> tuple[np.ndarray, np.ndarra
     return values[keep], first[keep]
 
 
-def _around(words: T.Tokens, first: np.ndarray, before: int, length: int) -> np.ndarray:
-    """Hash of ``length`` words from ``before`` words before ``first``; what is
-    outside the text counts as no word."""
-    document = words.document[first]
-    low, high = words.bounds[document], words.bounds[document + 1]
-    padded = np.append(words.hashes, _U(0))
-    acc = np.full(len(first), before + 1, dtype=_U)
-    for j in range(-before, length - before):
-        at = first + j
-        acc = acc * T._WORD_BASE + padded[np.where((at >= low) & (at < high), at, len(words.hashes))]
-    return T.mix(acc)
+_INVERSE = _U(pow(int(T._WORD_BASE), -1, 1 << 64))
+
+
+class _Around:
+    """Hashes of stretches of words around given words, from running sums:
+    each costs the same, however long. What is outside a text counts as no word."""
+
+    def __init__(self, words: T.Tokens):
+        n = len(words.hashes)
+        self.words = words
+        self.power = np.cumprod(np.concatenate([np.ones(1, _U), np.full(n, T._WORD_BASE)]), dtype=_U)
+        inverse = np.cumprod(np.full(n, _INVERSE), dtype=_U)
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(words.hashes * inverse, dtype=_U)])
+
+    def __call__(self, first: np.ndarray, before: int, length: int) -> np.ndarray:
+        document = self.words.document[first]
+        low = np.maximum(first - before, self.words.bounds[document])
+        high = np.minimum(first - before + length, self.words.bounds[document + 1])
+        value = (self.sums[high] - self.sums[low]) * self.power[high]
+        shape = (first - low).astype(_U) << _U(32) | (high - first).astype(_U)
+        return T.mix(T.mix(value + _U(before + 1)) ^ T.mix(shape))
 
 
 def _suffixes(k: int, least_words: int):
@@ -90,8 +106,33 @@ def _suffixes(k: int, least_words: int):
                 values, first = minimisers(words, k, least_words - k + 1)
                 document = words.document[first]
                 ids = [part[c].slice(block.first, len(block)).take(pa.array(document)) for c in ("doc", "th")]
-                hashes = [T.as_long(_around(words, first, x, x + k + y)) for x, y in keys]
-                yield pa.RecordBatch.from_arrays([T.as_long(values), *hashes, *ids, pa.array(first - words.bounds[document])], ["g1", *_KEYS, "doc", "th", "pos"])
+                around, room = _Around(words), least_words - k
+                hashes = [T.as_long(around(first, x, x + k + y)) for x, y in [(room, room), *keys]]
+                yield pa.RecordBatch.from_arrays([T.as_long(values), *hashes, *ids, pa.array(first - words.bounds[document])], ["g1", "ctx", *_KEYS, "doc", "th", "pos"])
+
+    return go
+
+
+def _windows(k: int, least_words: int):
+    """Hashes of the windows of ``least_words`` words around the suffixes that
+    are asked for, for the keys that are."""
+    room, step = least_words - k, _step(k, least_words)
+
+    def go(batches):
+        for batch in batches:
+            part = {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc", "th", "text", "asked")}
+            for block in T.blocks(part["text"]):
+                words = T.tokens(block, T.WORDS_FOLDED)
+                around = _Around(words)
+                asked = part["asked"].slice(block.first, len(block))
+                of = np.repeat(np.arange(len(block)), np.asarray(asked.value_lengths()))
+                pos, split = (np.asarray(asked.flatten().field(c)) for c in ("pos", "split"))
+                first = words.bounds[of] + pos
+                for i, (x, _) in enumerate(splits(k, least_words)):
+                    for before in range(x, min(x + step, room + 1)):
+                        mine = np.flatnonzero((split == i) & (pos >= before) & (first - before + least_words <= words.bounds[of + 1]))
+                        ids = [part[c].slice(block.first, len(block)).take(pa.array(of[mine])) for c in ("doc", "th")]
+                        yield pa.RecordBatch.from_arrays([T.as_long(around(first[mine], before, least_words)), *ids, pa.array(pos[mine])], ["h", "doc", "th", "pos"])
 
     return go
 
@@ -113,21 +154,26 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*x.T.copy(), *y.T.copy())], ["doc_a", "th_a", "a", "doc_b", "th_b", "b"])
 
 
-def _compared(repeated: DataFrame, n: int) -> DataFrame:
+def _compared(rows: DataFrame, repeated: DataFrame, n: int, least_words: int, k: int) -> DataFrame:
     """Pairs of suffixes whose texts are to be compared, from suffixes whose
     first words occur more than once."""
     place = F.struct("doc", "th", "pos")
     pair = lambda a, b: [F.col(f"{x}.{c}").alias(y) for x, own in ((a, ("doc_a", "th_a", "a")), (b, ("doc_b", "th_b", "b"))) for c, y in zip(("doc", "th", "pos"), own)]
-    named = repeated.withColumn("ctx", F.xxhash64("g1", *_KEYS)).withColumn("own", place)
+    named = repeated.withColumn("own", place)
     # Written, so that each join deals both sides out anew and can split a passage that is everywhere.
     contexts = materialise(named.groupBy("ctx").agg(F.min("own").alias("f"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("g1", *_KEYS)]))
     same = named.select("ctx", "own").join(contexts.filter("n > 1").select("ctx", "f"), "ctx").filter("own <> f").select(*pair("f", "own"))
-    by_key = contexts.select(F.explode(F.array(*_KEYS)).alias("h"), F.col("f").alias("own")).distinct()
-    earliest = materialise(by_key.groupBy("h").agg(F.min("own").alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    alike = by_key.join(earliest, "h").filter("own <> f").select(*pair("f", "own"))
+    by_key = contexts.select(F.posexplode(F.array(*_KEYS)).alias("split", "h"), F.col("f").alias("own"))
+    earliest = materialise(by_key.groupBy("h").agg(F.min("own").alias("f"), F.count("*").alias("n")).filter("n > 1"))
+    alike = materialise(by_key.join(earliest, "h"))
+    two = alike.filter("n = 2 AND own <> f").select(*pair("f", "own"))
+    asked = alike.filter("n > 2").groupBy("own.doc", "own.th").agg(F.collect_set(F.struct("own.pos", "split")).alias("asked"))
+    windows = materialise(rows.join(asked, ["doc", "th"]).mapInArrow(_windows(k, least_words), "h long, doc long, th long, pos long").select("h", place.alias("own")))
+    least = windows.groupBy("h").agg(F.min("own").alias("f"), F.max("own").alias("l")).filter("f <> l").drop("l")
+    more = windows.join(least, "h").filter("own <> f").select(*pair("f", "own"))
     order = ["g1", *_KEYS, "doc", "th", "pos"]
     ranged = contexts.select("g1", *_KEYS, "f.*").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return same.unionByName(alike).unionByName(ranged.mapInArrow(_neighbours, _PAIR))
+    return same.unionByName(two).unionByName(more).unionByName(ranged.mapInArrow(_neighbours, _PAIR))
 
 
 @dataclass(frozen=True)
@@ -213,7 +259,7 @@ def _shared(docs: DataFrame, least_words: int, k: int) -> DataFrame:
     suffixes = rows.mapInArrow(_suffixes(k, least_words), _SUFFIX)
     # Written, so that the join deals both sides out anew and can split a passage that is everywhere.
     often = materialise(suffixes.groupBy("g1").agg(F.count("*").alias("n")).filter("n > 1").select("g1"))
-    pairs = _compared(materialise(suffixes.join(often, "g1")), n)
+    pairs = _compared(rows, materialise(suffixes.join(often, "g1")), n, least_words, k)
     by_pair = materialise(pairs.groupBy("doc_a", "th_a", "doc_b", "th_b").agg(F.collect_set(F.struct("a", "b")).alias("hits")))
     wanted = by_pair.select(F.col("doc_a").alias("doc"), F.col("th_a").alias("th")).union(by_pair.select("doc_b", "th_b")).distinct()
     texts = materialise(rows.join(wanted, ["doc", "th"]).select("doc", "th", "text"))

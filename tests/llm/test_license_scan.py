@@ -1,12 +1,12 @@
 import re
 
-from tidemark.llm.license_scan import RULES, SENTENCES, scan
+from tidemark.llm.license_scan import HEADINGS, NAMES, RULES, SENTENCES, SUBJECTS, VERBS, scan
 
 
 def plain(text):
     """Sentence by sentence, rule by rule."""
     text = "".join(c.lower() if c.isascii() else c for c in text or "")
-    heads = {" ".join(s.rstrip("*").split()[:2]) for s in SENTENCES}
+    heads = {" ".join(s.rstrip("*").split()[:2]) for s in SENTENCES} | {f"{v} under" for v in VERBS[:2]} | {f"{x} is" for x in SUBJECTS}
     cuts, start = [], 0
     for m in re.finditer(r"[.!?:;](?=\s|\Z)|\n", text):
         rest = text[m.end() :]
@@ -17,10 +17,17 @@ def plain(text):
     for s in [*cuts, text[start:]]:
         s = re.sub(r"\.(?![^\W_])", " ", s)
         s = " ".join("".join(c if c.isalnum() or c in ".+" else " " for c in s).split())
-        for known, name in SENTENCES.items():
+        for known, name in [*SENTENCES.items(), *HEADINGS.items()]:
             if s == known or (known.endswith("*") and s.startswith(known[:-1])):
                 ids.append(name)
                 break
+        else:
+            for subject in ("", *(f"{x} is " for x in SUBJECTS)):
+                for verb in VERBS:
+                    for name in NAMES:
+                        for article in ("", "the ", "a ", "an "):
+                            if s in (f"{subject}{verb} under {article}{name}", f"{subject}{verb} under the terms of {article}{name}"):
+                                ids.append(NAMES[name])
     left, found = list(ids), []
     for name, sequence in RULES:
         i = 0
@@ -118,3 +125,32 @@ def test_further_licences(spark, same):
     rows = scan(made).collect()
     got = {r.doc_id: (r.licenses, r.n_unknown) for r in rows}
     assert got == {0: (["LGPL-2.1-or-later"], 0), 1: (["AGPL-3.0-or-later"], 0), 2: (["ISC"], 0), 3: (["Zlib"], 0), 4: (["EPL-2.0"], 0), 5: (["CC0-1.0"], 0), 6: (["MPL-2.0"], 0), 7: (["BSD-3-Clause"], 0), 8: ([], 0)}
+
+
+def test_notices_headings_and_declarations(spark):
+    cases = {
+        "# SPDX-License-Identifier: MIT\nimport os": ["MIT"],
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */\nint x;": ["MIT", "Apache-2.0"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND ISC": ["GPL-2.0-or-later", "ISC"],
+        "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0+"],
+        "Distributed under the MIT License.": ["MIT"],
+        "MIT License\n\nCopyright (c) 2020 X": ["MIT"],
+        "Released under the Apache License 2.0.": ["Apache-2.0"],
+        "Licensed under the GNU General Public License v3.0.": ["GPL-3.0-only"],
+        "This project is licensed under GPLv3": ["GPL-3.0-only"],
+        "name = x\nLicense: BSD-3-Clause\nVersion: 1": ["BSD-3-Clause"],
+        '  "license": "MIT",': ["MIT"],
+        "License: ask us": [],
+        "                Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n   TERMS": ["Apache-2.0"],
+        "    GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright": ["GPL-3.0-only"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "# Available under the terms of the BSD 2-Clause License\nimport os": ["BSD-2-Clause"],
+        "the committee was licensed under the old law": [],
+    }
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in scan(made).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert rows[i].licenses == want, (text, rows[i])
+        assert rows[i].n_unknown == 0
+    one = scan(spark.createDataFrame([(1, "SPDX-License-Identifier: LicenseRef-own")], "doc_id long, text string")).first()
+    assert (one.licenses, one.n_unknown) == ([], 1)

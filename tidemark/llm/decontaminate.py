@@ -282,7 +282,9 @@ def _count_words(batches):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: Winnowing = Winnowing(), local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """``docs`` without the documents that have a hit word; columns stay."""
+    """``docs`` without the documents that have a hit word; columns stay, and
+    so do null and empty texts, which have no words. Repeated rows stay or go
+    together; a benchmark without words drops nothing."""
     items = _benchmark_items(benchmark, local_bytes)
     if items is not None:
         return _local(docs, items, rule, only_clean=True)

@@ -6,7 +6,8 @@ The prefix sums of these expectations, plus one random offset for the source,
 cross an integer so many times in a document: that many copies are taken. As
 the row is ordered by size, the words taken stay within about one largest
 document of the target; of ``OFFSETS`` random offsets the one is used with which
-they come nearest to it.
+they come nearest to it. The offset used is therefore not quite uniform, and a
+document's expected copies over all seeds are only about ``target / source size``.
 
 The row of a source is cut by ranges into partitions: ranks within partitions
 and the counts of the partitions before give prefix sums, so that no source
@@ -96,7 +97,8 @@ def mix(docs: DataFrame, seed: int = 17, **rule) -> DataFrame:
 
     Rows that agree in doc_id, source and size share their copies evenly in an
     order of their texts, so that what is taken of them does not depend on
-    their order in the table.
+    their order in the table. A null or empty text has size 0 and is taken as
+    often as the others of its source, with its text as it was.
     """
     key, number, at, copies = columns_free(docs, "key", "number", "at", "copies")
     same = lambda size: F.struct(F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), size.alias("n"))

@@ -227,7 +227,8 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns. A null
+    or empty text has no words and goes; repeated rows stay or go together."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rules))
 
     def run(batches):

@@ -154,5 +154,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, least_words: int = 1) -> Dat
 
 
 def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = 8) -> DataFrame:
-    """``docs`` with the repeated units cut out of their texts."""
+    """``docs`` with the repeated units cut out of their texts. Null texts stay
+    null, all columns and the number of rows stay, and the earliest occurrence
+    of a unit stays where it is."""
     return remove_spans(docs, _repeated(docs, {unit: least_words}))

@@ -275,5 +275,6 @@ def _shared(docs: DataFrame, least_words: int, k: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, least_words: int = 50, k: int = 20) -> DataFrame:
-    """``docs`` with every copy but the first of a shared passage cut out."""
+    """``docs`` with every copy but the first of a shared passage cut out. Null
+    texts stay null; all columns and the number of rows stay."""
     return remove_spans(docs, _shared(docs, least_words, k).select("doc_id", "th", "start", "end"), least_words)

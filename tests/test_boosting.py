@@ -85,6 +85,18 @@ def test_trees_are_those_of_one_split_at_a_time(fitted):
                 assert got[fold, j, i] == pytest.approx(p, abs=1e-8)
 
 
+def test_copies_of_rows_are_cells(spark):
+    """A pass reads as many cells of four copies as of one, and splits them alike."""
+    found = []
+    for copies in (1, 4):
+        rows = [r for r in table(90) for _ in range(copies)]
+        model = B.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), ["a", "b"], ["c"], "y", [B.Boosting(trees=9, leaves=4, rate=0.3, least_rows=5 * copies)], ["id"], bins=16)
+        assert sum(t.cover[0] for t in model.trees[1, 0]) == 9 * 60 * copies
+        found.append((sum(r.cells for r in model.blocks.collect()), {(r.fold_id, r.id): r.y_pred for r in model.predictions().collect()}, [t.column for t in model.trees[2, 0]]))
+    assert found[0][0] == found[1][0] <= 2 * 60
+    assert found[0][1] == pytest.approx(found[1][1], abs=1e-9) and found[0][2] == found[1][2]
+
+
 def test_passes_do_not_grow_with_folds(spark):
     rule = [B.Boosting(trees=2, leaves=6, least_rows=5)]
     passes = []

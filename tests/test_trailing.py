@@ -136,6 +136,25 @@ def test_pruned_blocks_miss_nothing(spark, monkeypatch):
     assert sent < 0.8 * 1200 * blocks
 
 
+def test_copies_of_sales_ask_once(spark, monkeypatch):
+    """Five copies of each sale send as many rows to blocks as one, and each
+    has the comparables of its own ranking."""
+    asked = []
+    deal = N._asked
+    monkeypatch.setattr(N, "_asked", lambda *a: (asked.append((out := deal(*a)).count()), out)[1])
+    sent = []
+    for copies in (1, 5):
+        rows = [sale(1000 * c + i, 1 + i, area=20.0 + i % 7) for i in range(40) for c in range(copies)]
+        asked.clear()
+        made = spark.createDataFrame(rows, SALE)
+        top = R.comparable_pairs(made, ["district", "kind"], 30, 4).collect()
+        sent.append(sum(asked))
+        assert len(top) == sum(min(4, copies * min(i, 30)) for i in range(40)) * copies
+        assert R.comparable_summary(made, ["district", "kind"], 30, 4).count() == 40 * copies
+    assert [sorted(r.c_sale_id for r in top if r.sale_id == at) for at in (3, 4003)] == [[2, 1002, 2002, 3002]] * 2
+    assert sent[0] == sent[1] == 40
+
+
 def test_equal_rows_send_k_each(spark, monkeypatch):
     """A hot group of equal rows leaves k pairs for each row and block, not all pairs."""
     monkeypatch.setattr(N, "BLOCK", 100)

@@ -144,22 +144,23 @@ def _visit(asking: DataFrame, candidates: DataFrame, pairs: DataFrame, columns:
     return here.groupBy(*name).cogroup(there.groupBy(*[f"_{c}" for c in name])).applyInArrow(run, schema)
 
 
-def nearest(df: DataFrame, keys: list[str], id_col: str, day: str, window: int, columns: list[str], k: int, usable: Column, metric: Metric) -> DataFrame:
+def nearest(df: DataFrame, keys: list[str], id_col: str, day: str, window: int, columns: list[str], k: int, usable: Column, metric: Metric, asks: Column | None = None) -> DataFrame:
     """Pairs of rows (``columns`` as they are, and _g, _slice, _day) with usable
     rows of their group in the window before them (``c_`` columns, days_diff):
     all that may be among the k of least score, and little more. Rows without
-    a day ask for nothing and are no candidates."""
-    rows = sliced(df.withColumn("_g", group_key(*keys)), day, window).filter("_day IS NOT NULL").select("_g", "_own", "_day", *columns, usable.alias("_usable"))
+    a day ask for nothing and are no candidates; ``asks`` names the rows that
+    ask if not all do."""
+    rows = sliced(df.withColumn("_g", group_key(*keys)), day, window).filter("_day IS NOT NULL").select("_g", "_own", "_day", *columns, usable.alias("_usable"), (F.lit(True) if asks is None else asks).alias("_asks"))
     rows = metric.tiles(written(rows, "nearest"), id_col)
-    known = {"n": F.count("*"), "usable": F.count_if("_usable"), "first": F.min("_day"), "last": F.max("_day")} | metric.summary
+    known = {"n": F.count("*"), "usable": F.count_if("_usable"), "asks": F.count_if("_asks"), "first": F.min("_day"), "last": F.max("_day")} | metric.summary
     blocks = rows.groupBy("_g", "_own", "_block").agg(*[c.alias(n) for n, c in known.items()])
-    a = blocks.select("_g", F.col("_own").alias("a_own"), F.col("_block").alias("a_block"), F.struct(*known).alias("a"), F.col("_own").alias("_slice"))
+    a = blocks.filter("asks > 0").select("_g", F.col("_own").alias("a_own"), F.col("_block").alias("a_block"), F.struct(*known).alias("a"), F.col("_own").alias("_slice"))
     c = blocks.filter("usable > 0").select("_g", F.col("_own").alias("c_own"), F.col("_block").alias("c_block"), F.struct(*known).alias("c"), F.explode(F.array("_own", F.col("_own") + 1)).alias("_slice"))
     pairs = a.join(c, ["_g", "_slice"]).filter((F.col("c.first") < F.col("a.last")) & (F.col("c.last") >= F.col("a.first") - window))
     pairs = pairs.withColumn("_least", metric.least(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"c.{n}")) - MARGIN)
     order = Window.partitionBy("_g", "a_own", "a_block").orderBy("_least", F.desc("c_own"), "c_block")
     pairs = written(pairs.withColumn("_order", F.row_number().over(order)).select("_g", "a_own", "a_block", "c_own", "c_block", "_least", "_order"), "pairs")
-    candidates = rows.filter("_usable")
+    candidates, rows = rows.filter("_usable"), rows.filter("_asks")
     found = _visit(rows, candidates, pairs.filter(F.col("_order") <= FIRST).drop("_order"), columns, id_col, window, k, metric, None)
     further = pairs.filter(F.col("_order") > FIRST).drop("_order")
     if not further.isEmpty():

@@ -78,33 +78,52 @@ def trailing_stats_window(df: DataFrame, keys: list[str], id_col: str, day: str,
     return rows.select(*out)
 
 
+_ALIKE = ["area", "age", "floor_ratio", "has_parking"]
+
+
+def _comparables(sales: DataFrame, keys: list[str], window: int, k: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The sales with their day, the k nearest of each class of them, and what
+    makes a class. Sales of one group and day that are alike in all that the
+    distance knows have the same comparables: one of them asks. Of candidates
+    that are alike only the k of smallest id can be among k."""
+    columns = ["sale_id", "price", *_ALIKE]
+    require_columns(sales, [*keys, "trade_date", *columns])
+    alike = [*keys, "_day", *_ALIKE]
+    # Written: read for those who ask, for the candidates and for the join with the result.
+    rows = written(sliced(sales.select(*dict.fromkeys([*keys, "trade_date", *columns])), "trade_date", window).drop("_own"), "comparables")
+    usable = F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double"))
+    first = Window.partitionBy(*alike).orderBy(F.when(usable, 0).otherwise(1), F.asc_nulls_last("sale_id"))
+    few = rows.filter("_day IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).filter(usable | (F.col("_n") == 1))
+    pairs = nearest(few, keys, "sale_id", "trade_date", window, columns, k, usable, weighted_distance(window), F.col("_n") == 1)
+    c = F.col
+    distance = S.similarity_distance(c("area"), c("c_area"), c("age"), c("c_age"), c("days_diff"), window, c("floor_ratio"), c("c_floor_ratio"), c("has_parking"), c("c_has_parking"))
+    pairs = pairs.select(*[c("_g")[name].alias(name) for name in keys], "*").withColumn("distance", F.round(distance, 9)).drop("sale_id", "price")
+    # Of each class there are little more than k pairs left to rank.
+    w = Window.partitionBy(*alike).orderBy("distance", c("c_day").desc(), "c_sale_id")
+    return rows, pairs.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k), alike
+
+
 def comparable_pairs(sales: DataFrame, keys: list[str], window: int, k: int = 10) -> DataFrame:
     """The k nearest earlier sales of each sale within ``window`` days, by
     weighted distance, then latest date, then smallest id. Candidates without
     a finite price are left out before ranking."""
-    columns = ["sale_id", "price", "area", "age", "floor_ratio", "has_parking"]
-    require_columns(sales, [*keys, "trade_date", *columns])
-    pairs = nearest(sales, keys, "sale_id", "trade_date", window, columns, k, F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double")), weighted_distance(window))
-    c = F.col
-    distance = S.similarity_distance(c("area"), c("c_area"), c("age"), c("c_age"), c("days_diff"), window, c("floor_ratio"), c("c_floor_ratio"), c("has_parking"), c("c_has_parking"))
-    pairs = pairs.withColumn("distance", F.round(distance, 9))
-    # Of each row there are little more than k pairs left to rank.
-    w = Window.partitionBy("_g", "_slice", "sale_id").orderBy("distance", F.col("c_day").desc(), "c_sale_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rows, top, alike = _comparables(sales, keys, window, k)
+    return joined_by(rows, top, alike, "inner")
 
 
 def comparable_summary(sales: DataFrame, keys: list[str], window: int, k: int = 10) -> DataFrame:
     """One row per sale: eleven statistics of its k comparables."""
-    top = comparable_pairs(sales, keys, window, k)
+    rows, top, alike = _comparables(sales, keys, window, k)
     weight = 1.0 / (F.col("distance") + EPSILON)
     area = F.when(F.col("area").isNotNull() & F.col("c_area").isNotNull(), F.abs(F.col("c_area") - F.col("area")) / F.greatest("area", F.lit(1.0)))
-    stats = top.groupBy("_g", "_slice", "sale_id").agg(
+    stats = top.groupBy(*alike).agg(
         F.count("*").alias("comp_count"), F.median("c_price").alias("comp_median_price"), F.avg("c_price").alias("comp_mean_price"),
         (F.sum(weight * F.col("c_price")) / F.sum(weight)).alias("comp_weighted_mean_price"), F.stddev_pop("c_price").alias("comp_std_price"),
         F.min_by("c_price", "rank").alias("comp_nearest_price"), F.min("distance").alias("comp_nearest_distance"), F.median("distance").alias("comp_median_distance"),
         F.median("days_diff").alias("comp_median_days_diff"), F.median(area).alias("comp_median_area_diff_pct"), F.median(F.abs(F.col("c_age") - F.col("age"))).alias("comp_median_age_diff"),
     )
-    return sales.select("sale_id").join(stats.drop("_g", "_slice"), "sale_id", "left").withColumn("comp_count", F.coalesce("comp_count", F.lit(0)))
+    found = joined_by(rows, stats, alike).select("sale_id", *[c for c in stats.columns if c not in alike])
+    return found.withColumn("comp_count", F.coalesce("comp_count", F.lit(0)))
 
 
 def vector_pairs(df: DataFrame, keys: list[str], id_col: str, day: str, vector: str, window: int, k: int, extra: list[str] = ()) -> DataFrame:

@@ -148,3 +148,22 @@ def test_source_columns_are_no_features(spark):
     derived = first.derive(df, [])
     assert derived.numeric_features == ("area",)
     assert derived.removed_from(first) == ("source_order",)
+
+
+def test_metrics_without_medians_and_counted_training_rows(spark, monkeypatch):
+    """No median is looked for where none is asked for, and training rows that
+    are counted before they are dealt to folds give the same baselines."""
+    from pyspark.sql import functions as F
+
+    rows = [(f, s, i, "ab"[i % 2], float(i * 7 % 11)) for f in (1, 2) for s in ("train", "test") for i in range(20)]
+    members = spark.createDataFrame(rows, "fold_id int, split string, id long, g string, y double")
+    train = members.filter("split = 'train'").groupBy("fold_id", "g", "y").agg(F.count("*").alias("_n"))
+    others = members.filter("split = 'test'")
+    whole = E.median_baselines(members, {"global": [], "g": ["g"]}, "y", ["id", "g"]).filter("split = 'test'")
+    counted = E.median_baselines(others, {"global": [], "g": ["g"]}, "y", ["id", "g"], train)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, whole.collect())) and counted.count() == 80
+    full = {(r.model_name, c): r[c] for c in ("n", "mae", "bias") for r in E.regression_metrics(counted, "model_name").collect()}
+    monkeypatch.setattr(E, "quantiles", None)
+    monkeypatch.setattr(E, "written", None)
+    short = E.regression_metrics(counted, "model_name", median=False)
+    assert {(r.model_name, c): r[c] for c in ("n", "mae", "bias") for r in short.collect()} == pytest.approx(full) and "median_ae" not in short.columns

@@ -167,3 +167,59 @@ def test_metrics_without_medians_and_counted_training_rows(spark, monkeypatch):
     monkeypatch.setattr(E, "written", None)
     short = E.regression_metrics(counted, "model_name", median=False)
     assert {(r.model_name, c): r[c] for c in ("n", "mae", "bias") for r in short.collect()} == pytest.approx(full) and "median_ae" not in short.columns
+
+
+def test_quantiles_repeat_counts_and_not_rows(spark):
+    """Groups that share rows are given counts of cells and the rows of a few
+    cells; results are those of the repeated rows, with values at any scale."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.ordering import quantiles
+
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.normal(0, 1e6, 15_000), r.random(4_000) * 1e-6, np.full(995, 7.0), [0.0, -0.0, 5e-324]])
+    rows = [(int(i % 4), float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "part int, v double").repartition(4)
+    seen = []
+
+    def spread(counts):
+        seen.append(counts.count())
+        return counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("part")))).drop("part")
+
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    found = {row.fold: list(row)[1:] for row in quantiles(df, "v", shares, "fold", spread=spread).collect()}
+    for fold in range(4):
+        own = [v for part, v in rows if part >= fold]
+        assert found[fold] == pytest.approx(np.quantile(own, shares).tolist())
+    assert len(seen) == 2 and sum(seen) < len(rows) / 2
+    huge = spark.createDataFrame([(v,) for v in (-1e300, 1e300, 2.0, 1.0, 1.5)], "v double")
+    assert list(quantiles(huge, "v", [0.25, 0.5, 0.75]).first()) == [1.0, 1.5, 2.0]
+    odd = [float("-inf"), -2.0, 3.0, float("inf"), float("nan")]
+    one = quantiles(spark.createDataFrame([(v,) for v in odd], "v double"), "v", [0.25, 0.5]).first()
+    assert list(one) == [-2.0, 3.0]
+
+
+def test_baselines_learn_from_counts_by_quarter(spark, sf_dir, monkeypatch):
+    """Training sales are not repeated for each fold: what is dealt are counts."""
+    from tidemark.plans import queries as Q
+
+    dealt = []
+    among = Q.L.among
+
+    def counted(rows, bounds, day, columns):
+        if day == "quarter":
+            dealt.append("_cell" in rows.columns)
+        return among(rows, bounds, day, columns)
+
+    monkeypatch.setattr(Q.L, "among", counted)
+    assert Q.predictions(spark, sf_dir).count() > 0
+    assert dealt == [True, True]
+
+
+def test_attributes_of_named_sales_only(spark, sf_dir):
+    from tidemark.plans.sales import sales
+
+    some = sales(spark, sf_dir).orderBy("sale_id").limit(7)
+    ids = spark.createDataFrame([(r.sale_id,) for r in some.collect()], "sale_id long")
+    assert sorted(map(tuple, sales(spark, sf_dir, ids).collect())) == sorted(map(tuple, some.collect()))

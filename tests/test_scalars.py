@@ -48,3 +48,12 @@ def test_change_and_distance(spark):
 def test_labelled_text(spark):
     out = spark.range(1).select(S.labelled_text({"a": S.two_places(F.lit(1234.5)), "b": F.lit(None).cast("string")})).first()[0]
     assert out == "a: 1234.50\nb: 缺失"
+
+
+def test_expressions_do_not_grow_as_powers(spark):
+    """Parts that are used several times are in the plan once: floors and dates
+    written out were too large for generated code."""
+    df = spark.range(1).selectExpr("'地下一層' AS x")
+    for made, most in ((S.floor_number(F.col("x")), 12), (S.era_date(F.col("x")), 8)):
+        plan = df.select(made.alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert 0 < plan.count("regexp_") <= most

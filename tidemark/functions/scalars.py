@@ -6,6 +6,7 @@ is null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -34,15 +35,26 @@ def clean_number(x: Column) -> Column:
     return F.when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, which is computed once however often it is used: written
+    out, expressions that use one another several times grow as powers."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def era_date(x: Column) -> Column:
     """Date from calendar-era digits: YYMMDD or YYYMMDD, year 1 = 1912."""
-    s = strip(x)
-    digits = F.regexp_replace(F.translate(F.regexp_replace(F.translate(s, ", ", ""), r"\.0+$", ""), _WIDE, _NARROW), r"[^0-9]", "")
-    digits = F.when((F.length(digits) > 7) & digits.startswith("0"), F.regexp_replace(digits, "^0+", "")).otherwise(digits)
-    size = F.length(digits)
-    year = F.when(size == 6, F.substring(digits, 1, 2)).when(size == 7, F.substring(digits, 1, 3)).try_cast("int")
-    ymd = F.concat(F.lpad((year + 1911).cast("string"), 4, "0"), F.lit("-"), F.substring(digits, -4, 2), F.lit("-"), F.substring(digits, -2, 2))
-    return F.when(~F.lower(s).isin("", "0", "--", "nan", "none", "null", "<na>") & (year > 0), F.try_to_date(ymd, "yyyy-MM-dd"))
+
+    def shorter(digits: Column) -> Column:
+        return F.when((F.length(digits) > 7) & digits.startswith("0"), F.regexp_replace(digits, "^0+", "")).otherwise(digits)
+
+    def day(digits: Column) -> Column:
+        size = F.length(digits)
+        year = F.when(size == 6, F.substring(digits, 1, 2)).when(size == 7, F.substring(digits, 1, 3)).try_cast("int")
+        ymd = F.concat(F.lpad((year + 1911).cast("string"), 4, "0"), F.lit("-"), F.substring(digits, -4, 2), F.lit("-"), F.substring(digits, -2, 2))
+        return F.when(year > 0, F.try_to_date(ymd, "yyyy-MM-dd"))
+
+    digits = lambda s: F.regexp_replace(F.translate(F.regexp_replace(F.translate(s, ", ", ""), r"\.0+$", ""), _WIDE, _NARROW), r"[^0-9]", "")
+    return let(strip(x), lambda s: F.when(~F.lower(s).isin("", "0", "--", "nan", "none", "null", "<na>"), let(let(digits(s), shorter), day)))
 
 
 _NUMERALS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -52,30 +64,40 @@ def numeral(x: Column) -> Column:
     """Double from digits, or from numerals with tens and hundreds; a part of
     several numerals counts as none, and a total of 0 is null."""
     values = F.create_map(*[F.lit(v) for pair in _NUMERALS.items() for v in pair])
-    plain = F.translate(x, _WIDE, _NARROW)
-    digits = F.regexp_extract(plain, r"-?[0-9]+", 0)
-    kept = F.regexp_replace(x, "[^零〇一二兩三四五六七八九十百]", "")
 
     def worth(part: Column, absent: int) -> Column:
         return F.coalesce(F.try_element_at(values, part), F.lit(absent))
 
-    hundreds = F.instr(kept, "百") > 0
-    head = F.when(hundreds, F.regexp_extract(kept, "^([^百]*)百", 1))
-    rest = F.when(hundreds, F.regexp_extract(kept, "^[^百]*百(.*)$", 1)).otherwise(kept)
-    tens = F.instr(rest, "十") > 0
-    ten, one = F.regexp_extract(rest, "^([^十]*)十", 1), F.when(tens, F.regexp_extract(rest, "^[^十]*十(.*)$", 1)).otherwise(rest)
-    total = F.when(hundreds, worth(head, 1) * 100).otherwise(0) + F.when(tens, worth(ten, 1) * 10).otherwise(0) + worth(one, 0)
-    return F.when(digits != "", digits.try_cast("double")).when((kept != "") & (total != 0), total.cast("double"))
+    def below_hundred(rest: Column) -> Column:
+        tens = F.instr(rest, "十") > 0
+        ten, one = F.regexp_extract(rest, "^([^十]*)十", 1), F.when(tens, F.regexp_extract(rest, "^[^十]*十(.*)$", 1)).otherwise(rest)
+        return F.when(tens, worth(ten, 1) * 10).otherwise(0) + worth(one, 0)
+
+    def worded(kept: Column) -> Column:
+        hundreds = F.instr(kept, "百") > 0
+        head = F.when(hundreds, F.regexp_extract(kept, "^([^百]*)百", 1))
+        rest = F.when(hundreds, F.regexp_extract(kept, "^[^百]*百(.*)$", 1)).otherwise(kept)
+        total = F.when(hundreds, worth(head, 1) * 100).otherwise(0) + let(rest, below_hundred)
+        return let(total, lambda n: F.when((kept != "") & (n != 0), n.cast("double")))
+
+    def read(text: Column) -> Column:
+        digits = F.regexp_extract(F.translate(text, _WIDE, _NARROW), r"-?[0-9]+", 0)
+        words = F.regexp_replace(text, "[^零〇一二兩三四五六七八九十百]", "")
+        return let(digits, lambda d: F.when(d != "", d.try_cast("double")).otherwise(let(words, worded)))
+
+    return let(x, read)
 
 
 def floor_number(x: Column) -> Column:
     """Floor of a transfer text: first part of a list, negative underground."""
-    s = strip(x)
-    first = strip(F.element_at(F.split(s, "[，,、]"), 1))
-    below = first.startswith("地下")
-    text = F.when(below, F.substring(first, 3, 1 << 30)).otherwise(first)
-    value = numeral(strip(F.translate(text, "第層樓", "")))
-    return F.when((s != "") & (s != "全") & ~s.contains("見其他登記事項"), F.when(below, -value).otherwise(value))
+
+    def number(first: Column) -> Column:
+        below = first.startswith("地下")
+        text = F.when(below, F.substring(first, 3, 1 << 30)).otherwise(first)
+        return let(numeral(strip(F.translate(text, "第層樓", ""))), lambda value: F.when(below, -value).otherwise(value))
+
+    first = lambda s: strip(F.element_at(F.split(s, "[，,、]"), 1))
+    return let(strip(x), lambda s: F.when((s != "") & (s != "全") & ~s.contains("見其他登記事項"), let(first(s), number)))
 
 
 def yes_no(x: Column) -> Column:
@@ -149,8 +171,9 @@ def present(x: Column) -> Column:
     return F.when(x > 0, "有").when(x.isNotNull(), "無")
 
 
-def sale_text(address: bool = False, note: bool = False, missing: str = "缺失") -> Column:
+def sale_text(address: bool = False, note: bool = False, missing: str = "缺失", body: Column | None = None) -> Column:
     """A sale as sixteen labelled lines, and with address and note if asked.
+    ``body`` are the sixteen lines if they are there already.
     Fixed values: the labels, units and places of the lines."""
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(missing))
     number = lambda name, places: F.when(F.col(name).isNotNull(), F.format_string(f"%.{places}f", F.col(name).cast("double"))).otherwise(missing)
@@ -165,6 +188,7 @@ def sale_text(address: bool = False, note: bool = False, missing: str = "缺失"
         ("車位", there("has_parking")), ("車位面積", two("parking_area_m2")), ("管理組織", there("has_management")), ("電梯", there("has_elevator")),
         ("房屋狀態備註標記", whole("physical_condition_flag")), ("裝潢標記", whole("renovation_flag")), ("廣泛備註標記", whole("broad_note_flag")),
     ]
+    lines = lines if body is None else []
     lines += [("地址", text("address_raw"))] if address else []
     lines += [("備註", text("note_raw"))] if note else []
-    return F.concat_ws("\n", *[F.concat(s(f"{label}："), value) for label, value in lines])
+    return F.concat_ws("\n", *([] if body is None else [body]), *[F.concat(s(f"{label}："), value) for label, value in lines])

@@ -299,7 +299,8 @@ _BODY = lambda n: ", chr(10), ".join(f"'{label}：', {value}" for label, value i
 def serialise(spark, sf_dir):
     """Sixteen labelled lines, and the same with address and note."""
     rows = C.derive_features(raw_housing(spark, sf_dir))
-    return rows.select("id", S.sale_text().alias("body"), S.sale_text(address=True, note=True).alias("with_options"))
+    rows = rows.select("id", S.sale_text().alias("body"), "address_raw", "note_raw")
+    return rows.select("id", "body", S.sale_text(address=True, note=True, body=F.col("body")).alias("with_options"))
 
 
 # ---- contracts and gates --------------------------------------------------------------------------------------

@@ -223,3 +223,20 @@ def test_attributes_of_named_sales_only(spark, sf_dir):
     some = sales(spark, sf_dir).orderBy("sale_id").limit(7)
     ids = spark.createDataFrame([(r.sale_id,) for r in some.collect()], "sale_id long")
     assert sorted(map(tuple, sales(spark, sf_dir, ids).collect())) == sorted(map(tuple, some.collect()))
+
+
+def test_baselines_write_training_rows_once(spark, sf_dir, monkeypatch):
+    """Training rows are those of the folds' table and are not written again."""
+    from tidemark.operators import ordering
+    from tidemark.plans import queries as Q
+
+    names = []
+    kept = ordering.written
+
+    def watched(df, name):
+        names.append(name)
+        return kept(df, name)
+
+    monkeypatch.setattr(ordering, "written", watched)
+    assert Q.predictions(spark, sf_dir).count() > 0
+    assert names and "values" not in names

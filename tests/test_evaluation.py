@@ -240,3 +240,18 @@ def test_baselines_write_training_rows_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ordering, "written", watched)
     assert Q.predictions(spark, sf_dir).count() > 0
     assert names and "values" not in names
+
+
+def test_errors_of_one_model_only(spark, sf_dir, monkeypatch):
+    from tidemark.plans import queries as Q
+
+    asked = []
+    predictions = Q.predictions
+
+    def watched(spark, sf_dir, only=None):
+        asked.append(only)
+        return predictions(spark, sf_dir, only)
+
+    monkeypatch.setattr(Q, "predictions", watched)
+    assert Q.error_attributes(spark, sf_dir).count() > 0
+    assert asked == ["combo"]

@@ -225,6 +225,39 @@ def test_attributes_of_named_sales_only(spark, sf_dir):
     assert sorted(map(tuple, sales(spark, sf_dir, ids).collect())) == sorted(map(tuple, some.collect()))
 
 
+def test_rank_correlation_does_not_join_rows_with_their_ranks(spark, monkeypatch):
+    """Rows of one value come once, with the sum of their other ranks; what does
+    not vary has no correlation and is no error."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(g, float(r.integers(0, 9)), float(r.integers(0, 40))) for g in ("a", None) for _ in range(300)]
+    rows += [("flat", 1.0, float(i)) for i in range(5)] + [("one", 1.0, 2.0), ("odd", float("nan"), 1.0), ("odd", 1.0, None)]
+    seen = []
+    counted = E.counted_before
+
+    def watched(df, keys, value, **more):
+        out = counted(df, keys, value, **more)
+        seen.append((value, out.count()))
+        return out
+
+    monkeypatch.setattr(E, "counted_before", watched)
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(4)
+    for x, y in (("a", "b"), ("b", "a")):
+        seen.clear()
+        found = E.rank_correlation(df, x, y, "g")
+        assert dict(seen) == {f"_{side}": df.filter(~F.isnan("a") & F.col("b").isNotNull()).select("g", c).distinct().count() for side, c in (("x", x), ("y", y))}
+        got = {row.g: row for row in found.collect()}
+        assert set(got) == {"a", None, "flat", "one"}
+        assert [got["flat"].pearson, got["flat"].spearman, got["one"].pearson, got["one"].spearman] == [None] * 4
+        for g in ("a", None):
+            v, w = (np.array([p[i] for p in rows if p[0] == g]) for i in (1, 2))
+            ranks = [np.array([(u < t).sum() + ((u == t).sum() + 1) / 2 for t in u]) for u in (v, w)]
+            assert got[g].n == 300
+            assert got[g].pearson == pytest.approx(np.corrcoef(v, w)[0, 1]) and got[g].spearman == pytest.approx(np.corrcoef(*ranks)[0, 1])
+
+
 def test_baselines_write_training_rows_once(spark, sf_dir, monkeypatch):
     """Training rows are those of the folds' table and are not written again."""
     from tidemark.operators import ordering

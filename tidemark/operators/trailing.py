@@ -9,14 +9,17 @@ much for one is counted first (``range_medians``). Searches are pairs of blocks
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
-from tidemark.operators.nearest import cosine, nearest, sliced, weighted_distance
+from tidemark.operators.nearest import Finish, cosine, nearest, nearest_lists, sliced, weighted_distance
 from tidemark.operators.ordering import joined_by
 from tidemark.operators.range_medians import range_medians
 from tidemark.schema import group_key, require_columns
@@ -81,48 +84,78 @@ def trailing_stats_window(df: DataFrame, keys: list[str], id_col: str, day: str,
 _ALIKE = ["area", "age", "floor_ratio", "has_parking"]
 
 
-def _comparables(sales: DataFrame, keys: list[str], window: int, k: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The sales with their day, the k nearest of each class of them, and what
-    makes a class. Sales of one group and day that are alike in all that the
-    distance knows have the same comparables: one of them asks. Of candidates
-    that are alike only the k of smallest id can be among k."""
+def _comparables(sales: DataFrame, keys: list[str], window: int, k: int, wanted: list[str], finish: Finish | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sales with their day and ``_class``, and of each class of them the k
+    nearest (``near``: distance, c_day and the wanted columns). Sales of one
+    group and day that are alike in all that the distance knows have the same
+    comparables: one of them asks. Of candidates that are alike only the k of
+    smallest id can be among k."""
     columns = ["sale_id", "price", *_ALIKE]
     require_columns(sales, [*keys, "trade_date", *columns])
-    alike = [*keys, "_day", *_ALIKE]
-    # Written: read for those who ask, for the candidates and for the join with the result.
-    rows = written(sliced(sales.select(*dict.fromkeys([*keys, "trade_date", *columns])), "trade_date", window).drop("_own"), "comparables")
+    days = sliced(sales.select(*dict.fromkeys([*keys, "trade_date", *columns])), "trade_date", window).drop("_own")
     usable = F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double"))
-    first = Window.partitionBy(*alike).orderBy(F.when(usable, 0).otherwise(1), F.asc_nulls_last("sale_id"))
-    few = rows.filter("_day IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k).filter(usable | (F.col("_n") == 1))
-    pairs = nearest(few, keys, "sale_id", "trade_date", window, columns, k, usable, weighted_distance(window), F.col("_n") == 1)
-    c = F.col
-    distance = S.similarity_distance(c("area"), c("c_area"), c("age"), c("c_age"), c("days_diff"), window, c("floor_ratio"), c("c_floor_ratio"), c("has_parking"), c("c_has_parking"))
-    pairs = pairs.select(*[c("_g")[name].alias(name) for name in keys], "*").withColumn("distance", F.round(distance, 9)).drop("sale_id", "price")
-    # Of each class there are little more than k pairs left to rank.
-    w = Window.partitionBy(*alike).orderBy("distance", c("c_day").desc(), "c_sale_id")
-    return rows, pairs.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= k), alike
-
-
-def comparable_pairs(sales: DataFrame, keys: list[str], window: int, k: int = 10) -> DataFrame:
+    first = Window.partitionBy(*keys, "_day", *_ALIKE).orderBy(F.when(usable, 0).otherwise(1), F.asc_nulls_last("sale_id"))
+    # Rows of a class stand one after the other: the place of its first one names it.
+    placed = days.withColumn("_n", F.row_number().over(first)).withColumn("_class", F.monotonically_increasing_id() - F.col("_n") + 1)
+    # Written: read for those who ask, for the candidates and for the join with the result.
+    rows = written(placed, "comparables")
+    few = rows.filter("_day IS NOT NULL").filter((F.col("_n") == 1) | usable & (F.col("_n") <= k))
+    found = nearest_lists(few, keys, "sale_id", "trade_date", window, ["_class", *columns], k, usable, weighted_distance(window), F.col("_n") == 1, wanted, finish)
+    return rows.drop("_n"), found
+
+
+def comparable_pairs(sales: DataFrame, keys: list[str], window: int, k: int = 10, also: tuple[str, ...] = ("price", *_ALIKE)) -> DataFrame:
     """The k nearest earlier sales of each sale within ``window`` days, by
     weighted distance, then latest date, then smallest id. Candidates without
-    a finite price are left out before ranking."""
-    rows, top, alike = _comparables(sales, keys, window, k)
-    return joined_by(rows, top, alike, "inner")
+    a finite price are left out before ranking. ``also`` names the columns of
+    the candidates (``c_``) that are wanted beside their id and day."""
+    rows, found = _comparables(sales, keys, window, k, ["sale_id", *also])
+    pairs = rows.join(found.select("_class", "near"), "_class").drop("_class").select(*[c for c in rows.columns if c != "_class"], F.posexplode("near").alias("rank", "_near"))
+    pairs = pairs.select(*[c for c in pairs.columns if c != "_near"], "_near.*")
+    return pairs.withColumns({"rank": F.col("rank") + 1, "days_diff": F.col("_day") - F.col("c_day")})
+
+
+_STATISTICS = ["median_price", "mean_price", "weighted_mean_price", "std_price", "nearest_price", "nearest_distance", "median_distance", "median_days_diff", "median_area_diff_pct", "median_age_diff"]
+
+
+def _row_medians(values: np.ndarray, known: np.ndarray) -> pa.Array:
+    """The median of the known values of each row, null if there are none; a
+    NaN among them is greater than all."""
+    rows, n = np.sort(np.where(known, values, np.nan), axis=1), known.sum(axis=1)
+    low, high = (rows[np.arange(len(rows)), np.maximum(place, 0)] for place in ((n - 1) // 2, n // 2))
+    return pa.array(low + (high - low) / 2, mask=n == 0)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The statistics of the lists of comparables of each row."""
+    for batch in batches:
+        near, n = batch["near"].flatten(), np.asarray(batch["near"].value_lengths().fill_null(0)).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        there = (row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+
+        def laid(column: pa.Array, shape=(len(n), int(n.max(initial=1))), there=there) -> tuple[np.ndarray, np.ndarray]:
+            values, known = np.full(shape, np.nan), np.zeros(shape, bool)
+            values[there], known[there] = column.cast(pa.float64()).to_numpy(zero_copy_only=False), np.asarray(column.is_valid())
+            return values, known
+
+        (price, _), (distance, known), (day, _) = (laid(near.field(c)) for c in ("c_price", "distance", "c_day"))
+        own = {c: (batch[c].cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None], np.asarray(batch[c].is_valid())[:, None]) for c in ("_day", "area", "age")}
+        apart = {c: (np.abs(v - own[c][0]), k & own[c][1]) for c in ("area", "age") for v, k in [laid(near.field(f"c_{c}"))]}
+        weight = np.where(known, 1.0 / (distance + EPSILON), 0.0)
+        added = lambda x, known=known: np.where(known, x, 0.0).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = added(price) / n
+            each = [mean, added(weight * price) / added(weight), np.sqrt(added((price - mean[:, None]) ** 2) / n), price[:, 0], distance[:, 0]]
+            by_area = apart["area"][0] / np.maximum(own["area"][0], 1.0)
+        columns = [_row_medians(price, known), *[pa.array(v, mask=n == 0) for v in each], _row_medians(distance, known), _row_medians(own["_day"][0] - day, known), _row_medians(by_area, apart["area"][1]), _row_medians(*apart["age"])]
+        yield pa.RecordBatch.from_arrays([batch["_class"], pa.array(n), *columns], ["_class", "comp_count", *[f"comp_{c}" for c in _STATISTICS]])
 
 
 def comparable_summary(sales: DataFrame, keys: list[str], window: int, k: int = 10) -> DataFrame:
     """One row per sale: eleven statistics of its k comparables."""
-    rows, top, alike = _comparables(sales, keys, window, k)
-    weight = 1.0 / (F.col("distance") + EPSILON)
-    area = F.when(F.col("area").isNotNull() & F.col("c_area").isNotNull(), F.abs(F.col("c_area") - F.col("area")) / F.greatest("area", F.lit(1.0)))
-    stats = top.groupBy(*alike).agg(
-        F.count("*").alias("comp_count"), F.median("c_price").alias("comp_median_price"), F.avg("c_price").alias("comp_mean_price"),
-        (F.sum(weight * F.col("c_price")) / F.sum(weight)).alias("comp_weighted_mean_price"), F.stddev_pop("c_price").alias("comp_std_price"),
-        F.min_by("c_price", "rank").alias("comp_nearest_price"), F.min("distance").alias("comp_nearest_distance"), F.median("distance").alias("comp_median_distance"),
-        F.median("days_diff").alias("comp_median_days_diff"), F.median(area).alias("comp_median_area_diff_pct"), F.median(F.abs(F.col("c_age") - F.col("age"))).alias("comp_median_age_diff"),
-    )
-    found = joined_by(rows, stats, alike).select("sale_id", *[c for c in stats.columns if c not in alike])
+    schema = T.StructType([T.StructField("_class", T.LongType()), T.StructField("comp_count", T.LongType()), *[T.StructField(f"comp_{c}", T.DoubleType()) for c in _STATISTICS]])
+    rows, stats = _comparables(sales, keys, window, k, ["sale_id", "price", "area", "age"], (_summaries, schema))
+    found = rows.select("_class", "sale_id").join(stats, "_class", "left").drop("_class")
     return found.withColumn("comp_count", F.coalesce("comp_count", F.lit(0)))
 
 

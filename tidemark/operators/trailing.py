@@ -159,6 +159,20 @@ def comparable_summary(sales: DataFrame, keys: list[str], window: int, k: int =
     return found.withColumn("comp_count", F.coalesce("comp_count", F.lit(0)))
 
 
+def without_comparables(sales: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """(sales, missing): how many sales there are, and how many have no
+    candidate in the ``window`` days before them. Sales are counted by group
+    and day first; each such day looks for the last day before it that has one."""
+    require_columns(sales, [*keys, "trade_date", "price"])
+    usable = F.col("price").isNotNull() & ~F.isnan(F.col("price").cast("double"))
+    number = F.datediff("trade_date", F.lit("1970-01-01").cast("date"))
+    days = sales.groupBy(*keys, number.alias("_day")).agg(F.count("*").alias("n"), F.max(usable).alias("_usable"))
+    before = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1)  # no more rows than days
+    last = F.max(F.when(F.col("_usable"), F.col("_day"))).over(before)
+    lacks = F.coalesce(F.col("_day") - last > window, F.lit(True))
+    return days.select("n", lacks.alias("_lacks")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sales"), F.coalesce(F.sum(F.when(F.col("_lacks"), F.col("n"))), F.lit(0)).alias("missing"))
+
+
 def vector_pairs(df: DataFrame, keys: list[str], id_col: str, day: str, vector: str, window: int, k: int, extra: list[str] = ()) -> DataFrame:
     """The k most similar earlier rows by cosine, then earliest, then smallest
     id. Pairs without a cosine (no vector, other lengths, unknown parts) come last."""

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +46,8 @@ _U = np.uint64
 SAMPLED = 4
 #: Classes of a centre that are held against as many others at a time.
 BLOCK = 256
+#: Bytes of texts that are sent to blocks at a time: so many, or so many times all texts.
+SENT, SENT_TIMES = 1 << 29, 2
 
 
 @dataclass(frozen=True)
@@ -220,11 +223,12 @@ def _own_counts(shingle_rows: DataFrame) -> DataFrame:
 
 def _compare(rule: Threshold):
     """Links between differently labelled classes of a block of those apart and
-    a block of all; of links that close a circle, none is needed."""
+    a block of all (rows are in the one, the other, or both); of links that
+    close a circle, none is needed."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, labels, apart = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "apart"))
-        one, two = np.flatnonzero(apart), np.flatnonzero(~apart.astype(bool))
+        names, labels, apart, among = (np.asarray(table[c].combine_chunks()) for c in ("cls", "label", "apart", "among"))
+        one, two = np.flatnonzero(apart), np.flatnonzero(among)
         values, document, sizes, base = [], [], [], 0
         for block in T.blocks(table["text"]):
             v, d, n = shingles(block, rule.k)
@@ -271,19 +275,30 @@ def _across_labels(rest: DataFrame, texts: DataFrame, rule: Threshold) -> DataFr
     Those outside the label that most classes of a centre have are apart; each
     such link has one of them. Both those apart and all are cut into blocks of
     about ``BLOCK``; a block of either is compared in a task, so no task holds
-    a large group and no table holds its pairs."""
+    a large group and no table holds its pairs. Where both are one block, a
+    class is sent once. Texts are sent to some blocks at a time, so that what
+    lies on disk does not grow with the blocks that a text is sent to."""
     # Written, so that each join deals both sides out anew and can split a large group.
-    sizes = materialise(rest.groupBy("centre", "label").agg(F.count("*").alias("n")))
+    bytes_ = texts.select("cls", F.octet_length("text").cast("long").alias("bytes"))
+    sizes = materialise(rest.join(bytes_, "cls").groupBy("centre", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    mains = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    mains = materialise(mains.select("centre", "main", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("nm")))
+    top = F.struct("n", "label")
+    mains = sizes.groupBy("centre").agg(F.max_by("label", top).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"), (F.sum("bytes") - F.max_by("bytes", top)).alias("further"))
+    mains = materialise(mains.select("centre", "main", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("most")).alias("nm"), "bytes", "further"))
+    sent = mains.agg(F.sum(F.when(F.col("nb") > 1, F.col("bytes") * F.col("nm") + F.col("further") * F.col("nb")).otherwise(F.col("bytes")))).first()[0] or 0
+    parts = -(-sent // max(SENT, SENT_TIMES * (bytes_.agg(F.sum("bytes")).first()[0] or 0))) or 1
     named = rest.join(mains, "centre")
     own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    every = named.withColumns({"i": own("nb"), "apart": F.lit(False)}).withColumn("j", each("nm"))
-    apart = named.filter("label <> main").withColumns({"j": own("nm"), "apart": F.lit(True)}).withColumn("i", each("nb"))
-    dealt = every.unionByName(apart).select("centre", "i", "j", "apart", "cls", "label")
-    return dealt.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()
+    away = F.col("label") != F.col("main")
+    every = named.withColumns({"i": own("nb"), "apart": away & (F.col("nb") == 1), "among": F.lit(True)}).withColumn("j", each("nm"))
+    apart = named.filter(away & (F.col("nb") > 1)).withColumns({"j": own("nm"), "apart": F.lit(True), "among": F.lit(False)}).withColumn("i", each("nb"))
+    dealt = every.unionByName(apart).select("centre", "i", "j", "apart", "among", "cls", "label")
+    found = []
+    for part in range(parts):
+        some = dealt.filter(F.pmod(F.xxhash64("centre", "i", "j"), F.lit(parts)) == part)
+        found.append(materialise(some.join(texts, "cls").groupBy("centre", "i", "j").applyInArrow(_compare(rule), "a long, b long").distinct()))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _labelled(docs: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +311,8 @@ def _labelled(docs: DataFrame, rule: Threshold) -> tuple[DataFrame, DataFrame]:
     classes = described.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min(key).alias("key"), F.first("n").alias("n"))
     alone = _own_counts(rows.mapInArrow(_explode(rule.k, SAMPLED), "h long, cls long"))
     # With u of n shingles its own, a class has at most n - u in common with a set of at least as many.
-    open_ = classes.join(alone, "cls", "left").filter(f"{rule.den} * (n - coalesce(u, 0)) >= {rule.num} * n").select("cls", F.col("key.id").alias("id"), F.col("key.t").alias("th"))
+    # Written, so that the shuffles of the shingles are gone before texts are shuffled.
+    open_ = materialise(classes.join(alone, "cls", "left").filter(f"{rule.den} * (n - coalesce(u, 0)) >= {rule.num} * n").select("cls", F.col("key.id").alias("id"), F.col("key.t").alias("th")))
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(open_, ["id", "th"]).select("cls", "text")
     texts = materialise(keyed.mapInArrow(_keep_named(rule.k), "cls long, text string").dropDuplicates(["cls"]))
     signed = materialise(texts.mapInArrow(_sign(rule), "sig long, cls long, n long"))
